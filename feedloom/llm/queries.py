@@ -2,10 +2,73 @@
 
 from __future__ import annotations
 
+from .ann import op8_ann
 from .bpe import op5_bpe
+from .chat import op6_chat
+from .decontam import op7_decontam
+from .neardup import op2_neardup
 from .quality import op10_quality
 from .sharding import op1_sharding
+from .substring import op4_substring
 from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op5_bpe, op9_toxicity, op10_quality)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_neardup, op4_substring, op5_bpe, op6_chat, op7_decontam, op8_ann, op9_toxicity, op10_quality)}
+UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACED = r"'[^ \x09-\x0D]+'"
+
+OP2 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOW}'), {SPACED}) AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(list_slice(ws, i, i + 3), ' '))
+                               WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * i >= 80 * (x.n + y.n - i)),
+ties AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, ties.v FROM reach r JOIN ties ON ties.u = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
+       d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+OP4 = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {SPACED}) AS ws FROM documents),
+t AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS pos, ws FROM w WHERE len(ws) >= 50),
+x AS (SELECT doc_id, pos, md5(array_to_string(list_slice(ws, pos, pos + 49), ' ')) AS h FROM t),
+m AS (SELECT h, min(doc_id) AS least FROM x GROUP BY 1),
+hit AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS pos FROM x JOIN m USING (h) WHERE doc_id > least),
+k AS (SELECT w.doc_id, len(ws) AS n_words, u.pos, u.word FROM w, LATERAL (SELECT unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos) u),
+kept AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM k ANTI JOIN hit USING (doc_id, pos) GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
+
+OP7 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+i AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM b WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(ws, pos, pos + n - 1), ' ') AS w FROM (SELECT item_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS pos FROM i)),
+dw AS (SELECT doc_id, pos, n, array_to_string(list_slice(ws, pos, pos + n - 1), ' ') AS w
+       FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS pos FROM d, (SELECT DISTINCT n FROM i) WHERE len(ws) >= n)),
+h AS (SELECT doc_id, pos, n, item_id FROM dw JOIN iw USING (w, n)),
+p AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM h),
+c AS (SELECT doc_id, count(*) AS n_hit FROM p GROUP BY 1),
+x AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)"""
+
+OP6 = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS line,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM t),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(line, '' ORDER BY n) AS chat,
+             list({'r': role, 't': text} ORDER BY n) AS turns FROM r GROUP BY 1),
+u AS (SELECT turns, min(conv_id) AS conv_id, any_value(n_turns) AS n_turns, any_value(chat) AS chat, count(*) AS copies FROM c GROUP BY 1),
+p AS (SELECT conv_id, list_slice(turns, 1, k) AS part FROM (SELECT conv_id, turns, unnest(range(1, n_turns)) AS k FROM u)),
+m AS (SELECT * FROM u ANTI JOIN p ON u.turns = p.part),
+s AS (SELECT p.conv_id, sum(u.copies) AS inside FROM p JOIN u ON u.turns = p.part GROUP BY 1)
+SELECT m.conv_id, m.n_turns, CAST(m.copies + coalesce(s.inside, 0) AS BIGINT) AS n_snapshots, m.chat FROM m LEFT JOIN s USING (conv_id)"""
+
+ORACLES: dict[str, str] = {"op6_chat": OP6, "op7_decontam": OP7, "op2_neardup": OP2, "op4_substring": OP4}

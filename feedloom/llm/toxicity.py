@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import crc_of_id, session, table
 from .words import BLOCK, LETTER, LOWER, SPACE, U, _cuts, mix, powers, prefix_sums, spans, texts_of
 
-SAMPLE_ROWS, MAX_FEATURES, LEAST_DOCS, SEED, CUT = 8000, 4000, 6, 7, 0.3
+SAMPLE_ROWS, MAX_FEATURES, LEAST_DOCS, SEED, CUT = 8000, 4000, 4, 7, 0.3
 KINDS = 29
 CLASS = np.zeros(256, np.int32)
 CLASS[97:123] = np.arange(1, 27)
@@ -228,7 +228,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, rounds: int = 300) -> Toxic:
     good = np.bincount(inverse, None, len(all_of)) - bad
     share = (bad + 0.5) / (n1 + 1) / ((good + 0.5) / (n0 + 1))
     z = (bad / n1 - good / n0) / np.sqrt((bad + good + 1) / (n1 + n0) * (1 / n1 + 1 / n0))
-    pick = np.flatnonzero((bad >= LEAST_DOCS) & (share > 6) & (z > 4))
+    pick = np.flatnonzero((bad >= LEAST_DOCS) & (share > 6) & (z > 4.5))
     pick = np.sort(pick[np.argsort(-z[pick], kind="stable")][:MAX_FEATURES])
     place = np.full(len(all_of), -1)
     place[pick] = np.arange(len(pick))
