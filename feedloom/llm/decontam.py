@@ -88,21 +88,19 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = materialize(pairs.distinct())
     p = _small(pairs.toDF("pd", "pt", "item_id"))
     both = keyed.join(p, F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("th") == F.col("pt"))).join(_small(items), "item_id")
-    dw, iw = F.col("dw"), F.col("iw")
-    both = both.select("doc_id", "th", "item_id", "iw", "span", words_of("text").alias("dw"))
-    windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - F.col("span")), lambda i: F.slice(w, i + 1, F.col("span")))
-    sure = _let(
-        windows(iw),
-        lambda win: _let(
-            F.transform(win, lambda x: F.xxhash64(x)),
-            lambda keys: F.filter(
-                F.sequence(F.lit(0), F.size(dw) - F.col("span")),
-                lambda at: F.array_contains(keys, F.xxhash64(F.slice(dw, at + 1, F.col("span")))) & F.array_contains(win, F.slice(dw, at + 1, F.col("span"))),
-            ),
-        ),
-    )
-    both = both.where(F.size("dw") >= F.col("span")).withColumn("starts", sure).where("size(starts) > 0")
-    places = both.select("doc_id", "th", "item_id", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("span") - 1)))).alias("places"))
+    span = F.col("span")
+    windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - span), lambda i: F.slice(w, i + 1, span))
+
+    def starts(dw: Column) -> Column:
+        """Places of the document where a window of the item stands: by hash, then word by word."""
+        find = lambda win, keys: F.filter(
+            F.sequence(F.lit(0), F.greatest(F.size(dw) - span, F.lit(0))),
+            lambda at: _let(F.slice(dw, at + 1, span), lambda x: F.array_contains(keys, F.xxhash64(x)) & F.array_contains(win, x)),
+        )
+        return _let(windows(F.col("iw")), lambda win: _let(F.transform(win, lambda x: F.xxhash64(x)), lambda keys: find(win, keys)))
+
+    both = both.select("doc_id", "th", "item_id", "span", _let(words_of("text"), starts).alias("starts")).where("size(starts) > 0")
+    places = both.select("doc_id", "th", "item_id", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + span - 1)))).alias("places"))
     per = places.groupBy("doc_id", "th").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     return per
 
