@@ -25,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, session, table
 from .words import U, hashed, rolled, texts_of, window_sums
 
-WINDOW, GRAM, ROWS, ROOM = 50, 8, 2, 8
+WINDOW, GRAM, ROWS, ROOM, RANGE = 50, 8, 2, 8, 250_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -76,97 +77,164 @@ def scan(docs: DataFrame, window: int) -> DataFrame:
                 pa.StructArray.from_arrays([pa.array(join(cells, np.int64)), pa.array(join(lows, np.int32)), pa.array(join(highs, np.int32))], ["cell", "lo", "hi"]),
             )
             whole = [hashlib.sha256(b" ".join((t or b"").split())).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(whole, pa.string()), runs], ["doc_id", "n_words", "whole", "runs"])
+            w = [int.from_bytes(bytes.fromhex(x[:16]), "big", signed=True) for x in whole]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(whole, pa.string()), pa.array(w, pa.int64()), runs], ["doc_id", "n_words", "whole", "w", "runs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, whole string, runs array<struct<cell: long, lo: int, hi: int>>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, whole string, w long, runs array<struct<cell: long, lo: int, hi: int>>")
 
 
 def estimated_repeated(firsts: DataFrame) -> DataFrame:
-    """Runs of windows (doc_id, whole, lo, hi) that the count-min sketch says another row of ``firsts`` may have."""
-    entries = firsts.select("doc_id", "whole", F.explode("runs").alias("r")).select("doc_id", "whole", "r.cell", "r.lo", "r.hi")
+    """Runs of windows (doc_id, w, lo, hi) that the count-min sketch says another row of ``firsts`` may have."""
+    entries = firsts.select("doc_id", "w", F.explode("runs").alias("r")).select("doc_id", "w", "r.cell", "r.lo", "r.hi")
     total = firsts.agg(F.sum(F.size("runs"))).collect()[0][0] or 0
     width = 1 << max(10, (ROOM * total).bit_length())
     column = lambda j, c="cell": F.pmod(F.xxhash64(F.lit(j), c), F.lit(width))
     once = firsts.select(F.explode(F.array_distinct(F.transform("runs", lambda r: r["cell"]))).alias("cell"))
-    cells = once.select(F.explode(F.array(*[F.struct(F.lit(j).alias("row"), column(j).alias("col")) for j in range(ROWS)])).alias("c")).select("c.row", "c.col")
-    busy = materialize(cells.groupBy("row", "col").count().where("count > 1").select("row", "col"))
+    # row and column as one number
+    cells = once.select(F.explode(F.array(*[column(j) * ROWS + j for j in range(ROWS)])).alias("col"))
+    busy = materialize(cells.groupBy("col").count().where("count > 1").select("col"))
     for j in range(ROWS):
-        entries = entries.withColumn("col", column(j)).join(busy.where(F.col("row") == j).select("col"), "col", "left_semi").drop("col")
+        entries = entries.withColumn("col", column(j) * ROWS + j).join(busy.where(F.col("col") % ROWS == j), "col", "left_semi").drop("col")
     return entries
 
 
+def _row_key(words: bytes) -> int:
+    """64 bits of the digest of a text's words, to tell rows of one id apart."""
+    return int.from_bytes(hashlib.sha256(words).digest()[:8], "big", signed=True)
+
+
 def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(scan of docs, the rows that lose words: doc_id, whole, n_removed, kept (text of the kept words))."""
+    """(scan of docs, the rows that lose words: doc_id, w, n_removed, kept (text of the kept words))."""
     session(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     all_rows = materialize(scan(docs, window))
-    first = all_rows.where(f"doc_id is not null and n_words >= {window}").groupBy("whole").agg(F.min("doc_id").alias("first"))
-    rows = all_rows.where(f"doc_id is not null and n_words >= {window}").join(first, "whole")
-    copies = rows.where("doc_id > first").select("doc_id", "whole", F.col("n_words").alias("n_removed"), F.lit("").alias("kept")).distinct()
-    firsts = materialize(rows.where("doc_id = first").select("doc_id", "whole", "runs").dropDuplicates(["doc_id", "whole"]))
-    spans = estimated_repeated(firsts).groupBy("doc_id", "whole").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    # texts are joined by id; their own digest tells rows of one id apart
-    some = materialize(docs.select("doc_id", "text").join(spans.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id")).drop("id"), "zstd")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    long_ = all_rows.where(f"doc_id is not null and n_words >= {window}")
+    first = long_.groupBy("whole").agg(F.min("doc_id").alias("first"))
+    rows = long_.join(first, "whole")
+    copies = rows.where("doc_id > first").select("doc_id", "w", F.col("n_words").alias("n_removed"), F.lit("").alias("kept")).distinct()
+    firsts = materialize(rows.where("doc_id = first").select("doc_id", "w", "runs").dropDuplicates(["doc_id", "w"]))
+    spans = estimated_repeated(firsts).groupBy("doc_id", "w").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(3)
+        for b in batches:
+            words = [b" ".join((t or b"").split()) for t in texts_of(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_row_key(x) for x in words], pa.int64()), pa.array([z.compress(x) for x in words], pa.binary())], ["doc_id", "w", "z"])
+
+    packed = docs.select("doc_id", "text").mapInArrow(squeeze, f"doc_id {kind}, w long, z binary")
+    some = materialize(packed.join(spans, ["doc_id", "w"]))
+    windows = some.agg(F.sum(F.expr("aggregate(spans, 0L, (s, r) -> s + r.hi - r.lo + 1)"))).collect()[0][0] or 0
+    ranges = max(1, -(-windows // RANGE))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Exact hashes of the windows in question, packed by range of hash.  A window that this batch has in a smaller id too is settled here."""
+        unzip = zstandard.ZstdDecompressor()
         for b in batches:
-            texts, wholes, spans_of = texts_of(b.column(1)), b.column(2).to_pylist(), b.column(3)
+            if not b.num_rows:
+                continue
+            spans_of = b.column(3)
             edge = spans_of.offsets.to_numpy()
             lo, hi = (spans_of.values.field(i).to_numpy() for i in (0, 1))
-            ids = b.column(0)
-            for i, t in enumerate(texts):
-                if hashlib.sha256(b" ".join((t or b"").split())).hexdigest() != wholes[i]:
-                    continue  # another row of this id
-                w = [np.concatenate(x) for x in zip(*(y for _, y, _ in hashed([t], bases=(0, 1))))]
-                a, z = lo[edge[i] : edge[i + 1]], hi[edge[i] : edge[i + 1]]
-                at = np.unique(np.repeat(a, z - a + 1) + (np.arange((z - a + 1).sum()) - np.repeat(np.cumsum(z - a + 1) - (z - a + 1), z - a + 1)))
-                x, y = (window_sums(v, window, j)[at] for j, v in enumerate(w))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i].as_py()] * len(at), ids.type), pa.array([wholes[i]] * len(at), pa.string()).dictionary_encode().cast(pa.string()), pa.array(x.view(np.int64)), pa.array((y >> U(32)).astype(np.uint32).view(np.int32)), pa.array(at.astype(np.int32))],
-                    ["doc_id", "whole", "h", "g", "at"],
-                )
-
-    found = some.select("doc_id", "text", "whole", "spans").mapInArrow(windows, f"doc_id {kind}, whole string, h long, g int, at int").select("doc_id", F.xxhash64("whole").alias("w"), "h", "g", "at")
-    found = materialize(found)
-    least = found.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "g", "least")
-    hits = found.join(least, ["h", "g"]).where("doc_id > least").groupBy("doc_id", "w").agg(F.collect_list("at").alias("hits"))
-    cut = some.select("doc_id", "text", "whole", F.xxhash64("whole").alias("w")).join(hits, ["doc_id", "w"]).select("doc_id", "text", "whole", "hits")
+            ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
+            hs, gs, ats, ds = [], [], [], []
+            for i, zipped in enumerate(b.column(2).to_pylist()):
+                w = [np.concatenate(x) for x in zip(*(y for _, y, _ in hashed([unzip.decompress(zipped)], bases=(0, 1))))]
+                mark = np.zeros(len(w[0]) + 1, np.int64)
+                np.add.at(mark, lo[edge[i] : edge[i + 1]], 1)
+                np.add.at(mark, hi[edge[i] : edge[i + 1]] + 1, -1)
+                at = np.flatnonzero(np.cumsum(mark)[: max(0, len(w[0]) - window + 1)] > 0)
+                hs.append(window_sums(w[0], window, 0)[at])
+                gs.append((window_sums(w[1], window, 1)[at] >> U(32)).astype(np.uint32))
+                ats.append(at.astype(np.int32))
+                ds.append(np.full(len(at), i, np.int32))
+            h, g, at, d = (np.concatenate(x) for x in (hs, gs, ats, ds))
+            order = np.lexsort((ids[d], g, h))
+            h, g, at, d = h[order], g[order], at[order], d[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+            least = ids[d[new]][np.cumsum(new) - 1] if len(h) else ids[:0]
+            later = ids[d] > least
+            out = []
+            for i in np.unique(d[later]):
+                out.append((int(i) % ranges, True, ids[i : i + 1].tobytes(), keys[i : i + 1].tobytes(), b"", b"", np.sort(at[later & (d == i)]).tobytes(), b""))
+            h, g, at, d = h[~later], g[~later], at[~later], d[~later]
+            r = ((h >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1, [len(r)]]) if len(r) else np.zeros(1, np.int64)
+            for a, e in zip(cut[:-1], cut[1:]):  # sorted by h, so by range
+                own, local = np.unique(d[a:e], return_inverse=True)
+                out.append((int(r[a]), False, ids[own].tobytes(), keys[own].tobytes(), h[a:e].tobytes(), g[a:e].tobytes(), at[a:e].tobytes(), local.astype(np.uint16).tobytes()))
+            if out:
+                kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 6)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["r", "settled", "ids", "keys", "h", "g", "at", "d"])
+
+    def settle(group: pa.Table) -> pa.Table:
+        """Windows of one range that a smaller id has too, as packed places by row."""
+        found: list[tuple[int, int, bytes]] = []
+        cols = {n: group.column(n).to_pylist() for n in group.column_names}
+        hs, gs, ats, ids, keys = [], [], [], [], []
+        for i, done in enumerate(cols["settled"]):
+            own, key = np.frombuffer(cols["ids"][i], np.int64), np.frombuffer(cols["keys"][i], np.int64)
+            if done:
+                found.append((int(own[0]), int(key[0]), cols["at"][i]))
+                continue
+            d = np.frombuffer(cols["d"][i], np.uint16)
+            for to, x in ((hs, np.frombuffer(cols["h"][i], U)), (gs, np.frombuffer(cols["g"][i], np.uint32)), (ats, np.frombuffer(cols["at"][i], np.int32)), (ids, own[d]), (keys, key[d])):
+                to.append(x)
+        if hs:
+            h, g, at, own, key = (np.concatenate(x) for x in (hs, gs, ats, ids, keys))
+            order = np.lexsort((own, g, h))
+            h, g, at, own, key = h[order], g[order], at[order], own[order], key[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+            hit = own > own[new][np.cumsum(new) - 1]
+            at, own, key = at[hit], own[hit], key[hit]
+            order = np.lexsort((at, key, own))
+            at, own, key = at[order], own[order], key[order]
+            cut = np.concatenate([[0], np.flatnonzero((np.diff(own) != 0) | (np.diff(key) != 0)) + 1, [len(own)]]) if len(own) else [0]
+            found += [(int(own[a]), int(key[a]), at[a:e].tobytes()) for a, e in zip(cut[:-1], cut[1:])]
+        one, two, three = zip(*found) if found else ((), (), ())
+        return pa.table([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(three, pa.binary())], names=["doc_id", "w", "at"])
+
+    ours = some.select(F.col("doc_id").cast("long").alias("doc_id"), "w", "z", "spans")
+    dealt = ours.mapInArrow(exact, "r int, settled boolean, ids binary, keys binary, h binary, g binary, at binary, d binary")
+    hits = dealt.groupBy("r").applyInArrow(settle, "doc_id long, w long, at binary").groupBy("doc_id", "w").agg(F.collect_list("at").alias("hits"))
+    cut = ours.select("doc_id", "w", "z").join(hits, ["doc_id", "w"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
         for b in batches:
-            texts, wholes, hits_of = texts_of(b.column(1)), b.column(2).to_pylist(), b.column(3)
-            edge, at = hits_of.offsets.to_numpy(), hits_of.values.to_numpy()
-            rows: list[tuple[int, int, bytes]] = []
-            for i, t in enumerate(texts):
-                words = (t or b"").split()
-                if hashlib.sha256(b" ".join(words)).hexdigest() != wholes[i]:
-                    continue
+            n, kept = [], []
+            for zipped, packs in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                words = unzip.decompress(zipped).split(b" ")
+                a = np.frombuffer(b"".join(packs), np.int32)
                 step = np.zeros(len(words) + 1, np.int64)
-                a = at[edge[i] : edge[i + 1]]
                 np.add.at(step, a, 1)
                 np.add.at(step, np.minimum(a + window, len(words)), -1)
-                stay = np.cumsum(step[:-1]) == 0
-                rows.append((i, len(words) - int(stay.sum()), b" ".join([words[j] for j in np.flatnonzero(stay)])))
-            pick = pa.array([r[0] for r in rows], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(2).take(pick), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())], ["doc_id", "whole", "n_removed", "kept"])
+                stay = np.flatnonzero(np.cumsum(step[:-1]) == 0)
+                n.append(len(words) - len(stay))
+                kept.append(b" ".join([words[j] for j in stay]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "w", "n_removed", "kept"])
 
-    lost = cut.mapInArrow(remove, f"doc_id {kind}, whole string, n_removed long, kept string").dropDuplicates(["doc_id", "whole"])
+    lost = cut.mapInArrow(remove, "doc_id long, w long, n_removed long, kept string").dropDuplicates(["doc_id", "w"])
     return all_rows, lost.unionByName(copies)
 
 
 def op4_substring(spark, sf_dir: str) -> DataFrame:
     rows, lost = repeats(table(spark, sf_dir, "documents"))
-    lost = lost.select("doc_id", "whole", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    return rows.join(lost, ["doc_id", "whole"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    lost = lost.select("doc_id", "w", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    out = rows.drop("runs").join(lost, ["doc_id", "w"], "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the words of repeated windows removed; those that lose all their words go, the others' texts stay as they are."""
+    """Documents without the words of repeated windows; those that lose all their words go, untouched texts stay as they are."""
     _, lost = repeats(docs)
-    lost = lost.select(F.col("doc_id").alias("id"), F.col("whole").alias("w"), "kept")
-    whole = F.sha2(F.array_join(F.expr("filter(split(text, '[ \\\\t-\\\\r]+'), x -> x <> '')"), " "), 256)
-    joined = docs.withColumn("__whole", whole).join(lost, (F.col("doc_id") == F.col("id")) & (F.col("__whole") == F.col("w")), "left")
-    text = F.coalesce("kept", "text")
-    out = joined.where("kept is null or kept <> ''").withColumn("text", text)
-    return out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else F.lit(None)).select(*docs.columns)
+    lost = lost.select(F.col("doc_id").alias("id"), F.col("w").alias("key"), "kept")
+    words = F.array_join(F.array_remove(F.split("text", r"[ \t-\r]+"), ""), " ")
+    key = F.conv(F.substring(F.sha2(words, 256), 1, 16), 16, -10).cast("long")  # as _row_key
+    joined = docs.withColumn("__w", key).join(lost, (F.col("doc_id") == F.col("id")) & (F.col("__w") == F.col("key")), "left")
+    out = joined.where("kept is null or kept <> ''").withColumn("text", F.coalesce("kept", "text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
