@@ -37,7 +37,7 @@ WIDTH, BANDS = 4, 40
 REGISTERS = WIDTH * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 MARGIN = 20.0
-HUB_ROUNDS = 2
+HUB_ROUNDS, CROWD, BLOCK = 1, 128, 384
 _rng = np.random.Generator(np.random.PCG64(5))
 FACTORS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * U(2) + U(1)
 SHIFTS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -168,6 +168,45 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percen
     return materialize(full.select("u", "v", "tu", "tv").mapInArrow(exact, f"u {kind}, v {kind}"))
 
 
+def _crowded(open_: DataFrame, texts: DataFrame, k: int, percent: int, fold: np.ndarray) -> DataFrame:
+    """Links (u, v) between components in buckets of many members, without a row for each pair.
+
+    Members outside the bucket's largest component are held against all members, block by block: an inverted index of a
+    block's shingles gives exact intersections, and only links leave the task.
+    """
+    kind = open_.schema["rep"].dataType.simpleString()
+    by = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = by.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("outside"))
+    cuts = main.select("key", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("ma"), F.ceil(F.col("outside") / BLOCK).cast("int").alias("mo"))
+    rows = open_.join(cuts, "key").join(texts, "rep")
+    left = rows.select("key", F.pmod(F.xxhash64("rep"), F.col("ma")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mo") - 1)).alias("j"), "rep", "component", "text")
+    right = rows.where("component <> main").select(
+        F.col("key").alias("k2"), F.explode(F.sequence(F.lit(0), F.col("ma") - 1)).alias("i2"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("mo")).cast("int").alias("j2"),
+        F.col("rep").alias("rep2"), F.col("component").alias("component2"), F.col("text").alias("text2"),
+    )
+
+    def meet(some: pa.Table, others: pa.Table) -> pa.Table:
+        us, vs = [], []
+        if some.num_rows and others.num_rows:
+            ids, comp = some.column("rep").to_numpy(), some.column("component").to_numpy()
+            sets = shingle_sets(texts_of(some.column("text").combine_chunks()), k, fold)
+            size = np.array([len(s) for s in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for own, c, s in zip(others.column("rep2").to_pylist(), others.column("component2").to_pylist(), shingle_sets(texts_of(others.column("text2").combine_chunks()), k, fold)):
+                a, z = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+                n = z - a
+                at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                for i in np.flatnonzero((100 * both >= percent * (size + len(s) - both)) & (comp != c)):
+                    us.append(min(own, int(ids[i])))
+                    vs.append(max(own, int(ids[i])))
+        return pa.table([pa.array(us, some.schema.field("rep").type), pa.array(vs, some.schema.field("rep").type)], names=["u", "v"])
+
+    return left.groupBy("key", "i", "j").cogroup(right.groupBy("k2", "i2", "j2")).applyInArrow(meet, f"u {kind}, v {kind}").distinct()
+
+
 def cluster(docs: DataFrame, words: int = WORDS, percent: int = 80, fold: np.ndarray = LOWER) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     session(docs.sparkSession)
@@ -201,16 +240,14 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = 80, fold: np.nda
             hub = hub.select("key", F.col("h.rep").alias("hub"), F.col("h.component").alias("hc"))
             new = open_.join(hub, "key").where("component <> hc").select(*pair("rep", "hub"))
         else:
-            x, y = open_.select("key", F.col("rep").alias("p"), F.col("component").alias("pc")), open_.select("key", F.col("rep").alias("q"), F.col("component").alias("qc"))
+            crowds = open_.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > CROWD).select("key")
+            few = open_.join(crowds, "key", "left_anti")
+            x, y = few.select("key", F.col("rep").alias("p"), F.col("component").alias("pc")), few.select("key", F.col("rep").alias("q"), F.col("component").alias("qc"))
             new = x.join(y, "key").where("p < q and pc <> qc").select(*pair("p", "q"))
+            links = links.unionByName(materialize(_crowded(open_.join(crowds, "key", "left_semi"), texts, words, percent, fold)))
         new = materialize(new.distinct().join(tried, ["u", "v"], "left_anti"))
-        if new.isEmpty():
-            continue
         tried = tried.unionByName(new)
-        more = _confirm(new, classes, texts, words, percent, fold)
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
+        links = links.unionByName(_confirm(new, classes, texts, words, percent, fold))
         comp = materialize(components(links))
     named = classes.select("set_key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("found"))
     keyed = all_rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
