@@ -1,8 +1,382 @@
 """Queries over the driver's tables, each with a DuckDB twin where SQL can express it."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import dates as D
+from ..functions import text as T
+from ..operators import classify, collapse, score, serve, snapshots, state, studies
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+NOW = "2024-02-01 00:00:00"
+ACC = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿœæßÀÂÄÁÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ"
+LEXICON = [("the-and", "topic", "core", 20, ["the and", "and the"]), ("of-the", "organism", "core", 30, ["of the", "the of"]), ("de-la", "host", "methods", 18, ["de la", "la de"]), ("der-die", "method", "methods", 12, ["der die", "die der"]), ("is-it", "topic", "adjacent", 8, ["is it", "that is"])]
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
-def flagship(spark, sf_dir):
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["for_you_topk"](spark, sf_dir)
+
+
+def plain_words(c):
+    """ASCII words without accent folding, so that SQL has a twin."""
+    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: ((F.length(w) > 1) | w.rlike("^[0-9]$")) & ~w.isin(T.STOP_WORDS))
+
+
+STOPS = "[" + ",".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+WORDS = f"list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: (length(w) > 1 OR regexp_matches(w, '^[0-9]$')) AND NOT list_contains({STOPS}, w))"
+HAY = "' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' '"
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)[^>]*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM pages")
+def html_strip(spark, d):
+    x = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)[^>]*>", " ")
+    return t(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), "[ \t\n\r]+", " ")).alias("text"))
+
+
+@query()
+def html_to_text(spark, d):
+    return t(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email removed]', 'g'), '\\s+', ' ', 'g')) AS text FROM documents")
+def strip_emails(spark, d):
+    return t(spark, d, "documents").select("doc_id", T.strip_emails(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, CAST(len(w) AS INTEGER) AS n_tokens, CAST(len(list_distinct(w)) AS INTEGER) AS n_distinct FROM (SELECT doc_id, {WORDS} AS w FROM documents)")
+def tokenize_counts(spark, d):
+    w = t(spark, d, "documents").select("doc_id", plain_words(F.col("text")).alias("w"))
+    return w.select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"))
+
+
+@query()
+def tokenize_folded(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).alias("n_tokens"))
+
+
+def _titles(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.slice(plain_words(F.col("text")), 1, 12).alias("w")).where("size(w) >= 3")
+
+
+PAIRS = f"""WITH x AS (SELECT doc_id, list_slice({WORDS}, 1, 12) AS w FROM documents),
+y AS (SELECT doc_id, w, array_to_string(list_slice(w, 1, 2), ' ') AS block, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM x WHERE len(w) >= 3),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, 0.6 * len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))
+      + 0.4 * len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS s FROM y a JOIN y b ON a.block = b.block AND a.doc_id < b.doc_id)"""
+
+
+@query(PAIRS + " SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.82")
+def title_similarity_pairs(spark, d):
+    x = _titles(spark, d).withColumn("block", F.concat_ws(" ", F.slice("w", 1, 2)))
+    p = x.alias("a").join(x.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.doc_id") < F.col("b.doc_id")))
+    s = T.title_similarity(F.col("a.w"), F.col("b.w"))
+    return p.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), s.alias("s")).where("s >= 0.82").select("a", "b", F.round("s", 6).alias("similarity"))
+
+
+def _clusters(spark, d):
+    from ..operators.components import resolve
+
+    docs = t(spark, d, "documents")
+    exact = collapse.exact_edges(docs.select(F.col("doc_id").alias("id"), F.array(F.md5("text")).alias("identity")))
+    fuzzy = title_similarity_pairs(spark, d).select(F.col("b").alias("u"), F.col("a").alias("v"))
+    found = resolve(exact.unionByName(fuzzy))
+    return docs.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("cluster", F.coalesce("component", "doc_id")).drop("component")
+
+
+CLUSTERS = (
+    PAIRS.replace("WITH x", "WITH RECURSIVE x")
+    + """, e AS (SELECT a, b FROM p WHERE s >= 0.82 UNION SELECT x.doc_id, y.doc_id FROM documents x JOIN documents y ON x.text = y.text AND x.doc_id < y.doc_id),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.n, l.b FROM r JOIN l ON l.a = r.m),
+c AS (SELECT n AS doc_id, min(m) AS cluster FROM r GROUP BY 1)"""
+)
+
+
+@query(CLUSTERS + " SELECT doc_id, cluster FROM c")
+def dedupe_components(spark, d):
+    return _clusters(spark, d).select("doc_id", "cluster")
+
+
+@query(CLUSTERS + """ SELECT cluster, arg_min(d.doc_id, (-n_chars, d.doc_id)) AS id, count(*) AS members, max(n_chars) AS n_chars, min(source) AS source,
+coalesce(bool_or(toxic = 1), false) AS toxic, list_sort(list_distinct(list(lang))) AS langs FROM c JOIN documents d USING (doc_id) LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+def merge_cluster_fields(spark, d):
+    x = _clusters(spark, d).join(t(spark, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), "cluster", "n_chars", "source", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic"), F.array("lang").alias("langs"))
+    return collapse.merge_clusters(x, [F.desc("n_chars"), F.asc("id")], first=[], longest=[], least=["source"], most=["n_chars"], any_=["toxic"], union=["langs"]).select("cluster", "id", "members", "n_chars", "source", "toxic", "langs")
+
+
+RULES = [{"label": a, "signal": s, "band": b, "weight": w, "patterns": p} for a, s, b, w, p in LEXICON]
+HITS = "SELECT doc_id, text, source, lang, [" + ", ".join("CASE WHEN " + " OR ".join(f"contains({HAY}, ' {x} ')" for x in p) + f" THEN {w} ELSE 0 END" for _, _, _, w, p in LEXICON) + "] AS h FROM documents"
+
+
+@query("WITH h AS (" + HITS + ") SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{r[0]}' AS label, {r[3]} AS points FROM h WHERE h[{i + 1}] > 0" for i, r in enumerate(LEXICON)) + ")")
+def lexicon_match(spark, d):
+    x = t(spark, d, "documents").select("doc_id", T.padded(F.col("text")).alias("hay")).select("doc_id", F.explode(score.matches(F.col("hay"), RULES)).alias("m"))
+    return x.select("doc_id", "m.label", F.col("m.weight").alias("points"))
+
+
+@query("SELECT doc_id, id, max(weight) AS weight FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{r[0]}' AS id, {r[3]} AS weight FROM documents WHERE contains({HAY}, ' {x} ')" for r in LEXICON for x in r[4]) + ") GROUP BY 1, 2")
+def lexicon_ngram_join(spark, d):
+    rows = [(p, r[0], r[3]) for r in LEXICON for p in r[4]]
+    lex = spark.createDataFrame(rows, "phrase string, id string, weight int")
+    docs = t(spark, d, "documents").select("doc_id", F.split(F.trim(T.padded(F.col("text"))), " ").alias("w"))
+    return score.match_phrases(docs, "doc_id", "w", lex, 2)
+
+
+def _scored(spark, d):
+    docs = t(spark, d, "documents").withColumn("hay", T.padded(F.col("text"))).join(t(spark, d, "labels"), "doc_id", "left")
+    docs, m = docs.withColumn("m", score.matches(F.col("hay"), RULES)), F.col("m")
+    found = F.transform(m, lambda x: F.struct(x["signal"].alias("signal"), x["label"].alias("label"), x["weight"].cast("int").alias("points")))
+    extra = score.reasons((F.col("lang") == "en", score.reason("language", "english", 10)), (F.col("n_chars") < 400, score.reason("evidence", "short", -6)), (F.col("toxic") == 1, score.reason("evidence", "toxic", -45)), (F.col("quality") == 1, score.reason("evidence", "good", 14)))
+    return docs.withColumn("reasons", F.concat(found, extra)).withColumn("band", score.band(m)).withColumn("relevance", score.finalize(F.col("reasons")))
+
+
+SCORED = "WITH h AS (" + HITS + """), s AS (SELECT h.doc_id, h.text, h.source, greatest(0, least(100, list_sum(h) + CASE WHEN h.lang = 'en' THEN 10 ELSE 0 END + CASE WHEN n_chars < 400 THEN -6 ELSE 0 END
++ CASE WHEN toxic = 1 THEN -45 ELSE 0 END + CASE WHEN quality = 1 THEN 14 ELSE 0 END)) AS relevance,
+CASE WHEN (h[2] > 0 AND h[1] + h[2] >= 24) OR h[1] + h[2] >= 45 THEN 'core' WHEN h[3] + h[4] >= 18 THEN 'methods' ELSE 'adjacent' END AS band FROM h JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id))"""
+
+
+@query(SCORED + " SELECT doc_id, CAST(relevance AS INTEGER) AS relevance, band FROM s")
+def finalize_score(spark, d):
+    return _scored(spark, d).select("doc_id", "relevance", "band")
+
+
+@query()
+def score_reasons(spark, d):
+    return score.tidy(_scored(spark, d), "doc_id").select("doc_id", F.explode("reasons").alias("r")).select("doc_id", "r.*")
+
+
+@query(SCORED + " SELECT doc_id AS id, CAST(relevance AS INTEGER) AS relevance FROM s WHERE relevance >= 55 ORDER BY relevance DESC, id LIMIT 15")
+def for_you_topk(spark, d):
+    return score.for_you(_scored(spark, d).withColumnRenamed("doc_id", "id")).select("id", "relevance")
+
+
+@query(SCORED + " SELECT band, count(*) AS n FROM s GROUP BY 1 ORDER BY n DESC, band")
+def band_facets(spark, d):
+    return _scored(spark, d).groupBy("band").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "band")
+
+
+@query(f"SELECT o_orderkey, CASE WHEN n <= 3 THEN 10 WHEN n <= 14 THEN 7 WHEN n <= 45 THEN 4 WHEN n <= 180 THEN 1 WHEN n <= 730 THEN NULL ELSE -6 END AS points FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-10') AS n FROM orders)")
+def recency_bands(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", score.recency_points(F.col("o_orderdate").cast("timestamp"), F.lit("1998-08-10").cast("timestamp")).cast("int").alias("points"))
+
+
+@query("""SELECT event_id, CASE WHEN n < -1 THEN -60 WHEN n < 0 THEN 6 WHEN n = 0 THEN 14 WHEN n = 1 THEN 12 WHEN n <= 7 THEN 9 WHEN n <= 21 THEN 5 WHEN n <= 60 THEN 2 ELSE -2 END AS points
+FROM (SELECT event_id, date_diff('day', CAST(timezone('America/Chicago', timezone('UTC', TIMESTAMP '2024-01-15 00:00:00')) AS DATE), CAST(timezone('America/Chicago', timezone('UTC', CAST(ts AS TIMESTAMP))) AS DATE)) AS n FROM events)""")
+def imminence_bands(spark, d):
+    return t(spark, d, "events").select("event_id", score.imminence_points(F.col("ts"), F.lit("2024-01-15 00:00:00").cast("timestamp")).cast("int").alias("points"))
+
+
+BEFORE, AFTER = "o_orderkey % 7 <> 0", "o_orderkey % 11 <> 0"
+
+
+@query("""WITH b AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 7 <> 0),
+a AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 11 <> 0)
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' WHEN a.s <> b.s THEN 'changed' ELSE 'unchanged' END AS kind FROM b FULL OUTER JOIN a ON a.id = b.id""")
+def snapshot_diff(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
+    b, a = o.where("id % 7 <> 0"), o.where("id % 11 <> 0").withColumn("s", F.when(F.col("id") % 5 == 0, "X").otherwise(F.col("s")))
+    return snapshots.diff(b, a, ["s", "p"]).select("id", "kind")
+
+
+@query("""SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'new' WHEN o_orderstatus = 'F' THEN 'cancelled' WHEN o_orderkey % 13 = 0 THEN 'superseded' WHEN o_orderkey % 5 = 0 THEN 'updated' ELSE 'unchanged' END AS status, count(*) AS n FROM orders GROUP BY 1""")
+def status_resolution(spark, d):
+    k = F.col("o_orderkey")
+    s = snapshots.status(k % 7 != 0, F.col("o_orderstatus") == "F", k % 13 == 0, F.lit("a"), F.when(k % 5 == 0, "b").otherwise("a"), F.lit(0))
+    return t(spark, d, "orders").select(s.alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT user_id AS id, list_sort(list_distinct(list(event_type))) AS sources FROM events WHERE event_id % 3 <> 0 GROUP BY 1), c AS (SELECT DISTINCT user_id AS id FROM events WHERE event_id % 5 = 0),
+i AS (SELECT DISTINCT event_type FROM events WHERE event_type < 'p')
+SELECT id FROM c UNION ALL SELECT id FROM p WHERE id NOT IN (SELECT id FROM c) AND len(list_filter(sources, lambda s: s >= 'p')) = 0""")
+def retain_unfetched(spark, d):
+    e = t(spark, d, "events")
+    p = e.where("event_id % 3 <> 0").groupBy(F.col("user_id").alias("id")).agg(F.collect_set("event_type").alias("sources"))
+    c = e.where("event_id % 5 = 0").select(F.col("user_id").alias("id")).distinct()
+    return snapshots.retain(p, c, e.where("event_type < 'p'").select(F.col("event_type").alias("source")).distinct()).select("id")
+
+
+@query("""SELECT user_id, event_type, least(min(CASE WHEN event_id % 2 = 0 THEN ts END), min(CASE WHEN event_id % 2 = 1 THEN ts END)) AS first_seen FROM events GROUP BY 1, 2 HAVING count(CASE WHEN event_id % 2 = 0 THEN 1 END) > 0""")
+def carry_forward_first_seen(spark, d):
+    e = t(spark, d, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("external_id"), F.col("ts").alias("first_seen"), "event_id")
+    now = e.where("event_id % 2 = 0").groupBy("source", "external_id").agg(F.min("first_seen").alias("first_seen"))
+    out = snapshots.carry_forward(now, e.where("event_id % 2 = 1").drop("event_id"))
+    return out.select(F.col("external_id").alias("user_id"), F.col("source").alias("event_type"), "first_seen")
+
+
+@query("""SELECT week_of, vertical, place, event_id FROM (SELECT CAST(date_trunc('week', ts) AS DATE) AS week_of, event_type AS vertical, event_id,
+CAST(row_number() OVER (PARTITION BY date_trunc('week', ts), event_type ORDER BY value DESC, event_id) AS INTEGER) AS place FROM events WHERE event_id % 17 <> 0) WHERE place <= 6""")
+def weekly_digest(spark, d):
+    e = t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("vertical"), F.col("value").alias("relevance"), "ts", (F.col("event_id") % 17 == 0).alias("is_cancelled"))
+    return snapshots.weekly_digest(e, F.col("ts")).select("week_of", "vertical", "place", F.col("id").alias("event_id"))
+
+
+@query("""WITH w AS (SELECT event_type AS vertical, CAST(date_trunc('week', ts) AS DATE) AS week_of, event_id % 2 AS version, count(*) AS n FROM events GROUP BY 1, 2, 3),
+l AS (SELECT vertical, week_of, arg_max(n, version) AS n FROM w GROUP BY 1, 2) SELECT vertical, week_of, n FROM (SELECT *, row_number() OVER (PARTITION BY vertical ORDER BY week_of DESC) AS r FROM l) WHERE r <= 3""")
+def merge_digests_lww(spark, d):
+    w = t(spark, d, "events").groupBy(F.col("event_type").alias("vertical"), D.week_of(F.col("ts")).alias("week_of"), (F.col("event_id") % 2).alias("v")).agg(F.count("*").alias("n"))
+    return snapshots.merge_digests(w.where("v = 0").drop("v"), w.where("v = 1").drop("v"), 3)
+
+
+@query("""WITH g AS (SELECT o_custkey, o_orderpriority, min(o_orderdate) AS a, max(o_orderdate) AS b, count(*) AS n, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders GROUP BY 1, 2)
+SELECT o_custkey, o_orderpriority, k AS id, n AS series_count FROM g WHERE date_diff('day', CAST(a AS DATE), CAST(b AS DATE)) <= 45
+UNION ALL SELECT o.o_custkey, o.o_orderpriority, o_orderkey, 1 FROM orders o JOIN g ON g.o_custkey = o.o_custkey AND g.o_orderpriority = o.o_orderpriority WHERE date_diff('day', CAST(a AS DATE), CAST(b AS DATE)) > 45""")
+def series_collapse(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderpriority", F.col("o_orderdate").cast("timestamp").alias("starts_at"), F.lit(None).cast("timestamp").alias("ends_at"))
+    return collapse.collapse_series(o, ["o_custkey", "o_orderpriority"], "starts_at", "ends_at").select("o_custkey", "o_orderpriority", "id", "series_count")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id DESC) AS p FROM documents)
+SELECT max(CASE WHEN p = 1 THEN doc_id END) AS doc_id, CAST(count(*) - 1 AS INTEGER) AS duplicates FROM r GROUP BY source, lang""")
+def irb_dedupe(spark, d):
+    x = collapse.dedupe_by_key(t(spark, d, "documents").drop("text"), F.concat_ws("/", "source", "lang"), [F.desc("n_chars"), F.desc("doc_id")], "doc_id")
+    return x.select("doc_id", F.size("duplicate_ids").alias("duplicates"))
+
+
+@query("SELECT l_partkey, CAST(least(6, 3 * (count(DISTINCT l_suppkey) - 1)) AS INTEGER) AS points FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
+def corroboration(spark, d):
+    x = t(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n"))
+    return x.select("l_partkey", score.corroboration_points(F.col("n")).cast("int").alias("points")).where("points is not null")
+
+
+@query("""WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_retailprice END AS rate FROM part)
+SELECT p_partkey, row_number() OVER (ORDER BY rate DESC NULLS LAST, p_partkey) AS down, row_number() OVER (ORDER BY rate ASC NULLS LAST, p_partkey) AS up FROM x ORDER BY down LIMIT 200""")
+def nulls_last_both_ways(spark, d):
+    x = t(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("rate"))
+    down = Window.orderBy(*studies.by_rate(F.col("rate"), F.col("p_partkey")))
+    up = Window.orderBy(*studies.by_rate(F.col("rate"), F.col("p_partkey"), False))
+    return x.select("p_partkey", F.row_number().over(down).cast("long").alias("down"), F.row_number().over(up).cast("long").alias("up")).orderBy("down").limit(200)
+
+
+@query("""SELECT l_orderkey, l_linenumber, floor(l_extendedprice / (floor(l_quantity * 60 + 0.5) / 60) * 100 + 0.5) / 100 AS rate,
+CASE WHEN l_extendedprice / l_quantity IS NULL THEN 'unknown' WHEN floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 < 10 THEN 'low' WHEN floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 < 20 THEN 'ok' WHEN floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 < 40 THEN 'good' ELSE 'great' END AS bucket FROM lineitem""")
+def rate_reconcile(spark, d):
+    n = F.lit(None).cast("double")
+    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", n.alias("hourly_min"), n.alias("hourly_max"), F.lit(False).alias("raffle_only"), F.col("l_extendedprice").cast("double").alias("guaranteed_min"), F.col("l_extendedprice").cast("double").alias("guaranteed_max"), n.alias("per_visit"), F.lit(None).cast("int").alias("visit_count"), n.alias("hours_min"), F.col("l_quantity").cast("double").alias("hours_max"), F.lit(None).cast("int").alias("session_count"), F.lit(False).alias("hours_per_session"))
+    return studies.reconcile_rate(x).select("l_orderkey", "l_linenumber", "rate", studies.rate_bucket(F.col("rate")).alias("bucket"))
+
+
+@query()
+def staleness(spark, d):
+    x = t(spark, d, "orders")
+    return x.select("o_orderkey", D.staleness(F.lit(None).cast("timestamp"), F.col("o_orderdate").cast("timestamp"), F.lit("1997-06-15").cast("timestamp")).alias("staleness"))
+
+
+@query("SELECT value, count(*) AS n FROM (SELECT unnest(list_distinct([lang, source])) AS value FROM documents) WHERE value <> 'en' GROUP BY 1 ORDER BY n DESC, value")
+def facet_counts(spark, d):
+    return serve.facet_counts(t(spark, d, "documents").select(F.array_distinct(F.array("lang", "source")).alias("x")), "x", ["en"])
+
+
+@query("SELECT doc_id, list_filter([CASE WHEN lang = 'en' THEN 'english' END, CASE WHEN n_chars > 2000 THEN 'long' END, CASE WHEN source < 'src2' THEN 'early' END], lambda x: x IS NOT NULL) AS tabs FROM documents")
+def tab_membership(spark, d):
+    return t(spark, d, "documents").select("doc_id", serve.tabs({"english": F.col("lang") == "en", "long": F.col("n_chars") > 2000, "early": F.col("source") < "src2"}).alias("tabs"))
+
+
+@query("SELECT count(*) AS hidden_unknown FROM part WHERE p_partkey % 5 = 0 AND p_size <= 30")
+def filter_unknown_hidden(spark, d):
+    x = t(spark, d, "part").select("p_size", F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("rate"))
+    return serve.filter_known(x, {"rate": (1000, None), "p_size": (None, 30)})[1]
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', lang, source, text)), 'en') AND contains(lower(concat_ws(' ', lang, source, text)), 'src1')")
+def search_view(spark, d):
+    x = t(spark, d, "documents").withColumn("search", serve.search_text(F.col("lang"), F.col("source"), F.col("text")))
+    return serve.apply_view(x.withColumnRenamed("doc_id", "id"), None, "EN src1").select(F.col("id").alias("doc_id"))
+
+
+@query("""SELECT user_id, event_type, list_reduce(list_prepend(0, list(CASE WHEN event_id % 3 = 0 THEN -9 ELSE 7 END ORDER BY ts, event_id)), lambda a, b: greatest(-20, least(20, a + b))) AS bias FROM events GROUP BY 1, 2""")
+def signal_bias_rerank(spark, d):
+    e = t(spark, d, "events").withColumn("delta", F.when(F.col("event_id") % 3 == 0, -9).otherwise(7))
+    return state.bias_fold(e, "user_id", "event_type", "delta", ["ts", "event_id"])
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")
+def lww_state(spark, d):
+    return state.last_writer(t(spark, d, "events"), "user_id", "ts", "event_id", "event_type")
+
+
+@query("SELECT event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events")
+def touch_visit(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t(spark, d, "events").select("event_id", F.lag("ts").over(w).alias("previous"))
+
+
+@query()
+def state_toggles(spark, d):
+    e = t(spark, d, "events").select("user_id", F.col("event_type").alias("item"), "ts", "event_id", F.when(F.col("event_id") % 2 == 0, "save").otherwise("dismiss").alias("kind"))
+    return state.toggles(e, "user_id", "item", "kind", ["ts", "event_id"])
+
+
+FOODS, FREES, SERVED = ["the", "la"], ["was", "que"], ["with", "une"]
+_at = lambda xs: "list_filter([" + ",".join(f"strpos(h, ' {x} ')" for x in xs) + "], lambda p: p > 0)"
+
+
+@query(f"""WITH x AS (SELECT doc_id, {HAY} AS h FROM documents), y AS (SELECT doc_id, {_at(FOODS)} AS f, {_at(FREES)} AS r, {_at(SERVED)} AS s FROM x)
+SELECT doc_id, CASE WHEN len(f) = 0 THEN 'none' WHEN len(r) > 0 AND len(list_filter(f, lambda p: abs(p - r[1]) <= 60)) > 0 THEN 'confirmed' WHEN len(s) > 0 AND len(list_filter(f, lambda p: abs(p - s[1]) <= 60)) > 0 THEN 'provided' ELSE 'mentioned' END AS tier FROM y""")
+def freebies_tiers(spark, d):
+    return t(spark, d, "documents").select("doc_id", classify.food_tier(T.padded(F.col("text")), None, FOODS, FREES, SERVED).alias("tier"))
+
+
+@query()
+def categories(spark, d):
+    hay = F.col("hay")
+    return t(spark, d, "documents").select("doc_id", "source", T.padded(F.col("text")).alias("hay")).select("doc_id", classify.category(hay, F.col("source"), classify.companies(hay)).alias("category"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda w: w <> ''), ' ') AS text FROM documents")
+def inverted_index_rebuild(spark, d):
+    from ..sources.feeds import rebuild_abstract
+
+    w = t(spark, d, "documents").select("doc_id", F.posexplode(F.array_remove(F.split("text", "[ \t\n\r]+"), "")).alias("p", "w"))
+    i = w.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+    return i.select("doc_id", rebuild_abstract(F.col("index"), 1 << 30).alias("text"))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN n_chars ELSE 0 END AS chars, coalesce(toxic = 1, false) AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def enrich_left_join(spark, d):
+    x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
+    return x.select("doc_id", F.when(F.col("quality") == 1, F.col("n_chars")).otherwise(0).alias("chars"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic"))
+
+
+@query("""WITH l AS (SELECT o_orderkey AS id, o_orderdate AS d FROM orders), f AS (SELECT * FROM l ORDER BY d DESC, id LIMIT 30),
+m AS (SELECT * FROM l WHERE id % 97 = 0 OR id % 89 = 0) SELECT id FROM (SELECT * FROM f UNION SELECT * FROM m) ORDER BY d DESC, id LIMIT 50""")
+def rss_union_topn(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
+    return serve.rss(o, o.where("id % 97 = 0"), o.where("id % 89 = 0")).select("id")
+
+
+@query()
+def parse_money(spark, d):
+    x = t(spark, d, "part").select("p_partkey", F.concat(F.lit("$"), F.col("p_size").cast("string"), F.lit(" per visit for 3 visits, plus a raffle for $100.")).alias("s"))
+    return x.select("p_partkey", studies.parse_compensation("s").alias("c")).select("p_partkey", "c.guaranteed_min", "c.guaranteed_max", "c.raffle_max")
+
+
+@query()
+def parse_duration(spark, d):
+    x = t(spark, d, "part").select("p_partkey", F.concat(F.lit("Two visits, each about "), F.col("p_size").cast("string"), F.lit(" hours, within two weeks.")).alias("s"))
+    return x.select("p_partkey", studies.parse_duration("s").alias("t")).select("p_partkey", "t.total_hours_max", "t.session_count", "t.span_weeks")
+
+
+@query("SELECT doc_id, CAST(least(45, 10 + floor(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) / 40 + 0.5)) AS INTEGER) AS minutes FROM documents WHERE len(trim(text)) > 0")
+def reading_minutes(spark, d):
+    return t(spark, d, "documents").where("length(trim(text)) > 0").select("doc_id", score.reading_minutes(F.col("text")).alias("minutes"))
+
+
+@query("SELECT CAST(timezone('America/Chicago', timezone('UTC', CAST(ts AS TIMESTAMP))) AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
+def agenda_groups(spark, d):
+    return t(spark, d, "events").groupBy(D.civil_date(F.col("ts")).alias("day")).agg(F.count("*").alias("n"))
