@@ -6,13 +6,14 @@ from .ann import op8_ann
 from .bpe import op5_bpe
 from .chat import op6_chat
 from .decontam import op7_decontam
+from .lm import op3_lm
 from .neardup import op2_neardup
 from .quality import op10_quality
 from .sharding import op1_sharding
 from .substring import op4_substring
 from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_neardup, op4_substring, op5_bpe, op6_chat, op7_decontam, op8_ann, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_neardup, op3_lm, op4_substring, op5_bpe, op6_chat, op7_decontam, op8_ann, op9_toxicity, op10_quality)}
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACED = r"'[^ \x09-\x0D]+'"
 
