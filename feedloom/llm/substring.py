@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, session, table
-from .words import U, hashed, rolled, texts_of, window_sums
+from .words import U, hashed, mix, rolled, texts_of, window_sums
 
 WINDOW, GRAM, ROWS, ROOM, RANGE = 50, 8, 2, 8, 250_000
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -137,7 +137,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
             edge = spans_of.offsets.to_numpy()
             lo, hi = (spans_of.values.field(i).to_numpy() for i in (0, 1))
             ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
-            hs, gs, ats, ds = [], [], [], []
+            hs, gs, ats, ds, rs = [], [], [], [], []
             for i, zipped in enumerate(b.column(2).to_pylist()):
                 w = [np.concatenate(x) for x in zip(*(y for _, y, _ in hashed([unzip.decompress(zipped)], bases=(0, 1))))]
                 mark = np.zeros(len(w[0]) + 1, np.int64)
@@ -148,9 +148,11 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
                 gs.append((window_sums(w[1], window, 1)[at] >> U(32)).astype(np.uint32))
                 ats.append(at.astype(np.int32))
                 ds.append(np.full(len(at), i, np.int32))
-            h, g, at, d = (np.concatenate(x) for x in (hs, gs, ats, ds))
-            order = np.lexsort((ids[d], g, h))
-            h, g, at, d = h[order], g[order], at[order], d[order]
+                # the range follows the address, so that neighbouring windows mostly share one however many ranges there are
+                rs.append(((mix(addresses(w[0], window)[at]) >> U(32)) * U(ranges) >> U(32)).astype(np.int64))
+            h, g, at, d, r = (np.concatenate(x) for x in (hs, gs, ats, ds, rs))
+            order = np.lexsort((ids[d], g, h, r))
+            h, g, at, d, r = h[order], g[order], at[order], d[order], r[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
             least = ids[d[new]][np.cumsum(new) - 1] if len(h) else ids[:0]
@@ -158,10 +160,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
             out = []
             for i in np.unique(d[later]):
                 out.append((int(i) % ranges, True, ids[i : i + 1].tobytes(), keys[i : i + 1].tobytes(), b"", b"", np.sort(at[later & (d == i)]).tobytes(), b""))
-            h, g, at, d = h[~later], g[~later], at[~later], d[~later]
-            r = ((h >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+            h, g, at, d, r = h[~later], g[~later], at[~later], d[~later], r[~later]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1, [len(r)]]) if len(r) else np.zeros(1, np.int64)
-            for a, e in zip(cut[:-1], cut[1:]):  # sorted by h, so by range
+            for a, e in zip(cut[:-1], cut[1:]):
                 own, local = np.unique(d[a:e], return_inverse=True)
                 out.append((int(r[a]), False, ids[own].tobytes(), keys[own].tobytes(), h[a:e].tobytes(), g[a:e].tobytes(), at[a:e].tobytes(), local.astype(np.uint16).tobytes()))
             if out:
