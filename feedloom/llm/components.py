@@ -19,7 +19,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of the edges (u, v): component is the smallest reachable node."""
+    """(node, component) for every node of the edges (u, v) but each component's smallest, which is its name."""
     e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _mark(e)
     for _ in range(rounds):
