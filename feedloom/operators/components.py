@@ -22,7 +22,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def resolve(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) from edges (u, v): the smallest reachable node.  Large-star and small-star rounds until nothing changes."""
+    """(node, component) from edges (u, v), for all nodes but each component's smallest, which is its name.  Large-star and small-star rounds until nothing changes."""
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
     e = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = mark(e)
