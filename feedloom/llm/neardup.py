@@ -6,7 +6,7 @@ the registers (mergeable), and two sets agree in a register with a probability n
 (locality-sensitive).  BANDS bands of WIDTH registers give candidates; a pair's similarity is estimated jointly from
 the counts of larger, smaller and equal registers by likelihood, and pairs that cannot reach the threshold
 are let go; all others are confirmed on the full sets.  At similarity 0.8 a pair shares no band with probability
-(1 - 0.8**4)**40 < 1e-9, and the estimate's margin (MARGIN) errs with about the same probability.
+(1 - 0.8**4)**40 < 1e-9, where registers agree independently, and the estimate's margin (MARGIN) errs with about the same probability.
 
 Skew: documents with equal sets form a class first, so that copies count once.  In a bucket, members are held against one hub, the
 member whose buckets are the largest, not against each other; components follow; only pairs of a bucket whose members
@@ -162,7 +162,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percen
     near = pairs.join(r.toDF("u", "ru", "nu"), "u").join(r.toDF("v", "rv", "nv"), "v").where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
     near = materialize(near.select("u", "v", "ru", "rv", "nu", "nv").mapInArrow(likely, f"u {kind}, v {kind}"))
     # only the texts that take part are shuffled
-    part = near.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
+    part = near.select(F.col("u").alias("rep")).unionByName(near.select(F.col("v").alias("rep"))).distinct()
     some = materialize(texts.join(part, "rep", "left_semi"), "zstd")
     full = near.join(some.toDF("u", "tu"), "u").join(some.toDF("v", "tv"), "v")
     return materialize(full.select("u", "v", "tu", "tv").mapInArrow(exact, f"u {kind}, v {kind}"))
