@@ -8,8 +8,16 @@ distribution, with weights that normalise exactly over the vocabulary and one cl
     P1(w)    = (c(w) + 0.5) / (N + 0.5 (V + 1))
 
 A context that training never saw backs off with weight 1.  A context without freed mass (all counts above LAST) gives up one
-count in c(u) + 1.  Counts, discounted bigrams and context weights are tables; a token looks for its bigram, then for its
-context's weight and its word, by joins on these keys.  Words are 64-bit hashes.  All statistics cover all training rows.
+count in c(u) + 1.  Words and bigrams are 64-bit hashes.  All statistics cover all training rows.
+
+Documents are packed into blocks of BLOCK bytes.  A block asks for each of its distinct words and bigrams once, as sorted and
+compressed keys with its own counts, dealt by range of hash; a range sums what all blocks send and answers each of them
+with the totals in the order of its keys.  So the counts are a table partitioned by range and block.  For each bigram
+one block is named owner: it adds the bigram to its context's sums, which a second, smaller exchange of contexts turns into
+backoff weights.  A token's score is its bigram's, or else its context's weight and its word's.
+
+Skew: a key is one entry a block, however often it occurs.  Memory: a block and a range of about BUCKET bytes of text, or the
+longest text.  Packets number blocks times ranges, at most one a distinct bigram of a block.
 
 Defined results: null and blank texts are their end token; rows without doc_id are scored but not learnt from and count as not held out; rows that
 repeat an id are scored each on its own; without training rows P1 is 1 for the one unknown class; extra columns are ignored.
@@ -21,41 +29,103 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import crc_of_id, materialize, session, table
-from .words import LOWER, U, hashed, texts_of
+from .words import LOWER, U, hashed, mix, texts_of
 
 LAST = 5
 START, END = 1, 2  # context of a text's first word, and the token after its last
+BLOCK, BUCKET = 16 << 20, 8 << 20
+TOLD = [f"s{r}" for r in range(1, LAST + 2)]
+
+
+def packed(a: np.ndarray) -> bytes:
+    """An array's bytes by place, compressed."""
+    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()) if len(a) else b""
+
+
+def unpacked(b: bytes, kind: type) -> np.ndarray:
+    if not b:
+        return np.empty(0, kind)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def packed_keys(k: np.ndarray) -> bytes:
+    return packed(np.diff(k, prepend=U(0)))
+
+
+def unpacked_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(b, U), dtype=U)
+
+
+def dealt(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
+    """The ranges of hash that sorted keys fall into."""
+    r = ((keys >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1, [len(r)]])
+    return ((int(r[a]), slice(int(a), int(z))) for a, z in zip(cut[:-1], cut[1:]) if z > a)
 
 
 def grams(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, held_out, train, u, w, n): a row for each distinct bigram of each text."""
+    """Blocks of documents: block, doc_ids, flags (1: held out, 2: train), lengths and text, packed, and n bytes."""
+    session(docs.sparkSession)
     part = F.pmod(crc_of_id("doc_id"), F.lit(5))
-    rows = docs.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), F.coalesce(part != 1, F.lit(False)).alias("train"), F.monotonically_increasing_id().alias("row"), "text")
+    flags = F.when(part == 1, 1).when(part.isNotNull(), 2).otherwise(0)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def block(ids: pa.DataType) -> pa.RecordBatch:
+            z = zstandard.ZstdCompressor(3).compress(b"".join(r[3] for r in rows))
+            lengths = packed(np.array([len(r[3]) for r in rows], np.int64))
+            cols = [pa.array([rows[0][2]], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(ids)), *(pa.array([x], pa.binary()) for x in (bytes(r[1] for r in rows), lengths, z)), pa.array([size], pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, ["block", "doc_ids", "flags", "lengths", "z", "n"])
+
+        ids = None
         for b in batches:
-            texts = texts_of(b.column(4))
-            for first, (w,), off in hashed(texts, LOWER):
-                us, ws, ns, who = [], [], [], []
-                for i in range(len(off) - 1):
-                    t = np.concatenate([[U(START)], w[off[i] : off[i + 1]], [U(END)]]).astype(U)
-                    pairs, n = np.unique(np.stack([t[:-1], t[1:]], 1), axis=0, return_counts=True)
-                    us.append(pairs[:, 0])
-                    ws.append(pairs[:, 1])
-                    ns.append(n)
-                    who.append(np.full(len(n), first + i))
-                pick = pa.array(np.concatenate(who))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(3).take(pick), b.column(0).take(pick), b.column(1).take(pick), b.column(2).take(pick), pa.array(np.concatenate(us).view(np.int64)), pa.array(np.concatenate(ws).view(np.int64)), pa.array(np.concatenate(ns).astype(np.int32))],
-                    ["row", "doc_id", "held_out", "train", "u", "w", "n"],
-                )
+            ids = b.schema.field(0).type
+            for r in zip(*(b.column(i).to_pylist() for i in range(3)), texts_of(b.column(3))):
+                rows.append((*r[:3], r[3] or b""))
+                size += len(rows[-1][3])
+                if size >= BLOCK:
+                    yield block(ids)
+                    rows.clear()
+                    size = 0
+        if rows:
+            yield block(ids)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(rows.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, train boolean, u long, w long, n int"), "zstd")
+    rows = docs.select("doc_id", flags.alias("flags"), F.monotonically_increasing_id().alias("row"), "text")
+    return materialize(rows.mapInArrow(run, f"block long, doc_ids array<{kind}>, flags binary, lengths binary, z binary, n long"))
+
+
+class Tokens:
+    """A block's tokens: starts of documents, distinct words and bigrams, and each token's place among them."""
+
+    def __init__(self, flags: bytes, lengths: bytes, z: bytes):
+        self.flags = np.frombuffer(flags, np.uint8)
+        text = zstandard.ZstdDecompressor().decompress(z) if z else b""
+        ends = np.cumsum(unpacked(lengths, np.int64))
+        texts = [text[a:e] for a, e in zip(np.concatenate([[0], ends[:-1]]), ends)]
+        parts, sizes = [], []
+        for _, (w,), off in hashed(texts, LOWER):
+            parts.append(np.insert(w, off[1:], U(END)))
+            sizes.append(np.diff(off) + 1)
+        t, self.n = np.concatenate(parts), np.concatenate(sizes)
+        self.starts = np.cumsum(self.n) - self.n
+        learnt = np.repeat(self.flags == 2, self.n)
+        self.words, at = np.unique(np.concatenate([np.array([START], U), t]), return_inverse=True)
+        self.word, begin = at[1:], at[0]
+        self.context = np.concatenate([at[:1], self.word[:-1]])
+        self.context[self.starts] = begin
+        self.word_counts = np.bincount(self.word, weights=learnt, minlength=len(self.words)).astype(np.int64)
+        self.word_counts[begin] = np.count_nonzero(self.flags == 2)
+        self.bigrams, self.bigram = np.unique(mix(self.words[self.context] * U(0x9E3779B97F4A7C15) + t), return_inverse=True)
+        self.bigram_counts = np.bincount(self.bigram, weights=learnt, minlength=len(self.bigrams)).astype(np.int64)
 
 
 def discounts(count_of: dict[int, int]) -> list[float]:
@@ -73,42 +143,140 @@ def discounts(count_of: dict[int, int]) -> list[float]:
 
 
 class Katz:
-    """words (w, c), bigrams (u, w, lp), contexts (u, la) and the totals N, V."""
+    """Totals for each block's keys (block, deal, v = 2 * count + owner), the discounts, the totals N and V, and the number of ranges."""
+
+    def __init__(self, counts: DataFrame, held: list[float], n: int, v: int, ranges: int):
+        self.counts, self.held, self.n, self.v, self.ranges = counts, held, n, v, ranges
 
-    def __init__(self, words: DataFrame, bigrams: DataFrame, contexts: DataFrame, n: int, v: int):
-        self.words, self.bigrams, self.contexts, self.n, self.v = words, bigrams, contexts, n, v
+
+def _merged(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(order, starts of equal keys in it, group of each place in it, ends of the parts)."""
+    k = np.concatenate(keys)
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    return order, np.flatnonzero(new), np.cumsum(new) - 1, np.cumsum([len(x) for x in keys]).tolist()
+
+
+def _tally(group: pa.Table) -> pa.Table:
+    """One range's totals, in each block's order; words are dealt below zero."""
+    rows = sorted(group.to_pylist(), key=lambda r: r["block"])
+    keys = [unpacked_keys(r["keys"]) for r in rows]
+    order, starts, which, ends = _merged(keys)
+    total = np.add.reduceat(np.concatenate([unpacked(r["counts"], np.int64) for r in rows])[order], starts)
+    v = np.empty(len(order), np.int64)
+    v[order] = 2 * total[which]
+    v[order[starts]] += total > 0
+    deal = rows[0]["deal"]
+    if deal < 0:
+        real = total[np.concatenate(keys)[order[starts]] != START]
+        told = [int(real.sum()), int(np.count_nonzero(real)), *[0] * (LAST - 1)]
+    else:
+        told = [int(np.count_nonzero(total == r)) for r in range(1, LAST + 2)]
+    cols = [pa.array([*(r["block"] for r in rows), None], pa.int64()), pa.array([deal] * (len(rows) + 1), pa.int32()), pa.array([*map(packed, np.split(v, ends[:-1])), None], pa.binary())]
+    return pa.table(cols + [pa.array([*[None] * len(rows), x], pa.int64()) for x in told], names=["block", "deal", "v", *TOLD])
 
 
 def train(g: DataFrame) -> Katz:
-    own = g.where("train")
-    words = materialize(own.groupBy("w").agg(F.sum("n").alias("c")))
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).collect()[0]
-    total = n + 0.5 * (v + 1)
-    pairs = materialize(own.groupBy("u", "w").agg(F.sum("n").alias("c")))
-    d = discounts({r["c"]: r["k"] for r in pairs.where(F.col("c") <= LAST + 1).groupBy("c").agg(F.count("*").alias("k")).collect()})
-    held = F.lit(1.0)
-    for r in range(LAST, 0, -1):
-        held = F.when(F.col("c") == r, d[r - 1]).otherwise(held)
-    seen = pairs.join(words.select("w", ((F.col("c") + 0.5) / total).alias("p1")), "w").withColumn("dc", held * F.col("c"))
-    seen = seen.groupBy("u").agg(F.sum("dc").alias("dc"), F.sum("p1").alias("p1"), F.sum("c").alias("cu"))
-    free = 1 - F.col("dc") / F.col("cu")
-    none = free < 1e-9
-    seen = seen.withColumn("scale", F.when(none, F.col("cu") / (F.col("cu") + 1)).otherwise(1.0)).withColumn("free", F.when(none, 1 / (F.col("cu") + 1)).otherwise(free))
-    contexts = materialize(seen.select("u", "cu", "scale", F.log10(F.col("free") / (1 - F.col("p1"))).alias("la")))
-    bigrams = pairs.join(contexts.select("u", "cu", "scale"), "u").select("u", "w", F.log10(held * F.col("c") * F.col("scale") / F.col("cu")).alias("lp"))
-    return Katz(words, materialize(bigrams), contexts.select("u", "la"), n, v)
+    ranges = max(1, -(-(g.agg(F.sum("n")).collect()[0][0] or 0) // BUCKET))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, *what in zip(*(b.column(i).to_pylist() for i in range(4))):
+                t = Tokens(*what)
+                out = [(block, r, packed_keys(t.bigrams[s]), packed(t.bigram_counts[s])) for r, s in dealt(t.bigrams, ranges)]
+                out += [(block, -1 - r, packed_keys(t.words[s]), packed(t.word_counts[s])) for r, s in dealt(t.words, ranges)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "deal", "keys", "counts"])
+
+    asked = g.select("block", "flags", "lengths", "z").mapInArrow(ask, "block long, deal int, keys binary, counts binary")
+    counts = materialize(asked.groupBy("deal").applyInArrow(_tally, f"block long, deal int, v binary, {', '.join(f'{x} long' for x in TOLD)}"))
+    sums = {r["words"]: r for r in counts.where("block is null").groupBy((F.col("deal") < 0).alias("words")).agg(*(F.sum(x).alias(x) for x in TOLD)).collect()}
+    n, v = (sums[True][x] for x in TOLD[:2]) if sums else (0, 0)
+    held = discounts({r + 1: sums[False][x] for r, x in enumerate(TOLD)} if sums else {})
+    return Katz(counts.where("block is not null").select("block", "deal", "v"), held, n, v, ranges)
+
+
+def _weigh(group: pa.Table) -> pa.Table:
+    """Backoff weights of one range's contexts, for the blocks that want them: logarithms of the weight and of the scale of seen bigrams."""
+    rows = sorted(group.to_pylist(), key=lambda r: r["block"])
+    order, starts, which, ends = _merged([unpacked_keys(r["keys"]) for r in rows])
+    column = lambda c, kind: np.concatenate([unpacked(r[c], kind) for r in rows])[order]
+    seen, p1, cu = np.add.reduceat(column("seen", float), starts), np.add.reduceat(column("p1", float), starts), column("cu", np.int64)[starts]
+    none = 1 - seen < 1e-9
+    la = np.log10(np.where(none, 1 / (cu + 1), 1 - seen) / (1 - p1))
+    ls = np.where(none, np.log10(cu / (cu + 1)), 0.0)
+    back = np.empty(len(order), np.int64)
+    back[order] = which
+    out = []
+    for r, at in zip(rows, np.split(back, ends[:-1])):
+        at = at[unpacked(r["wanted"], np.uint8) > 0]
+        if len(at):
+            out.append((r["block"], r["deal"], packed(la[at]), packed(ls[at])))
+    one = list(zip(*out)) if out else [()] * 4
+    return pa.table([pa.array(x, k) for x, k in zip(one, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "deal", "la", "ls"])
 
 
 def score(g: DataFrame, m: Katz) -> DataFrame:
-    total = m.n + 0.5 * (m.v + 1)
-    x = g.join(m.words, "w", "left").join(m.bigrams, ["u", "w"], "left").join(m.contexts, "u", "left")
-    l1 = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(total))
-    lp = F.coalesce("lp", F.coalesce("la", F.lit(0.0)) + l1)
-    per = x.groupBy("row", "doc_id", "held_out").agg(
-        F.sum("n").cast("long").alias("n_tokens"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).cast("long").alias("n_known"),
-        F.sum(F.col("n") * l1).alias("base_score"), F.sum(F.col("n") * lp).alias("score"),
-    )
-    return per.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(m.n).cast("long").alias("train_tokens"), "base_score", "score")
+    kind = g.schema["doc_ids"].dataType.elementType.simpleString()
+    total, held, ranges, n = m.n + 0.5 * (m.v + 1), np.array([0.0, *m.held]), m.ranges, m.n
+    shape = {"block": pa.int64(), "deal": pa.int32(), **{x: pa.binary() for x in ("keys", "seen", "p1", "cu", "wanted", "flags", "n_tokens", "n_known", "base", "sure", "open", "code")}}
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        """What a block's documents score without the weights of their contexts, and its share in the sums of contexts."""
+        row = left.to_pylist()[0]
+        t = Tokens(row["flags"], row["lengths"], row["z"])
+        told = sorted(zip(right.column("deal").to_pylist(), right.column("v").to_pylist()), key=lambda x: x[0] if x[0] >= 0 else -1 - x[0])
+        v = np.concatenate([unpacked(x, np.int64) for deal, x in told if deal >= 0])
+        c, own = v >> 1, (v & 1) > 0
+        cw = np.concatenate([unpacked(x, np.int64) for deal, x in told if deal < 0]) >> 1
+        at = np.empty(len(t.bigrams), np.int64)
+        at[t.bigram] = np.arange(len(t.bigram))
+        u, w = t.context[at], t.word[at]
+        p1, seen = (cw + 0.5) / total, c > 0
+        l1 = np.log10(p1)
+        share = np.where(c > LAST, c, held[np.minimum(c, LAST)] * c) / np.maximum(cw[u], 1)
+        sure = np.where(seen, np.log10(np.where(seen, share, 1.0)), l1[w])
+        freed = np.zeros(len(t.words), bool)
+        freed[u[seen & (c <= LAST)]] = True
+        # tokens that wait for their context: unseen bigrams, and seen ones where no count here frees mass
+        wait = (~seen[t.bigram] | ~freed[t.context]) & (cw[t.context] > 0)
+        wanted = np.zeros(len(t.words), bool)
+        wanted[t.context[wait]] = True
+        place = np.cumsum(wanted) - 1
+        code = 2 * place[t.context[wait]] + seen[t.bigram[wait]]
+        sums = [np.bincount(u[own], weights=x[own], minlength=len(t.words)) for x in (share, p1[w], np.ones(len(w)))]
+        send = np.flatnonzero(wanted | (sums[2] > 0))
+        by_doc = lambda x, k: packed(np.add.reduceat(x, t.starts).astype(k))
+        out = [dict(block=row["block"], flags=row["flags"], n_tokens=packed(t.n.astype(np.int64)), n_known=by_doc((cw[t.word] > 0).astype(np.int64), np.int64), base=by_doc(l1[t.word], float), sure=by_doc(sure[t.bigram], float), open=by_doc(wait.astype(np.int64), np.int64), code=packed(code))]
+        keys = t.words[send]
+        for r, s in dealt(keys, ranges):
+            x = send[s]
+            out.append(dict(block=row["block"], deal=r, keys=packed_keys(keys[s]), seen=packed(sums[0][x]), p1=packed(sums[1][x]), cu=packed(cw[x]), wanted=packed(wanted[x].astype(np.uint8))))
+        cols = {k: pa.array([r.get(k) for r in out], x) for k, x in shape.items()}
+        ids = pa.array([row["doc_ids"], *[None] * (len(out) - 1)], left.column("doc_ids").type)
+        return pa.table({**cols, "doc_ids": ids})
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        told = sorted(right.to_pylist(), key=lambda r: r["deal"])
+        la, ls = (np.concatenate([np.empty(0), *(unpacked(r[x], float) for r in told)]) for x in ("la", "ls"))
+        code, base = unpacked(row["code"], np.int64), unpacked(row["base"], float)
+        late = np.where(code & 1, ls[code >> 1], la[code >> 1])
+        who = np.repeat(np.arange(len(base)), unpacked(row["open"], np.int64))
+        done = unpacked(row["sure"], float) + np.bincount(who, weights=late, minlength=len(base))
+        out = {
+            "doc_id": pa.array(row["doc_ids"], left.column("doc_ids").type.value_type), "held_out": pa.array(np.frombuffer(row["flags"], np.uint8) == 1),
+            "n_tokens": pa.array(unpacked(row["n_tokens"], np.int64)), "n_known": pa.array(unpacked(row["n_known"], np.int64)),
+            "train_tokens": pa.array(np.full(len(base), n, np.int64)), "base_score": pa.array(base), "score": pa.array(done),
+        }
+        return pa.table(out)
+
+    binaries = ", ".join(f"{x} binary" for x in list(shape)[2:])
+    judged = materialize(g.groupBy("block").cogroup(m.counts.groupBy("block")).applyInArrow(judge, f"block long, deal int, {binaries}, doc_ids array<{kind}>"))
+    weights = judged.where("deal is not null").select("block", "deal", "keys", "seen", "p1", "cu", "wanted").groupBy("deal").applyInArrow(_weigh, "block long, deal int, la binary, ls binary")
+    texts = judged.where("deal is null").select("block", "doc_ids", "flags", "n_tokens", "n_known", "base", "sure", "open", "code")
+    return texts.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_lm(spark, sf_dir: str) -> DataFrame:
