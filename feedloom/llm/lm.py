@@ -38,7 +38,7 @@ from .words import LOWER, U, hashed, mix, texts_of
 
 LAST = 5
 START, END = 1, 2  # context of a text's first word, and the token after its last
-BLOCK, BUCKET = 16 << 20, 8 << 20
+BLOCK, BUCKET = 8 << 20, 8 << 20
 TOLD = [f"s{r}" for r in range(1, LAST + 2)]
 
 
@@ -118,13 +118,16 @@ class Tokens:
         t, self.n = np.concatenate(parts), np.concatenate(sizes)
         self.starts = np.cumsum(self.n) - self.n
         learnt = np.repeat(self.flags == 2, self.n)
+        del text, texts, parts
         self.words, at = np.unique(np.concatenate([np.array([START], U), t]), return_inverse=True)
+        at = at.astype(np.int32)  # places fit, as a block has fewer tokens than bytes
         self.word, begin = at[1:], at[0]
         self.context = np.concatenate([at[:1], self.word[:-1]])
         self.context[self.starts] = begin
         self.word_counts = np.bincount(self.word, weights=learnt, minlength=len(self.words)).astype(np.int64)
         self.word_counts[begin] = np.count_nonzero(self.flags == 2)
         self.bigrams, self.bigram = np.unique(mix(self.words[self.context] * U(0x9E3779B97F4A7C15) + t), return_inverse=True)
+        self.bigram = self.bigram.astype(np.int32)
         self.bigram_counts = np.bincount(self.bigram, weights=learnt, minlength=len(self.bigrams)).astype(np.int64)
 
 
