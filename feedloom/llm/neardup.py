@@ -168,6 +168,44 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percen
     return materialize(full.select("u", "v", "tu", "tv").mapInArrow(exact, f"u {kind}, v {kind}"))
 
 
+def _likely_members(few: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of members of one bucket in different components whose registers allow the threshold; the others never leave the task."""
+    kind = few.schema["rep"].dataType.simpleString()
+
+    def meet(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, rep, comp, n = (t.column(i).to_numpy() for i in (0, 1, 2, 4))
+        regs = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        us, vs = [], []
+        for a, z in zip(cut[:-1], cut[1:]):
+            i, j = np.triu_indices(z - a, 1)
+            i, j = i + a, j + a
+            ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            if len(i):
+                ok = log_ratio(regs[i], regs[j], n[i].astype(float), n[j].astype(float), percent / 100) <= MARGIN
+                us.append(np.minimum(rep[i], rep[j])[ok])
+                vs.append(np.maximum(rep[i], rep[j])[ok])
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t.schema.field(1).type) for x in (us, vs)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the bucket that the batch before ended in
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            key = t.column(0).to_numpy()
+            turns = np.flatnonzero(key[1:] != key[:-1])
+            edge = int(turns[-1]) + 1 if len(turns) else 0
+            if edge:
+                yield from meet(t.slice(0, edge))
+            held = t.slice(edge)
+        if held is not None and held.num_rows:
+            yield from meet(held)
+
+    rows = few.join(reps.select("rep", "regs", "n"), "rep").select("key", "rep", "component", "regs", "n")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"u {kind}, v {kind}")
+
+
 def _crowded(open_: DataFrame, texts: DataFrame, k: int, percent: int, fold: np.ndarray) -> DataFrame:
     """Links (u, v) between components in buckets of many members, without a row for each pair.
 
@@ -241,9 +279,7 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = 80, fold: np.nda
             new = open_.join(hub, "key").where("component <> hc").select(*pair("rep", "hub"))
         else:
             crowds = open_.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > CROWD).select("key")
-            few = open_.join(crowds, "key", "left_anti")
-            x, y = few.select("key", F.col("rep").alias("p"), F.col("component").alias("pc")), few.select("key", F.col("rep").alias("q"), F.col("component").alias("qc"))
-            new = x.join(y, "key").where("p < q and pc <> qc").select(*pair("p", "q"))
+            new = _likely_members(open_.join(crowds, "key", "left_anti"), classes, percent)
             links = links.unionByName(materialize(_crowded(open_.join(crowds, "key", "left_semi"), texts, words, percent, fold)))
         new = materialize(new.distinct().join(tried, ["u", "v"], "left_anti"))
         tried = tried.unionByName(new)
