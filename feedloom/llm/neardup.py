@@ -110,6 +110,15 @@ def log_ratio(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray, si
     return np.where(best >= at, 0.0, likely(best) - likely(at))
 
 
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """Hashes of each row's bands of WIDTH registers, one column a band."""
+    h = np.zeros((len(regs), BANDS), U)
+    cols = regs.reshape(len(regs), BANDS, WIDTH).astype(U)
+    for i in range(WIDTH):
+        h = mix(h ^ (cols[:, :, i] + U(i + 1)))
+    return mix(h + np.arange(BANDS, dtype=U)[None, :])
+
+
 def sketches(docs: DataFrame, k: int, fold: np.ndarray = LOWER) -> DataFrame:
     """doc_id, n (set size), set_key (digest of the set; null if empty), regs, bands for every row."""
 
@@ -117,11 +126,7 @@ def sketches(docs: DataFrame, k: int, fold: np.ndarray = LOWER) -> DataFrame:
         for b in batches:
             sets = shingle_sets(texts_of(b.column(1)), k, fold)
             regs = registers(sets)
-            h = np.zeros((len(sets), BANDS), U)
-            cols = regs.reshape(len(sets), BANDS, WIDTH).astype(U)
-            for i in range(WIDTH):
-                h = mix(h ^ (cols[:, :, i] + U(i + 1)))
-            h = mix(h + np.arange(BANDS, dtype=U)[None, :]).view(np.int64)
+            h = band_keys(regs).view(np.int64)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, BANDS), pa.int32()), pa.array(h.ravel()))
             yield pa.RecordBatch.from_arrays(
@@ -168,28 +173,32 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percen
     return materialize(full.select("u", "v", "tu", "tv").mapInArrow(exact, f"u {kind}, v {kind}"))
 
 
-def _likely_members(few: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of members of one bucket in different components whose registers allow the threshold; the others never leave the task."""
-    kind = few.schema["rep"].dataType.simpleString()
+def _uncrowded(open_: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, fold: np.ndarray) -> DataFrame:
+    """Links (u, v) between components in buckets of at most CROWD members, without a row for each pair.
+
+    A pair is judged in the first bucket that it shares.  The first pass reads registers and names the members of a bucket that
+    have a pair to confirm there; in the second their texts come along, full sets decide, and only links leave the task.
+    """
+    kind = open_.schema["rep"].dataType.simpleString()
 
-    def meet(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, rep, comp, n = (t.column(i).to_numpy() for i in (0, 1, 2, 4))
+    def likely(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows (i, j) of t by bucket: pairs of two components that may reach the threshold and share no earlier bucket."""
+        key, comp, n = (t.column(i).to_numpy() for i in (0, 2, 4))
         regs = np.frombuffer(b"".join(t.column(3).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        own = band_keys(regs).view(np.int64)
         cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        us, vs = [], []
         for a, z in zip(cut[:-1], cut[1:]):
             i, j = np.triu_indices(z - a, 1)
             i, j = i + a, j + a
             ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
+            ok = own[i, (own[i] == own[j]).argmax(1)] == key[a]
+            i, j = i[ok], j[ok]
             if len(i):
                 ok = log_ratio(regs[i], regs[j], n[i].astype(float), n[j].astype(float), percent / 100) <= MARGIN
-                us.append(np.minimum(rep[i], rep[j])[ok])
-                vs.append(np.maximum(rep[i], rep[j])[ok])
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t.schema.field(1).type) for x in (us, vs)], ["u", "v"])
+                yield i[ok], j[ok]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held = None  # the bucket that the batch before ended in
         for b in batches:
             t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
@@ -197,13 +206,34 @@ def _likely_members(few: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             turns = np.flatnonzero(key[1:] != key[:-1])
             edge = int(turns[-1]) + 1 if len(turns) else 0
             if edge:
-                yield from meet(t.slice(0, edge))
+                yield t.slice(0, edge)
             held = t.slice(edge)
         if held is not None and held.num_rows:
-            yield from meet(held)
-
-    rows = few.join(reps.select("rep", "regs", "n"), "rep").select("key", "rep", "component", "regs", "n")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"u {kind}, v {kind}")
+            yield held
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_buckets(batches):
+            at = [x for pair in likely(t) for x in pair]
+            if at:
+                yield from t.take(np.unique(np.concatenate(at))).to_batches()
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_buckets(batches):
+            rep, us, vs = t.column(1).to_numpy(), [], []
+            sets = shingle_sets(texts_of(t.column(5).combine_chunks()), k, fold)
+            for i, j in likely(t):
+                for a, b in zip(i.tolist(), j.tolist()):
+                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                        us.append(min(rep[a], rep[b]))
+                        vs.append(max(rep[a], rep[b]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.schema.field(1).type) for x in (us, vs)], ["u", "v"])
+
+    by_bucket = lambda df: df.repartition("key").sortWithinPartitions("key")
+    rows = open_.join(reps.select("rep", "regs", "n"), "rep").select("key", "rep", "component", "regs", "n")
+    some = materialize(by_bucket(rows).mapInArrow(members, f"key long, rep {kind}, component {kind}, regs binary, n long"))
+    part = materialize(texts.join(some.select("rep").distinct(), "rep", "left_semi"), "zstd")
+    return by_bucket(some.join(part, "rep").select("key", "rep", "component", "regs", "n", "text")).mapInArrow(links, f"u {kind}, v {kind}").distinct()
 
 
 def _crowded(open_: DataFrame, texts: DataFrame, k: int, percent: int, fold: np.ndarray) -> DataFrame:
@@ -267,24 +297,28 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = 80, fold: np.nda
     tried = materialize(shared.join(hub, "key").where("rep <> hub").select(*pair("rep", "hub")).distinct())
     links = _confirm(tried, classes, texts, words, percent, fold)
     comp = materialize(components(links))
-    for step in range(HUB_ROUNDS + 1):
+    def open_buckets(comp: DataFrame) -> DataFrame:
+        """Buckets of more than two members whose members are in different components."""
         at = shared.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         split = at.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a <> b and size > 2").select("key")
-        open_ = materialize(at.join(split, "key").select("key", "rep", "fame", "component"))
-        if step < HUB_ROUNDS:  # the most shared member of each bucket's second component against the others
-            lead = open_.groupBy("key").agg(F.max(order).getField("rep").alias("first"))
-            led = open_.join(lead.join(comp.toDF("first", "fc"), "first", "left").select("key", F.coalesce("fc", "first").alias("fc")), "key")
-            hub = led.where("component <> fc").groupBy("key").agg(F.max(F.struct("fame", (-F.col("rep")).alias("back"), "rep", "component")).alias("h"))
-            hub = hub.select("key", F.col("h.rep").alias("hub"), F.col("h.component").alias("hc"))
-            new = open_.join(hub, "key").where("component <> hc").select(*pair("rep", "hub"))
-        else:
-            crowds = open_.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > CROWD).select("key")
-            new = _likely_members(open_.join(crowds, "key", "left_anti"), classes, percent)
-            links = links.unionByName(materialize(_crowded(open_.join(crowds, "key", "left_semi"), texts, words, percent, fold)))
+        return materialize(at.join(split, "key").select("key", "rep", "fame", "component"))
+
+    for _ in range(HUB_ROUNDS):  # the most shared member of each bucket's second component against the others
+        open_ = open_buckets(comp)
+        lead = open_.groupBy("key").agg(F.max(order).getField("rep").alias("first"))
+        led = open_.join(lead.join(comp.toDF("first", "fc"), "first", "left").select("key", F.coalesce("fc", "first").alias("fc")), "key")
+        hub = led.where("component <> fc").groupBy("key").agg(F.max(F.struct("fame", (-F.col("rep")).alias("back"), "rep", "component")).alias("h"))
+        hub = hub.select("key", F.col("h.rep").alias("hub"), F.col("h.component").alias("hc"))
+        new = open_.join(hub, "key").where("component <> hc").select(*pair("rep", "hub"))
         new = materialize(new.distinct().join(tried, ["u", "v"], "left_anti"))
         tried = tried.unionByName(new)
         links = links.unionByName(_confirm(new, classes, texts, words, percent, fold))
         comp = materialize(components(links))
+    open_ = open_buckets(comp)
+    crowds = open_.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > CROWD).select("key")
+    last = _uncrowded(open_.join(crowds, "key", "left_anti"), classes, texts, words, percent, fold)
+    last = last.unionByName(_crowded(open_.join(crowds, "key", "left_semi"), texts, words, percent, fold))
+    comp = materialize(components(links.unionByName(materialize(last))))
     named = classes.select("set_key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("found"))
     keyed = all_rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
     out = keyed.join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
