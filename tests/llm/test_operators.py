@@ -105,6 +105,16 @@ def test_neardup(spark, docs, empty, crowd, monkeypatch):
     assert neardup.cluster(empty).count() == 0
 
 
+def test_uncrowded_buckets_lose_no_link(spark):
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:j], f"x{i}", *base[j + 1 :]])) for i, j in enumerate((3, 60, 150, 199))] + [(9, " ".join(f"z{i}" for i in range(200)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    all_rows = neardup.sketches(df, 4).select(F.col("doc_id").alias("rep"), "n", "regs", "bands").cache()
+    at = all_rows.select(F.explode("bands").alias("key"), "rep", F.lit(0).alias("fame"), F.col("rep").alias("component"))
+    got = neardup._uncrowded(at, all_rows, df.toDF("rep", "text"), 4, 80, neardup.LOWER).collect()
+    assert sorted((r.u, r.v) for r in got) == [(i, j) for i in range(4) for j in range(i + 1, 4)]
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     for both in (900, 500, 100):
