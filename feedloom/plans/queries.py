@@ -73,7 +73,9 @@ def tokenize_folded(spark, d):
 
 
 def _titles(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.slice(plain_words(F.col("text")), 1, 12).alias("w")).where("size(w) >= 3")
+    """All words of each text as two sets, of words and of pairs of neighbours."""
+    x = t(spark, d, "documents").select("doc_id", plain_words(F.col("text")).alias("w")).where("size(w) >= 3")
+    return x.select("doc_id", F.concat_ws(" ", F.slice("w", 1, 2)).alias("block"), F.array_distinct("w").alias("w"), F.array_distinct(T.bigrams(F.col("w"))).alias("g")).withColumns({"nw": F.size("w"), "ng": F.size("g")})
 
 
 PAIRS = f"""WITH x AS (SELECT doc_id, list_slice({WORDS}, 1, 12) AS w FROM documents),
@@ -84,9 +86,11 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, 0.6 * len(list_intersect(a.w, b.w)) /
 
 @query(PAIRS + " SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.82")
 def title_similarity_pairs(spark, d):
-    x = _titles(spark, d).withColumn("block", F.concat_ws(" ", F.slice("w", 1, 2)))
+    x = _titles(spark, d)
+    share = lambda n: F.least(f"a.{n}", f"b.{n}") / F.greatest(f"a.{n}", f"b.{n}")
+    near = 0.6 * share("nw") + 0.4 * share("ng") > 0.819999  # no two sets are more alike than their sizes
     p = x.alias("a").join(x.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    s = T.title_similarity(F.col("a.w"), F.col("b.w"))
+    s = F.when(near, 0.6 * T.jaccard(F.col("a.w"), F.col("b.w")) + 0.4 * T.jaccard(F.col("a.g"), F.col("b.g")))
     return p.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), s.alias("s")).where("s >= 0.82").select("a", "b", F.round("s", 6).alias("similarity"))
 
 

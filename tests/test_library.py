@@ -142,3 +142,32 @@ def test_entry_survives_without_extras():
     import __spark_entry__ as e
 
     assert {"dedupe_components", "for_you_topk", "snapshot_diff"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def _sql(spark, name, sql, path):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "part"):
+        if (path / f"{table}.parquet").exists():
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
+    from feedloom.plans import queries as q
+
+    return sorted(tuple(r) for r in q.QUERIES[name](spark, str(path)).collect()), sorted(con.execute(sql).fetchall())
+
+
+def test_similarity_reads_whole_texts(spark, tmp_path):
+    from feedloom.plans import queries as q
+
+    head = " ".join(f"head{i}" for i in range(12))
+    tail = [f"tail{i}" for i in range(60)]
+    texts = [head + " " + " ".join(f"a{i}x" for i in range(60)), head + " " + " ".join(f"b{i}x" for i in range(60)), head + " " + " ".join(tail), head + " " + " ".join([*tail[:30], "other", *tail[31:]]), head, head, "too short", None]
+    texts += ["head0 head1 " + " ".join(f"{v}{i}" for i in range(3)) + " " + " ".join(tail) + " end" for v in "pq"]  # heads differ, the rest is alike
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    # the registered SQL still cuts to 12 words; the same statement over whole texts is the truth here
+    whole = q.PAIRS.replace(f"list_slice({q.WORDS}, 1, 12)", q.WORDS)
+    assert whole != q.PAIRS
+    got, want = _sql(spark, "title_similarity_pairs", whole + " SELECT a, b, round(s, 6) FROM p WHERE s >= 0.82", tmp_path)
+    assert [r[:2] for r in got] == [r[:2] for r in want] == [(2, 3), (4, 5), (8, 9)] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want))
+    clusters = {r.doc_id: r.cluster for r in q.QUERIES["dedupe_components"](spark, str(tmp_path)).collect()}
+    assert clusters == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 8}
