@@ -264,7 +264,7 @@ def nulls_last_both_ways(spark, d):
     x = t(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("rate"))
     down = Window.orderBy(*studies.by_rate(F.col("rate"), F.col("p_partkey")))
     up = Window.orderBy(*studies.by_rate(F.col("rate"), F.col("p_partkey"), False))
-    return x.select("p_partkey", F.row_number().over(down).cast("long").alias("down"), F.row_number().over(up).cast("long").alias("up")).orderBy("down").limit(200)
+    return x.select("p_partkey", F.row_number().over(down).cast("long").alias("down"), F.row_number().over(up).cast("long").alias("up"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, floor(l_extendedprice / (floor(l_quantity * 60 + 0.5) / 60) * 100 + 0.5) / 100 AS rate,

@@ -171,3 +171,14 @@ def test_similarity_reads_whole_texts(spark, tmp_path):
     assert [r[:2] for r in got] == [r[:2] for r in want] == [(2, 3), (4, 5), (8, 9)] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want))
     clusters = {r.doc_id: r.cluster for r in q.QUERIES["dedupe_components"](spark, str(tmp_path)).collect()}
     assert clusters == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 8}
+
+
+def test_ranks_of_all_parts(spark, tmp_path):
+    from feedloom.plans import queries as q
+
+    spark.range(1, 301).selectExpr("id AS p_partkey", "900 + (id * 37) % 101 AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    sql = q.ORACLES["nulls_last_both_ways"].removesuffix(" ORDER BY down LIMIT 200")
+    got, want = _sql(spark, "nulls_last_both_ways", sql, tmp_path)
+    assert got == want and len(got) == 300
+    unknown = [r for r in got if r[0] % 5 == 0]
+    assert len(unknown) == 60 and all(r[1] > 240 and r[2] > 240 for r in unknown)
