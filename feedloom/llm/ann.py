@@ -8,7 +8,8 @@ coordinate that gives all rows the same norm.  How many buckets are visited is f
 
 All rows are indexed.  Buckets are cut into blocks of at most about BLOCK rows, and each block meets the queries that visit it in one dense
 product in double precision; a block returns each query's best k as one row, and a query's rows are merged.  A bucket
-that holds a third of all rows is many blocks; no pair of vectors becomes a row.
+that holds a third of all rows is many blocks; no pair of vectors becomes a row.  Queries whose buckets give fewer than k
+of the candidates there are meet all rows, in blocks of about SCAN; so do all queries if no number of buckets finds TARGET.
 
 Defined results: vectors that are null, zero, hold nulls or non-finite numbers, or have another length than most, take no part;
 rows without vec_id neither; a vec_id that comes twice counts once, with its smallest vector; fewer candidates than k give all of them; ties
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, session, table
 
-K, FUNCTIONS, TABLES, WIDTH, BLOCK, SAMPLE, TARGET, SEED = 20, 5, 2, 2.0, 512, 64, 0.97, 3
+K, FUNCTIONS, TABLES, WIDTH, BLOCK, SCAN, SAMPLE, TARGET, SEED = 20, 5, 2, 2.0, 512, 4096, 64, 0.97, 3
 STEPS = np.array(np.meshgrid(*[[-1, 0, 1]] * FUNCTIONS, indexing="ij")).reshape(FUNCTIONS, -1).T  # every neighbouring bucket
 
 
@@ -70,6 +71,9 @@ class Hashes:
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(scores) > k:
+        keep = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+        scores, ids = scores[keep], ids[keep]
     order = np.lexsort((ids, -scores))[:k]
     return ids[order], scores[order]
 
@@ -109,7 +113,7 @@ def search(vectors: DataFrame, every: int, k: int = K) -> DataFrame:
     packed = materialize(rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(pack, "vec_id long, v binary"))
     queries = packed.where(F.col("vec_id") % every == 0)
     hashes = Hashes(dim, top)
-    many = fit_probes(packed, queries, hashes, np_kind, k)
+    n, many = packed.count(), fit_probes(packed, queries, hashes, np_kind, k)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,9 +158,28 @@ def search(vectors: DataFrame, every: int, k: int = K) -> DataFrame:
                     out_s.append(b.tolist())
         return pa.table([pa.array(out_q, pa.int64()), pa.array(out_i, pa.list_(pa.int64())), pa.array(out_s, pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
 
-    part = cut.groupBy("t", "bucket", "block").cogroup(asked.groupBy("t", "bucket", "block")).applyInArrow(meet, "query_id long, ids array<long>, scores array<double>")
-    pairs = part.select("query_id", F.arrays_zip((F.transform("scores", lambda s: -s)).alias("s"), F.col("ids").alias("i")).alias("found"))
-    merged = pairs.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
+    def merge(rows: DataFrame, asked: DataFrame, *by: str) -> DataFrame:
+        part = rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(meet, "query_id long, ids array<long>, scores array<double>")
+        pairs = part.select("query_id", F.arrays_zip((F.transform("scores", lambda s: -s)).alias("s"), F.col("ids").alias("i")).alias("found"))
+        return pairs.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
+
+    def scan(queries: DataFrame, many: int) -> DataFrame:
+        """The queries against all rows: each block of rows meets each group of queries once."""
+        blocks, groups = -(-n // SCAN), -(-many // SCAN)
+        deal = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
+        each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        rows = packed.withColumn("block", deal(blocks)).withColumn("group", each(groups))
+        asked = queries.withColumn("group", deal(groups)).withColumn("block", each(blocks))
+        return merge(rows, asked.withColumnsRenamed({"vec_id": "query_id", "v": "q"}), "block", "group")
+
+    if many > len(STEPS):
+        merged = scan(queries, queries.count())
+    else:
+        merged = materialize(merge(cut, asked, "t", "bucket", "block"))
+        full = merged.where(F.size("found") >= min(k, n - 1))
+        short = materialize(queries.join(full.select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"))
+        if lacking := short.count() if n > 1 else 0:
+            merged = full.unionByName(scan(short, lacking))
     out = merged.select("query_id", F.posexplode("found").alias("pos", "f"))
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("f.i").alias("vec_id"), (-F.col("f.s")).alias("score"))
 
@@ -185,7 +208,7 @@ def exact(packed: DataFrame, q_ids: np.ndarray, q: np.ndarray, np_kind, k: int)
 
 
 def fit_probes(packed: DataFrame, queries: DataFrame, hashes: Hashes, np_kind, k: int, sample: int = SAMPLE, target: float = TARGET) -> int:
-    """Least number of buckets a table that finds ``target`` of the true neighbours of a sample of queries."""
+    """Least number of buckets a table that finds ``target`` of the true neighbours of a sample of queries; more than there are if none does."""
     some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     if not some:
         return 1
@@ -202,8 +225,7 @@ def fit_probes(packed: DataFrame, queries: DataFrame, hashes: Hashes, np_kind, k
             ranks += np.where(where.any(-1), where.argmax(-1), len(STEPS)).min(1).tolist()
     if not ranks:
         return 1
-    at = int(np.quantile(ranks, target, method="higher")) + 1
-    return min(len(STEPS), at)
+    return int(np.quantile(ranks, target, method="higher")) + 1
 
 
 def op8_ann(spark, sf_dir: str) -> DataFrame:

@@ -254,6 +254,29 @@ def test_ann(spark):
     assert ann.search(df.where("false"), 20).count() == 0
 
 
+@pytest.mark.parametrize("case", ["few", "huge", "far"])
+def test_ann_leaves_no_query_short(spark, case):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((12 if case == "few" else 300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if case == "huge":
+        x[7] *= 1e5
+    if case == "far":
+        x[1:] = -x[0] + 0.01 * x[1:]  # one query has all candidates on the other side
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, 1 if case == "few" else 15).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    found = total = 0
+    for q in range(0, len(x), 1 if case == "few" else 15):
+        s = x @ x[q]
+        true = [i for i in np.argsort(-s) if i != q][:20]
+        rows = sorted(got.get(q, []))
+        assert [r[0] for r in rows] == list(range(1, len(true) + 1)) and len({r[1] for r in rows}) == len(rows) and all(abs(r[2] - s[r[1]]) < 1e-6 for r in rows)
+        found, total = found + len({r[1] for r in rows} & set(true)), total + len(true)
+    assert found / total >= (1 if case == "few" else 0.9)
+
+
 def test_toxicity(spark, docs, empty):
     clean = ["the old man walks by the river and sings to his dog", "we read many books on winter nights", "bread and butter with a little salt"]
     rows = [(i, clean[i % 3] + (" you idiot" if i % 7 == 0 else "") + f" n{i}") for i in range(700)]
