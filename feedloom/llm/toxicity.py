@@ -1,8 +1,8 @@
 """Toxicity with noisy-channel deobfuscation.
 
-Tokens that look disguised (digits or signs among letters, a letter three times in a row, single letters strung out by
-spaces or points) become character lattices: each sign may stand for itself, for the letters it resembles, or for
-nothing where it repeats or separates.  Viterbi decoding under a character trigram model, counted over all documents,
+Tokens that may be disguised (any with letters and a sign or separator, a letter three times in a row, single letters strung
+out by spaces) become character lattices: each sign may stand for itself, for the letters it resembles, or for
+nothing where it repeats or ends a token, each separator for itself or nothing.  Viterbi decoding under a character trigram model, counted over all documents,
 picks the likeliest plain spelling, and the restored text is scored: a logistic model over whole words and word
 beginnings that the labels single out.  Each pass works on whole texts.
 
@@ -41,7 +41,7 @@ SIGN[[ord(c) for c in LEET]] = True
 APART = np.zeros(256, bool)
 APART[[ord(c) for c in ".-_*"]] = True
 PREFIXES = (3, 4, 5, 6)
-#: Log-probabilities of the channel: a letter as it is, a sign for a letter, a sign as it is, a dropped repeat, a dropped separator, a kept repeat.
+#: Log-probabilities of the channel: a letter as it is, a sign for a letter, a sign as it is, a dropped repeat, a dropped or kept separator or closing sign, a kept repeat.
 ASIS, SWAP, SIGNED, DROP, GAP, REPEAT = -0.05, -1.0, -9.0, -0.2, -0.1, -3.0
 
 
@@ -75,7 +75,7 @@ class CharModel:
     def _decode(self, token: str) -> str:
         """The likeliest plain spelling.  States: the last two classes; a state keeps its best path."""
         beam: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}
-        spaced = any(c in " .-_*" for c in token)
+        tail = len(token.rstrip("".join(LEET) + ".-_*"))  # signs from here on end the token
         run = [0] * len(token)  # length of the run that each place stands in
         for i, o in enumerate(token):
             run[i] = run[i - 1] + 1 if i and token[i - 1] == o else 1
@@ -87,10 +87,10 @@ class CharModel:
                 arcs.append((o, ASIS))
             elif o in LEET:
                 arcs += [(x, SWAP) for x in LEET[o]] + [(o, SIGNED)]
-                if i == len(token) - 1:
-                    arcs.append((None, SWAP))
-            elif spaced and o in " .-_*":
-                arcs.append((None, GAP))
+                if i >= tail and (run[i] > 2 or not token[tail:].strip("!.-_*")):
+                    arcs.append((None, GAP))
+            elif o in " .-_*":
+                arcs += [(None, GAP), (o, GAP)]
             else:
                 arcs.append((o, SIGNED))
             then: dict[tuple[int, int, str], tuple[float, tuple]] = {}
@@ -101,7 +101,8 @@ class CharModel:
                     else:
                         k = 27 if ord(c) > 127 else int(CLASS[ord(c)])
                         again = c == last and run[i] > 2
-                        options = [((b, k, c), p + cost + self.logs[a][b][k] + (REPEAT if again else 0), (path, c))]
+                        price = GAP if c.isdigit() and last.isdigit() else cost  # a number is kept as one
+                        options = [((b, k, c), p + price + self.logs[a][b][k] + (REPEAT if again else 0), (path, c))]
                         if again:
                             options.append(((a, b, last), p + DROP, path))
                     for state, q, way in options:
@@ -132,22 +133,20 @@ def disguised(buf: np.ndarray) -> list[tuple[int, int]]:
         return []
     letter, sign, apart = LETTER[buf], SIGN[buf], APART[buf]
     mark = np.zeros(n, bool)
-    mark[:-1] |= sign[:-1] & letter[1:]
+    mark |= sign | apart
     mark[2:] |= (buf[2:] == buf[1:-1]) & (buf[1:-1] == buf[:-2]) & letter[2:] & (buf[2:] < 128)
-    if n >= 7:
-        mark[3:-3] |= letter[:-6] & apart[1:-5] & letter[2:-4] & apart[3:-3] & letter[4:-2] & apart[5:-1] & letter[6:]
     s, e = spans(buf)
     found: list[tuple[int, int]] = []
     if mark.any():
         before = np.concatenate([[0], np.cumsum(mark)])
         before_letter = np.concatenate([[0], np.cumsum(letter)])
-        hit = (before[e] > before[s]) & (before_letter[e] - before_letter[s] >= 2)
+        hit = (before[e] > before[s]) & (before_letter[e] - before_letter[s] >= 1)
         found += list(zip(s[hit].tolist(), e[hit].tolist()))
     single = (e - s == 1) & (letter[s] | sign[s])
     if single.any():
         edge = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
         for a, z in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-            if z - a >= 4 and letter[s[a:z]].any():
+            if z - a >= 3 and letter[s[a:z]].any():
                 found.append((int(s[a]), int(e[z - 1])))
     return sorted(found)
 

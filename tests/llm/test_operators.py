@@ -293,6 +293,16 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(docs, none, chars).count() == len(TEXTS) + 2 and toxicity.score(empty, none, chars).count() == 0
 
 
+def test_every_token_with_signs_is_decoded():
+    text = b"we hate it and they hate him . oh shit what a moron . such a idiot is an ass . well known room and the old room . " * 40
+    chars = toxicity.CharModel(toxicity.char_counts([text]))
+    told = {
+        "hat3": "hate", "sh!7": "shit", "a$$": "ass", "id-iot": "idiot", "mo.ron": "moron", "a.s.s": "ass", "such a m o r o n": "such a moron", "an a s s": "an ass",
+        "m.o.r.o.n!!": "moron", "the!!": "the", "well-known room101": "well-known room101", "1d10t": "idiot", "plain": "plain",
+    }
+    assert {t: toxicity.restore(t.encode(), chars).decode() for t in told} == told
+
+
 def test_quality(spark, docs, empty):
     text = {0: "zz zz zz !! zz", 1: "plain words zz and others", 2: "a calm and even sentence about rivers"}
     rows = [(i, f"{text[i % 3]} v{i % 11}") for i in range(600)]
