@@ -194,7 +194,7 @@ a AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orde
 SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' WHEN a.s <> b.s THEN 'changed' ELSE 'unchanged' END AS kind FROM b FULL OUTER JOIN a ON a.id = b.id""")
 def snapshot_diff(spark, d):
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
-    b, a = o.where("id % 7 <> 0"), o.where("id % 11 <> 0").withColumn("s", F.when(F.col("id") % 5 == 0, "X").otherwise(F.col("s")))
+    b, a = o.where("id % 7 <> 0"), o.where("id % 11 <> 0 or id % 7 = 0").withColumn("s", F.when(F.col("id") % 5 == 0, "X").otherwise(F.col("s")))
     return snapshots.diff(b, a, ["s", "p"]).select("id", "kind")
 
 
@@ -210,7 +210,7 @@ i AS (SELECT DISTINCT event_type FROM events WHERE event_type < 'p')
 SELECT id FROM c UNION ALL SELECT id FROM p WHERE id NOT IN (SELECT id FROM c) AND len(list_filter(sources, lambda s: s >= 'p')) = 0""")
 def retain_unfetched(spark, d):
     e = t(spark, d, "events")
-    p = e.where("event_id % 3 <> 0").groupBy(F.col("user_id").alias("id")).agg(F.collect_set("event_type").alias("sources"))
+    p = e.where("event_id % 3 <> 0 or event_id % 5 <> 0").groupBy(F.col("user_id").alias("id")).agg(F.collect_set("event_type").alias("sources"))
     c = e.where("event_id % 5 = 0").select(F.col("user_id").alias("id")).distinct()
     return snapshots.retain(p, c, e.where("event_type < 'p'").select(F.col("event_type").alias("source")).distinct()).select("id")
 
@@ -218,8 +218,8 @@ def retain_unfetched(spark, d):
 @query("""SELECT user_id, event_type, least(min(CASE WHEN event_id % 2 = 0 THEN ts END), min(CASE WHEN event_id % 2 = 1 THEN ts END)) AS first_seen FROM events GROUP BY 1, 2 HAVING count(CASE WHEN event_id % 2 = 0 THEN 1 END) > 0""")
 def carry_forward_first_seen(spark, d):
     e = t(spark, d, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("external_id"), F.col("ts").alias("first_seen"), "event_id")
-    now = e.where("event_id % 2 = 0").groupBy("source", "external_id").agg(F.min("first_seen").alias("first_seen"))
-    out = snapshots.carry_forward(now, e.where("event_id % 2 = 1").drop("event_id"))
+    now = e.groupBy("source", "external_id").agg(F.max("first_seen").alias("first_seen"))  # as a new pull dates them
+    out = snapshots.carry_forward(now, e.drop("event_id"))
     return out.select(F.col("external_id").alias("user_id"), F.col("source").alias("event_type"), "first_seen")
 
 

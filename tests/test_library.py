@@ -182,3 +182,18 @@ def test_ranks_of_all_parts(spark, tmp_path):
     assert got == want and len(got) == 300
     unknown = [r for r in got if r[0] % 5 == 0]
     assert len(unknown) == 60 and all(r[1] > 240 and r[2] > 240 for r in unknown)
+
+
+def test_snapshots_hold_every_row(spark, tmp_path):
+    from feedloom.plans import queries as q
+
+    spark.range(1, 155).selectExpr("id AS o_orderkey", "'O' AS o_orderstatus", "'1' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    kinds = {r.id: r.kind for r in q.QUERIES["snapshot_diff"](spark, str(tmp_path)).collect()}
+    assert set(kinds) == set(range(1, 155)) and (kinds[77], kinds[7], kinds[11], kinds[5], kinds[6]) == ("added", "added", "removed", "changed", "unchanged")
+    # user = event_id; user 9 is seen only by an event divisible by 3 and not by 5
+    rows = [(i, i, "click" if i != 4 else "view") for i in (1, 3, 4, 5, 9, 15)]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, event_type string").withColumn("ts", (F.lit(1700000000) + F.col("event_id")).cast("timestamp"))
+    e.unionByName(e.withColumn("ts", F.col("ts") + F.expr("interval 1 day"))).write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.id for r in q.QUERIES["retain_unfetched"](spark, str(tmp_path)).collect()} == {1, 3, 5, 9, 15}
+    seen = {(r.user_id, r.event_type): r.first_seen.timestamp() for r in q.QUERIES["carry_forward_first_seen"](spark, str(tmp_path)).collect()}
+    assert len(seen) == 6 and seen == {(r.user_id, r.event_type): r.t for r in e.selectExpr("user_id", "event_type", "unix_timestamp(ts) AS t").collect()}
