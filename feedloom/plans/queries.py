@@ -234,7 +234,7 @@ def weekly_digest(spark, d):
 l AS (SELECT vertical, week_of, arg_max(n, version) AS n FROM w GROUP BY 1, 2) SELECT vertical, week_of, n FROM (SELECT *, row_number() OVER (PARTITION BY vertical ORDER BY week_of DESC) AS r FROM l) WHERE r <= 3""")
 def merge_digests_lww(spark, d):
     w = t(spark, d, "events").groupBy(F.col("event_type").alias("vertical"), D.week_of(F.col("ts")).alias("week_of"), (F.col("event_id") % 2).alias("v")).agg(F.count("*").alias("n"))
-    return snapshots.merge_digests(w.where("v = 0").drop("v"), w.where("v = 1").drop("v"), 3)
+    return snapshots.merge_digests(w.where("v = 0").drop("v"), w.where("v = 1").drop("v"))
 
 
 @query("""WITH g AS (SELECT o_custkey, o_orderpriority, min(o_orderdate) AS a, max(o_orderdate) AS b, count(*) AS n, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders GROUP BY 1, 2)

@@ -197,3 +197,13 @@ def test_snapshots_hold_every_row(spark, tmp_path):
     assert {r.id for r in q.QUERIES["retain_unfetched"](spark, str(tmp_path)).collect()} == {1, 3, 5, 9, 15}
     seen = {(r.user_id, r.event_type): r.first_seen.timestamp() for r in q.QUERIES["carry_forward_first_seen"](spark, str(tmp_path)).collect()}
     assert len(seen) == 6 and seen == {(r.user_id, r.event_type): r.t for r in e.selectExpr("user_id", "event_type", "unix_timestamp(ts) AS t").collect()}
+
+
+def test_digests_of_two_years_stay(spark, tmp_path):
+    from feedloom.plans import queries as q
+
+    e = spark.range(110 * 2).selectExpr("id AS event_id", "'click' AS event_type", "timestamp'2024-01-01 12:00:00' + make_interval(0, 0, cast(id div 2 as int)) AS ts")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(r.week_of for r in q.QUERIES["merge_digests_lww"](spark, str(tmp_path)).collect())
+    weeks = sorted({r.w for r in e.selectExpr("cast(date_trunc('week', ts) as date) AS w").collect()})
+    assert len(weeks) == 110 and got == weeks[-104:]
