@@ -1,40 +1,7 @@
-"""Connected components of an edge table by alternating stars.
-
-Each round is two aggregations and joins on the edges (large-star, then small-star, Kiveris et al. 2014); it ends when no edge
-changes.  A hub with very many neighbours is aggregated before the shuffle, and its edges are joined, so that adaptive execution can
-split them.  Nothing but two numbers a round comes to the driver.
-"""
+"""Connected components of an edge table: those of the library."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .shared import materialize
-
-
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).collect()[0]
-    return int(r[0]), int(r[1])
-
+from ..operators.components import resolve as components
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of the edges (u, v) but each component's smallest, which is its name."""
-    e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = _mark(e)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
-        # large-star: every node ties its larger neighbours to its smallest neighbour
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small-star: every node ties its smaller neighbours and itself to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(tied.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = _mark(e)
-        if now == seen:
-            break
-        seen = now
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+__all__ = ["components"]

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, session, table
+from .shared import free_name, materialize, own, session, table
 
 GRAM, SPAN = 5, 6
 WINDOW = GRAM + SPAN - 1
@@ -116,7 +116,8 @@ def op7_decontam(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with the benchmark."""
-    per = hits(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("pd"), F.col("th").alias("pt"))
+    """Documents that share no window with the benchmark, with all their columns."""
+    id_, th = free_name(docs, "id"), free_name(docs, "th")
+    per = hits(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(id_), F.col("th").alias(th))
     key = F.xxhash64("text")
-    return docs.join(per, F.col("doc_id").eqNullSafe(F.col("pd")) & (key == F.col("pt")), "left_anti").select(*docs.columns)
+    return docs.join(per, F.col("doc_id").eqNullSafe(F.col(id_)) & (key == F.col(th)), "left_anti").select(*own(docs))

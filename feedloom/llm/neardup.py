@@ -15,7 +15,7 @@ inside a component is ever made, and no link between components is lost.
 
 Defined results: null, empty and blank texts have an empty set, n_shingles 0, and are linked with nothing; fewer words
 than a shingle make one shingle; rows without doc_id are linked with nothing (component_id null, kept true); equal rows
-with one id all remain and name that id; extra columns are ignored, and ``stage`` passes them through.
+with one id all remain and name that id; ids are whole numbers; texts of any length take part whole; extra columns are ignored, and ``stage`` passes them through.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, session, table
+from .shared import materialize, own, session, table
 from .words import LOWER, PLAIN, U, hashed, mix, rolled, texts_of
 
 WORDS, SIMILARITY = 5, 0.8
@@ -332,4 +332,4 @@ def op2_neardup(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id."""
     kept = cluster(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return docs.join(kept, "doc_id", "left_semi").select(*own(docs)).unionByName(docs.where("doc_id is null"))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name, literal_table, materialize, session, table
+from .shared import free_name, literal_table, materialize, session, set_aside, table
 
 SHARDS, BLOCKS, PARTS, SEED = 24, 1024, 256, 20_240_917
 
@@ -60,31 +60,32 @@ def communication_matrix(sizes: list[int], capacities: list[int], seed: int) ->
 def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, blocks: int = BLOCKS, parts: int = PARTS) -> DataFrame:
     """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (place in the shard, from 0, without gaps)."""
     spark = session(df.sparkSession)
-    pos, block, rank, part, base = (free_name(df, x) for x in ("pos", "block", "rank", "part", "base"))
+    df = set_aside(df, "shard", "slot")
+    pos, block, rank, part, base, b_, cuts_, s_, p_ = (free_name(df, x) for x in ("pos", "block", "rank", "part", "base", "b", "cuts", "s", "p"))
     placed = df.withColumn(pos, F.monotonically_increasing_id()).withColumn(block, F.pmod(F.spark_partition_id(), F.lit(blocks)))
     placed = materialize(placed)  # places are drawn once: a recomputed task finds the same ones
-    counts = sorted((r[0], r[1]) for r in placed.groupBy(block).count().collect())  # at most ``blocks`` rows
+    counts = sorted((r[0], r[1]) for r in placed.groupBy(block).agg(F.count("*")).collect())  # at most ``blocks`` rows
     total = sum(n for _, n in counts)
     capacities = [total // shards + (s < total % shards) for s in range(shards)]
     drawn = communication_matrix([n for _, n in counts], capacities, seed).cumsum(1)
-    cuts = literal_table(spark, [{"b": b, "cuts": drawn[i].tolist()} for i, (b, _) in enumerate(counts)], "b int, cuts array<long>")
+    cuts = literal_table(spark, [{"b": b, "cuts": drawn[i].tolist()} for i, (b, _) in enumerate(counts)], "b int, cuts array<long>").toDF(b_, cuts_)
     local = Window.partitionBy(block).orderBy(F.xxhash64(F.col(pos), F.lit(seed)), pos)
     dealt = (
         placed.withColumn(rank, F.row_number().over(local) - 1)
-        .join(F.broadcast(cuts), F.col(block) == F.col("b"))  # blocks x shards numbers at most
-        .withColumn("shard", F.expr(f"cast(size(filter(cuts, c -> c <= `{rank}`)) as int)"))
+        .join(F.broadcast(cuts), F.col(block) == F.col(b_))  # blocks x shards numbers at most
+        .withColumn("shard", F.expr(f"cast(size(filter(`{cuts_}`, c -> c <= `{rank}`)) as int)"))
         .withColumn(part, F.pmod(F.xxhash64(F.col(pos), F.lit(seed + 1)), F.lit(parts)).cast("int"))
-        .drop("b", "cuts", block, rank)
+        .drop(b_, cuts_, block, rank)
     )
     dealt = materialize(dealt)
-    before = dealt.groupBy(F.col("shard").alias("s"), F.col(part).alias("p")).count()
-    before = before.select("s", "p", (F.sum("count").over(Window.partitionBy("s").orderBy("p")) - F.col("count")).alias(base))
+    before = dealt.groupBy(F.col("shard").alias(s_), F.col(part).alias(p_)).agg(F.count("*").alias(base))
+    before = before.withColumn(base, F.sum(base).over(Window.partitionBy(s_).orderBy(p_)) - F.col(base))
     inside = Window.partitionBy("shard", part).orderBy(F.xxhash64(F.col(pos), F.lit(seed + 2)), pos)
     return (
         dealt.withColumn("slot", F.row_number().over(inside) - 1)
-        .join(F.broadcast(before), (F.col("shard") == F.col("s")) & (F.col(part) == F.col("p")))  # shards x parts rows at most
+        .join(F.broadcast(before), (F.col("shard") == F.col(s_)) & (F.col(part) == F.col(p_)))  # shards x parts rows at most
         .withColumn("slot", (F.col("slot") + F.col(base)).cast("long"))
-        .drop("s", "p", base, part, pos)
+        .drop(s_, p_, base, part, pos)
     )
 
 

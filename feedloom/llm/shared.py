@@ -1,14 +1,14 @@
-"""Storage that every executor can reach, and small plan helpers."""
+"""Small plan helpers that the operators share."""
 
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, release, shared_dir  # noqa: F401
+
 #: Rows in an Arrow batch that goes to Python: texts can be long, so batches are short.
 ARROW_ROWS = 256
 
@@ -19,23 +19,6 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where the setting is missing, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="feedloom-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/feedloom-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A few driver-side rows as a table, without Python workers."""
     text = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
@@ -57,3 +40,17 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def own(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever signs their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with its own columns of these names (whatever their case) renamed to a free name: ``shard`` becomes ``__shard``."""
+    taken = {c.lower(): c for c in df.columns}
+    for n in names:
+        if n in taken:
+            df = df.withColumnRenamed(taken[n], free_name(df, n))
+    return df

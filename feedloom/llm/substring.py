@@ -14,7 +14,8 @@ Skew: texts with equal words form a class first, and only the one with the small
 removed whole.  Counting is summed map-side; the joins that follow are plain equi-joins that adaptive execution can split.
 
 Defined results: null and blank texts have no words (the digest of the empty string); texts shorter than a window lose nothing;
-rows without doc_id lose nothing and remove nothing; rows that share an id never remove each other's words; extra
+rows without doc_id lose nothing and remove nothing; rows that share an id never remove each other's words; ids are
+whole numbers; texts of any length are judged whole, cut only at white space while they are hashed; extra
 columns are ignored, and ``stage`` passes them through.
 """
 
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, session, table
+from .shared import free_name, materialize, own, session, table
 from .words import U, hashed, mix, rolled, texts_of, window_sums
 
 WINDOW, GRAM, ROWS, ROOM, RANGE = 50, 8, 2, 8, 250_000
@@ -229,13 +230,17 @@ def op4_substring(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of repeated windows; those that lose all their words go, untouched texts stay as they are."""
+    """Documents without the words of repeated windows; those that lose all their words go, untouched texts stay as they are.
+
+    Columns of any name pass through; ``n_chars``, where there is one, follows the text.
+    """
     _, lost = repeats(docs)
-    lost = lost.select(F.col("doc_id").alias("id"), F.col("w").alias("key"), "kept")
+    mine, id_, key, kept = (free_name(docs, x) for x in ("w", "id", "key", "kept"))
+    lost = lost.select(F.col("doc_id").alias(id_), F.col("w").alias(key), F.col("kept").alias(kept))
     words = F.array_join(F.array_remove(F.split("text", r"[ \t-\r]+"), ""), " ")
-    key = F.conv(F.substring(F.sha2(words, 256), 1, 16), 16, -10).cast("long")  # as _row_key
-    joined = docs.withColumn("__w", key).join(lost, (F.col("doc_id") == F.col("id")) & (F.col("__w") == F.col("key")), "left")
-    out = joined.where("kept is null or kept <> ''").withColumn("text", F.coalesce("kept", "text"))
+    hashed_ = F.conv(F.substring(F.sha2(words, 256), 1, 16), 16, -10).cast("long")  # as _row_key
+    joined = docs.withColumn(mine, hashed_).join(lost, (F.col("doc_id") == F.col(id_)) & (F.col(mine) == F.col(key)), "left")
+    out = joined.where(F.col(kept).isNull() | (F.col(kept) != "")).withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*own(docs))
