@@ -10,7 +10,8 @@ The label model uses at most ``sample_rows`` labelled rows (a documented bound,
 first); rows whose crc32(doc_id as text) mod 4 is 2 are held out.  labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts score as texts without any known sign (the intercept); rows without id are scored and count as not
-held out, but are not learnt from; an id labelled twice is toxic if one label says so; without labels, or with one
+held out, but are not learnt from; an id labelled twice is toxic if one label says so; an id on several rows is one example; texts of any
+length are decoded and scored whole, in pieces cut at white space; extra columns are ignored; without labels, or with one
 class only, the score is the smoothed share of toxic rows.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_of_id, session, table
+from .shared import crc_of_id, materialize, session, table
 from .words import BLOCK, LETTER, LOWER, SPACE, U, _cuts, mix, powers, prefix_sums, spans, texts_of
 
 SAMPLE_ROWS, MAX_FEATURES, LEAST_DOCS, SEED, CUT = 8000, 4000, 4, 7, 0.3
@@ -215,34 +216,23 @@ class Toxic:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, rounds: int = 300) -> Toxic:
-    """Pick the signs that labels single out, then weigh them by penalised logistic regression."""
+def fit(rows: list[np.ndarray], toxic: np.ndarray, hashes: np.ndarray, rounds: int = 300) -> Toxic:
+    """Weigh the picked signs (``rows``: each text's places in ``hashes``) by penalised logistic regression."""
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     base = math.log((n1 + 0.5) / (n0 + 0.5)) if len(rows) else -20.0
     if not n1 or not n0:
         return Toxic(intercept=base)
-    all_of, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    bad = np.bincount(inverse, toxic[owner].astype(float), len(all_of))
-    good = np.bincount(inverse, None, len(all_of)) - bad
-    share = (bad + 0.5) / (n1 + 1) / ((good + 0.5) / (n0 + 1))
-    z = (bad / n1 - good / n0) / np.sqrt((bad + good + 1) / (n1 + n0) * (1 / n1 + 1 / n0))
-    pick = np.flatnonzero((bad >= LEAST_DOCS) & (share > 6) & (z > 4.5))
-    pick = np.sort(pick[np.argsort(-z[pick], kind="stable")][:MAX_FEATURES])
-    place = np.full(len(all_of), -1)
-    place[pick] = np.arange(len(pick))
-    col, row = place[inverse], owner
-    row, col = row[col >= 0], col[col >= 0]
-    w, b, y = np.zeros(len(pick)), base, toxic.astype(float)
-    m, v = np.zeros(len(pick) + 1), np.zeros(len(pick) + 1)
+    col = np.concatenate([np.asarray(r, np.int64) for r in rows])
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    w, b, y = np.zeros(len(hashes)), base, toxic.astype(float)
+    m, v = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1)
     for t in range(1, rounds + 1):
         s = b + np.bincount(row, w[col], len(rows))
         d = 1 / (1 + np.exp(-np.clip(s, -40, 40))) - y
-        g = np.append(np.bincount(col, d[row], len(pick)) + 0.02 * w, d.sum()) / len(rows)
+        g = np.append(np.bincount(col, d[row], len(hashes)) + 0.02 * w, d.sum()) / len(rows)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, b = np.maximum(w - step[:-1], 0), b - step[-1]
-    hashes = all_of[pick]
     gate = np.zeros(1 << 16, bool)
     gate[hashes >> U(48)] = True
     return Toxic(hashes, w, float(b), gate)
@@ -267,19 +257,46 @@ def char_model(docs: DataFrame) -> CharModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, chars: CharModel, sample_rows: int = SAMPLE_ROWS) -> Toxic:
+    """Fit on at most ``sample_rows`` labelled ids.  Signs are counted by class in Spark; the driver sees the picked ones (MAX_FEATURES at most) and their places."""
+    session(docs.sparkSession)
     held_out = F.pmod(crc_of_id("doc_id"), F.lit(4)) == 2
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     some = marked.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample_rows)
     held = docs.sparkSession.sparkContext.broadcast(chars)  # KINDS**3 numbers
 
-    def collect_signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [signs(restore(t, held.value)).tobytes() for t in texts_of(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], ["signs", "y"])
+            found = [signs(restore(t, held.value)).view(np.int64) for t in texts_of(b.column(1))]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists], ["doc_id", "y", "signs"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "y").mapInArrow(collect_signs, "signs binary, y int").limit(sample_rows).collect()
-    rows.sort(key=lambda r: (r["y"], bytes(r["signs"])))
-    return fit([np.frombuffer(r["signs"], U) for r in rows], np.array([r["y"] for r in rows], int))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "y")  # sample_rows rows at most
+    seen = joined.mapInArrow(signs_of, f"doc_id {kind}, y int, signs array<long>")
+    seen = materialize(seen.groupBy("doc_id").agg(F.first("y").alias("y"), F.min("signs").alias("signs")))  # an id on several rows is one example
+    n = {r["y"]: r["n"] for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
+    if not n1 or not n0:
+        return fit([np.empty(0, int)] * (n1 + n0), np.repeat([1, 0], [n1, n0]), np.empty(0, U))
+    by = seen.select("y", F.explode("signs").alias("sign")).groupBy("sign").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")).where(F.col("bad") >= LEAST_DOCS)
+    share = (F.col("bad") + 0.5) / (n1 + 1) / ((F.col("good") + 0.5) / (n0 + 1))
+    z = (F.col("bad") / n1 - F.col("good") / n0) / F.sqrt((F.col("bad") + F.col("good") + 1) / (n1 + n0) * (1 / n1 + 1 / n0))
+    top = by.withColumn("z", z).where((share > 6) & (F.col("z") > 4.5)).orderBy(F.desc("z"), "sign").limit(MAX_FEATURES).select("sign").collect()
+    hashes = np.sort(np.array([r["sign"] for r in top], np.int64).view(U))
+    picked = docs.sparkSession.sparkContext.broadcast(hashes)
+
+    def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for x in b.column(1).to_pylist():
+                x = np.array(x, np.int64).view(U)
+                at = np.minimum(np.searchsorted(picked.value, x), max(0, len(picked.value) - 1))
+                found.append(at[picked.value[at] == x].tolist() if len(picked.value) else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["y", "at"])
+
+    rows = seen.select("y", "signs").mapInArrow(places_of, "y int, at array<int>").collect()  # sample_rows rows of a few places
+    rows.sort(key=lambda r: (r["y"], r["at"]))
+    return fit([np.array(r["at"], int) for r in rows], np.array([r["y"] for r in rows], int), hashes)
 
 
 def score(docs: DataFrame, model: Toxic, chars: CharModel) -> DataFrame:
