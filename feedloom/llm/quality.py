@@ -4,11 +4,11 @@ P(grade <= k) = 1 / (1 + exp(s(text) - t_k)): one weight vector shared by all gr
 ordered thresholds t_0 < t_1 < ...  The expected grade and the tail probability P(grade >= cut) follow.  Features of a
 text are the shares, among its byte trigrams, of each hashed trigram, and the share of words equal to the word before.
 
-The fit uses at most ``sample_rows`` labelled rows, those with the smallest hash of their id (a documented bound, the
-default is SAMPLE_ROWS); scoring is one pass over whole texts with the fixed-size weights.
+The fit uses at most ``sample_rows`` labelled rows, those with the smallest hash of their id, as far as they hold ``sample_cells`` features
+(documented bounds, SAMPLE_ROWS and SAMPLE_CELLS by default); scoring is one pass over whole texts with the fixed-size weights.
 
 Defined results: a null or empty text has no features, so its score is the intercept alone; rows without an id or rating are not
-learnt from; an id rated twice is learnt at its lowest grade; ratings of one grade only, or none, give that grade (or 0) to all with tail 1 (keep) for
+learnt from; an id rated twice is learnt at its lowest grade, an id on several rows is one example; texts of any length count whole; ratings of one grade only, or none, give that grade (or 0) to all with tail 1 (keep) for
 want of evidence; extra columns pass through ``score`` untouched.  Ratings, language, source and id are no inputs of a score.
 """
 
@@ -19,13 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import session, table
+from .shared import free_name, materialize, own, session, set_aside, table
 from .words import BLOCK, LOWER, U, hashed, texts_of
 
-BITS, SAMPLE_ROWS, ROUNDS, RIDGE, SEED = 15, 4000, 160, 1e-4, 11
+BITS, SAMPLE_ROWS, SAMPLE_CELLS, ROUNDS, RIDGE, SEED = 15, 4000, 8_000_000, 160, 1e-4, 11
 KEEP_TAIL = 0.5
 REPEATS = 1 << BITS  # the feature that follows the hashed trigrams
 SCALE = np.float32(30.0)
@@ -130,25 +131,34 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], ratings: np.ndarray, rounds:
     return Ordinal(par[: REPEATS + 1], np.cumsum(np.concatenate([[par[REPEATS + 1]], np.exp(par[REPEATS + 2 :])])), grades)
 
 
-def train(docs: DataFrame, ratings: DataFrame, rating: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Ordinal:
-    """Fit on the texts of at most ``sample_rows`` rated ids."""
+def train(docs: DataFrame, ratings: DataFrame, rating: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_cells: int = SAMPLE_CELLS) -> Ordinal:
+    """Fit on the texts of at most ``sample_rows`` rated ids, as far as they hold ``sample_cells`` features together."""
     session(docs.sparkSession)
     rated = ratings.where(F.col("doc_id").isNotNull() & F.col(rating).isNotNull()).groupBy("doc_id").agg(F.min(F.col(rating).cast("double")).alias("y"))
     some = rated.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample_rows)
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "y")  # sample_rows rows at most
+    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "y")  # sample_rows rows at most
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = features(texts_of(b.column(0)))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary())], ["y", "idx", "val"])
-
-    got = joined.mapInArrow(sparse, "y double, idx binary, val binary").limit(sample_rows).collect()
+            rows = features(texts_of(b.column(1)))
+            cols = [pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], ["doc_id", "y", "n", "idx", "val"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = joined.mapInArrow(sparse, f"doc_id {kind}, y double, n long, idx binary, val binary")
+    rows = materialize(rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct("n", "idx", "val")).alias("x")).select("doc_id", "y", "x.*"))  # an id on several rows is one example
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id"))  # sample_rows pairs of numbers
+    within = rows.select("doc_id", "n").withColumn("upto", upto).where(F.col("upto") - F.col("n") <= sample_cells).select("doc_id")
+    got = rows.join(within, "doc_id", "left_semi").collect()  # sample_cells numbers and one row more
     got.sort(key=lambda r: (r["y"], bytes(r["idx"]), bytes(r["val"])))
     return fit([(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32)) for r in got], np.array([r["y"] for r in got]))
 
 
-def score(docs: DataFrame, model: Ordinal, cut: float | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with expected_grade, tail_prob = P(grade >= cut) (cut: the highest grade) and keep = tail_prob >= KEEP_TAIL."""
+def score(docs: DataFrame, model: Ordinal, cut: float | None = None, text: str = "text", names: tuple[str, str, str] = ("expected_grade", "tail_prob", "keep")) -> DataFrame:
+    """``docs`` with expected_grade, tail_prob = P(grade >= cut) (cut: the highest grade) and keep = tail_prob >= KEEP_TAIL.
+
+    Input columns of these ``names`` come out under their name with underscores before it.
+    """
     session(docs.sparkSession)
     k = len(model.cuts)
     at = (k - 1) if cut is None else int(np.searchsorted(model.grades[1:], cut))
@@ -160,12 +170,11 @@ def score(docs: DataFrame, model: Ordinal, cut: float | None = None, text: str =
             m = held.value
             s = m.raw(texts_of(b.column(b.schema.get_field_index(text))))
             tail = m.tails(s)[:, at] if 0 <= at < k else np.ones(len(s))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.expected(s)), pa.array(tail), pa.array(tail >= KEEP_TAIL)], [*b.schema.names, "expected_grade", "tail_prob", "keep"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m.expected(s)), pa.array(tail), pa.array(tail >= KEEP_TAIL)], [*b.schema.names, *names])
 
-    clash = {"expected_grade", "tail_prob", "keep"}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in clash])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, expected_grade double, tail_prob double, keep boolean")
+    docs = set_aside(docs, *names)
+    kinds = [T.StructField(n, t) for n, t in zip(names, (T.DoubleType(), T.DoubleType(), T.BooleanType()))]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *kinds]))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
@@ -176,6 +185,5 @@ def op10_quality(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps, with the columns they came with."""
-    model = train(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    return score(docs, model).where("keep").select(*names)
+    names = tuple(free_name(docs, x) for x in ("grade", "tail", "stays"))
+    return score(docs, train(docs, table(spark, sf_dir, "labels")), names=names).where(F.col(names[2])).select(*own(docs))
