@@ -2,14 +2,14 @@
 
 Texts become words (lower-case ASCII letters, digits, any other character above ASCII).  Of each window of SPAN consecutive word 5-grams
 (10 words in all) the smallest hash is kept.  Equal windows keep equal hashes, so documents and items that share 10 words
-share a fingerprint.  A join on fingerprints gives pairs of document and item; each pair is then extended: every window of the item is looked up
-in the whole document, by hash and then word by word, and all words of the occurrences count as hit.
+share a fingerprint.  A join on fingerprints names the documents that may share one; their windows are then looked up among the items' windows, with their
+places, in one join on 128-bit hashes, and all words of the occurrences count as hit.  Neither join makes a pair of document and item but those that the result names.
 Items of fewer than 10 words are one window; their own length's grams are joined in full, for each length that occurs.
 
-Broadcasts happen only where a count shows at most BROADCAST_ROWS small rows; beyond it the same joins shuffle.
+Broadcasts happen only where a sum shows at most BROADCAST_BYTES; beyond it the same joins shuffle.
 
 Defined results: null, empty and word-less texts have no words and hit nothing; items without id or words are left out; items
-that repeat an id count once; rows that repeat an id are judged each on its own text; extra columns are ignored, and
+that repeat an id count once; rows that repeat an id are judged each on its own text; texts of any length are judged whole; extra columns are ignored, and
 ``stage`` passes them through.
 """
 
@@ -22,7 +22,7 @@ from .shared import free_name, materialize, own, session, table
 
 GRAM, SPAN = 5, 6
 WINDOW = GRAM + SPAN - 1
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 COUNT_GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,51 +62,57 @@ def grams_of(words: Column, n: int) -> Column:
     return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.array_distinct(one(h)))
 
 
+def windows_of(words: Column, n: int) -> Column:
+    """Both hashes of every run of n words, in order."""
+
+    def rolled(*salt: Column) -> Column:
+        return _let(F.transform(words, lambda w: F.xxhash64(*salt, w)), lambda h: h if n == 1 else _ahead(h, n, lambda *x: F.xxhash64(*x)))
+
+    return F.zip_with(rolled(), rolled(F.lit(1)), lambda a, b: F.struct(a.alias("h"), b.alias("g")))
+
+
 def _small(df: DataFrame) -> DataFrame:
-    """Broadcast only behind a count."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """Broadcast only behind a sum of bytes."""
+    wide = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) if f.dataType.simpleString() == "string" else F.lit(8) for f in df.schema]
+    size = df.agg(F.sum(sum(wide[1:], wide[0]) + 16)).collect()[0][0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), n_hit, items (sorted distinct ids as strings) for the documents that share a window."""
+    """doc_id, th (hash of the text), n_hit, items (sorted distinct ids as strings) for the documents that share a window.
+
+    Fingerprints alone, without items, name the documents that take part; then each of these meets all windows of the items in one join on hashes
+    of 128 bits: the places of windows that match give the hit words, and the distinct pairs of document and item the items.
+    """
     session(docs.sparkSession)
-    items = benchmark.where("item_id is not null").select("item_id", words_of("text").alias("iw")).where("size(iw) > 0").distinct()
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words_of("text").alias("iw")).where("size(iw) > 0").distinct()
     items = materialize(items.withColumn("span", F.least(F.lit(WINDOW), F.size("iw"))))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    id_ = lambda df: F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("th") == F.col("pt"))
     spans = sorted(r[0] for r in items.select("span").distinct().collect())  # WINDOW values at most
-    found = []
+    found = None
     for n in spans:
+        own = items.where(F.col("span") == n)
         make = fingerprints if n == WINDOW else (lambda w, n=n: grams_of(w, n))
-        theirs = materialize(items.where(F.col("span") == n).select("item_id", F.explode(make(F.col("iw"))).alias("fp")))
+        theirs = materialize(own.select(F.explode(make(F.col("iw"))).alias("fp")).distinct())
         ours = keyed.select("doc_id", "th", F.explode(make(words_of("text"))).alias("fp"))
-        found.append(ours.join(_small(theirs), "fp").select("doc_id", "th", "item_id"))
-    if not found:
+        near = materialize(ours.join(_small(theirs), "fp", "left_semi").select("doc_id", "th").distinct())
+        windows = materialize(own.select("item_id", F.explode(windows_of(F.col("iw"), n)).alias("w")).select("item_id", "w.h", "w.g").distinct())
+        some = keyed.join(_small(near.toDF("pd", "pt")), id_(keyed), "left_semi")
+        placed = some.select("doc_id", "th", F.posexplode(windows_of(words_of("text"), n)).alias("at", "w")).select("doc_id", "th", "at", "w.h", "w.g")
+        met = materialize(placed.join(_small(windows.select("h", "g").distinct()), ["h", "g"], "left_semi").distinct())
+        places = met.groupBy("doc_id", "th").agg(F.collect_list(F.sequence(F.col("at"), F.col("at") + n - 1)).alias("runs"))
+        pairs = met.select("doc_id", "th", "h", "g").distinct().join(_small(windows), ["h", "g"]).groupBy("doc_id", "th").agg(F.collect_set("item_id").alias("ids"))
+        both = places.select("doc_id", "th", F.array_distinct(F.flatten("runs")).alias("places")).join(pairs.toDF("pd", "pt", "ids"), id_(places)).select("doc_id", "th", "places", "ids")
+        found = both if found is None else found.unionByName(both)
+    if found is None:
         return keyed.select("doc_id", "th", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")).where("false")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = materialize(pairs.distinct())
-    p = _small(pairs.toDF("pd", "pt", "item_id"))
-    both = keyed.join(p, F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("th") == F.col("pt"))).join(_small(items), "item_id")
-    span = F.col("span")
-    windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - span), lambda i: F.slice(w, i + 1, span))
-
-    def starts(dw: Column) -> Column:
-        """Places of the document where a window of the item stands: by hash, then word by word."""
-        find = lambda win, keys: F.filter(
-            F.sequence(F.lit(0), F.greatest(F.size(dw) - span, F.lit(0))),
-            lambda at: _let(F.slice(dw, at + 1, span), lambda x: F.array_contains(keys, F.xxhash64(x)) & F.array_contains(win, x)),
-        )
-        return _let(windows(F.col("iw")), lambda win: _let(F.transform(win, lambda x: F.xxhash64(x)), lambda keys: find(win, keys)))
-
-    both = both.select("doc_id", "th", "item_id", "span", _let(words_of("text"), starts).alias("starts")).where("size(starts) > 0")
-    places = both.select("doc_id", "th", "item_id", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + span - 1)))).alias("places"))
-    per = places.groupBy("doc_id", "th").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    return per
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    return found.groupBy("doc_id", "th").agg(F.size(union("places")).cast("long").alias("n_hit"), F.array_sort(union("ids")).alias("items"))
 
 
 def op7_decontam(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     per = hits(docs, table(spark, sf_dir, "benchmark")).toDF("pd", "pt", "n_hit", "items")
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), count_of("text").alias("n_words"))
     out = rows.join(per, F.col("doc_id").eqNullSafe(F.col("pd")) & (F.col("th") == F.col("pt")), "left")
