@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import free_name, materialize, own, session, table
 from .words import U, hashed, mix, rolled, texts_of, window_sums
 
-WINDOW, GRAM, ROWS, ROOM, RANGE = 50, 8, 2, 8, 250_000
+WINDOW, GRAM, ROWS, ROOM, RANGE, HOT = 50, 8, 2, 8, 250_000, 1000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -111,10 +111,16 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     kind = docs.schema["doc_id"].dataType.simpleString()
     all_rows = materialize(scan(docs, window))
     long_ = all_rows.where(f"doc_id is not null and n_words >= {window}")
-    first = long_.groupBy("whole").agg(F.min("doc_id").alias("first"))
-    rows = long_.join(first, "whole")
-    copies = rows.where("doc_id > first").select("doc_id", "w", F.col("n_words").alias("n_removed"), F.lit("").alias("kept")).distinct()
-    firsts = materialize(rows.where("doc_id = first").select("doc_id", "w", "runs").dropDuplicates(["doc_id", "w"]))
+    slim = long_.select("doc_id", "w", "whole", "n_words")
+    first = materialize(slim.groupBy("whole").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    firsts = long_.join(first.select("whole", F.col("first").alias("doc_id")), ["doc_id", "whole"], "left_semi")  # no key is shared by many rows
+    firsts = materialize(firsts.select("doc_id", "w", "runs").dropDuplicates(["doc_id", "w"]))
+    # texts of which a thousandth of all rows are copies are at most a thousand, and their rows stay where they are; the rest are dealt by text
+    total = first.agg(F.sum("n")).collect()[0][0] or 0
+    many = first.where(F.col("n") > total / HOT)
+    hot = slim.join(F.broadcast(many), "whole")
+    cold = slim.join(F.broadcast(many.select("whole")), "whole", "left_anti").join(first.where(F.col("n").between(2, total / HOT)), "whole")
+    copies = hot.unionByName(cold.select(hot.columns)).where("doc_id > first").select("doc_id", "w", F.col("n_words").alias("n_removed"), F.lit("").alias("kept")).distinct()
     spans = estimated_repeated(firsts).groupBy("doc_id", "w").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
