@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 ZONE = "America/Chicago"
 
 
+def millis(ts: Column | str) -> Column:
+    """Milliseconds since 1970 of an instant, or of a time without a zone taken as UTC."""
+    return F.unix_millis((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def days_between(earlier: Column, later: Column) -> Column:
-    return F.floor((F.unix_millis(later) - F.unix_millis(earlier)) / 86_400_000)
+    return F.floor((millis(later) - millis(earlier)) / 86_400_000)
 
 
 def civil_date(ts: Column, zone: str = ZONE) -> Column:
@@ -25,7 +30,7 @@ def civil_instant(wall: Column, zone: str = ZONE) -> Column:
 
 
 def months_between(a: Column, b: Column) -> Column:
-    """Whole calendar months from a to b plus the share of the month begun; month ends are clamped."""
+    """Whole calendar months from day a to day b, not before a, plus the share of the month begun; month ends are clamped."""
     da, db = F.to_date(a), F.to_date(b)
     whole = (F.year(db) - F.year(da)) * 12 + F.month(db) - F.month(da)
     whole = F.when(F.add_months(da, whole) > db, whole - 1).otherwise(whole)
@@ -45,14 +50,39 @@ def staleness(expires: Column, approved: Column, now: Column, aging: int = 9, st
     )
 
 
+def from_parts(parts: Column) -> Column:
+    """[year, month, day], [[year, month, day]]'s inner list, or shorter ones: the first instant of that time; null outside the years 1000 to 3000."""
+    y, m, d = (F.try_element_at(parts, F.lit(i)).cast("int") for i in (1, 2, 3))
+    return F.when(y.between(1000, 3000), F.try_make_timestamp(y, F.coalesce(m, F.lit(1)), F.coalesce(d, F.lit(1)), F.lit(0), F.lit(0), F.lit(0)))
+
+
 def to_instant(x: Column) -> Column:
-    """ISO stamps, bare dates, dates with month names, years, and epochs in seconds or milliseconds; null when none fits."""
-    n = x.try_cast("double")
-    epoch = F.when(F.abs(n) < 1e11, F.timestamp_seconds(n)).otherwise(F.timestamp_millis(n.cast("long")))
-    named = [F.try_to_timestamp(x, F.lit(f)) for f in ("yyyy MMM d", "yyyy MMM", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/M/d", "M/d/yyyy")]
-    year = F.when(x.rlike(r"^(19|20|21)\d\d$"), F.make_timestamp(x.try_cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
-    out = F.coalesce(year, F.when(n.isNotNull(), epoch), F.try_to_timestamp(x), *named)
-    return F.when(F.year(out).between(1900, 2200), out)
+    """An instant from text: nine to thirteen digits as an epoch (below 1e11 in seconds, else milliseconds), ISO stamps (UTC where they name no zone),
+    bare dates, "2024 Mar 15", "2024 Mar", "2024", and common written dates; null when none fits or the year is outside 1900 to 2200."""
+    t = F.trim(x)
+    n = F.when(t.rlike(r"^\d{9,13}$"), t.try_cast("double"))
+    epoch = F.when(n < 1e11, F.timestamp_seconds(n)).otherwise(F.timestamp_millis(n.cast("long")))
+    year = F.regexp_extract(t, r"^(\d{4})(?:\s+([A-Za-z]{3,9}))?(?:\s+(\d{1,2}))?\s*$", 1).try_cast("int")
+    month = F.regexp_extract(t, r"^(\d{4})(?:\s+([A-Za-z]{3,9}))?(?:\s+(\d{1,2}))?\s*$", 2)
+    day = F.regexp_extract(t, r"^(\d{4})(?:\s+([A-Za-z]{3,9}))?(?:\s+(\d{1,2}))?\s*$", 3).try_cast("int")
+    at = F.when(month == "", 1).otherwise(month_of(month))
+    written = F.try_make_timestamp(year, at, F.coalesce(day, F.lit(1)), F.lit(0), F.lit(0), F.lit(0))
+    named = [F.try_to_timestamp(t, F.lit(f)) for f in ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "yyyy/M/d", "M/d/yyyy")]
+    out = F.coalesce(F.when(n.isNotNull(), epoch), F.when(~F.contains(t, F.lit("-")) & ~F.contains(t, F.lit("/")), written), F.when(t.rlike(r"^\d{4}-\d{2}(-\d{2})?"), F.try_to_timestamp(t)), *named)
+    return F.when(F.year(out).between(1900, 2200) & ~t.isin("NA", "null", ""), out)
+
+
+def month_of(name: Column) -> Column:
+    """1 to 12 by the first three letters, else null."""
+    at = F.position(F.lower(F.substring(name, 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec"))
+    return F.when((F.length(name) >= 3) & (at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int"))
+
+
+def study_instant(x: Column) -> Column:
+    """A study's date field: ISO with or without a time (UTC where it names no zone) or month/day/year; anything else is null."""
+    t = F.trim(x.cast("string"))
+    us = [F.regexp_extract(t, r"^(\d{1,2})/(\d{1,2})/(\d{4})$", i).try_cast("int") for i in (1, 2, 3)]
+    return F.coalesce(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(t)), F.try_make_timestamp(us[2], us[0], us[1], F.lit(0), F.lit(0), F.lit(0)))
 
 
 def week_of(ts: Column) -> Column:
@@ -73,12 +103,46 @@ def day_key(ts: Column, zone: str = ZONE) -> Column:
 
 def agenda_label(ts: Column, now: Column, zone: str = ZONE) -> Column:
     d = calendar_days_until(ts, now, zone)
-    week = F.datediff(F.to_date(F.date_trunc("week", F.from_utc_timestamp(ts, zone))), F.to_date(F.date_trunc("week", F.from_utc_timestamp(now, zone))))
-    return F.when(d == 0, "Today").when(d == 1, "Tomorrow").when(week == 0, "This week").when(week == 7, "Next week").otherwise("Coming up")
+    return F.when(d.isNull(), "Open listing").when(d < 0, "Earlier today").when(d == 0, "Today").when(d == 1, "Tomorrow").when(d <= 7, "This week").when(d <= 14, "Next week").otherwise("Coming up")
 
 
 def relative(ts: Column, now: Column) -> Column:
-    ms = F.unix_millis(ts) - F.unix_millis(now)
-    hours, days = F.floor(F.abs(ms) / 3_600_000 + 0.5), F.floor(F.abs(ms) / 86_400_000 + 0.5)
-    some = F.when(hours < 24, F.concat(hours.cast("string"), F.lit("h"))).otherwise(F.concat(days.cast("string"), F.when(days == 1, " day").otherwise(" days")))
-    return F.when(ms >= 0, F.concat(F.lit("in "), some)).otherwise(F.concat(some, F.lit(" ago")))
+    """in 5 min, 3h ago, in 1 day, 2 mo ago; each unit rounded from the one before.  Unknown: empty."""
+    ms = millis(ts) - millis(now)
+    half = lambda x: F.floor(x + 0.5)
+    minutes = half(F.abs(ms) / 60_000)
+    hours = half(minutes / 60)
+    days = half(hours / 24)
+    text = lambda n, unit: F.concat(n.cast("string"), F.lit(unit) if isinstance(unit, str) else unit)
+    some = F.when(minutes < 60, text(minutes, " min")).when(hours < 24, text(hours, "h")).when(days < 30, text(days, F.when(days == 1, " day").otherwise(" days"))).otherwise(text(half(days / 30), " mo"))
+    return F.when(ms.isNull(), "").when(ms > 0, F.concat(F.lit("in "), some)).otherwise(F.concat(some, F.lit(" ago")))
+
+
+def _shown(ts: Column, pattern: str, missing: str, zone: str) -> Column:
+    return F.coalesce(F.date_format(F.from_utc_timestamp(ts, zone), pattern), F.lit(missing))
+
+
+def show_datetime(ts: Column, zone: str = ZONE) -> Column:
+    """Sun, Sep 6, 1:00 PM"""
+    return _shown(ts, "EEE, MMM d, h:mm a", "Date TBD", zone)
+
+
+def show_date(ts: Column, zone: str = ZONE) -> Column:
+    """Sep 6, 2026"""
+    return _shown(ts, "MMM d, yyyy", "Undated", zone)
+
+
+def show_time(ts: Column, zone: str = ZONE) -> Column:
+    """1:00 PM"""
+    return _shown(ts, "h:mm a", "Time TBD", zone)
+
+
+def show_day(ts: Column, zone: str = ZONE) -> Column:
+    """Sunday, September 6"""
+    return _shown(ts, "EEEE, MMMM d", "Date to be announced", zone)
+
+
+def show_range(starts: Column, ends: Column, zone: str = ZONE) -> Column:
+    """One moment where the end is unknown or on the same day (of the session's zone, which is UTC), else two dates."""
+    same = F.to_date(starts) == F.to_date(ends)
+    return F.when(starts.isNull() | ends.isNull() | same, show_datetime(starts, zone)).otherwise(F.concat(show_date(starts, zone), F.lit(" – "), show_date(ends, zone)))

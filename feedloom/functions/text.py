@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import unicodedata
 
 import pandas as pd
@@ -16,7 +15,18 @@ STOP_WORDS = [
     "the", "their", "they", "this", "to", "was", "were", "which", "with", "we", "our", "using", "used", "can", "may", "these", "those", "than", "then",
 ]
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-BLOCKS = r"(?i)<\s*/?\s*(p|div|br|hr|li|ul|ol|tr|td|th|h[1-6]|section|article|table|blockquote)\b[^>]*>"
+BLOCKS = r"(?iU)<\s*/?\s*(p|div|li|ul|ol|tr|td|th|h[1-6]|section|article|header|footer|blockquote)(?![A-Za-z0-9_])[^>]*>"
+# The character names that are known; others stay as they are.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
+    "hellip": "…", "middot": "·", "bull": "•", "deg": "°", "times": "×", "minus": "−", "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "omega": "ω",
+    "micro": "µ", "plusmn": "±", "le": "≤", "ge": "≥", "ne": "≠", "reg": "®", "copy": "©", "trade": "™",
+}
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for each row, however often the body uses it and wherever a filter is pushed."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def js_round(x: Column) -> Column:
@@ -29,23 +39,39 @@ def collapse(text: Column) -> Column:
 
 
 def tidy_punctuation(text: Column) -> Column:
-    t = F.regexp_replace(text, r"(?U)\s+([,.;:!?%)\]])", "$1")
-    return F.regexp_replace(t, r"([(\[])(?U)\s+", "$1")
+    """No white space before , ; : . ! ? and inside brackets."""
+    t = F.regexp_replace(collapse(text), r" ([,;:.!?])", "$1")
+    return F.regexp_replace(F.regexp_replace(t, r"\( ", "("), r" \)", ")")
 
 
 def clamp(text: Column, most: int) -> Column:
-    """Cut at a word's end if that keeps 60 % of the budget, without trailing punctuation, with an ellipsis."""
+    """At most ``most`` signs, cut after the last word if that keeps over 60 % of them, without trailing punctuation, with an ellipsis."""
     t = collapse(text)
-    head = F.substring(t, 1, most - 1)
-    words = F.regexp_extract(head, r"^(.*) [^ ]*$", 1)
-    cut = F.when(F.length(words) >= most * 0.6, words).otherwise(head)
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.regexp_replace(cut, r"[\s,;:.\-]+$", ""), F.lit("…")))
+    head = F.substring(t, 1, most)
+    words = F.regexp_extract(head, r"(?s)^(.*) [^ ]*$", 1)
+    cut = F.when(F.length(words) > most * 0.6, words).otherwise(head)
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.regexp_replace(cut, r"(?U)[\s,;:.]+$", ""), F.lit("…")))
 
 
-@F.pandas_udf(T.StringType())
-def decode_entities(s: pd.Series) -> pd.Series:
-    """Named and numeric character references; unknown ones stay."""
-    return s.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
+def _sign_of(code: Column) -> Column:
+    """The character of a code point, null for none."""
+    fine = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def decode_entities(text: Column, names: dict[str, str] | None = None) -> Column:
+    """Character references that end in a semicolon, each decoded once; unknown names and impossible numbers stay."""
+    table = F.create_map(*[F.lit(x) for pair in (names or ENTITIES).items() for x in pair])
+
+    def one(piece: Column) -> Column:
+        body = F.regexp_extract(piece, r"^&(#x?[0-9a-fA-F]+|#X[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);", 1)
+        hexed = F.regexp_extract(body, r"^#[xX]0*([0-9a-fA-F]{1,7})$", 1)
+        plain = F.regexp_extract(body, r"^#0*([0-9]{1,8})", 1)
+        code = F.when(hexed != "", F.conv(hexed, 16, 10).try_cast("long")).when(plain != "", plain.try_cast("long"))
+        sign = F.when(F.startswith(body, F.lit("#")), _sign_of(code)).when(body != "", F.try_element_at(table, F.lower(body)))
+        return F.when(sign.isNull(), piece).otherwise(F.concat(sign, F.substring(piece, F.length(body) + 3, F.length(piece))))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "(?=&)"), one), "")).otherwise(text)
 
 
 @F.pandas_udf(T.StringType())
@@ -59,14 +85,15 @@ def fold_accents(s: pd.Series) -> pd.Series:
 
 
 def strip_tags(markup: Column) -> Column:
-    t = F.regexp_replace(markup, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
+    """Scripts and styles gone with their content, block tags to spaces, other tags to nothing."""
+    t = F.regexp_replace(markup, r"(?is)<(script|style)(?![A-Za-z0-9_])[^>]*>.*?</\1>", " ")
+    t = F.regexp_replace(t, r"(?iU)<\s*br\s*/?\s*>", " ")
     t = F.regexp_replace(t, BLOCKS, " ")
     return F.regexp_replace(t, r"<[^>]*>", "")
 
 
 def html_to_text(markup: Column) -> Column:
-    return tidy_punctuation(collapse(decode_entities(strip_tags(markup))))
+    return collapse(decode_entities(strip_tags(F.coalesce(markup, F.lit("")))))
 
 
 def strip_emails(text: Column, marker: str = "[email removed]") -> Column:
@@ -99,31 +126,34 @@ def title_similarity(a: Column, b: Column) -> Column:
     return 0.6 * jaccard(a, b) + 0.4 * jaccard(bigrams(a), bigrams(b))
 
 
-def canonical_title(title: Column) -> Column:
-    t = F.regexp_replace(title, "&", " and ")
+def canonical_title(title: Column, folded: bool = False) -> Column:
+    """Words of a title without a leading year and version marks such as v2; & is and."""
+    t = F.regexp_replace(collapse(title), "&", " and ")
     t = F.regexp_replace(t, r"^\s*(19|20)\d\d\s+", "")
-    return tokens(F.regexp_replace(t, r"(?i)(?<![A-Za-z0-9_])v(ersion)?\s*\d+(?![A-Za-z0-9_])", " "))
+    return tokens(F.regexp_replace(t, r"(?i)(?<![A-Za-z0-9_])v\d+(?![A-Za-z0-9_])", " "), folded)
 
 
 def normalize_doi(x: Column) -> Column:
-    t = F.regexp_replace(F.lower(F.trim(x)), r"^(https?://(dx\.)?doi\.org/|doi:\s*)", "")
-    found = F.regexp_extract(t, r"^(10\.\d{4,9}/\S+)$", 1)
-    return F.nullif(found, F.lit(""))
+    t = F.lower(F.trim(x))
+    for prefix in (r"^https?://(dx\.)?doi\.org/", r"^doi:\s*", r"^info:doi/"):
+        t = F.regexp_replace(t, prefix, "")
+    return F.nullif(F.regexp_extract(t, r"^(10\.\d{4,9}/\S+)$", 1), F.lit(""))
 
 
 def normalize_openalex(x: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.upper(x), r"([WASIPCFT]\d{4,})$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.trim(x), r"([WASIPCFT]\d{4,})\s*$", 1), F.lit(""))
 
 
 def normalize_arxiv(x: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.lower(x), r"(\d{4}\.\d{4,5}|[a-z-]+(?:\.[a-z]{2})?/\d{7})(?:v\d+)?$", 1), F.lit(""))
+    t = F.regexp_replace(F.trim(x), r"(?i)^https?://arxiv\.org/abs/", "")
+    return F.nullif(F.regexp_extract(t, r"(?i)^([a-z-]+(?:\.[A-Z]{2})?/\d{7}|\d{4}\.\d{4,5})(v\d+)?$", 1), F.lit(""))
 
 
 def version_of(x: Column) -> Column:
-    return F.expr("try_cast(null as int)") if x is None else F.nullif(F.regexp_extract(x, r"v(\d+)$", 1), F.lit("")).try_cast("int")
+    return F.nullif(F.regexp_extract(F.trim(x), r"(?i)v(\d+)\s*$", 1), F.lit("")).try_cast("int")
 
 
-def encode_email(x: Column, key: bytes = b"radar!") -> Column:
+def encode_email(x: Column, key: bytes) -> Column:
     """Hex of each sign's code XOR the key, four digits a sign: keeps addresses from harvesters, is no secret."""
     codes = F.transform(F.split(x, ""), lambda c: F.ascii(c))
     k = F.array(*[F.lit(b) for b in key])
@@ -131,10 +161,10 @@ def encode_email(x: Column, key: bytes = b"radar!") -> Column:
     return F.array_join(hexed, "")
 
 
-def decode_email(x: Column, key: bytes = b"radar!") -> Column:
+def decode_email(x: Column, key: bytes) -> Column:
     k = F.array(*[F.lit(b) for b in key])
     parts = F.regexp_extract_all(x, F.lit("([0-9a-f]{4})"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p, i: F.char(F.conv(p, 16, 10).cast("int").bitwiseXOR(F.get(k, i % len(key))))), "")
+    return F.array_join(F.transform(parts, lambda p, i: _sign_of(F.conv(p, 16, 10).cast("int").bitwiseXOR(F.get(k, i % len(key))))), "")
 
 
 def url_component(x: Column) -> Column:
@@ -170,3 +200,38 @@ def has_any(hay: Column, phrases: list[str]) -> Column:
     import re
 
     return hay.rlike("(?: )(?:" + "|".join(re.escape(p).replace(r"\ ", " ") for p in phrases) + ")(?: )")
+
+
+def searchable(*parts: Column, folded: bool = False) -> Column:
+    """The texts' words (``tokens``) between single spaces, with one at either end."""
+    words = tokens(F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts]), folded)
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+
+# Markup helpers: every element or attribute of one name in a text, for feeds read without a schema.
+
+
+def xml_all(text: Column, tag: str) -> Column:
+    """Inner markup of each ``tag`` element, in order; an empty element gives an empty string."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?(?:/>|>(.*?)</{tag}\s*>)"), F.lit(1))
+    return F.transform(found, lambda x: F.coalesce(x, F.lit("")))
+
+
+def xml_one(text: Column, tag: str) -> Column:
+    return F.try_element_at(xml_all(text, tag), F.lit(1))
+
+
+def xml_texts(text: Column, tag: str) -> Column:
+    """Plain texts of each ``tag`` element, without empty ones."""
+    return F.filter(F.transform(xml_all(text, tag), lambda x: collapse(decode_entities(F.regexp_replace(x, r"<[^>]*>", "")))), lambda x: x != "")
+
+
+def xml_text(text: Column, tag: str) -> Column:
+    return F.try_element_at(xml_texts(text, tag), F.lit(1))
+
+
+def xml_attributes(text: Column, tag: str, name: str) -> Column:
+    """Values of attribute ``name`` of each ``tag`` element that has it."""
+    heads = F.regexp_extract_all(text, F.lit(rf"(?is)<{tag}(\s[^>]*?)/?>"), F.lit(1))
+    values = F.transform(heads, lambda h: F.regexp_extract(h, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*')", 1))
+    return F.transform(F.filter(values, lambda v: v != ""), lambda v: decode_entities(F.substring(v, 2, F.length(v) - 2)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import has_any
+from ..functions.text import has_any, let
 from ..rules import lexicons as L
 
 PROXIMITY = 60
@@ -13,18 +13,76 @@ PROXIMITY = 60
 
 def companies(hay: Column, names: list[str] | None = None, most: int = 5) -> Column:
     """Names in a padded text, without those inside another hit."""
-    hits = F.filter(F.array(*[F.lit(n) for n in names or L.COMPANIES]), lambda n: F.contains(hay, F.concat(F.lit(" "), n, F.lit(" "))))
-    return F.slice(F.filter(hits, lambda n: ~F.exists(hits, lambda m: (m != n) & F.contains(m, n))), 1, most)
+    found = let(hay, lambda h: F.filter(F.array(*[F.lit(n) for n in names or L.COMPANIES]), lambda n: F.contains(h, F.concat(F.lit(" "), n, F.lit(" ")))))
+    return let(found, lambda hits: F.slice(F.filter(hits, lambda n: ~F.exists(hits, lambda m: (m != n) & F.contains(m, n))), 1, most))
+
+
+def category(hay: Column, owner: Column, named: Column, types: Column | None = None) -> Column:
+    """sports, companies, deadline, research, academic, clubs or community: the first rule that holds.  ``types``: the event types, padded."""
+    own = F.lower(F.coalesce(owner, F.lit("")))
+    athletic = F.contains(own, F.lit(L.ATHLETICS))
+    if types is not None:
+        athletic = athletic | F.contains(types, F.lit(" athletics "))
+    out = F.when(athletic, "sports").when(F.size(named) > 0, "companies").when(has_any(hay, L.RECRUITING), "companies")
+    out = out.when(has_any(hay, L.SPORTS), "sports").when(has_any(hay, L.DEADLINES), "deadline").when(has_any(hay, L.RESEARCH), "research")
+    for mark, c in L.OWNERS.items():  # in the rules' order
+        out = out.when(F.contains(own, F.lit(mark)), c)
+    return out.when(has_any(hay, L.ACADEMIC), "academic").when(has_any(hay, L.CLUBS), "clubs").otherwise("community")
 
 
-def category(hay: Column, owner: Column, named: Column) -> Column:
-    """sports, companies, deadlines, research, academic, clubs or community: the first rule that holds."""
-    own = lambda c: F.coalesce(F.lower(owner).rlike("|".join(m for m, k in L.OWNERS.items() if k == c)), F.lit(False))
-    out = F.when(own("sports"), "sports").when(F.size(named) > 0, "companies").when(has_any(hay, L.RECRUITING), "companies")
-    out = out.when(has_any(hay, L.SPORTS), "sports").when(has_any(hay, L.DEADLINES), "deadlines").when(has_any(hay, L.RESEARCH), "research")
-    for c in ("companies", "clubs", "community", "research", "academic"):
-        out = out.when(own(c), c)
-    return out.when(has_any(hay, L.ACADEMIC), "academic").when(has_any(hay, L.CLUBS), "clubs").otherwise("community")
+def intramural(hay: Column, owner: Column, tags: Column) -> Column:
+    """A concrete event that names intramurals, or that the recreation department owns and tags ``im`` or names an activity for."""
+    ours = F.contains(F.lower(F.coalesce(owner, F.lit(""))), F.lit(L.RECREATION))
+    tagged = F.exists(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(F.trim(t)) == "im")
+    named = has_any(hay, L.INTRAMURAL)
+    return has_any(hay, L.CONCRETE) & (named | (ours & (F.coalesce(tagged, F.lit(False)) | has_any(hay, L.ACTIVITIES))))
+
+
+# How a listing that looks for participants speaks, and the context that makes it a study.
+_SEEKS = (
+    "participants? needed|seeking participants?|recruiting participants?|volunteers? needed|take part in (?:a|our|this) study|participate in (?:a|our|this) study|"
+    "study participants?|paid study|clinical trial participants?"
+)
+_STUDY = "research study|clinical trial|human subjects?|irb|compensation|paid|participant"
+
+
+def seeks_participants(title: Column, summary: Column, tags: Column, pay: Column, source: Column, registry: str) -> Column:
+    """Listings that another vertical owns: those of the study registry, and those that recruit participants for a study."""
+    t = F.regexp_replace(F.lower(F.concat_ws(" ", title, summary, F.array_join(tags, " "), pay)), "[^a-z0-9$]+", " ")
+    word = lambda p: t.rlike(f"(?<![a-z0-9_])(?:{p})(?![a-z0-9_])")
+    return F.coalesce(source == registry, F.lit(False)) | F.coalesce(word(_SEEKS) & word(_STUDY), F.lit(False))
+
+
+def _found(hay: Column, terms: list[str]) -> Column:
+    """(at, term) of the first place of each term that occurs, in order of place."""
+    arr = F.array(*[F.lit(x) for x in terms])
+    at = F.transform(arr, lambda x: F.struct(F.position(F.concat(F.lit(" "), x, F.lit(" ")), hay).alias("at"), x.alias("term")))
+    return F.array_sort(F.filter(at, lambda x: x["at"] > 0))
+
+
+def freebies(hay: Column, cost: Column | None = None) -> Column:
+    """struct(tier, items, evidence, swag, chance) of a padded text.  Evidence is the text around the words that decided."""
+    names = lambda h, xs: F.transform(_found(h, xs), lambda x: x["term"])
+    first = lambda h, xs: F.try_element_at(F.filter(F.transform(F.array(*[F.lit(x) for x in xs]), lambda x: F.position(F.concat(F.lit(" "), x, F.lit(" ")), h)), lambda p: p > 0), F.lit(1))
+
+    def judged(h: Column, v: Column) -> Column:
+        foods, free, served = v["foods"], v["free"], v["served"]
+        near = lambda p: F.coalesce(F.exists(foods, lambda f: F.abs(f["at"] - p) <= PROXIMITY), F.lit(False))
+        start = F.try_element_at(foods, F.lit(1))["at"]
+        tier = F.when(F.size(foods) == 0, "none").when(near(free), "confirmed").when(near(served), "provided")
+        if cost is not None:
+            tier = tier.when(F.coalesce(F.lower(cost).contains("free"), F.lit(False)), "provided")
+        at = F.when(near(free), F.least(free, start)).when(near(served), F.least(served, start)).otherwise(start)
+        return F.struct(
+            tier.otherwise("mentioned").alias("tier"), F.slice(F.transform(foods, lambda f: f["term"]), 1, 6).alias("items"), F.when(F.size(foods) > 0, evidence(h, at)).alias("evidence"),
+            names(h, L.SWAG).alias("swag"), names(h, L.CHANCE).alias("chance"),
+        )
+
+    return let(hay, lambda h: let(F.struct(_found(h, L.FOOD).alias("foods"), first(h, L.FREE).alias("free"), first(h, L.PROVIDED).alias("served")), lambda v: judged(h, v)))
+
+
+def is_free(found: Column) -> Column:
+    return found["tier"].isin("confirmed", "provided") | (F.size(found["swag"]) > 0)
 
 
 def food_tier(hay: Column, cost: Column | None = None, food: list[str] | None = None, free: list[str] | None = None, provided: list[str] | None = None) -> Column:
@@ -52,4 +110,6 @@ def chance(hay: Column) -> Column:
 
 
 def evidence(text: Column, at: Column, before: int = 40, after: int = 70) -> Column:
-    return F.trim(F.substring(text, F.greatest(F.lit(1), at - before), F.lit(before + after)))
+    """The text from ``before`` signs ahead of a place (from 1) to ``after`` signs behind it."""
+    begin = F.greatest(F.lit(1), at - before)
+    return F.trim(F.substring(text, begin, at + after - begin))

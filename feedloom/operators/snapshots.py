@@ -35,19 +35,49 @@ def item_changes(before: DataFrame, after: DataFrame, key: str = "id") -> DataFr
     differ = lambda f: ~old(f).eqNullSafe(new(f))
     on = lambda f: F.coalesce(new(f), F.lit(False)) & ~F.coalesce(old(f), F.lit(False))
     off = lambda f: F.coalesce(old(f), F.lit(False)) & ~F.coalesce(new(f), F.lit(False))
+    said = lambda cond, kind, field, was, now: F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(field).alias("field"), was.alias("before"), now.alias("after")))
+    v = lambda c: F.concat(F.lit("v"), c.cast("string"))
+    to = F.coalesce(new("published_in") if "published_in" in after.columns else F.lit(None), new("published_doi"))
     rules = [
-        change(differ("title"), "title", "title"), change(on("is_cancelled"), "cancelled", "is_cancelled"), change(off("is_cancelled"), "uncancelled", "is_cancelled"),
-        change(differ("location"), "location", "location"), change(differ("starts_at"), "time", "starts_at"), change(on("has_registration"), "registration-opened", "has_registration"),
-        change(new("preprint_version") > old("preprint_version"), "preprint-revised", "preprint_version"), change(old("published_doi").isNull() & new("published_doi").isNotNull(), "preprint-published", "published_doi"),
+        change(differ("title"), "title", "title"), said(on("is_cancelled"), "cancelled", "status", F.lit("scheduled"), F.lit("cancelled")), said(off("is_cancelled"), "uncancelled", "status", F.lit("cancelled"), F.lit("back on")),
+        change(differ("location"), "location", "location"), change(differ("starts_at"), "time", "starts_at"), said(on("has_registration"), "registration-opened", "registration", F.lit("not open"), F.lit("open")),
+        said(new("preprint_version") > old("preprint_version"), "preprint-revised", "preprint_version", v(old("preprint_version")), v(new("preprint_version"))),
+        said(old("published_doi").isNull() & new("published_doi").isNotNull(), "preprint-published", "publication", F.lit("preprint"), to),
     ]
     found = b.join(a, F.col(f"b.{key}") == F.col(f"a.{key}")).select(F.col(f"a.{key}").alias("item_id"), F.explode(F.array_compact(F.array(*rules))).alias("c"))
     return found.select("item_id", "c.*")
 
 
 def carry_forward(sources: DataFrame, previous: DataFrame) -> DataFrame:
-    """Provenance rows keep the earliest first_seen known for (source, external_id)."""
-    old = previous.groupBy("source", "external_id").agg(F.min("first_seen").alias("seen"))
-    return sources.join(old, ["source", "external_id"], "left").withColumn("first_seen", F.least("first_seen", "seen")).drop("seen")
+    """Provenance rows take the first_seen that the snapshot before had for (source, external_id); where it names a pair more than once, the latest ``ord`` or else the earliest time."""
+    seen = F.max_by("first_seen", "ord") if "ord" in previous.columns else F.min("first_seen")
+    old = previous.groupBy("source", "external_id").agg(seen.alias("seen"))
+    return sources.join(old, ["source", "external_id"], "left").withColumn("first_seen", F.coalesce("seen", "first_seen")).drop("seen")
+
+
+def reconcile(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``after`` with status and the first_seen it had.  Both: id, title, content_hash, first_seen, is_superseded and the fields that ``item_changes`` watches."""
+    n = item_changes(before, after).groupBy(F.col("item_id").alias("id")).agg(F.count("*").alias("__n"))
+    old = before.select("id", F.lit(True).alias("__was"), F.col("content_hash").alias("__hash"), F.col("first_seen").alias("__seen"))
+    rows = after.join(old, "id", "left").join(n, "id", "left")
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    told = status(no("__was"), no("is_cancelled"), no("is_superseded"), F.col("__hash"), F.col("content_hash"), F.coalesce("__n", F.lit(0)))
+    return rows.withColumns({"status": told, "first_seen": F.coalesce("__seen", "first_seen")}).drop("__was", "__hash", "__seen", "__n")
+
+
+def summary(kinds: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row: added, removed, changes, cancelled, published, is_empty and a line of text, from ``diff`` and ``item_changes``."""
+    a = kinds.agg(F.count_if(F.col("kind") == "added").alias("added"), F.count_if(F.col("kind") == "removed").alias("removed"))
+    c = changes.agg(F.count("*").alias("changes"), F.count_if(F.col("kind") == "cancelled").alias("cancelled"), F.count_if(F.col("kind") == "preprint-published").alias("published"))
+    said = [F.concat(F.col(n).cast("string"), F.lit(t)) for n, t in (("added", " added"), ("removed", " removed"), ("changes", " change(s)"))]
+    said += [F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(t))) for n, t in (("cancelled", " cancelled"), ("published", " preprint(s) published"))]
+    return a.crossJoin(c).withColumns({"is_empty": (F.col("added") + F.col("removed") + F.col("changes")) == 0, "text": F.concat_ws(", ", *said)})  # one row each
+
+
+def digest_history(digests: DataFrame, broken: DataFrame | None = None) -> DataFrame:
+    """Digests without those of runs that read nothing (scanned is 0) or that ``broken`` names by vertical and week_of."""
+    out = digests.where(F.coalesce("scanned", F.lit(0)) > 0)
+    return out.join(broken, ["vertical", "week_of"], "left_anti") if broken is not None else out
 
 
 def retain(previous: DataFrame, current: DataFrame, impaired: DataFrame, key: str = "id") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LIMIT = 20
+LIMIT, STEP = 20, 2
+LISTS = ["saved", "attending", "dismissed", "tracked"]
 
 
 def bias_fold(events: DataFrame, user: str, signal: str, delta: str, order: list[str]) -> DataFrame:
@@ -15,44 +16,147 @@ def bias_fold(events: DataFrame, user: str, signal: str, delta: str, order: list
     return events.groupBy(user, signal).agg(F.aggregate(ordered, F.lit(0), step).alias("bias"))
 
 
+def marks(events: DataFrame, user: str, item: str, kind: str, order: list[str]) -> DataFrame:
+    """saved, attending, dismissed, tracked and feedback of each user's item after its events in order.
+
+    Kinds: save, attend, dismiss and track toggle their mark; saving always takes a dismissal back, attending does when it is set, dismissing takes saved
+    and attending away when it is set.  more and less are feedback; less also dismisses.
+    """
+    start = F.struct(*[F.lit(False).alias(m) for m in LISTS], F.lit(None).cast("string").alias("feedback"))
+
+    def step(s, e):
+        k = e["__k"]
+        is_ = lambda x: F.coalesce(k == x, F.lit(False))
+        less = is_("less")
+        gone = (is_("dismiss") & ~s["dismissed"]) | less
+        going = is_("attend") & ~s["attending"]
+        saved = F.when(is_("save"), ~s["saved"]).when(gone, F.lit(False)).otherwise(s["saved"])
+        attending = F.when(is_("attend"), ~s["attending"]).when(gone, F.lit(False)).otherwise(s["attending"])
+        dismissed = F.when(is_("dismiss"), ~s["dismissed"]).when(less, F.lit(True)).when(is_("save") | going, F.lit(False)).otherwise(s["dismissed"])
+        tracked = F.when(is_("track"), ~s["tracked"]).otherwise(s["tracked"])
+        return F.struct(saved.alias("saved"), attending.alias("attending"), dismissed.alias("dismissed"), tracked.alias("tracked"), F.when(less | is_("more"), k).otherwise(s["feedback"]).alias("feedback"))
+
+    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(kind).alias("__k"))))
+    return events.groupBy(user, item).agg(F.aggregate(ordered, start, step).alias("s")).select(user, item, "s.*")
+
+
 def toggles(events: DataFrame, user: str, item: str, kind: str, order: list[str]) -> DataFrame:
-    """saved and dismissed after mutually exclusive toggles (kind: save, dismiss), folded in order."""
+    """saved and dismissed alone, as studies have them: each toggles and takes the other away."""
     start = F.struct(F.lit(False).alias("saved"), F.lit(False).alias("dismissed"))
 
     def step(s, e):
         save, drop = e["__k"] == "save", e["__k"] == "dismiss"
-        saved = F.when(save, ~s["saved"]).when(drop & ~s["dismissed"], F.lit(False)).otherwise(s["saved"])
-        gone = F.when(drop, ~s["dismissed"]).when(save & ~s["saved"], F.lit(False)).otherwise(s["dismissed"])
-        return F.struct(saved.alias("saved"), gone.alias("dismissed"))
+        return F.struct(F.when(save, ~s["saved"]).when(drop, F.lit(False)).otherwise(s["saved"]).alias("saved"), F.when(drop, ~s["dismissed"]).when(save, F.lit(False)).otherwise(s["dismissed"]).alias("dismissed"))
 
     ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(kind).alias("__k"))))
     return events.groupBy(user, item).agg(F.aggregate(ordered, start, step).alias("s")).select(user, item, "s.saved", "s.dismissed")
 
 
+def feedback_deltas(events: DataFrame, signals: str, kind: str) -> DataFrame:
+    """A row for each signal of each piece of feedback (more, less), with its ``delta``."""
+    return events.where(F.col(kind).isin("more", "less")).withColumn("signal", F.explode(signals)).withColumn("delta", F.when(F.col(kind) == "more", STEP).otherwise(-STEP))
+
+
+def watched(events: DataFrame, user: str, listing: str, name: str) -> DataFrame:
+    """Names on each user's lists (authors, companies, organizers, categories, interests): those toggled an odd number of times, trimmed and in lower case; blank names count for nothing."""
+    key = F.lower(F.trim(name))
+    n = events.withColumn("name", key).where("name <> ''").groupBy(user, listing, "name").agg(F.count("*").alias("n"))
+    return n.where("n % 2 = 1").drop("n")
+
+
 def last_writer(records: DataFrame, key: str, stamp: str, client: str, value: str) -> DataFrame:
     """The record with the latest stamp, then the largest client id."""
     return records.groupBy(key).agg(F.max_by(value, F.struct(stamp, client)).alias(value), F.max(stamp).alias(stamp))
 
 
-def previous_visit(visits: DataFrame, user: str, ts: str) -> DataFrame:
-    from pyspark.sql import Window
+def apply_remote(local: DataFrame, remote: DataFrame, key: str, stamp: str) -> DataFrame:
+    """The remote record, unless the local one is newer; records of one side alone stay."""
+    names = [c for c in local.columns if c != key]
+    both = local.alias("l").join(remote.alias("r"), F.col(f"l.{key}") == F.col(f"r.{key}"), "full_outer")
+    newer = F.col(f"r.{stamp}").isNull() | (F.col(f"l.{stamp}") > F.col(f"r.{stamp}"))
+    return both.select(F.coalesce(f"l.{key}", f"r.{key}").alias(key), *[F.when(newer, F.col(f"l.{c}")).otherwise(F.col(f"r.{c}")).alias(c) for c in names])
+
+
+def mint_stamps(writes: DataFrame, user: str, clock: str, order: str) -> DataFrame:
+    """``stamp`` of each write: its clock, or one more than the largest stamp before it where the clock has not moved on."""
+    w = Window.partitionBy(user).orderBy(order)
+    place = F.row_number().over(w)
+    return writes.withColumn("__n", place).withColumn("stamp", F.max(F.col(clock) - F.col("__n")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("__n")).drop("__n")
+
 
-    return visits.withColumn("previous", F.lag(ts).over(Window.partitionBy(user).orderBy(ts)))
+def previous_visit(visits: DataFrame, user: str, ts: str, tie: str) -> DataFrame:
+    """``previous``: the visit before each, by time and then ``tie``."""
+    return visits.withColumn("previous", F.lag(ts).over(Window.partitionBy(user).orderBy(ts, tie)))
 
 
 def unique_strings(x: Column, most: int = 2000, length: int = 256) -> Column:
     return F.slice(F.array_distinct(F.filter(x, lambda s: s.isNotNull() & (s != "") & (F.length(s) <= length))), 1, most)
 
 
-STATE = "saved array<string>, dismissed array<string>, bias map<string,int>, updated_at_ms bigint, client_id string"
+_NAMED = ["authors", "companies", "preferred_categories", "campus_interests", "followed_organizers"]
+STATE = (
+    "schema_version int, last_visit string, " + ", ".join(f"{x} array<string>" for x in [*LISTS, *_NAMED]) + ", feedback map<string,string>, bias map<string,double>, updated_at_ms bigint, client_id string"
+)
+EMPTY = "array()"
 
 
 def parse_state(text: Column) -> Column:
-    """Total parse: anything malformed becomes the empty state, biases are held within LIMIT."""
+    """Total parse: anything malformed becomes the empty state; biases are held within LIMIT, feedback is more or less, watched names are in lower case."""
     s = F.from_json(text, STATE)
-    empty = F.array().cast("array<string>")
-    bias = F.transform_values(F.coalesce(s["bias"], F.create_map().cast("map<string,int>")), lambda k, v: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), v)))
-    return F.struct(unique_strings(F.coalesce(s["saved"], empty)).alias("saved"), unique_strings(F.coalesce(s["dismissed"], empty)).alias("dismissed"), bias.alias("bias"), F.coalesce(s["updated_at_ms"], F.lit(0)).cast("long").alias("updated_at_ms"), s["client_id"].alias("client_id"))
+    strings = lambda c: F.filter(F.coalesce(s[c], F.array().cast("array<string>")), lambda x: x.isNotNull())
+    low = lambda c: F.transform(strings(c), lambda x: F.lower(x)) if c in ("authors", "companies", "followed_organizers") else strings(c)
+    bias = F.transform_values(F.map_filter(F.coalesce(s["bias"], F.create_map().cast("map<string,double>")), lambda k, v: v.isNotNull() & ~F.isnan(v)), lambda k, v: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), v)).cast("double"))
+    feedback = F.map_filter(F.coalesce(s["feedback"], F.create_map().cast("map<string,string>")), lambda k, v: v.isin("more", "less"))
+    return F.struct(
+        s["last_visit"].alias("last_visit"), *[strings(c).alias(c) for c in LISTS], *[low(c).alias(c) for c in _NAMED], feedback.alias("feedback"), bias.alias("bias"),
+        F.coalesce(s["updated_at_ms"], F.lit(0)).cast("long").alias("updated_at_ms"), s["client_id"].alias("client_id"),
+    )
+
+
+def valid_record(text: Column) -> Column:
+    """Whether a stored record has the known schema version and a stamp from zero."""
+    s = F.from_json(text, STATE)
+    return F.coalesce((s["schema_version"] == 1) & (s["updated_at_ms"] >= 0), F.lit(False))
+
+
+def has_content(s: Column) -> Column:
+    """Whether a parsed state holds anything of a person's, visits aside."""
+    lists = [F.size(s[c]) > 0 for c in [*LISTS, *_NAMED, "feedback", "bias"]]
+    out = lists[0]
+    for x in lists[1:]:
+        out = out | x
+    return out
+
+
+FILTERS = "query string, min_rate string, min_total string, max_hours string, mode string, sort string, tags array<string>, eligible_only boolean, show_dismissed boolean"
+
+
+def parse_filters(text: Column) -> Column:
+    """Filters of the studies list; unknown choices become the default ones."""
+    f = F.from_json(text, FILTERS)
+    one_of = lambda c, options: F.when(f[c].isin(*options), f[c]).otherwise(options[0])
+    words = lambda c, other: F.coalesce(f[c], F.lit(other))
+    tags = unique_strings(F.coalesce(f["tags"], F.array().cast("array<string>")), 100)
+    return F.struct(
+        F.substring(words("query", ""), 1, 300).alias("query"), words("min_rate", "0").alias("min_rate"), words("min_total", "0").alias("min_total"), words("max_hours", "").alias("max_hours"),
+        one_of("mode", ["any", "online", "inperson"]).alias("mode"), one_of("sort", ["rate", "total", "time", "new"]).alias("sort"), tags.alias("tags"),
+        F.coalesce(f["eligible_only"], F.lit(False)).alias("eligible_only"), F.coalesce(f["show_dismissed"], F.lit(False)).alias("show_dismissed"),
+    )
+
+
+ANSWERS = ["right_handed", "mri_safe", "cardiovascular", "pregnant", "seizure", "fasting", "student"]
+PROFILE = "age double, sex string, " + ", ".join(f"{a} boolean" for a in ANSWERS)
+
+
+def parse_profile(text: Column) -> Column:
+    """Answers of a stored profile of any version: the first kept them bare, the second inside ``profile``.  Ages are whole numbers from 0 to 120; anything else is unanswered."""
+    e = F.from_json(text, f"v int, profile struct<{', '.join(x.replace(' ', ':', 1) for x in PROFILE.split(', '))}>, {PROFILE}")
+    held = e["profile"].isNotNull()
+    pick = lambda c: F.when(held, e["profile"][c]).otherwise(e[c])
+    age, sex = pick("age"), pick("sex")
+    return F.struct(
+        F.when((age >= 0) & (age <= 120) & (F.floor(age) == age), age.cast("int")).alias("age"), F.when(sex.isin("male", "female", "other"), sex).alias("sex"), *[pick(a).alias(a) for a in ANSWERS]
+    )
 
 
 def valid_write(old_stamp: Column, new_stamp: Column, size: Column, most: int = 1 << 20) -> Column:
@@ -62,3 +166,8 @@ def valid_write(old_stamp: Column, new_stamp: Column, size: Column, most: int =
 def profile_answers(p: dict[str, Column]) -> Column:
     """How many answers are given."""
     return F.size(F.array_compact(F.array(*[c.cast("string") for c in p.values()])))
+
+
+def export(rows: DataFrame, column: str) -> DataFrame:
+    """The state as JSON text, as ``parse_state`` reads it."""
+    return rows.withColumn(column, F.to_json(column))

@@ -1,172 +1,19 @@
-"""Paid studies: pay, time and eligibility from free text, and honest hourly rates in which unknown is never zero."""
+"""Paid studies: honest hourly rates in which unknown is never zero, tags, duplicates, and the whole of a listing.
 
-from __future__ import annotations
+``pay``, ``timing`` and ``eligible`` read the free text; here their results become rates.
+"""
 
-import re
+from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAY = "guaranteed_min double, guaranteed_max double, raffle_max double, hourly_min double, hourly_max double, per_visit double, completion_bonus double, visit_count int, raffle_only boolean, is_hourly_rate boolean, currency_kind string, confidence string"
-TIME = "total_hours_min double, total_hours_max double, session_count int, span_weeks double, confidence string"
-
-
-def _struct(ddl: str) -> T.StructType:
-    kinds = {"double": T.DoubleType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "string": T.StringType()}
-    return T.StructType([T.StructField(n, kinds[k]) for n, k in (f.split() for f in ddl.split(", "))])
-
-
-NUMBERS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve".split())}
-MONEY = re.compile(r"\$\s*(\d[\d,]*(?:\.\d\d?)?)(?:\s*(?:-|–|to)\s*\$?\s*(\d[\d,]*(?:\.\d\d?)?))?(\s*(?:/|per|an|each)\s*(?:hour|hr)\b|/\s*h\b)?", re.I)
-COUNT = re.compile(r"\b(\d{1,2}|" + "|".join(NUMBERS) + r")\s+(?:\w+\s+){0,2}?(?:visit|session|appointment|day)s?\b", re.I)
-
-
-def _number(x: str) -> float:
-    return float(x.replace(",", "")) if x.lower() not in NUMBERS else float(NUMBERS[x.lower()])
-
-
-def _visits(t: str) -> int | None:
-    m = COUNT.search(t)
-    n = int(_number(m[1])) if m else 0
-    return n if 1 <= n <= 60 else None
-
-
-def compensation(text: str | None) -> dict:
-    """Pay of one description.  Raffles and other contingent sums are not guaranteed; an upper bound alone has no lower one."""
-    out = dict.fromkeys(("guaranteed_min", "guaranteed_max", "raffle_max", "hourly_min", "hourly_max", "per_visit", "completion_bonus", "visit_count")) | {"raffle_only": False, "is_hourly_rate": False, "currency_kind": "unknown", "confidence": "low"}
-    t = (text or "").strip()
-    if not t:
-        return out
-    if re.fullmatch(r"(?i)(none|no compensation|n/?a|unpaid|no payment|volunteer)\.?", t):
-        return out | {"guaranteed_min": 0.0, "guaranteed_max": 0.0, "confidence": "high"}
-    kinds = [k for k, p in (("giftcard", r"gift\s*card|amazon|voucher"), ("credit", r"course credit|sona|class credit"), ("cash", r"\$|cash|check\b|paid")) if re.search(p, t, re.I)]
-    out["currency_kind"] = ("mixed" if "credit" in kinds and len(kinds) > 1 else kinds[0]) if kinds else "unknown"
-    plain: list[tuple[float, float, int]] = []
-    spans = [(m.start(), t.find(".", m.end()) if t.find(".", m.end()) > 0 else len(t)) for m in re.finditer(r"(?i)raffle|drawing|lottery|chance to win|sweepstake|entered (?:in)?to", t)]
-    for m in MONEY.finditer(t):
-        low, high = _number(m[1]), _number(m[2] or m[1])
-        around = t[max(0, m.start() - 40) : m.end() + 40].lower()
-        after = t[m.end() : m.end() + 40].lower()
-        if any(a - 60 <= m.start() <= z for a, z in spans):
-            out["raffle_max"] = max(out["raffle_max"] or 0, high)
-        elif m[3]:
-            out |= {"hourly_min": low, "hourly_max": high, "is_hourly_rate": True}
-        elif re.search(r"bonus|completion|completing all", around) and plain:
-            out["completion_bonus"] = max(out["completion_bonus"] or 0, high)
-        elif re.match(r"\s*(?:/|per|each|for each|every)\s*(?:\w+\s+)?(?:visit|session|appointment|day)", after):
-            out["per_visit"] = max(out["per_visit"] or 0, high)
-        else:
-            plain.append((low, high, m.start()))
-    n = out["visit_count"] = _visits(t)
-    bonus = out["completion_bonus"] or 0.0
-    totals = [(a, b) for a, b, at in plain if re.search(r"total|up to|as much as|maximum", t[max(0, at - 25) : at + 30], re.I)]
-    if totals:
-        a, b = max(totals, key=lambda x: x[1])
-        ceiling = re.search(r"(?i)up to|as much as|maximum", t) is not None
-        out |= {"guaranteed_min": None if ceiling else a, "guaranteed_max": b, "confidence": "medium" if ceiling else "high"}
-    elif out["per_visit"] is not None:
-        extra = sum(a for a, _, _ in plain) + bonus
-        out |= {"guaranteed_min": out["per_visit"] * (n or 1) + extra, "guaranteed_max": out["per_visit"] * n + extra if n else None, "confidence": "high" if n else "low"}
-    elif plain:
-        if re.search(r"(?i)\$\s*[\d.,]+\s+or\s+\$", t):
-            out |= {"guaranteed_min": min(x[0] for x in plain), "guaranteed_max": max(x[1] for x in plain), "confidence": "medium"}
-        else:
-            out |= {"guaranteed_min": sum(x[0] for x in plain) + bonus, "guaranteed_max": sum(x[1] for x in plain) + bonus, "confidence": "high" if len(plain) == 1 else "medium"}
-    elif out["raffle_max"] is not None and not out["is_hourly_rate"]:
-        out |= {"guaranteed_min": 0.0, "guaranteed_max": 0.0, "raffle_only": True, "confidence": "medium"}
-    if len(t) > 400:
-        out["confidence"] = "low"
-    return out
-
-
-HOURS = {"minute": 1 / 60, "min": 1 / 60, "hour": 1.0, "hr": 1.0}
-WEEKS = {"week": 1.0, "wk": 1.0, "month": 52 / 12, "day": 1 / 7, "year": 52.0}
-SPAN = re.compile(r"(\d+(?:\.\d+)?|half an|an|a)\s*(?:(?:-|to|–)\s*(\d+(?:\.\d+)?)\s*)?\s*(minute|min|hour|hr|week|wk|month|day|year)s?\b", re.I)
-
-
-def duration(text: str | None) -> dict:
-    """Hours, sessions and calendar span of one description.  Calendar units never become hours."""
-    out = {"total_hours_min": None, "total_hours_max": None, "session_count": None, "span_weeks": None, "confidence": "low"}
-    t = (text or "").strip().lower().replace("½", ".5")
-    if not t:
-        return out
-    for w, i in NUMBERS.items():
-        t = re.sub(rf"\b{w}\b", str(i), t)
-    out["session_count"] = _visits(t)
-    parts: list[tuple[float, float, int]] = []
-    for m in SPAN.finditer(t):
-        a = {"half an": 0.5, "an": 1.0, "a": 1.0}.get(m[1]) or float(m[1] if m[1] not in ("an", "a", "half an") else 1)
-        b = float(m[2]) if m[2] else a
-        if m[3] in HOURS:
-            parts.append((a * HOURS[m[3]], b * HOURS[m[3]], m.start()))
-        elif m[3] != "day" or out["session_count"] is None:
-            out["span_weeks"] = max(out["span_weeks"] or 0, b * WEEKS[m[3]])
-    low = high = 0.0
-    total = [(a, b) for a, b, at in parts if re.search(r"\btotal\b", t[max(0, at - 20) : at + 30])]
-    if total:
-        low, high = total[0]
-    else:
-        start = 0
-        for a, b, at in parts:
-            clause = t[start : at + 40]
-            count = _visits(t[start:at] or "") or (_visits(clause) if re.search(r"\b(each|per|every)\b", clause) else None)
-            n = count or (out["session_count"] if re.search(r"\b(each|per)\b", clause) else 1) or 1
-            low, high, start = low + a * n, high + b * n, at
-    if parts and 0 < high <= 2000:
-        out |= {"total_hours_min": low, "total_hours_max": high, "confidence": "high" if len(parts) == 1 else "medium"}
-    return out
-
-
-@F.pandas_udf(_struct(PAY))
-def parse_compensation(s: pd.Series) -> pd.DataFrame:
-    out = pd.DataFrame([compensation(x) for x in s], columns=[c.split()[0] for c in PAY.split(", ")])
-    return out.astype({"visit_count": "Int32"})
-
-
-@F.pandas_udf(_struct(TIME))
-def parse_duration(s: pd.Series) -> pd.DataFrame:
-    out = pd.DataFrame([duration(x) for x in s], columns=[c.split()[0] for c in TIME.split(", ")])
-    return out.astype({"session_count": "Int32"})
-
-
-def parse_eligibility(text: Column) -> Column:
-    """Age bounds and the flags a text states."""
-    t = F.regexp_replace(F.lower(text), "[‘’]", "'")
-    age = F.regexp_extract(t, r"(\d{1,3})\s*(?:-|–|to|and)\s*(\d{1,3})\s*(?:years|yrs|y/o|year)", 1).try_cast("int")
-    top = F.regexp_extract(t, r"(\d{1,3})\s*(?:-|–|to|and)\s*(\d{1,3})\s*(?:years|yrs|y/o|year)", 2).try_cast("int")
-    least = F.regexp_extract(t, r"(?:at least|over|older than|minimum age(?: of)?)\s*(\d{1,3})|(\d{1,3})\s*(?:\+|years or older|and older|or older)", 0)
-    least = F.regexp_extract(least, r"(\d{1,3})", 1).try_cast("int")
-    flag = lambda p: t.rlike(p)
-    not_ = r"(?:no|not|without|exclud\w*|cannot|must not|free of)[^.]{0,80}"
-    return F.struct(
-        F.coalesce(age, least, F.lit(18)).alias("min_age"), top.alias("max_age"),
-        flag(r"right[- ]hand").alias("requires_right_handed"), flag(r"\bmri\b|magnetic resonance").alias("requires_mri"), flag(r"\bfast(ing|ed)?\b").alias("requires_fasting"),
-        flag(r"\bstudents?\b").alias("requires_student"), flag(not_ + "pregnan").alias("excludes_pregnancy"), flag(not_ + "(seizure|epilep)").alias("excludes_seizures"),
-        flag(not_ + "(heart|cardi)").alias("excludes_cardiovascular"), flag(not_ + "(neurolog|stroke|concussion)").alias("excludes_neurological"),
-        F.when(flag(r"\b(women|females?)\b") & ~flag(r"\b(men|males)\b"), "female").when(flag(r"\b(men|males)\b") & ~flag(r"\b(women|females?)\b"), "male").otherwise("any").alias("sex_restriction"),
-    )
-
-
-def check_eligibility(e: Column, p: Column) -> Column:
-    """(verdict, reasons): a hard conflict makes ineligible; otherwise anything unanswered makes unknown."""
-    no = lambda c, why: F.when(F.coalesce(c, F.lit(False)), F.lit(why))
-    open_ = lambda need, answer, why: F.when(need & answer.isNull(), F.lit(why))
-    hard = F.array_compact(F.array(
-        no(p["age"] < e["min_age"], "below minimum age"), no(p["age"] > e["max_age"], "above maximum age"), no(e["requires_right_handed"] & ~p["right_handed"], "not right-handed"),
-        no(e["requires_mri"] & ~p["mri_safe"], "cannot have an MRI"), no(e["requires_fasting"] & ~p["can_fast"], "cannot fast"), no(e["requires_student"] & ~p["is_student"], "not a student"),
-        no(e["excludes_pregnancy"] & p["pregnant"], "pregnant"), no(e["excludes_seizures"] & p["seizures"], "seizures"), no(e["excludes_cardiovascular"] & p["cardiovascular"], "cardiovascular condition"),
-        no((e["sex_restriction"] != "any") & p["sex"].isin("male", "female") & (p["sex"] != e["sex_restriction"]), "sex"),
-    ))
-    soft = F.array_compact(F.array(
-        open_(e["min_age"].isNotNull() | e["max_age"].isNotNull(), p["age"], "age"), open_(e["requires_right_handed"], p["right_handed"], "handedness"), open_(e["requires_mri"], p["mri_safe"], "MRI"),
-        open_(e["requires_fasting"], p["can_fast"], "fasting"), open_(e["requires_student"], p["is_student"], "student"), open_(e["excludes_pregnancy"], p["pregnant"], "pregnancy"),
-        open_(e["excludes_seizures"], p["seizures"], "seizures"), open_(e["excludes_cardiovascular"], p["cardiovascular"], "heart"),
-        F.when((e["sex_restriction"] != "any") & (p["sex"].isNull() | (p["sex"] == "other")), F.lit("sex")), F.when(e["excludes_neurological"], F.lit("neurological history")),
-    ))
-    verdict = F.when(F.size(hard) > 0, "ineligible").when(F.size(soft) > 0, "unknown").otherwise("eligible")
-    return F.struct(verdict.alias("status"), F.when(F.size(hard) > 0, hard).otherwise(soft).alias("reasons"))
+from . import pay, timing
+from .eligible import check_eligibility, eligibility, parse_eligibility  # noqa: F401
+from .pay import compensation, parse_compensation  # noqa: F401
+from .timing import duration, duration_with_pay, parse_duration  # noqa: F401
 
 
 def usable(x: Column) -> Column:
@@ -175,38 +22,55 @@ def usable(x: Column) -> Column:
 
 
 def exact_hours(h: Column) -> Column:
-    """Snapped to whole minutes where that is within a hundredth of an hour."""
-    snapped = F.floor(h * 60 + 0.5) / 60
-    return F.when(F.abs(snapped - h) <= 0.01, snapped).otherwise(h)
+    """Snapped to a whole number of minutes that is within a hundredth of one."""
+    whole = F.floor(h * 60 + 0.5)
+    return F.when((whole > 0) & (F.abs(h * 60 - whole) <= 0.01), whole / 60).otherwise(h)
+
+
+def _cents(x: Column) -> Column:
+    return F.floor(x * 100 + 0.5) / 100
+
+
+# How a text says that its hours are those of all visits, and that they are those of one.
+WHOLE = r"(?i)\b(?:totals?|totall?ing|altogether|combined|overall|in all|across|cumulative|all (?:visits|sessions|appointments)|entire)\b"
+PER_SESSION = (
+    r"(?i)\b(?:visits?|sessions?|appointments?|meetings?|scans?|interviews?)\s+(?:\w+\s+){0,2}?(?:last|lasts|take|takes|run|runs|require|requires)\b|"
+    r"\b(?:each|every|per)\s+(?:visit|session|appointment|meeting|scan|interview|study day)\b"
+)
+
+
+def hours_per_session(text: Column, session_count: Column) -> Column:
+    """Whether a duration without a count of sessions tells the hours of one."""
+    return session_count.isNull() & F.coalesce(~text.rlike(WHOLE) & text.rlike(PER_SESSION), F.lit(False))
 
 
 def reconcile_rate(df: DataFrame) -> DataFrame:
-    """rate and basis from pay and time: hourly_min/max, raffle_only, guaranteed_min/max, per_visit, visit_count,
-    hours_min/max, session_count, hours_per_session (boolean).  No rate is ever invented: null stays null."""
-    c = F.col
-    pay, hours = F.coalesce(usable(c("guaranteed_max")), usable(c("guaranteed_min"))), F.coalesce(usable(c("hours_max")), usable(c("hours_min")))
-    hours = exact_hours(F.when(hours > 0, hours))
-    count = lambda x: F.when(c(x).between(1, 60), c(x))
-    fewer = F.least(count("visit_count"), count("session_count"))
-    more = F.greatest(count("visit_count"), count("session_count"))
-    by_visit = F.coalesce((c("per_visit") > 0) & c("guaranteed_max").isNull() & (c("per_visit") <= c("guaranteed_min")) & (c("guaranteed_min") < 2 * c("per_visit")), F.lit(False))
-    by_session = F.coalesce(c("hours_per_session") & c("session_count").isNull(), F.lit(False))
-    extras = F.greatest(c("guaranteed_min") - c("per_visit"), F.lit(0.0))
-    hourly = F.coalesce(usable(c("hourly_max")), usable(c("hourly_min")))
-    raw = (
-        F.when(hourly.isNotNull(), hourly).when(c("raffle_only") | pay.isNull() | hours.isNull(), F.lit(None).cast("double"))
-        .when(by_visit & by_session & fewer.isNotNull(), (c("per_visit") * fewer + extras) / (hours * fewer)).when(by_visit & by_session, c("per_visit") / hours)
-        .when(by_visit, (c("per_visit") * fewer + extras) / hours).when(by_session, pay / (hours * more)).otherwise(pay / hours)
-    )
-    basis = (
-        F.when(hourly.isNotNull(), "stated-hourly").when(c("raffle_only"), "raffle-only").when(pay.isNull(), "no-pay").when(hours.isNull(), "no-hours")
-        .when((by_visit | by_session) & raw.isNull(), "unreconciled").when(by_visit & by_session, "per-visit-both").when(by_visit, "per-visit-pay-scaled").when(by_session, "per-session-hours-scaled").otherwise("total")
-    )
-    return df.withColumn("rate", F.floor(raw * 100 + 0.5) / 100).withColumn("basis", basis)
+    """``df`` with rate, basis, visits, total and disputed, from hourly_min/max, raffle_only, guaranteed_min/max, per_visit, visit_count, hours_min/max, session_count and
+    hours_per_session.  Pay for one visit and hours of all (or the reverse) are brought together by the number of visits; where two counts
+    differ, the one that pays less an hour is taken.  No rate is ever invented: null stays null."""
+    c, none = F.col, F.lit(None).cast("double")
+    positive = lambda x: F.when(usable(x) > 0, x)
+    hourly = F.coalesce(positive(c("hourly_max")), positive(c("hourly_min")))
+    pay_, hours = F.coalesce(usable(c("guaranteed_max")), usable(c("guaranteed_min"))), exact_hours(F.coalesce(positive(c("hours_max")), positive(c("hours_min"))))
+    a, b = (F.when(c(x).between(1, 60), c(x)) for x in ("visit_count", "session_count"))
+    by_visit = F.coalesce((usable(c("per_visit")) > 0) & usable(c("guaranteed_max")).isNull() & (c("guaranteed_min") >= c("per_visit")) & (c("guaranteed_min") < 2 * c("per_visit")), F.lit(False))
+    by_session = F.coalesce(c("hours_per_session"), F.lit(False))
+    n = F.when(by_session & ~by_visit, F.greatest(a, b)).when(by_visit, F.least(a, b))
+    scaled = _cents(c("per_visit") * n + F.greatest(F.lit(0.0), _cents(pay_ - c("per_visit"))))
+    ready = hourly.isNull() & ~F.coalesce(c("raffle_only"), F.lit(False)) & pay_.isNotNull()
+    timed = ready & hours.isNotNull()
+    both, one = by_visit & by_session, by_visit != by_session
+    raw = F.when(hourly.isNotNull(), hourly).when(~timed, none).when(one & n.isNull(), none).when(both & n.isNull(), c("per_visit") / hours).when(both, scaled / (hours * n))
+    raw = raw.when(by_visit, scaled / hours).when(by_session, pay_ / (hours * n)).otherwise(pay_ / hours)
+    basis = F.when(hourly.isNotNull(), "stated-hourly").when(~timed, "unknown").when(one & n.isNull(), "unreconciled").when(both, "single-visit")
+    basis = basis.when(by_visit, "per-visit-pay-scaled").when(by_session, "per-session-hours-scaled").otherwise("whole-study")
+    total = F.when(~ready | (timed & by_visit & n.isNull()), none).when(timed & by_visit, scaled).otherwise(pay_)
+    return df.withColumns({"rate": _cents(raw), "basis": basis, "visits": F.when(timed, n).cast("int"), "total": total, "disputed": F.coalesce(timed & n.isNotNull() & (a != b), F.lit(False))})
 
 
 def rate_bucket(rate: Column) -> Column:
-    return F.when(rate.isNull(), "unknown").when(rate < 10, "low").when(rate < 20, "ok").when(rate < 40, "good").otherwise("great")
+    known = usable(rate)
+    return F.when(known.isNull(), "unknown").when(known < 10, "low").when(known < 20, "ok").when(known < 40, "good").otherwise("great")
 
 
 def by_rate(rate: Column, ord_: Column, descending: bool = True) -> list[Column]:
@@ -222,26 +86,113 @@ def pay_label(rate: Column, low: Column, high: Column, raffle_only: Column) -> C
     )
 
 
-# Tags in display order and the words that give them.
+def by_total(low: Column, high: Column, posted: Column, ord_: Column) -> list[Column]:
+    """Order of studies without a rate: the larger guaranteed total first, unknown last, then the newest."""
+    return [F.coalesce(usable(high), usable(low)).desc_nulls_last(), posted.desc_nulls_last(), ord_.asc()]
+
+
+# Tags in display order and the words that give them, and the taxonomy terms that give them.
 TAGS = {
-    "online": r"\bonline\b|\bremote\b|\bvirtual\b|\bzoom\b", "in-person": r"in[- ]person|on campus|\blab visit", "mri": r"\bmri\b|\bfmri\b", "eeg": r"\beeg\b", "vr-ar": r"virtual reality|augmented reality|\bvr\b|\bar headset",
-    "sleep": r"\bsleep\b", "exercise": r"\bexercise\b|\bfitness\b", "nutrition": r"\bnutrition\b|\bdiet\b", "survey": r"\bsurvey\b|questionnaire", "driving": r"\bdriving\b|simulator",
+    "online": r"(?i)\bonline\b|\bremote(ly)?\b|\bzoom\b|\bweb-?based\b|\bvirtual (?:session|meeting|visit)\b|\bteleconference\b|\bqualtrics\b",
+    "in-person": r"(?i)\bin-?person\b|\bon-?campus\b|\bin (?:our|the) lab(?:oratory)?\b|\blab visit\b|\bvisit (?:our|the) (?:lab|clinic|center|centre)\b|\bcome to\b",
+    "mri": r"(?i)\bf?MRI\b|\bmagnetic resonance\b|\bneuroimag", "eeg": r"(?i)\bEEG\b|\belectroencephalo",
+    "vr-ar": r"(?i:\bvirtual reality\b|\baugmented reality\b|\bmixed reality\b|\bhead-?mounted\b|\bheadset\b)|\b(?:VR|AR|XR)\b", "focus-group": r"(?i)\bfocus group\b", "survey": r"(?i)\bsurvey(s|ed)?\b|\bquestionnaire",
+    "interview": r"(?i)\binterview(s|ed|ing)?\b",
+    "clinical": r"(?i)\bclinical trial\b|\bplacebo\b|\brandomi[sz]ed controlled\b|\bdouble-?blind\b|\bdrug\b|\bmedication\b|\bsupplement\b|\bpatients? with\b|\bdiagnos(ed|is)\b",
+    "hci": r"(?i)\bhuman-?computer\b|\bhuman-?robot\b|\buser interface\b|\busability\b|\buser experience\b|\bHCI\b|\bwearable\b",
 }
+TERMS = {
+    "online": r"(?i)online survey|online interview|^online only$|^remote$", "in-person": r"(?i)single visit|multiple visits|on-campus|off-campus", "survey": r"(?i)online survey", "interview": r"(?i)online interview",
+    "clinical": r"(?i)clinical trials?|medicine", "hci": r"(?i)^technology$",
+}
+
+
+def tags(text: Column, terms: Column | None = None) -> Column:
+    """Tags of a listing by its text and its taxonomy terms; a study that is online only is never in person."""
+    named = F.coalesce(terms, F.array().cast("array<string>")) if terms is not None else F.array().cast("array<string>")
+    by_term = lambda p: F.exists(named, lambda t: t.rlike(p))
+    holds = {k: text.rlike(p) | (by_term(TERMS[k]) if k in TERMS else F.lit(False)) for k, p in TAGS.items()}
+    holds["in-person"] = holds["in-person"] & ~by_term(r"(?i)^online only$")
+    return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in holds.items()]))
+
+
+def term_names(ids: Column, terms: Column) -> Column:
+    """Names of term ids in a map, without unknown ids."""
+    return F.array_compact(F.transform(ids, lambda i: F.try_element_at(terms, i)))
+
+
+READ = T.StructType([T.StructField("pay", pay.SCHEMA), T.StructField("time", timing.SCHEMA)])
+
 
+@F.pandas_udf(READ)
+def read_pay_and_time(field: pd.Series, time: pd.Series, body: pd.Series) -> pd.DataFrame:
+    """Pay and time of a listing: a silent pay field falls back to the body, and the two confirm each other's number of visits."""
+    pays, times = [], []
+    for f, t, b in zip(field, time, body):
+        alone = duration(t)
+        found = pay.with_fallbacks(compensation(f), t, any(alone[k] is not None for k in timing.FIELDS if k != "confidence"), b)
+        pays.append(found)
+        times.append(duration_with_pay(t, found))
+    return pd.DataFrame({"pay": pay.frame(pays).astype(object).where(lambda x: x.notna(), None).to_dict("records"), "time": timing.frame(times).astype(object).where(lambda x: x.notna(), None).to_dict("records")})
 
-def tags(text: Column) -> Column:
-    t = F.lower(text)
-    return F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(k)) for k, p in TAGS.items()]))
 
+def irb_key(number: Column) -> Column:
+    """An approval number's letters and digits; null for none."""
+    return F.nullif(F.regexp_replace(F.upper(number), "[^A-Z0-9]", ""), F.lit(""))
 
-def normalize(raw: DataFrame, now: Column) -> DataFrame:
-    """Raw study rows (id, title, body, compensation, duration, expires, approved) with pay, time, eligibility, rate, tags and staleness."""
-    from ..functions.dates import staleness
+
+def titles_alike(a: Column, b: Column) -> Column:
+    """Whether one title's words contain the other's."""
+    key = lambda t: F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " "))
+    x, y = key(a), key(b)
+    return (x == y) | ((x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x)))
+
+
+def dedupe_studies(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, title, irb_number, modified) with duplicate_of (null for those that stay), duplicate_ids and titles_diverge: of one approval number the last modified, then the largest id, stays."""
+    from pyspark.sql import Window
+
+    number = F.col("id").try_cast("double")
+    last = [F.desc_nulls_last("modified"), F.desc_nulls_last(number), F.desc("id")]
+    x = rows.withColumn("__key", irb_key(F.col("irb_number")))
+    w = Window.partitionBy("__key").orderBy(*last)
+    keyed = x.where("__key is not null").withColumns({"__first": F.first("id").over(w), "__title": F.first("title").over(w), "__place": F.row_number().over(w)})
+    lost = keyed.where("__place > 1").groupBy("__key").agg(
+        F.array_sort(F.collect_list(F.struct(number.alias("n"), "id"))).alias("__lost"), F.bool_or(~titles_alike(F.col("title"), F.col("__title"))).alias("__diverge")
+    )
+    joined = keyed.join(lost, "__key", "left")
+    mine = F.col("__place") == 1
+    joined = joined.withColumns({
+        "duplicate_of": F.when(~mine, F.col("__first")), "duplicate_ids": F.when(mine, F.coalesce(F.transform("__lost", lambda r: r["id"]), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")),
+        "titles_diverge": F.coalesce(mine & F.col("__diverge"), F.lit(False)),
+    })
+    alone = x.where("__key is null").withColumns({"duplicate_of": F.lit(None).cast("string"), "duplicate_ids": F.array().cast("array<string>"), "titles_diverge": F.lit(False)})
+    names = [*rows.columns, "duplicate_of", "duplicate_ids", "titles_diverge"]
+    return joined.select(*names).unionByName(alone.select(*names))
+
+
+def normalize(raw: DataFrame, now: Column, terms: Column | None = None) -> DataFrame:
+    """Study rows from raw listings (id, title, excerpt, body, compensation, duration, expires, approved, posted, modified, irb_number, min_age, max_age, term_ids array<long>) with text, summary,
+    pay, time, eligibility, rate and its basis, bucket, tags and staleness.  ``terms``: a map of taxonomy ids to names."""
+    from ..functions.dates import staleness, study_instant
     from ..functions.text import html_to_text
 
-    rows = raw.withColumn("text", html_to_text(F.col("body"))).withColumn("pay", parse_compensation("compensation")).withColumn("time", parse_duration("duration"))
-    flat = rows.select(
-        "*", "pay.guaranteed_min", "pay.guaranteed_max", "pay.hourly_min", "pay.hourly_max", "pay.raffle_only", "pay.per_visit", "pay.visit_count", F.col("time.total_hours_min").alias("hours_min"),
-        F.col("time.total_hours_max").alias("hours_max"), F.col("time.session_count").alias("session_count"), F.lower("duration").rlike(r"\b(per|each) (visit|session)\b").alias("hours_per_session"),
-    )
-    return reconcile_rate(flat).withColumns({"bucket": rate_bucket(F.col("rate")), "tags": tags(F.concat_ws(" ", "title", "text")), "eligibility": parse_eligibility(F.concat_ws(" ", "title", "text")), "staleness": staleness(F.col("expires"), F.col("approved"), now)})
+    c = F.col
+    rows = raw.withColumns({"plain_title": html_to_text(c("title")), "plain_excerpt": html_to_text(c("excerpt")), "text": html_to_text(c("body"))})
+    rows = rows.withColumns({"__read": read_pay_and_time("compensation", "duration", "body"), "eligibility": parse_eligibility("title", "excerpt", "body", c("min_age").cast("string"), c("max_age").cast("string"))})
+    rows = rows.withColumns({"pay": c("__read.pay"), "time": c("__read.time")}).drop("__read")
+    flat = rows.withColumns({
+        "summary": short(F.when(F.length("plain_excerpt") >= 40, c("plain_excerpt")).otherwise(F.coalesce(F.nullif(c("text"), F.lit("")), c("plain_excerpt"))), 260),
+        **{k: c(f"pay.{k}") for k in ("guaranteed_min", "guaranteed_max", "hourly_min", "hourly_max", "raffle_only", "per_visit", "visit_count")},
+        "hours_min": c("time.total_hours_min"), "hours_max": c("time.total_hours_max"), "session_count": c("time.session_count"), "hours_per_session": hours_per_session(c("duration"), c("time.session_count")),
+    })
+    named = term_names(c("term_ids"), terms) if terms is not None else None
+    age = staleness(study_instant(c("expires")), study_instant(c("approved")), now)
+    return reconcile_rate(flat).withColumns({"bucket": rate_bucket(c("rate")), "tags": tags(F.concat_ws(" ", "plain_title", "plain_excerpt", "text"), named), "staleness": age, "is_expired": age == "expired"})
+
+
+def short(text: Column, most: int) -> Column:
+    """At most ``most`` signs, cut after a word where the last one begins in the last third, with an ellipsis."""
+    from ..functions.text import clamp
+
+    return clamp(text, most)

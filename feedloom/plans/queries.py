@@ -1,21 +1,24 @@
-"""Queries over the driver's tables, each with a DuckDB twin where SQL can express it."""
+"""Queries over the driver's tables, each with a DuckDB twin where SQL can express it.
+
+A query calls the library's operator; where the tables lack a field, a value derived from a row's own keys stands for it, the same in both languages.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
-from ..operators import classify, collapse, score, serve, snapshots, state, studies
+from ..operators import classify, collapse, ingest, message, score, serve, snapshots, state, studies, timing
+from ..operators import pay as P
+from ..rules import interests
+from ..rules import lexicons as L
+from ..sources import feeds
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-NOW = "2024-02-01 00:00:00"
-ACC = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿœæßÀÂÄÁÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ"
-LEXICON = [("the-and", "topic", "core", 20, ["the and", "and the"]), ("of-the", "organism", "core", 30, ["of the", "the of"]), ("de-la", "host", "methods", 18, ["de la", "la de"]), ("der-die", "method", "methods", 12, ["der die", "die der"]), ("is-it", "topic", "adjacent", 8, ["is it", "that is"])]
-
 
 def query(sql: str | None = None):
     def keep(f):
@@ -35,178 +38,609 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["for_you_topk"](spark, sf_dir)
 
 
-def plain_words(c):
-    """ASCII words without accent folding, so that SQL has a twin."""
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: ((F.length(w) > 1) | w.rlike("^[0-9]$")) & ~w.isin(T.STOP_WORDS))
+def at(x: str):
+    return F.lit(x).cast("timestamp")
 
 
+# Pieces of SQL that several twins share.
+WS = r"[\s\x0B\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 STOPS = "[" + ",".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
-WORDS = f"list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: (length(w) > 1 OR regexp_matches(w, '^[0-9]$')) AND NOT list_contains({STOPS}, w))"
-HAY = "' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' '"
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)[^>]*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM pages")
-def html_strip(spark, d):
-    x = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)[^>]*>", " ")
-    return t(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), "[ \t\n\r]+", " ")).alias("text"))
+def q_list(xs) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+def q_flat(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{WS}', ' ', 'g'))"
+
+
+def q_words(x: str) -> str:
+    return f"list_filter(string_split_regex(lower(strip_accents({x})), '[^a-z0-9]+'), lambda w: (length(w) > 1 OR regexp_matches(w, '^[0-9]$')) AND NOT list_contains({STOPS}, w))"
+
+
+def q_searchable(x: str) -> str:
+    return f"' ' || array_to_string({q_words(x)}, ' ') || ' '"
+
+
+def q_padded(x: str) -> str:
+    return f"' ' || trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')) || ' '"
+
+
+def q_any(hay: str, phrases) -> str:
+    return "(" + " OR ".join(f"contains({hay}, ' {p} ')" for p in phrases) + ")"
+
+
+def q_local(x: str) -> str:
+    return f"timezone('America/Chicago', timezone('UTC', CAST({x} AS TIMESTAMP)))"
+
+
+def q_days(x: str, now: str) -> str:
+    """Civil days from now until x."""
+    return f"date_diff('day', CAST({q_local(now)} AS DATE), CAST({q_local(x)} AS DATE))"
 
 
-@query()
+def q_case(x: str, pairs: dict, other: str = "NULL") -> str:
+    return "CASE " + " ".join(f"WHEN {x} = '{k}' THEN '{v}'" for k, v in pairs.items()) + f" ELSE {other} END"
+
+
+def q_reason(signal: str, label: str, points: str) -> str:
+    return f"{{'s': '{signal}', 'l': {label}, 'p': CAST({points} AS INTEGER)}}"
+
+
+def q_tidy(reasons: list[str]) -> str:
+    """Reasons that fired, the largest first, then by label, as text; and their sum held between 0 and 100."""
+    return f"list_filter([{', '.join(reasons)}], lambda r: r.p IS NOT NULL AND r.p <> 0)"
+
+
+Q_TOLD = "array_to_string(list_transform(list_sort(list_transform(rs, lambda r: {'o': -abs(r.p), 'l': r.l, 's': r.s, 'p': r.p})), lambda r: r.s || '/' || r.l || '/' || r.p), '; ')"
+Q_SUM = "CAST(greatest(0, least(100, coalesce(list_sum(list_transform(rs, lambda r: r.p)), 0))) AS INTEGER)"
+
+
+def told(c="reasons"):
+    return F.array_join(F.transform(c, lambda r: F.concat_ws("/", r["signal"], r["label"], r["points"].cast("string"))), "; ")
+
+
+# --- Text ---------------------------------------------------------------------------------------------------------
+
+_BLOCK = r"(?i)<\s*/?\s*(p|div|li|ul|ol|tr|td|th|h[1-6]|section|article|header|footer|blockquote)\b[^>]*>"
+_STRIPPED = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>', ' ', 'g'), '(?i)<\\s*br\\s*/?\\s*>', ' ', 'g'), "
+    f"'{_BLOCK}', ' ', 'g'), '<[^>]*>', '', 'g')"
+)
+_DECODED = _STRIPPED
+for _k, _v in [(k, v) for k, v in T.ENTITIES.items() if k != "amp"] + [("amp", "&")]:
+    _DECODED = f"regexp_replace({_DECODED}, '(?i)&{_k};', '{_v.replace(chr(39), chr(39) * 2)}', 'g')" if _k != "amp" else f"replace({_DECODED}, '&amp;', '&')"
+
+
+@query(f"SELECT page_id, {q_flat(_DECODED)} AS text FROM pages")
 def html_to_text(spark, d):
     return t(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email removed]', 'g'), '\\s+', ' ', 'g')) AS text FROM documents")
+@query("""SELECT page_id, list_transform(regexp_extract_all(html, '(?is)<li(?:\\s[^>]*)?(?:/>|>(.*?)</li\\s*>)', 1), lambda x: coalesce(x, '')) AS items,
+trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title\\s*>', 1), '<[^>]*>', '', 'g'), '&amp;', '&', 'g')) AS title,
+list_transform(list_filter(list_transform(regexp_extract_all(html, '(?is)<a(\\s[^>]*?)/?>', 1), lambda h: regexp_extract(h, '(?is)\\shref\\s*=\\s*("[^"]*"|''[^'']*'')', 1)), lambda v: v <> ''), lambda v: replace(substr(v, 2, length(v) - 2), '&amp;', '&')) AS links FROM pages""")
+def markup_parts(spark, d):
+    h = F.col("html")
+    return t(spark, d, "pages").select("page_id", T.xml_all(h, "li").alias("items"), T.xml_text(h, "title").alias("title"), T.xml_attributes(h, "a", "href").alias("links"))
+
+
+@query(f"SELECT doc_id, {q_flat(r'''regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email removed]', 'g')''')} AS text FROM documents")
 def strip_emails(spark, d):
     return t(spark, d, "documents").select("doc_id", T.strip_emails(F.col("text")).alias("text"))
 
 
-@query(f"SELECT doc_id, CAST(len(w) AS INTEGER) AS n_tokens, CAST(len(list_distinct(w)) AS INTEGER) AS n_distinct FROM (SELECT doc_id, {WORDS} AS w FROM documents)")
+@query(f"SELECT doc_id, CAST(len(w) AS INTEGER) AS n_tokens, CAST(len(list_distinct(w)) AS INTEGER) AS n_distinct, CAST(len(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS INTEGER) AS n_pairs FROM (SELECT doc_id, {q_words('text')} AS w FROM documents)")
 def tokenize_counts(spark, d):
-    w = t(spark, d, "documents").select("doc_id", plain_words(F.col("text")).alias("w"))
-    return w.select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"))
+    w = t(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("w"))
+    return w.select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_distinct"), F.size(F.array_distinct(T.bigrams(F.col("w")))).alias("n_pairs"))
 
 
-@query()
-def tokenize_folded(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).alias("n_tokens"))
+@query(f"""WITH x AS (SELECT doc_id, {q_flat('text')} AS c FROM documents), y AS (SELECT doc_id, c, substr(c, 1, 160) AS h FROM x), z AS (SELECT *, regexp_extract(h, '(?s)^(.*) [^ ]*$', 1) AS w FROM y)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(c, ' ([,;:.!?])', '\\1', 'g'), '\\( ', '(', 'g'), ' \\)', ')', 'g') AS tidy,
+CASE WHEN length(c) <= 160 THEN c ELSE regexp_replace(CASE WHEN length(w) > 96 THEN w ELSE h END, '[\\s,;:.]+$', '') || '…' END AS short,
+array_to_string({q_words("regexp_replace(regexp_replace(replace(c, '&', ' and '), '^ *(19|20)[0-9][0-9] +', ''), '(?i)\\bv[0-9]+\\b', ' ', 'g')")}, ' ') AS canonical FROM z""")
+def text_cleanup(spark, d):
+    x = F.col("text")
+    return t(spark, d, "documents").select("doc_id", T.tidy_punctuation(x).alias("tidy"), T.clamp(x, 160).alias("short"), F.array_join(T.canonical_title(x), " ").alias("canonical"))
 
 
-def _titles(spark, d):
-    """All words of each text as two sets, of words and of pairs of neighbours."""
-    x = t(spark, d, "documents").select("doc_id", plain_words(F.col("text")).alias("w")).where("size(w) >= 3")
-    return x.select("doc_id", F.concat_ws(" ", F.slice("w", 1, 2)).alias("block"), F.array_distinct("w").alias("w"), F.array_distinct(T.bigrams(F.col("w"))).alias("g")).withColumns({"nw": F.size("w"), "ng": F.size("g")})
+@query("""WITH x AS (SELECT doc_id, lang || ' ' || source || ' <' || doc_id || '> & "it''s"' AS s FROM documents)
+SELECT doc_id, lpad(lower(hex(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(s, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295))), 8, '0') AS fingerprint,
+replace(replace(replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped,
+array_to_string(list_transform(range(1, length(s) + 1), lambda i: lower(printf('%04x', xor(unicode(s[i]), ([107, 51, 121, 33])[((i - 1) % 4) + 1])))), '') AS token, s AS again,
+regexp_matches(trim(doc_id || '@' || lang || '.org'), '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}$') AS is_email FROM x JOIN documents USING (doc_id)""")
+def text_codes(spark, d):
+    s, key = F.col("s"), b"k3y!"
+    x = t(spark, d, "documents").withColumn("s", F.concat("lang", F.lit(" "), "source", F.lit(" <"), "doc_id", F.lit("> & \"it's\"")))
+    token = T.encode_email(s, key)
+    return x.select("doc_id", T.fnv1a(s).alias("fingerprint"), T.xml_escape(s).alias("escaped"), token.alias("token"), T.decode_email(token, key).alias("again"), T.looks_like_email(F.concat("doc_id", F.lit("@"), "lang", F.lit(".org"))).alias("is_email"))
 
 
-PAIRS = f"""WITH x AS (SELECT doc_id, list_slice({WORDS}, 1, 12) AS w FROM documents),
-y AS (SELECT doc_id, w, array_to_string(list_slice(w, 1, 2), ' ') AS block, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM x WHERE len(w) >= 3),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, 0.6 * len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))
-      + 0.4 * len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS s FROM y a JOIN y b ON a.block = b.block AND a.doc_id < b.doc_id)"""
+_DOI = "CASE doc_id % 5 WHEN 0 THEN 'https://doi.org/10.' || (1000 + doc_id % 9000) || '/AB.' || doc_id WHEN 1 THEN 'doi: 10.5555/x' || doc_id WHEN 2 THEN 'info:doi/10.1101/' || doc_id WHEN 3 THEN 'NA' ELSE '10.12/short' END"
 
 
-@query(PAIRS + " SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.82")
-def title_similarity_pairs(spark, d):
-    x = _titles(spark, d)
-    share = lambda n: F.least(f"a.{n}", f"b.{n}") / F.greatest(f"a.{n}", f"b.{n}")
-    near = 0.6 * share("nw") + 0.4 * share("ng") > 0.819999  # no two sets are more alike than their sizes
-    p = x.alias("a").join(x.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    s = F.when(near, 0.6 * T.jaccard(F.col("a.w"), F.col("b.w")) + 0.4 * T.jaccard(F.col("a.g"), F.col("b.g")))
-    return p.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), s.alias("s")).where("s >= 0.82").select("a", "b", F.round("s", 6).alias("similarity"))
+@query(f"""WITH x AS (SELECT doc_id, {_DOI} AS s FROM documents), y AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(trim(s)), '^https?://(dx\\.)?doi\\.org/', ''), '^doi:\\s*', ''), '^info:doi/', '') AS k FROM x)
+SELECT doc_id, CASE WHEN regexp_matches(k, '^10\\.[0-9]{{4,9}}/\\S+$') THEN k END AS doi, CASE WHEN doc_id >= 1000 THEN 'W' || doc_id END AS openalex, (2000 + doc_id % 100) || '.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') AS arxiv, CAST(doc_id % 7 AS INTEGER) AS version FROM y""")
+def identifiers(spark, d):
+    x = t(spark, d, "documents").select("doc_id", F.expr(_DOI).alias("s"))
+    arxiv = F.concat(F.lit("http://arxiv.org/abs/"), (2000 + F.col("doc_id") % 100).cast("string"), F.lit("."), F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0"), F.lit("v"), (F.col("doc_id") % 7).cast("string"))
+    return x.select("doc_id", T.normalize_doi(F.col("s")).alias("doi"), T.normalize_openalex(F.concat(F.lit("https://openalex.org/W"), "doc_id")).alias("openalex"), T.normalize_arxiv(arxiv).alias("arxiv"), T.version_of(arxiv).alias("version"))
 
 
-def _clusters(spark, d):
-    from ..operators.components import resolve
+@query("SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda w: w <> ''), ' ') AS text FROM documents")
+def inverted_index_rebuild(spark, d):
+    w = t(spark, d, "documents").select("doc_id", F.posexplode(F.array_remove(F.split("text", "[ \t\n\r]+"), "")).alias("p", "w"))
+    i = w.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+    return i.select("doc_id", feeds.rebuild_abstract(F.col("index"), 1 << 30).alias("text"))
 
-    docs = t(spark, d, "documents")
-    exact = collapse.exact_edges(docs.select(F.col("doc_id").alias("id"), F.array(F.md5("text")).alias("identity")))
-    fuzzy = title_similarity_pairs(spark, d).select(F.col("b").alias("u"), F.col("a").alias("v"))
-    found = resolve(exact.unionByName(fuzzy))
-    return docs.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("cluster", F.coalesce("component", "doc_id")).drop("component")
 
+@query("SELECT doc_id, CAST(least(45, 10 + floor(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) / 40 + 0.5)) AS INTEGER) AS minutes FROM documents WHERE len(trim(text)) > 0")
+def reading_minutes(spark, d):
+    return t(spark, d, "documents").where("length(trim(text)) > 0").select("doc_id", score.reading_minutes(F.col("text")).alias("minutes"))
 
-CLUSTERS = (
-    PAIRS.replace("WITH x", "WITH RECURSIVE x")
-    + """, e AS (SELECT a, b FROM p WHERE s >= 0.82 UNION SELECT x.doc_id, y.doc_id FROM documents x JOIN documents y ON x.text = y.text AND x.doc_id < y.doc_id),
-l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.n, l.b FROM r JOIN l ON l.a = r.m),
-c AS (SELECT n AS doc_id, min(m) AS cluster FROM r GROUP BY 1)"""
-)
 
+# --- Dates --------------------------------------------------------------------------------------------------------
 
-@query(CLUSTERS + " SELECT doc_id, cluster FROM c")
-def dedupe_components(spark, d):
-    return _clusters(spark, d).select("doc_id", "cluster")
+_AT = "(o_orderdate + to_seconds(CAST(o_orderkey % 86400 AS BIGINT)))"
 
 
-@query(CLUSTERS + """ SELECT cluster, arg_min(d.doc_id, (-n_chars, d.doc_id)) AS id, count(*) AS members, max(n_chars) AS n_chars, min(source) AS source,
-coalesce(bool_or(toxic = 1), false) AS toxic, list_sort(list_distinct(list(lang))) AS langs FROM c JOIN documents d USING (doc_id) LEFT JOIN labels USING (doc_id) GROUP BY 1""")
-def merge_cluster_fields(spark, d):
-    x = _clusters(spark, d).join(t(spark, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), "cluster", "n_chars", "source", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic"), F.array("lang").alias("langs"))
-    return collapse.merge_clusters(x, [F.desc("n_chars"), F.asc("id")], first=[], longest=[], least=["source"], most=["n_chars"], any_=["toxic"], union=["langs"]).select("cluster", "id", "members", "n_chars", "source", "toxic", "langs")
+def _moment():
+    return (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400).cast("timestamp")
 
 
-RULES = [{"label": a, "signal": s, "band": b, "weight": w, "patterns": p} for a, s, b, w, p in LEXICON]
-HITS = "SELECT doc_id, text, source, lang, [" + ", ".join("CASE WHEN " + " OR ".join(f"contains({HAY}, ' {x} ')" for x in p) + f" THEN {w} ELSE 0 END" for _, _, _, w, p in LEXICON) + "] AS h FROM documents"
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN date_trunc('second', {_AT}) WHEN 1 THEN CAST(o_orderdate AS TIMESTAMP) WHEN 2 THEN CAST(o_orderdate AS TIMESTAMP) WHEN 3 THEN CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)
+WHEN 4 THEN CAST(date_trunc('year', o_orderdate) AS TIMESTAMP) ELSE CASE WHEN epoch({_AT}) >= 100000000 THEN {_AT} END END AS instant FROM orders""")
+def instants_parsed(spark, d):
+    m, k = _moment(), F.col("o_orderkey") % 6
+    told_ = F.when(k == 0, F.date_format(m, "yyyy-MM-dd'T'HH:mm:ss")).when(k == 1, F.date_format(m, "yyyy MMM d")).when(k == 2, F.date_format(m, "MMM d, yyyy")).when(k == 3, F.date_format(m, "yyyy MMM")).when(k == 4, F.date_format(m, "yyyy")).otherwise(F.unix_seconds(m).cast("string"))
+    return t(spark, d, "orders").select("o_orderkey", D.to_instant(told_).alias("instant"))
+
+
+@query(f"""WITH x AS (SELECT event_id, {q_local('ts')} AS l, ts FROM events)
+SELECT event_id, strftime(l, '%a, %b %-d, %-I:%M %p') AS moment, strftime(l, '%b %-d, %Y') AS day, strftime(l, '%-I:%M %p') AS clock, strftime(l, '%A, %B %-d') AS agenda, strftime(ts, '%a, %d %b %Y %H:%M:%S') || ' GMT' AS rfc822,
+strftime(l, '%Y-%m-%d') AS day_key, CASE WHEN CAST(ts AS DATE) = CAST(ts + INTERVAL 1 DAY AS DATE) THEN '' ELSE strftime(l, '%b %-d, %Y') || ' – ' || strftime({q_local('ts + INTERVAL 1 DAY')}, '%b %-d, %Y') END AS span, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(extract('millisecond' FROM ts) % 1000 AS VARCHAR), 3, '0') || 'Z' AS iso FROM x""")
+def dates_shown(spark, d):
+    ts = F.col("ts")
+    return t(spark, d, "events").select(
+        "event_id", D.show_datetime(ts).alias("moment"), D.show_date(ts).alias("day"), D.show_time(ts).alias("clock"), D.show_day(ts).alias("agenda"), D.rfc822(ts).alias("rfc822"), D.day_key(ts).alias("day_key"),
+        D.show_range(ts, ts + F.expr("interval 1 day")).alias("span"), D.iso(ts).alias("iso"),
+    )
+
+
+_MS = "(epoch_ms(ts) - epoch_ms(TIMESTAMP '2024-01-15 00:00:00'))"
+
+
+@query(f"""WITH x AS (SELECT event_id, ts, {_MS} AS ms, CAST(floor(abs({_MS}) / 60000 + 0.5) AS BIGINT) AS m, {q_days('ts', "TIMESTAMP '2024-01-15 00:00:00'")} AS d FROM events),
+y AS (SELECT *, CAST(floor(m / 60 + 0.5) AS BIGINT) AS h FROM x), z AS (SELECT *, CAST(floor(h / 24 + 0.5) AS BIGINT) AS n FROM y),
+s AS (SELECT *, CASE WHEN m < 60 THEN m || ' min' WHEN h < 24 THEN h || 'h' WHEN n < 30 THEN n || CASE WHEN n = 1 THEN ' day' ELSE ' days' END ELSE CAST(floor(n / 30 + 0.5) AS BIGINT) || ' mo' END AS t FROM z)
+SELECT event_id, CASE WHEN ms > 0 THEN 'in ' || t ELSE t || ' ago' END AS relative, CASE WHEN d < 0 THEN 'Earlier today' WHEN d = 0 THEN 'Today' WHEN d = 1 THEN 'Tomorrow' WHEN d <= 7 THEN 'This week' WHEN d <= 14 THEN 'Next week' ELSE 'Coming up' END AS label FROM s""")
+def dates_relative(spark, d):
+    now = at("2024-01-15 00:00:00")
+    return t(spark, d, "events").select("event_id", D.relative(F.col("ts"), now).alias("relative"), D.agenda_label(F.col("ts"), now).alias("label"))
+
+
+@query(f"SELECT CAST({q_local('ts')} AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
+def agenda_groups(spark, d):
+    return t(spark, d, "events").groupBy(D.civil_date(F.col("ts")).alias("day")).agg(F.count("*").alias("n"))
+
+
+_AGE = """(CASE WHEN (DATE '1997-06-15') >= CAST(a + to_months(CAST(w AS INTEGER)) AS DATE) THEN w ELSE w - 1 END)"""
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 AND o_orderdate <= DATE '1997-06-15' THEN CAST(o_orderdate AS DATE) END AS a, CASE o_orderkey % 3 WHEN 0 THEN DATE '1997-06-14' WHEN 1 THEN DATE '1999-01-01' END AS e FROM orders),
+y AS (SELECT *, (1997 - year(a)) * 12 + 6 - month(a) AS w FROM x), z AS (SELECT *, {_AGE} AS m FROM y),
+v AS (SELECT *, m + date_diff('day', CAST(a + to_months(CAST(m AS INTEGER)) AS DATE), DATE '1997-06-15') / date_diff('day', CAST(a + to_months(CAST(m AS INTEGER)) AS DATE), CAST(a + to_months(CAST(m + 1 AS INTEGER)) AS DATE)) AS age FROM z)
+SELECT o_orderkey, CASE WHEN e < DATE '1997-06-15' THEN 'expired' WHEN a IS NULL THEN CASE WHEN e IS NOT NULL THEN 'aging' ELSE 'stale' END WHEN age < 9 THEN 'fresh' WHEN age <= 18 OR e IS NOT NULL THEN 'aging' ELSE 'stale' END AS staleness FROM v""")
+def staleness(spark, d):
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    approved = F.when((k % 10 != 0) & (day <= at("1997-06-15")), F.date_format(day, "M/d/yyyy"))
+    expires = F.when(k % 3 == 0, "1997-06-14").when(k % 3 == 1, "1999-01-01T00:00:00Z")
+    return t(spark, d, "orders").select("o_orderkey", D.staleness(D.study_instant(expires), D.study_instant(approved), at("1997-06-15")).alias("staleness"))
 
 
-@query("WITH h AS (" + HITS + ") SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{r[0]}' AS label, {r[3]} AS points FROM h WHERE h[{i + 1}] > 0" for i, r in enumerate(LEXICON)) + ")")
+# --- Scores -------------------------------------------------------------------------------------------------------
+
+_PTS = "CASE WHEN n <= 3 THEN 10 WHEN n <= 14 THEN 7 WHEN n <= 45 THEN 4 WHEN n <= 180 THEN 1 WHEN n <= 730 THEN NULL ELSE -6 END"
+
+
+@query(f"SELECT o_orderkey, {_PTS} AS points FROM (SELECT o_orderkey, -{q_days(_AT, chr(39).join(['TIMESTAMP ', '1998-08-10 03:00:00', '']))} AS n FROM orders)")
+def recency_bands(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", score.recency_points(_moment(), at("1998-08-10 03:00:00")).cast("int").alias("points"))
+
+
+@query(f"""SELECT event_id, CASE WHEN n < -1 THEN -60 WHEN n < 0 THEN 6 WHEN n = 0 THEN 14 WHEN n = 1 THEN 12 WHEN n <= 7 THEN 9 WHEN n <= 21 THEN 5 WHEN n <= 60 THEN 2 ELSE -2 END AS points, CASE WHEN n < 0 THEN -60 WHEN n <= 7 THEN 10 WHEN n <= 30 THEN 4 END AS deadline
+FROM (SELECT event_id, {q_days('ts', "TIMESTAMP '2024-01-15 00:00:00'")} AS n FROM events)""")
+def imminence_bands(spark, d):
+    now = at("2024-01-15 00:00:00")
+    return t(spark, d, "events").select("event_id", score.imminence_points(F.col("ts"), now).cast("int").alias("points"), score.deadline_points(F.col("ts"), now).cast("int").alias("deadline"))
+
+
+def _picks(rules):
+    return [p for r in rules for p in r["patterns"]]
+
+
+def _q_pick(rules, factor):
+    return f"({q_list(_picks(rules))})[CAST(((doc_id * {factor}) % {len(_picks(rules))}) + 1 AS INTEGER)]"
+
+
+def _pick(rules, factor):
+    xs = _picks(rules)
+    return F.element_at(F.array(*[F.lit(x) for x in xs]), ((F.col("doc_id") * factor) % len(xs) + 1).cast("int"))
+
+
+def _papers(spark, d):
+    """Documents as papers, each with two terms of the profile in its abstract."""
+    k = F.col("doc_id")
+    strings = "array<string>"
+    return t(spark, d, "documents").select(
+        k.alias("doc_id"), F.col("source").alias("title"), F.concat_ws(" ", "text", _pick(interests.RESEARCH, 1), F.lit("."), _pick(interests.RESEARCH, 7)).alias("abstract"),
+        F.when(k % 4 > 0, F.timestamp_seconds(1_577_836_800 + (k % 1500) * 86_400 + (k % 24) * 3600)).alias("published_date"), at("2021-01-01").alias("occurred_at"),
+        F.array(F.concat(F.lit("W"), (k % 50).cast("string")), F.concat(F.lit("W"), (k % 20).cast("string"))).alias("references"),
+        F.array(F.struct(F.concat(F.lit("A"), (k % 9).cast("string")).alias("name"), F.when(k % 2 == 0, F.concat(F.lit("Lab"), (k % 5).cast("string"))).alias("affiliation"))).alias("authors"), (k % 5 == 0).alias("is_open_access"),
+        F.when(k % 10 < 6, F.lit("u")).alias("open_access_url"), F.when(k % 11 == 0, F.lit("10.1/p")).alias("published_doi"), F.when(k % 4 > 1, (k % 4).cast("int")).alias("preprint_version"),
+        F.when(k % 3 == 0, "preprint").otherwise("journal-article").alias("kind"), F.slice(F.array(F.lit("biorxiv"), F.lit("pubmed"), F.lit("arxiv")), 1, (k % 3 + 1).cast("int")).cast(strings).alias("sources"),
+    )
+
+
+_NOW = "TIMESTAMP '2024-02-01 00:00:00'"
+_RR = interests.RESEARCH
+_HIT = [f"{q_any('hay', r['patterns'])}" for r in _RR]
+_any_of = lambda signal: "(" + " OR ".join(f"h[{i + 1}]" for i, r in enumerate(_RR) if r["signal"] == signal) + ")"
+_weight = lambda band: "(" + " + ".join(f"CASE WHEN h[{i + 1}] THEN {r['weight']} ELSE 0 END" for i, r in enumerate(_RR) if r["band"] == band) + ")"
+PAPERS = f"""WITH x AS (SELECT doc_id, {q_searchable(f"concat_ws(' ', source, text, {_q_pick(_RR, 1)}, '.', {_q_pick(_RR, 7)})")} AS hay, length(concat_ws(' ', text, {_q_pick(_RR, 1)}, '.', {_q_pick(_RR, 7)})) AS len,
+CASE WHEN doc_id % 4 > 0 THEN make_timestamp((1577836800 + (doc_id % 1500) * 86400 + (doc_id % 24) * 3600) * 1000000) ELSE TIMESTAMP '2021-01-01' END AS seen, CASE WHEN doc_id % 4 > 1 THEN doc_id % 4 ELSE 1 END AS ver FROM documents),
+y AS (SELECT *, [{", ".join(_HIT)}] AS h, -{q_days("seen", _NOW)} AS n FROM x),
+z AS (SELECT *, CASE WHEN ({_any_of("organism")} AND {_weight("core")} >= 24) OR {_weight("core")} >= 45 THEN 'core' WHEN {_weight("methods")} >= 18 THEN 'methods' ELSE 'adjacent' END AS band,
+(CASE WHEN doc_id % 50 IN (1, 2, 3) THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 20 IN (1, 2, 3) AND doc_id % 20 <> doc_id % 50 THEN 1 ELSE 0 END) AS cites FROM y),
+s AS (SELECT doc_id, band, {q_tidy([q_reason(r["signal"], chr(39) + r["label"] + chr(39), f"CASE WHEN h[{i + 1}] THEN {r['weight']} END") for i, r in enumerate(_RR)] + [
+    q_reason("combination", "'selection methods applied to Mtb'", f"CASE WHEN {_any_of('organism')} AND {_any_of('method')} THEN 12 END"),
+    q_reason("combination", "'TB + host metabolic angle'", f"CASE WHEN {_any_of('organism')} AND {_any_of('host')} THEN 10 END"),
+    q_reason("recency", "CASE WHEN n < 0 THEN 'just posted' WHEN n <= 3 THEN 'very recent' WHEN n <= 14 THEN 'recent' WHEN n <= 45 THEN 'this month' WHEN n <= 180 THEN 'this year' ELSE 'older work' END", _PTS),
+    q_reason("citation", "'cites ' || cites || CASE WHEN cites = 1 THEN ' paper' ELSE ' papers' END || ' you saved'", "CASE WHEN cites > 0 THEN least(16, cites * 6) END"),
+    q_reason("author", "'watched author: A4'", "CASE WHEN doc_id % 9 = 4 THEN 14 END"), q_reason("lab", "'watched lab: Lab0'", "CASE WHEN doc_id % 10 = 0 THEN 10 END"),
+    q_reason("access", "'open access'", "CASE WHEN doc_id % 5 = 0 AND doc_id % 10 < 6 THEN 4 END"),
+    q_reason("lifecycle", "CASE WHEN doc_id % 11 = 0 THEN 'preprint now published' ELSE 'revised preprint (v' || ver || ')' END", "CASE WHEN doc_id % 11 = 0 THEN -8 WHEN doc_id % 3 = 0 AND ver > 1 THEN 5 END"),
+    q_reason("sources", "(doc_id % 3 + 1) || ' sources confirm'", "CASE WHEN doc_id % 3 > 0 THEN least(6, 3 * (doc_id % 3)) END"), q_reason("evidence", "'title only - no abstract available'", "CASE WHEN len < 80 THEN -6 END"),
+])} AS rs FROM z)"""
+
+
+def _scored(spark, d):
+    return score.score_research(_papers(spark, d), at("2024-02-01"), tracked=["W1", "W2", "W3"], authors=["A4"], labs=["lab0"])
+
+
+@query(PAPERS + f" SELECT doc_id, {Q_SUM} AS relevance, band, {Q_TOLD} AS reasons FROM s")
+def score_research(spark, d):
+    return _scored(spark, d).select("doc_id", "relevance", "band", told().alias("reasons"))
+
+
+@query(PAPERS + f""", r AS (SELECT doc_id, band, {Q_SUM} AS relevance, rs FROM s)
+SELECT doc_id FROM r WHERE relevance >= CASE WHEN band = 'adjacent' THEN 30 ELSE 12 END AND len(list_filter(rs, lambda r: r.p > 0 AND r.s IN ('organism', 'method', 'topic', 'host', 'domain'))) > 0""")
+def research_floor(spark, d):
+    x = _scored(spark, d)
+    return x.where(score.passes_floor(F.col("relevance"), F.col("band"), F.col("reasons"))).select("doc_id")
+
+
+@query(PAPERS + f", r AS (SELECT doc_id, {Q_SUM} AS relevance FROM s) SELECT doc_id AS id, relevance FROM r WHERE relevance >= 55 ORDER BY relevance DESC, id LIMIT 15")
+def for_you_topk(spark, d):
+    return score.for_you(_scored(spark, d).withColumnRenamed("doc_id", "id")).select("id", "relevance")
+
+
+@query(PAPERS + " SELECT band, count(*) AS n FROM s GROUP BY 1")
+def band_facets(spark, d):
+    x = _scored(spark, d)
+    parts = [serve.of_band(x, b) for b in ("core", "methods", "adjacent")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("band").agg(F.count("*").alias("n"))
+
+
+@query(PAPERS + f""" SELECT doc_id, array_to_string(list_distinct_ordered, ',') AS signals FROM (SELECT doc_id, list_filter(x, lambda v, i: list_position(x, v) = i) AS list_distinct_ordered
+FROM (SELECT doc_id, list_transform(list_filter(list_sort(list_transform(rs, lambda r: {{'o': -abs(r.p), 'l': r.l, 's': r.s, 'p': r.p}})), lambda r: r.p > 0), lambda r: r.s) AS x FROM s))""")
+def signals_of(spark, d):
+    return _scored(spark, d).select("doc_id", serve.signals_of(F.col("reasons")).alias("signals"))
+
+
+@query(PAPERS + f""", r AS (SELECT doc_id, {Q_SUM} AS relevance, band, rs FROM s)
+SELECT doc_id, list_filter([CASE WHEN relevance >= 55 THEN 'for-you' END, 'new', CASE WHEN doc_id % 3 = 0 THEN 'preprints' END, CASE WHEN band = 'methods' THEN 'methods' END,
+CASE WHEN len(list_filter(rs, lambda r: r.s = 'organism')) > 0 THEN 'mtb' END, CASE WHEN len(list_filter(rs, lambda r: r.s = 'host')) > 0 THEN 'host' END], lambda v: v IS NOT NULL) AS tabs FROM r""")
+def research_tabs(spark, d):
+    return _scored(spark, d).select("doc_id", serve.research_tabs(F.col("relevance") >= score.FOR_YOU, F.col("kind"), F.col("band"), F.col("reasons")).alias("tabs"))
+
+
+@query(PAPERS + f""", r AS (SELECT doc_id, {Q_SUM} AS relevance, rs FROM s)
+SELECT doc_id, greatest(0, least(100, relevance + list_sum(list_transform(list_distinct(list_transform(list_filter(rs, lambda r: r.p > 0), lambda r: r.s)), lambda s: CASE s WHEN 'topic' THEN 12 WHEN 'method' THEN -9 ELSE 0 END)))) AS adjusted FROM r WHERE len(list_filter(rs, lambda r: r.p > 0)) > 0""")
+def personal_rank(spark, d):
+    x = _scored(spark, d).withColumn("signals", F.split(serve.signals_of(F.col("reasons")), ",")).where("signals[0] <> ''")
+    bias = F.create_map(F.lit("topic"), F.lit(12), F.lit("method"), F.lit(-9))
+    return x.select("doc_id", score.adjusted(F.col("relevance"), F.col("signals"), bias).cast("long").alias("adjusted"))
+
+
+@query(f"""WITH h AS (SELECT doc_id, {q_padded('text')} AS hay FROM documents) SELECT * FROM (""" + " UNION ALL ".join(f"SELECT doc_id, '{r['label']}' AS label, {r['weight']} AS points FROM h WHERE {q_any('hay', r['patterns'])}" for r in interests.CAMPUS) + ")")
 def lexicon_match(spark, d):
-    x = t(spark, d, "documents").select("doc_id", T.padded(F.col("text")).alias("hay")).select("doc_id", F.explode(score.matches(F.col("hay"), RULES)).alias("m"))
+    x = t(spark, d, "documents").select("doc_id", T.padded(F.col("text")).alias("hay")).select("doc_id", F.explode(score.matches(F.col("hay"), interests.CAMPUS)).alias("m"))
     return x.select("doc_id", "m.label", F.col("m.weight").alias("points"))
 
 
-@query("SELECT doc_id, id, max(weight) AS weight FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{r[0]}' AS id, {r[3]} AS weight FROM documents WHERE contains({HAY}, ' {x} ')" for r in LEXICON for x in r[4]) + ") GROUP BY 1, 2")
+@query(f"""WITH h AS (SELECT doc_id, {q_padded('text')} AS hay FROM documents) SELECT doc_id, id, max(weight) AS weight FROM (""" + " UNION ALL ".join(f"SELECT doc_id, '{r['id']}' AS id, {r['weight']} AS weight FROM h WHERE {q_any('hay', r['patterns'])}" for r in interests.CAMPUS) + ") GROUP BY 1, 2")
 def lexicon_ngram_join(spark, d):
-    rows = [(p, r[0], r[3]) for r in LEXICON for p in r[4]]
-    lex = spark.createDataFrame(rows, "phrase string, id string, weight int")
+    lex = spark.createDataFrame([(p, r["id"], r["weight"]) for r in interests.CAMPUS for p in r["patterns"]], "phrase string, id string, weight int")
     docs = t(spark, d, "documents").select("doc_id", F.split(F.trim(T.padded(F.col("text"))), " ").alias("w"))
-    return score.match_phrases(docs, "doc_id", "w", lex, 2)
+    return score.match_phrases(docs, "doc_id", "w", lex, 4)
+
+
+_CR = interests.CAMPUS
+
+
+def _events(spark, d):
+    """Documents as events, each with a phrase of the interests and one of food, swag or recruiting in its summary."""
+    k = F.col("doc_id")
+    more = [*L.RECRUITING, *L.COMPANIES, *L.FOOD, *L.SPORTS, *L.DEADLINES, *L.RESEARCH, *L.ACADEMIC, *L.CLUBS, *L.CONCRETE]
+    extra = F.element_at(F.array(*[F.lit(x) for x in more]), ((k * 5) % len(more) + 1).cast("int"))
+    owner = F.element_at(F.array(*[F.lit(x) for x in _OWNERS]), (k % len(_OWNERS) + 1).cast("int"))
+    x = t(spark, d, "documents").select(
+        "doc_id", F.col("source").alias("title"), F.concat_ws(" ", "text", F.lit("."), _pick(_CR, 1), F.lit("."), extra, F.when(k % 3 == 0, "provided free").otherwise("at the hall")).alias("summary"), owner.alias("organizer"),
+        F.array(F.when(k % 13 == 0, "Athletics").otherwise("Lecture")).alias("event_types"), F.when(k % 8 == 0, F.lit("Free entry")).alias("cost"), F.when(k % 6 > 0, F.timestamp_seconds(1_704_067_200 + (k % 120) * 40_000)).alias("starts_at"),
+        F.when(k % 7 == 0, F.timestamp_seconds(1_704_067_200 + (k % 90) * 86_400)).alias("deadline_at"), (k % 9 == 0).alias("is_online"), (k % 17 == 0).alias("is_cancelled"),
+        F.slice(F.array(F.lit("calendar"), F.lit("listing")), 1, (k % 2 + 1).cast("int")).alias("sources"), F.array(F.when(k % 5 == 0, "IM").otherwise("x")).alias("tags"),
+    )
+    return ingest.facets(x.withColumn("hay", T.padded(F.col("title"), F.col("summary"))), "hay")
+
+
+_OWNERS = ["Aggie Athletics", "Rec Sports", "Career Center", "MSC Town Hall", "Student Activities", "Residence Life", "Corps of Cadets", "KAMU", "Office of Undergraduate Research", "Graduate and Professional School", "High Performance Research Computing", "Other"]
+_MORE = [*L.RECRUITING, *L.COMPANIES, *L.FOOD, *L.SPORTS, *L.DEADLINES, *L.RESEARCH, *L.ACADEMIC, *L.CLUBS, *L.CONCRETE]
+_place = lambda xs: f"list_filter(list_transform({q_list(xs)}, lambda x: {{'at': strpos(hay, ' ' || x || ' '), 'term': x}}), lambda r: r.at > 0)"
+EVENTS = f"""WITH e0 AS (SELECT doc_id, source AS title, concat_ws(' ', text, '.', {_q_pick(_CR, 1)}, '.', ({q_list(_MORE)})[CAST(((doc_id * 5) % {len(_MORE)}) + 1 AS INTEGER)], CASE WHEN doc_id % 3 = 0 THEN 'provided free' ELSE 'at the hall' END) AS summary,
+({q_list(_OWNERS)})[CAST((doc_id % {len(_OWNERS)}) + 1 AS INTEGER)] AS organizer, CASE WHEN doc_id % 13 = 0 THEN 'Athletics' ELSE 'Lecture' END AS etype, CASE WHEN doc_id % 8 = 0 THEN 'Free entry' END AS cost,
+CASE WHEN doc_id % 6 > 0 THEN make_timestamp((1704067200 + (doc_id % 120) * 40000) * 1000000) END AS starts_at, CASE WHEN doc_id % 7 = 0 THEN make_timestamp((1704067200 + (doc_id % 90) * 86400) * 1000000) END AS deadline_at FROM documents),
+e1 AS (SELECT *, {q_padded("title || ' ' || summary")} AS hay, {q_searchable("concat_ws(' ', title, summary, organizer, etype)")} AS words, {q_days('starts_at', _NOW)} AS n FROM e0),
+e2 AS (SELECT *, list_filter({q_list(L.COMPANIES)}, lambda c: contains(hay, ' ' || c || ' ')) AS c0, list_sort({_place(L.FOOD)}) AS foods, {_place(L.FREE)} AS frees, {_place(L.PROVIDED)} AS serveds FROM e1),
+e3 AS (SELECT *, list_slice(list_filter(c0, lambda c: len(list_filter(c0, lambda o: o <> c AND contains(o, c))) = 0), 1, 5) AS companies,
+CASE WHEN len(foods) = 0 THEN 'none' WHEN len(frees) > 0 AND len(list_filter(foods, lambda f: abs(f.at - frees[1].at) <= 60)) > 0 THEN 'confirmed' WHEN len(serveds) > 0 AND len(list_filter(foods, lambda f: abs(f.at - serveds[1].at) <= 60)) > 0 THEN 'provided'
+WHEN cost IS NOT NULL THEN 'provided' ELSE 'mentioned' END AS tier FROM e2),
+e4 AS (SELECT *, list_slice(list_transform(foods, lambda f: f.term), 1, 6) AS items, CASE WHEN organizer = 'Aggie Athletics' OR etype = 'Athletics' THEN 'sports' WHEN len(companies) > 0 OR {q_any('hay', L.RECRUITING)} THEN 'companies' WHEN {q_any('hay', L.SPORTS)} THEN 'sports'
+WHEN {q_any('hay', L.DEADLINES)} THEN 'deadline' WHEN {q_any('hay', L.RESEARCH)} THEN 'research' {" ".join(f"WHEN contains(lower(organizer), '{m}') THEN '{c}'" for m, c in L.OWNERS.items())}
+WHEN {q_any('hay', L.ACADEMIC)} THEN 'academic' WHEN {q_any('hay', L.CLUBS)} THEN 'clubs' ELSE 'community' END AS category FROM e3),
+e AS (SELECT * EXCLUDE (deadline_at), coalesce(deadline_at, CASE WHEN category = 'deadline' THEN starts_at END) AS deadline_at, {q_days("coalesce(deadline_at, CASE WHEN category = 'deadline' THEN starts_at END)", _NOW)} AS dn FROM e4)"""
+
+
+@query(EVENTS + " SELECT doc_id, category, companies FROM e")
+def categories(spark, d):
+    return _events(spark, d).select("doc_id", "category", "companies")
 
 
-def _scored(spark, d):
-    docs = t(spark, d, "documents").withColumn("hay", T.padded(F.col("text"))).join(t(spark, d, "labels"), "doc_id", "left")
-    docs, m = docs.withColumn("m", score.matches(F.col("hay"), RULES)), F.col("m")
-    found = F.transform(m, lambda x: F.struct(x["signal"].alias("signal"), x["label"].alias("label"), x["weight"].cast("int").alias("points")))
-    extra = score.reasons((F.col("lang") == "en", score.reason("language", "english", 10)), (F.col("n_chars") < 400, score.reason("evidence", "short", -6)), (F.col("toxic") == 1, score.reason("evidence", "toxic", -45)), (F.col("quality") == 1, score.reason("evidence", "good", 14)))
-    return docs.withColumn("reasons", F.concat(found, extra)).withColumn("band", score.band(m)).withColumn("relevance", score.finalize(F.col("reasons")))
+@query(EVENTS + f""" SELECT doc_id, tier, items, CASE WHEN tier <> 'none' THEN trim(substr(hay, b, a + 70 - b)) END AS evidence, list_transform(list_sort({_place(L.SWAG)}), lambda r: r.term) AS swag, list_transform(list_sort({_place(L.CHANCE)}), lambda r: r.term) AS chance,
+tier IN ('confirmed', 'provided') OR {q_any('hay', L.SWAG)} AS is_free FROM (SELECT *, greatest(1, a - 40) AS b FROM (SELECT *, CASE WHEN len(frees) > 0 AND len(list_filter(foods, lambda f: abs(f.at - frees[1].at) <= 60)) > 0 THEN least(frees[1].at, foods[1].at)
+WHEN len(serveds) > 0 AND len(list_filter(foods, lambda f: abs(f.at - serveds[1].at) <= 60)) > 0 THEN least(serveds[1].at, foods[1].at) WHEN len(foods) > 0 THEN foods[1].at END AS a FROM e))""")
+def freebies_tiers(spark, d):
+    return _events(spark, d).select("doc_id", "food.*", classify.is_free(F.col("food")).alias("is_free"))
 
 
-SCORED = "WITH h AS (" + HITS + """), s AS (SELECT h.doc_id, h.text, h.source, greatest(0, least(100, list_sum(h) + CASE WHEN h.lang = 'en' THEN 10 ELSE 0 END + CASE WHEN n_chars < 400 THEN -6 ELSE 0 END
-+ CASE WHEN toxic = 1 THEN -45 ELSE 0 END + CASE WHEN quality = 1 THEN 14 ELSE 0 END)) AS relevance,
-CASE WHEN (h[2] > 0 AND h[1] + h[2] >= 24) OR h[1] + h[2] >= 45 THEN 'core' WHEN h[3] + h[4] >= 18 THEN 'methods' ELSE 'adjacent' END AS band FROM h JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id))"""
+@query(EVENTS + f" SELECT doc_id FROM e WHERE {q_any('hay', L.CONCRETE)} AND ({q_any('hay', L.INTRAMURAL)} OR (contains(lower(organizer), 'rec sports') AND (doc_id % 5 = 0 OR {q_any('hay', L.ACTIVITIES)})))")
+def intramurals(spark, d):
+    return _events(spark, d).where(classify.intramural(F.col("hay"), F.col("organizer"), F.col("tags"))).select("doc_id")
 
 
-@query(SCORED + " SELECT doc_id, CAST(relevance AS INTEGER) AS relevance, band FROM s")
-def finalize_score(spark, d):
-    return _scored(spark, d).select("doc_id", "relevance", "band")
+_CAMPUS = EVENTS + f""", s AS (SELECT doc_id, category, starts_at, title, {q_tidy([q_reason(r["signal"], chr(39) + r["label"] + chr(39), f"CASE WHEN {q_any('words', r['patterns'])} THEN {r['weight']} END") for r in _CR] + [
+    q_reason("company", "CASE WHEN list_contains(companies, 'google') THEN 'tracking google' ELSE 'employer: ' || array_to_string(list_slice(companies, 1, 2), ', ') END", "CASE WHEN list_contains(companies, 'google') THEN 18 WHEN len(companies) > 0 THEN 10 END"),
+    q_reason("food", "CASE WHEN tier = 'confirmed' THEN 'free food: ' || array_to_string(list_slice(items, 1, 2), ', ') ELSE 'food provided' END", "CASE WHEN tier = 'confirmed' THEN 8 WHEN tier = 'provided' THEN 5 END"),
+    q_reason("timing", "CASE WHEN n < -1 THEN 'already happened' WHEN n < 0 THEN 'happening now' WHEN n = 0 THEN 'today' WHEN n = 1 THEN 'tomorrow' WHEN n <= 7 THEN 'this week' WHEN n <= 21 THEN 'in the next 3 weeks' WHEN n <= 60 THEN 'later this term' ELSE 'far out' END",
+             "CASE WHEN n < -1 THEN -60 WHEN n < 0 THEN 6 WHEN n = 0 THEN 14 WHEN n = 1 THEN 12 WHEN n <= 7 THEN 9 WHEN n <= 21 THEN 5 WHEN n <= 60 THEN 2 WHEN n IS NOT NULL THEN -2 END"),
+    q_reason("timing", "CASE WHEN dn < 0 THEN 'closed' WHEN dn <= 7 THEN 'closes within a week' ELSE 'closes this month' END", "CASE WHEN starts_at IS NULL THEN CASE WHEN dn < 0 THEN -60 WHEN dn <= 7 THEN 10 WHEN dn <= 30 THEN 4 END END"),
+    q_reason("format", "'online'", "CASE WHEN doc_id % 9 = 0 THEN 2 END"), q_reason("status", "'cancelled'", "CASE WHEN doc_id % 17 = 0 THEN -45 END"), q_reason("sources", "'2 sources confirm'", "CASE WHEN doc_id % 2 = 1 THEN 3 END"),
+])} AS rs, tier, deadline_at, hay, organizer FROM e)"""
 
 
-@query()
-def score_reasons(spark, d):
-    return score.tidy(_scored(spark, d), "doc_id").select("doc_id", F.explode("reasons").alias("r")).select("doc_id", "r.*")
+def _ranked(spark, d):
+    return score.score_campus(_events(spark, d), at("2024-02-01"), watched=["Google"])
 
 
-@query(SCORED + " SELECT doc_id AS id, CAST(relevance AS INTEGER) AS relevance FROM s WHERE relevance >= 55 ORDER BY relevance DESC, id LIMIT 15")
-def for_you_topk(spark, d):
-    return score.for_you(_scored(spark, d).withColumnRenamed("doc_id", "id")).select("id", "relevance")
+@query(_CAMPUS + f" SELECT doc_id, {Q_SUM} AS relevance, {Q_TOLD} AS reasons FROM s")
+def score_campus(spark, d):
+    return _ranked(spark, d).select("doc_id", "relevance", told().alias("reasons"))
 
 
-@query(SCORED + " SELECT band, count(*) AS n FROM s GROUP BY 1 ORDER BY n DESC, band")
-def band_facets(spark, d):
-    return _scored(spark, d).groupBy("band").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "band")
+@query(_CAMPUS + f""", r AS (SELECT *, {Q_SUM} AS relevance FROM s) SELECT doc_id FROM r WHERE (relevance >= 12 OR doc_id % 17 = 0 OR doc_id % 2 = 1) AND (starts_at IS NULL OR starts_at >= {_NOW} - INTERVAL 18 HOUR)""")
+def campus_floor(spark, d):
+    x = _ranked(spark, d)
+    c = F.col
+    return x.where(ingest.still_ahead(c("starts_at"), F.lit(None).cast("timestamp"), at("2024-02-01")) & ingest.above_floor(c("relevance"), c("is_cancelled"), c("sources"), "listing")).select("doc_id")
 
 
-@query(f"SELECT o_orderkey, CASE WHEN n <= 3 THEN 10 WHEN n <= 14 THEN 7 WHEN n <= 45 THEN 4 WHEN n <= 180 THEN 1 WHEN n <= 730 THEN NULL ELSE -6 END AS points FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-10') AS n FROM orders)")
-def recency_bands(spark, d):
-    return t(spark, d, "orders").select("o_orderkey", score.recency_points(F.col("o_orderdate").cast("timestamp"), F.lit("1998-08-10").cast("timestamp")).cast("int").alias("points"))
+@query(_CAMPUS + f""", r AS (SELECT *, {Q_SUM} AS relevance, {q_days('starts_at', _NOW)} AS n FROM s), v AS (SELECT doc_id, list_filter([CASE WHEN relevance >= 55 THEN 'for-you' END, {q_case('category', serve.CATEGORY_TABS)}, CASE WHEN doc_id % 2 = 1 AND category <> 'clubs' THEN 'clubs' END,
+CASE WHEN n = 0 THEN 'today' END, CASE WHEN n BETWEEN 0 AND 7 THEN 'this-week' END, CASE WHEN {q_any('hay', L.CONCRETE)} AND ({q_any('hay', L.INTRAMURAL)} OR (contains(lower(organizer), 'rec sports') AND (doc_id % 5 = 0 OR {q_any('hay', L.ACTIVITIES)}))) THEN 'intramurals' END,
+CASE WHEN tier IN ('confirmed', 'provided') THEN 'free' END, CASE WHEN deadline_at IS NOT NULL AND category <> 'deadline' THEN 'deadlines' END, CASE WHEN doc_id % 9 = 0 THEN 'online' END], lambda v: v IS NOT NULL) AS tabs FROM r) SELECT doc_id, tabs FROM v""")
+def tab_membership(spark, d):
+    c = F.col
+    mine = classify.intramural(c("hay"), c("organizer"), c("tags"))
+    tabs = serve.campus_tabs(c("relevance") >= score.FOR_YOU, c("category"), c("sources"), "listing", c("starts_at"), at("2024-02-01"), mine, c("food.tier"), c("deadline_at"), c("is_online"))
+    return _ranked(spark, d).select("doc_id", tabs.alias("tabs"))
 
 
-@query("""SELECT event_id, CASE WHEN n < -1 THEN -60 WHEN n < 0 THEN 6 WHEN n = 0 THEN 14 WHEN n = 1 THEN 12 WHEN n <= 7 THEN 9 WHEN n <= 21 THEN 5 WHEN n <= 60 THEN 2 ELSE -2 END AS points
-FROM (SELECT event_id, date_diff('day', CAST(timezone('America/Chicago', timezone('UTC', TIMESTAMP '2024-01-15 00:00:00')) AS DATE), CAST(timezone('America/Chicago', timezone('UTC', CAST(ts AS TIMESTAMP))) AS DATE)) AS n FROM events)""")
-def imminence_bands(spark, d):
-    return t(spark, d, "events").select("event_id", score.imminence_points(F.col("ts"), F.lit("2024-01-15 00:00:00").cast("timestamp")).cast("int").alias("points"))
+@query(_CAMPUS + f""", r AS (SELECT doc_id, starts_at, {Q_SUM} AS relevance FROM s) SELECT doc_id, row_number() OVER (ORDER BY starts_at NULLS LAST, relevance DESC, doc_id) AS place FROM r ORDER BY place LIMIT 100""")
+def campus_agenda(spark, d):
+    from pyspark.sql import Window
+
+    order = serve.by_campus_date(F.col("starts_at"), F.lit(None).cast("timestamp"), F.col("relevance"), F.col("doc_id"))
+    first = _ranked(spark, d).select("doc_id", "starts_at", "relevance").orderBy(*order).limit(100)
+    return first.select("doc_id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+
+
+@query(_CAMPUS + f""", r AS (SELECT doc_id, {Q_SUM} AS relevance, title, category FROM s) SELECT 'campus' AS section, category AS name, count(*) AS n FROM r GROUP BY category
+UNION ALL SELECT 'campus top', title, relevance FROM (SELECT *, row_number() OVER (ORDER BY relevance DESC, doc_id) AS p FROM r) WHERE p <= 5""")
+def run_summary(spark, d):
+    return serve.run_summary(_ranked(spark, d).withColumnRenamed("doc_id", "id").withColumns({"vertical": F.lit("campus"), "band": F.lit(None).cast("string")}))
+
+
+@query(f"""WITH x AS (SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN text || ' Seeking participants for a paid study.' WHEN doc_id % 4 = 1 THEN text || ' volunteers needed' ELSE text END AS summary, CASE WHEN doc_id % 10 = 0 THEN 'registry' ELSE 'calendar' END AS src FROM documents),
+y AS (SELECT *, regexp_replace(lower(source || ' ' || summary || ' tag'), '[^a-z0-9$]+', ' ', 'g') AS h FROM x)
+SELECT doc_id FROM y WHERE NOT (src = 'registry' OR (regexp_matches(h, '\\b(participants? needed|seeking participants?|recruiting participants?|volunteers? needed|take part in (a|our|this) study|participate in (a|our|this) study|study participants?|paid study|clinical trial participants?)\\b')
+AND regexp_matches(h, '\\b(research study|clinical trial|human subjects?|irb|compensation|paid|participant)\\b')))""")
+def participant_studies(spark, d):
+    k = F.col("doc_id")
+    x = t(spark, d, "documents").withColumn("summary", F.concat("text", F.when(k % 4 == 0, " Seeking participants for a paid study.").when(k % 4 == 1, " volunteers needed").otherwise("")))
+    seeks = classify.seeks_participants(F.col("source"), F.col("summary"), F.array(F.lit("tag")), F.lit(None).cast("string"), F.when(k % 10 == 0, "registry").otherwise("calendar"), "registry")
+    return x.where(~seeks).select("doc_id")
+
+
+@query("SELECT l_partkey, CAST(least(6, 3 * (count(DISTINCT l_suppkey) - 1)) AS INTEGER) AS points, least(0.99, 0.9 + 0.04 * (count(DISTINCT l_suppkey) - 1)) AS confidence FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
+def corroboration(spark, d):
+    x = t(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n"))
+    return x.select("l_partkey", score.corroboration_points(F.col("n")).cast("int").alias("points"), collapse.merged_confidence(F.lit(0.9), F.col("n")).alias("confidence")).where("points is not null")
 
 
-BEFORE, AFTER = "o_orderkey % 7 <> 0", "o_orderkey % 11 <> 0"
+# --- One thing from many rows ---------------------------------------------------------------------------------------
 
+_X = f"""WITH RECURSIVE x AS (SELECT doc_id, {q_words('text')} AS w FROM documents), y AS (SELECT doc_id, w[1] || ' ' || w[2] AS block, list_sort(list_distinct(w)) AS ws, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gs FROM x WHERE len(w) >= 3),
+z AS (SELECT *, min(doc_id) OVER (PARTITION BY block, ws, gs) AS rep FROM y),
+sim AS (SELECT a.doc_id AS a, b.doc_id AS b, 0.6 * len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) + CASE WHEN len(a.gs) + len(b.gs) = 0 THEN 0 ELSE 0.4 * len(list_intersect(a.gs, b.gs)) / len(list_distinct(list_concat(a.gs, b.gs))) END AS s, a.rep AS ra, b.rep AS rb FROM z a JOIN z b ON a.block = b.block AND a.doc_id < b.doc_id)"""
 
-@query("""WITH b AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 7 <> 0),
-a AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 11 <> 0)
-SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' WHEN a.s <> b.s THEN 'changed' ELSE 'unchanged' END AS kind FROM b FULL OUTER JOIN a ON a.id = b.id""")
+
+def _worded(spark, d):
+    """All words of each text as two sets, of words and of pairs of neighbours."""
+    w = F.col("w")
+    x = t(spark, d, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("w")).where("size(w) >= 3")
+    return x.select("id", F.concat_ws(" ", F.slice(w, 1, 2)).alias("block"), F.array_distinct(w).alias("w"), F.array_distinct(T.bigrams(w)).alias("g"))
+
+
+@query(_X + """ SELECT a, b, round(s, 6) AS similarity FROM sim WHERE s >= 0.82 AND a = ra AND b = rb AND ra <> rb UNION ALL SELECT rep, doc_id, 1.0 FROM z WHERE rep <> doc_id""")
+def title_similarity_pairs(spark, d):
+    """Pairs of the smallest rows of classes of equal words, and for each other row its class."""
+    rows, links = collapse.similar_classes(_worded(spark, d), 0.82)
+    reps = rows.groupBy("class_").agg(F.min("id").alias("id"))
+    side = lambda p: reps.select(F.col("class_").alias(f"c{p}"), F.col("id").alias(p))
+    pairs = links.where("ca <> cb").join(side("a"), "ca").join(side("b"), "cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("similarity", 6).alias("similarity"))
+    own = links.where("ca = cb").join(side("a"), "ca").join(rows.select(F.col("class_").alias("ca"), F.col("id").alias("b")), "ca").where("a <> b").select("a", "b", "similarity")
+    return pairs.unionByName(own)
+
+
+def _items(spark, d):
+    """Documents as items of two verticals, with ids, times and organisers."""
+    k = F.col("doc_id")
+    ids = F.array_compact(F.array(F.concat(F.lit("event:"), F.md5("text")), F.when(k % 7 == 0, F.concat(F.lit("doi:10.1/"), (k % 40).cast("string")))))
+    return t(spark, d, "documents").select(
+        k.alias("id"), F.when(F.col("lang") == "en", "campus").otherwise("research").alias("vertical"), T.tokens(F.col("text")).alias("title_words"), ids.alias("identity"),
+        F.when(k % 5 > 0, F.timestamp_seconds(1_704_067_200 + (k % 4) * 3600)).alias("occurred_at"), F.concat(F.lit("o"), (k % 2).cast("string")).alias("organizer"),
+    )
+
+
+CLUSTERS = f"""{_X.replace("WHERE len(w) >= 3", "WHERE len(w) >= 1").replace("w[1] || ' ' || w[2]", "concat_ws(' ', w[1], w[2])")},
+i AS (SELECT doc_id, lang = 'en' AS campus, md5(text) AS k1, CASE WHEN doc_id % 7 = 0 THEN doc_id % 40 END AS doi, CASE WHEN doc_id % 5 > 0 THEN doc_id % 4 END AS h, doc_id % 2 AS o FROM documents),
+e AS (SELECT a, b FROM sim JOIN i p ON p.doc_id = a JOIN i q ON q.doc_id = b WHERE p.campus = q.campus AND s >= 0.82 AND NOT coalesce(p.doi IS NOT NULL AND q.doi IS NOT NULL AND p.doi <> q.doi, false)
+AND CASE WHEN p.campus THEN CASE WHEN p.h IS NULL AND q.h IS NULL THEN p.o = q.o AND s >= 0.94 ELSE coalesce(abs(p.h - q.h) <= 2, false) END ELSE s >= 0.94 OR coalesce(abs(p.h - q.h) <= 9600, false) END
+UNION SELECT p.doc_id, q.doc_id FROM i p JOIN i q ON (p.k1 = q.k1 OR p.doi = q.doi) AND p.doc_id < q.doc_id),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.n, l.b FROM r JOIN l ON l.a = r.m),
+c AS (SELECT n AS doc_id, min(m) AS cluster FROM r GROUP BY 1)"""
+
+
+@query(CLUSTERS + " SELECT doc_id, cluster FROM c")
+def dedupe_components(spark, d):
+    return collapse.dedupe(_items(spark, d)).select(F.col("id").alias("doc_id"), "cluster")
+
+
+@query(CLUSTERS + """ SELECT cluster, arg_min(d.doc_id, (-n_chars, d.doc_id)) AS id, count(*) AS members, max(n_chars) AS n_chars, min(source) AS source, arg_min(quality, (-n_chars, d.doc_id)) FILTER (WHERE quality IS NOT NULL) AS quality,
+coalesce(bool_or(toxic = 1), false) AS toxic, list_sort(list_distinct(list(lang))) AS langs FROM c JOIN documents d USING (doc_id) LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+def merge_cluster_fields(spark, d):
+    more = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), "n_chars", "source", "quality", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic"), F.array("lang").alias("langs"))
+    x = collapse.dedupe(_items(spark, d)).select("id", "cluster").join(more, "id")
+    return collapse.merge_clusters(x, [F.desc("n_chars"), F.asc("id")], first=["quality"], longest=[], least=["source"], most=["n_chars"], any_=["toxic"], union=["langs"]).select("cluster", "id", "members", "n_chars", "source", "quality", "toxic", "langs")
+
+
+@query("""WITH g AS (SELECT o_custkey, o_orderpriority, min(o_orderdate) AS a, max(o_orderdate) AS b, count(*) AS n, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders GROUP BY 1, 2)
+SELECT o_custkey, o_orderpriority, k AS id, n AS series_count FROM g WHERE date_diff('day', CAST(a AS DATE), CAST(b AS DATE)) <= 45
+UNION ALL SELECT o.o_custkey, o.o_orderpriority, o_orderkey, 1 FROM orders o JOIN g ON g.o_custkey = o.o_custkey AND g.o_orderpriority = o.o_orderpriority WHERE date_diff('day', CAST(a AS DATE), CAST(b AS DATE)) > 45""")
+def series_collapse(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderpriority", F.col("o_orderdate").cast("timestamp").alias("starts_at"), F.lit(None).cast("timestamp").alias("ends_at"))
+    return collapse.collapse_series(o, ["o_custkey", "o_orderpriority"], "starts_at", "ends_at").select("o_custkey", "o_orderpriority", "id", "series_count")
+
+
+FESTIVAL = dict(pattern=r"(?i)^club crawl\s+((?:fall|spring)\s+\d{4})(?:\s*[-:]\s*(.*))?$", name="Club Crawl {}: all clubs", umbrella="Club Crawl")
+
+
+@query("""WITH x AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN CASE WHEN doc_id % 20 = 0 THEN 'Club Crawl Fall ' || (2020 + doc_id % 3) ELSE 'Club Crawl Fall ' || (2020 + doc_id % 3) || ' - ' || source END ELSE source END AS title, doc_id % 4 = 0 AS what, doc_id % 3 AS term,
+CASE WHEN doc_id % 4 = 0 AND doc_id % 20 <> 0 THEN source END AS who, CASE WHEN doc_id % 20 = 0 THEN 'Club Crawl' ELSE lang END AS organizer, CASE WHEN doc_id % 9 > 0 THEN doc_id % 2 END AS day FROM documents),
+g AS (SELECT term, day, arg_min(id, (organizer <> 'Club Crawl', id)) AS id, count(*) AS members, list_sort(list_distinct(list(who) FILTER (WHERE who IS NOT NULL))) AS orgs, list_sort(list_distinct(list(organizer))) AS langs FROM x WHERE what AND day IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT id, 'Club Crawl Fall ' || (2020 + term) || ': all clubs' AS title, 'Club Crawl' AS organizer, members, CASE WHEN len(orgs) > 0 THEN len(orgs) || ' participating organizations: ' || array_to_string(orgs, ', ') || '.' ELSE 'none' END AS summary, CAST(len(langs) + len(orgs) AS INTEGER) AS n_tags FROM g
+UNION ALL SELECT x.id, title, organizer, 1, 'none', 1 FROM x LEFT JOIN g ON x.what AND x.term = g.term AND x.day = g.day WHERE g.id IS NULL""")
+def co_marketed(spark, d):
+    k = F.col("doc_id")
+    named = F.concat(F.lit("Club Crawl Fall "), (2020 + k % 3).cast("string"), F.when(k % 20 == 0, "").otherwise(F.concat(F.lit(" - "), "source")))
+    owner = F.when(k % 20 == 0, "Club Crawl").otherwise(F.col("lang"))
+    x = t(spark, d, "documents").select(
+        k.alias("id"), k.alias("ord"), F.when(k % 4 == 0, named).otherwise(F.col("source")).alias("title"), F.lit("none").alias("summary"), owner.alias("organizer"), F.array(owner).alias("tags"), F.array("source").alias("sources"),
+        F.when(k % 9 > 0, F.timestamp_seconds(1_704_067_200 + (k % 2) * 86_400)).alias("starts_at"),
+    )
+    return collapse.collapse_co_marketed(x, **FESTIVAL).select("id", "title", "organizer", "members", "summary", F.size("tags").alias("n_tags"))
+
+
+@query("""WITH x AS (SELECT doc_id, upper(regexp_replace(CASE WHEN doc_id % 6 > 0 THEN 'irb-' || (doc_id % 97) END, '[^A-Za-z0-9]', '', 'g')) AS k, n_chars AS m, source AS title FROM documents),
+r AS (SELECT *, row_number() OVER w AS p, first_value(doc_id) OVER w AS f, first_value(title) OVER w AS ft FROM x WHERE k IS NOT NULL WINDOW w AS (PARTITION BY k ORDER BY m DESC, doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+a AS (SELECT k, count(*) - 1 AS n, bool_or(title <> ft AND NOT contains(title, ft) AND NOT contains(ft, title)) AS far FROM r GROUP BY 1)
+SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN p > 1 THEN CAST(f AS VARCHAR) END AS duplicate_of, CAST(CASE WHEN p = 1 THEN n ELSE 0 END AS INTEGER) AS n_duplicates, p = 1 AND far AS titles_diverge FROM r JOIN a USING (k) UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, 0, false FROM x WHERE k IS NULL""")
+def irb_dedupe(spark, d):
+    k = F.col("doc_id")
+    x = t(spark, d, "documents").select(k.cast("string").alias("id"), F.col("source").alias("title"), F.when(k % 6 > 0, F.concat(F.lit("irb-"), (k % 97).cast("string"))).alias("irb_number"), F.col("n_chars").alias("modified"))
+    return studies.dedupe_studies(x).select("id", "duplicate_of", F.size("duplicate_ids").alias("n_duplicates"), "titles_diverge")
+
+
+@query("""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '10.1/' || (doc_id % 60) END AS doi, CASE WHEN doc_id % 3 = 0 THEN 'preprint' ELSE 'journal-article' END AS kind, source AS journal, CASE WHEN doc_id % 3 = 0 THEN '10.1/' || (doc_id % 130) END AS pub FROM documents),
+j AS (SELECT doi, arg_max(journal, doc_id) AS journal FROM x WHERE doi IS NOT NULL GROUP BY 1) SELECT doc_id, j.journal AS published_in, pub IS NOT NULL AS is_superseded FROM x LEFT JOIN j ON j.doi = x.pub""")
+def link_preprints(spark, d):
+    k = F.col("doc_id")
+    x = t(spark, d, "documents").select("doc_id", k.alias("ord"), F.when(k % 2 == 0, F.concat(F.lit("10.1/"), (k % 60).cast("string"))).alias("doi"), F.when(k % 3 == 0, "preprint").otherwise("journal-article").alias("kind"), F.col("source").alias("journal"), F.when(k % 3 == 0, F.concat(F.lit("10.1/"), (k % 130).cast("string"))).alias("published_doi"))
+    return collapse.link_preprints(x).select("doc_id", "published_in", "is_superseded")
+
+
+# --- Snapshots ------------------------------------------------------------------------------------------------------
+
+_BEFORE, _AFTER = "o_orderkey % 7 <> 0", "(o_orderkey % 11 <> 0 OR o_orderkey % 7 = 0)"
+
+
+@query(f"""WITH b AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE {_BEFORE}), a AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_orderpriority AS p FROM orders WHERE {_AFTER})
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' WHEN a.s <> b.s THEN 'changed' ELSE 'unchanged' END AS kind, CASE WHEN a.s <> b.s THEN ['s'] ELSE CAST([] AS VARCHAR[]) END AS fields FROM b FULL OUTER JOIN a ON a.id = b.id""")
 def snapshot_diff(spark, d):
     o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
     b, a = o.where("id % 7 <> 0"), o.where("id % 11 <> 0 or id % 7 = 0").withColumn("s", F.when(F.col("id") % 5 == 0, "X").otherwise(F.col("s")))
-    return snapshots.diff(b, a, ["s", "p"]).select("id", "kind")
+    return snapshots.diff(b, a, ["s", "p"]).select("id", "kind", "fields")
 
 
-@query("""SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'new' WHEN o_orderstatus = 'F' THEN 'cancelled' WHEN o_orderkey % 13 = 0 THEN 'superseded' WHEN o_orderkey % 5 = 0 THEN 'updated' ELSE 'unchanged' END AS status, count(*) AS n FROM orders GROUP BY 1""")
-def status_resolution(spark, d):
+def _versions(spark, d):
     k = F.col("o_orderkey")
-    s = snapshots.status(k % 7 != 0, F.col("o_orderstatus") == "F", k % 13 == 0, F.lit("a"), F.when(k % 5 == 0, "b").otherwise("a"), F.lit(0))
-    return t(spark, d, "orders").select(s.alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
+    def side(new: bool):
+        pick = lambda every, a, b: F.when(k % every == 0, b if new else a).otherwise(a)
+        return t(spark, d, "orders").select(
+            k.alias("id"), pick(5, F.lit("t"), F.lit("t2")).alias("title"), (F.lit(new) & (k % 13 == 0)).alias("is_cancelled"), pick(17, F.lit("here"), F.lit("there")).alias("location"), F.col("o_orderdate").cast("timestamp").alias("starts_at"),
+            (F.lit(new) & (k % 19 == 0)).alias("has_registration"), pick(23, F.lit(1), F.lit(2)).alias("preprint_version"), F.when(F.lit(new) & (k % 29 == 0), "10.1/x").alias("published_doi"), (k % 31 == 0).alias("is_superseded"),
+            F.concat(pick(5, F.lit("h"), F.lit("h2")), pick(3, F.lit("s"), F.lit("s2"))).alias("content_hash"), at("2024-02-01" if new else "2024-01-01").alias("first_seen"),
+        )
+
+    return side(False).where("id % 7 <> 0"), side(True).where("id % 11 <> 0 or id % 7 = 0")
+
+
+_BOTH = "o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0"
+_CHANGES = [(5, "title", "title", "t", "t2"), (13, "cancelled", "status", "scheduled", "cancelled"), (17, "location", "location", "here", "there"), (19, "registration-opened", "registration", "not open", "open"), (23, "preprint-revised", "preprint_version", "v1", "v2"), (29, "preprint-published", "publication", "preprint", "10.1/x")]
+
+
+@query(" UNION ALL ".join(f"SELECT o_orderkey AS item_id, '{k}' AS kind, '{f}' AS field, '{a}' AS before, '{b}' AS after FROM orders WHERE {_BOTH} AND o_orderkey % {n} = 0" for n, k, f, a, b in _CHANGES))
+def item_changes(spark, d):
+    return snapshots.item_changes(*_versions(spark, d))
+
+
+@query(f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'new' WHEN o_orderkey % 13 = 0 THEN 'cancelled' WHEN o_orderkey % 31 = 0 THEN 'superseded' WHEN {" OR ".join(f"o_orderkey % {n} = 0" for n in (3, 5, 17, 19, 23, 29))} THEN 'updated' ELSE 'unchanged' END AS status,
+CASE WHEN o_orderkey % 7 = 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS first_seen FROM orders WHERE {_AFTER}""")
+def status_resolution(spark, d):
+    return snapshots.reconcile(*_versions(spark, d)).select("id", "status", "first_seen")
+
+
+@query(f"""WITH n AS (SELECT count(*) FILTER (WHERE o_orderkey % 7 = 0) AS added, count(*) FILTER (WHERE {_BEFORE} AND NOT {_AFTER}) AS removed, {", ".join(f"count(*) FILTER (WHERE {_BOTH} AND o_orderkey % {x[0]} = 0) AS c{x[0]}" for x in _CHANGES)} FROM orders),
+s AS (SELECT added, removed, {" + ".join(f"c{x[0]}" for x in _CHANGES)} AS changes, c13 AS cancelled, c29 AS published FROM n)
+SELECT *, added + removed + changes = 0 AS is_empty, added || ' added, ' || removed || ' removed, ' || changes || ' change(s)' || CASE WHEN cancelled > 0 THEN ', ' || cancelled || ' cancelled' ELSE '' END || CASE WHEN published > 0 THEN ', ' || published || ' preprint(s) published' ELSE '' END AS text FROM s""")
+def diff_summary(spark, d):
+    b, a = _versions(spark, d)
+    return snapshots.summary(snapshots.diff(b, a, ["title"]), snapshots.item_changes(b, a))
 
-@query("""WITH p AS (SELECT user_id AS id, list_sort(list_distinct(list(event_type))) AS sources FROM events WHERE event_id % 3 <> 0 GROUP BY 1), c AS (SELECT DISTINCT user_id AS id FROM events WHERE event_id % 5 = 0),
-i AS (SELECT DISTINCT event_type FROM events WHERE event_type < 'p')
+
+@query("""WITH p AS (SELECT user_id AS id, list(DISTINCT event_type) AS sources FROM events WHERE event_id % 3 <> 0 OR event_id % 5 <> 0 GROUP BY 1), c AS (SELECT DISTINCT user_id AS id FROM events WHERE event_id % 5 = 0)
 SELECT id FROM c UNION ALL SELECT id FROM p WHERE id NOT IN (SELECT id FROM c) AND len(list_filter(sources, lambda s: s >= 'p')) = 0""")
 def retain_unfetched(spark, d):
     e = t(spark, d, "events")
@@ -215,11 +649,12 @@ def retain_unfetched(spark, d):
     return snapshots.retain(p, c, e.where("event_type < 'p'").select(F.col("event_type").alias("source")).distinct()).select("id")
 
 
-@query("""SELECT user_id, event_type, least(min(CASE WHEN event_id % 2 = 0 THEN ts END), min(CASE WHEN event_id % 2 = 1 THEN ts END)) AS first_seen FROM events GROUP BY 1, 2 HAVING count(CASE WHEN event_id % 2 = 0 THEN 1 END) > 0""")
+@query("""WITH p AS (SELECT user_id, event_type, arg_max(ts, event_id) AS seen FROM events WHERE event_id % 3 > 0 GROUP BY 1, 2), n AS (SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, coalesce(seen, ts) AS first_seen FROM n LEFT JOIN p USING (user_id, event_type)""")
 def carry_forward_first_seen(spark, d):
-    e = t(spark, d, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("external_id"), F.col("ts").alias("first_seen"), "event_id")
+    e = t(spark, d, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("external_id"), F.col("ts").alias("first_seen"), F.col("event_id").alias("ord"))
     now = e.groupBy("source", "external_id").agg(F.max("first_seen").alias("first_seen"))  # as a new pull dates them
-    out = snapshots.carry_forward(now, e.drop("event_id"))
+    out = snapshots.carry_forward(now, e.where("ord % 3 > 0"))
     return out.select(F.col("external_id").alias("user_id"), F.col("source").alias("event_type"), "first_seen")
 
 
@@ -231,54 +666,42 @@ def weekly_digest(spark, d):
 
 
 @query("""WITH w AS (SELECT event_type AS vertical, CAST(date_trunc('week', ts) AS DATE) AS week_of, event_id % 2 AS version, count(*) AS n FROM events GROUP BY 1, 2, 3),
-l AS (SELECT vertical, week_of, arg_max(n, version) AS n FROM w GROUP BY 1, 2) SELECT vertical, week_of, n FROM (SELECT *, row_number() OVER (PARTITION BY vertical ORDER BY week_of DESC) AS r FROM l) WHERE r <= 3""")
+l AS (SELECT vertical, week_of, arg_max(n, version) AS n FROM w GROUP BY 1, 2) SELECT vertical, week_of, n FROM (SELECT *, row_number() OVER (PARTITION BY vertical ORDER BY week_of DESC) AS r FROM l) WHERE r <= 104""")
 def merge_digests_lww(spark, d):
     w = t(spark, d, "events").groupBy(F.col("event_type").alias("vertical"), D.week_of(F.col("ts")).alias("week_of"), (F.col("event_id") % 2).alias("v")).agg(F.count("*").alias("n"))
     return snapshots.merge_digests(w.where("v = 0").drop("v"), w.where("v = 1").drop("v"))
 
 
-@query("""WITH g AS (SELECT o_custkey, o_orderpriority, min(o_orderdate) AS a, max(o_orderdate) AS b, count(*) AS n, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders GROUP BY 1, 2)
-SELECT o_custkey, o_orderpriority, k AS id, n AS series_count FROM g WHERE date_diff('day', CAST(a AS DATE), CAST(b AS DATE)) <= 45
-UNION ALL SELECT o.o_custkey, o.o_orderpriority, o_orderkey, 1 FROM orders o JOIN g ON g.o_custkey = o.o_custkey AND g.o_orderpriority = o.o_orderpriority WHERE date_diff('day', CAST(a AS DATE), CAST(b AS DATE)) > 45""")
-def series_collapse(spark, d):
-    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderpriority", F.col("o_orderdate").cast("timestamp").alias("starts_at"), F.lit(None).cast("timestamp").alias("ends_at"))
-    return collapse.collapse_series(o, ["o_custkey", "o_orderpriority"], "starts_at", "ends_at").select("o_custkey", "o_orderpriority", "id", "series_count")
+@query("""WITH w AS (SELECT event_type AS vertical, CAST(date_trunc('week', ts) AS DATE) AS week_of, count(*) FILTER (WHERE value > 40) AS scanned FROM events GROUP BY 1, 2), h AS (SELECT * FROM w WHERE scanned > 0 AND vertical <> 'click') SELECT vertical, week_of, scanned, week_of = max(week_of) OVER (PARTITION BY vertical) AS latest FROM h""")
+def digest_history(spark, d):
+    w = t(spark, d, "events").groupBy(F.col("event_type").alias("vertical"), D.week_of(F.col("ts")).alias("week_of")).agg(F.count_if(F.col("value") > 40).alias("scanned"))
+    kept = snapshots.digest_history(w, w.where("vertical = 'click'").select("vertical", "week_of"))
+    return kept.join(serve.latest_digest(kept).withColumn("latest", F.lit(True)), ["vertical", "week_of"], "left").withColumn("latest", F.coalesce("latest", F.lit(False)))
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id DESC) AS p FROM documents)
-SELECT max(CASE WHEN p = 1 THEN doc_id END) AS doc_id, CAST(count(*) - 1 AS INTEGER) AS duplicates FROM r GROUP BY source, lang""")
-def irb_dedupe(spark, d):
-    x = collapse.dedupe_by_key(t(spark, d, "documents").drop("text"), F.concat_ws("/", "source", "lang"), [F.desc("n_chars"), F.desc("doc_id")], "doc_id")
-    return x.select("doc_id", F.size("duplicate_ids").alias("duplicates"))
+@query("""WITH g AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week_of, event_type AS vertical, list(event_id) AS ids FROM events GROUP BY 1, 2), x AS (SELECT week_of, vertical, unnest(ids) AS id FROM g) SELECT week_of, vertical, count(*) AS entries, count(*) FILTER (WHERE id % 4 = 0) AS missing FROM x GROUP BY 1, 2""")
+def digest_entries(spark, d):
+    e = t(spark, d, "events").withColumn("week_of", D.week_of(F.col("ts")))
+    digests = e.groupBy("week_of", F.col("event_type").alias("vertical")).agg(F.collect_list(F.struct(F.col("event_id").alias("id"), F.lit("h").alias("headline"))).alias("recommended"))
+    return serve.digest_items(digests, e.where("event_id % 4 > 0").select(F.col("event_id").alias("id")))
 
 
-@query("SELECT l_partkey, CAST(least(6, 3 * (count(DISTINCT l_suppkey) - 1)) AS INTEGER) AS points FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
-def corroboration(spark, d):
-    x = t(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n"))
-    return x.select("l_partkey", score.corroboration_points(F.col("n")).cast("int").alias("points")).where("points is not null")
+# --- The read side ---------------------------------------------------------------------------------------------------
 
 
 @query("""WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_retailprice END AS rate FROM part)
-SELECT p_partkey, row_number() OVER (ORDER BY rate DESC NULLS LAST, p_partkey) AS down, row_number() OVER (ORDER BY rate ASC NULLS LAST, p_partkey) AS up FROM x ORDER BY down LIMIT 200""")
+SELECT p_partkey, row_number() OVER (ORDER BY rate DESC NULLS LAST, p_partkey) AS down, row_number() OVER (ORDER BY rate ASC NULLS LAST, p_partkey) AS up FROM x""")
 def nulls_last_both_ways(spark, d):
     x = t(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("rate"))
-    down = Window.orderBy(*studies.by_rate(F.col("rate"), F.col("p_partkey")))
-    up = Window.orderBy(*studies.by_rate(F.col("rate"), F.col("p_partkey"), False))
-    return x.select("p_partkey", F.row_number().over(down).cast("long").alias("down"), F.row_number().over(up).cast("long").alias("up"))
+    both = [studies.by_rate(F.col("rate"), F.col("p_partkey"), down) for down in (True, False)]
+    return serve.ranked(serve.ranked(x, both[0], "down"), both[1], "up").select("p_partkey", "down", "up")
 
 
-@query("""SELECT l_orderkey, l_linenumber, floor(l_extendedprice / (floor(l_quantity * 60 + 0.5) / 60) * 100 + 0.5) / 100 AS rate,
-CASE WHEN l_extendedprice / l_quantity IS NULL THEN 'unknown' WHEN floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 < 10 THEN 'low' WHEN floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 < 20 THEN 'ok' WHEN floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 < 40 THEN 'good' ELSE 'great' END AS bucket FROM lineitem""")
-def rate_reconcile(spark, d):
-    n = F.lit(None).cast("double")
-    x = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", n.alias("hourly_min"), n.alias("hourly_max"), F.lit(False).alias("raffle_only"), F.col("l_extendedprice").cast("double").alias("guaranteed_min"), F.col("l_extendedprice").cast("double").alias("guaranteed_max"), n.alias("per_visit"), F.lit(None).cast("int").alias("visit_count"), n.alias("hours_min"), F.col("l_quantity").cast("double").alias("hours_max"), F.lit(None).cast("int").alias("session_count"), F.lit(False).alias("hours_per_session"))
-    return studies.reconcile_rate(x).select("l_orderkey", "l_linenumber", "rate", studies.rate_bucket(F.col("rate")).alias("bucket"))
-
-
-@query()
-def staleness(spark, d):
-    x = t(spark, d, "orders")
-    return x.select("o_orderkey", D.staleness(F.lit(None).cast("timestamp"), F.col("o_orderdate").cast("timestamp"), F.lit("1997-06-15").cast("timestamp")).alias("staleness"))
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_partkey % 4 > 0 THEN p_retailprice WHEN p_partkey % 3 = 0 THEN 1.0 * p_size END DESC NULLS LAST, p_size DESC, p_partkey) AS place FROM part""")
+def unrated_order(spark, d):
+    k = F.col("p_partkey")
+    high, low = F.when(k % 4 > 0, F.col("p_retailprice")), F.when(k % 3 == 0, F.col("p_size").cast("double"))
+    return serve.ranked(t(spark, d, "part"), studies.by_total(low, high, F.col("p_size"), k), "place").select("p_partkey", "place")
 
 
 @query("SELECT value, count(*) AS n FROM (SELECT unnest(list_distinct([lang, source])) AS value FROM documents) WHERE value <> 'en' GROUP BY 1 ORDER BY n DESC, value")
@@ -286,21 +709,95 @@ def facet_counts(spark, d):
     return serve.facet_counts(t(spark, d, "documents").select(F.array_distinct(F.array("lang", "source")).alias("x")), "x", ["en"])
 
 
-@query("SELECT doc_id, list_filter([CASE WHEN lang = 'en' THEN 'english' END, CASE WHEN n_chars > 2000 THEN 'long' END, CASE WHEN source < 'src2' THEN 'early' END], lambda x: x IS NOT NULL) AS tabs FROM documents")
-def tab_membership(spark, d):
-    return t(spark, d, "documents").select("doc_id", serve.tabs({"english": F.col("lang") == "en", "long": F.col("n_chars") > 2000, "early": F.col("source") < "src2"}).alias("tabs"))
-
-
 @query("SELECT count(*) AS hidden_unknown FROM part WHERE p_partkey % 5 = 0 AND p_size <= 30")
 def filter_unknown_hidden(spark, d):
     x = t(spark, d, "part").select("p_size", F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("rate"))
     return serve.filter_known(x, {"rate": (1000, None), "p_size": (None, 30)})[1]
 
 
-@query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', lang, source, text)), 'en') AND contains(lower(concat_ws(' ', lang, source, text)), 'src1')")
+@query("SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0 AND p_retailprice >= 1000 AND p_size <= 30")
+def filter_known_rows(spark, d):
+    x = t(spark, d, "part").select("p_partkey", "p_size", F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("rate"))
+    return serve.filter_known(x, {"rate": (1000, None), "p_size": (None, 30)})[0].select("p_partkey")
+
+
+_SEARCH = "lower(concat_ws(' ', lang, source, text))"
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains({_SEARCH}, 'en') AND contains({_SEARCH}, 'src1') AND doc_id % 3 <> 0")
 def search_view(spark, d):
-    x = t(spark, d, "documents").withColumn("search", serve.search_text(F.col("lang"), F.col("source"), F.col("text")))
-    return serve.apply_view(x.withColumnRenamed("doc_id", "id"), None, "EN src1").select(F.col("id").alias("doc_id"))
+    x = t(spark, d, "documents").withColumn("search", serve.search_text(F.col("lang"), F.col("source"), F.col("text"))).withColumnRenamed("doc_id", "id")
+    return serve.apply_view(x, None, "EN src1", x.where("id % 3 = 0").select("id")).select(F.col("id").alias("doc_id"))
+
+
+_TABS = "list_filter([CASE WHEN lang = 'en' THEN 'english' END, CASE WHEN n_chars > 2000 THEN 'long' END, CASE WHEN source < 'src2' THEN 'early' END], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH x AS (SELECT unnest({_TABS}) AS tab FROM documents WHERE contains({_SEARCH}, 'src1') AND doc_id % 3 <> 0), n AS (SELECT tab, count(*) AS n FROM x GROUP BY 1) SELECT tab, coalesce(n, 0) AS n FROM (SELECT unnest(['english', 'long', 'early', 'none']) AS tab) LEFT JOIN n USING (tab)""")
+def view_counts(spark, d):
+    x = t(spark, d, "documents").withColumn("search", serve.search_text(F.col("lang"), F.col("source"), F.col("text"))).withColumnRenamed("doc_id", "id")
+    x = x.withColumn("tabs", serve.tabs({"english": F.col("lang") == "en", "long": F.col("n_chars") > 2000, "early": F.col("source") < "src2"}))
+    return serve.view_counts(x, "src1", ["english", "long", "early", "none"], x.where("id % 3 = 0").select("id"))
+
+
+@query("SELECT doc_id, list_filter([lang, CASE WHEN doc_id % 3 = 0 THEN 'interested' END, CASE WHEN doc_id % 4 = 0 THEN 'going' END, CASE WHEN doc_id % 5 = 0 THEN 'tracked' END], lambda v: v IS NOT NULL) AS tabs FROM documents")
+def personal_tabs(spark, d):
+    x = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array("lang").alias("tabs"))
+    mine = lambda n: x.where(f"id % {n} = 0").select("id")
+    return serve.personal_tabs(x, mine(3), mine(4), mine(5)).select(F.col("id").alias("doc_id"), "tabs")
+
+
+@query(f"SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00' OR event_id % 10 = 0")
+def since_visit(spark, d):
+    x = t(spark, d, "events").select("event_id", F.col("ts").alias("first_seen"), F.when(F.col("event_id") % 10 == 0, "updated").otherwise("unchanged").alias("status"))
+    return serve.since_visit(x, at("2024-01-20")).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-24 00:00:00'")
+def recently_added(spark, d):
+    return serve.recently_added(t(spark, d, "events").withColumnRenamed("ts", "first_seen"), at("2024-01-31")).select("event_id")
+
+
+@query("""WITH x AS (SELECT trim(source) AS n FROM documents UNION ALL SELECT lang FROM documents WHERE lang <> source) SELECT n AS name, count(*) AS n FROM x GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200""")
+def organizer_suggestions(spark, d):
+    x = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("organizer"), F.array(F.concat(F.lit("Organization: "), "lang"), F.lit("other")).alias("tags"))
+    return serve.organizer_suggestions(x)
+
+
+@query(f"""SELECT count(*) FILTER (WHERE event_type < 'p') AS research, count(*) FILTER (WHERE event_type >= 'p') AS campus, count(*) FILTER (WHERE event_type < 'p' AND ts >= TIMESTAMP '2024-01-23') AS research_new, count(*) FILTER (WHERE event_type >= 'p' AND ts >= TIMESTAMP '2024-01-23') AS campus_new,
+count(*) FILTER (WHERE event_id % 3 = 0) AS core, count(*) FILTER (WHERE event_id % 3 = 1) AS methods, count(*) FILTER (WHERE event_type >= 'p' AND {q_days('ts', "TIMESTAMP '2024-01-30 00:00:00'")} = 0) AS today FROM events""")
+def landing_counters(spark, d):
+    k = F.col("event_id")
+    x = t(spark, d, "events").select(F.when(F.col("event_type") < "p", "research").otherwise("campus").alias("vertical"), F.col("ts").alias("first_seen"), F.col("ts").alias("starts_at"), F.when(k % 3 == 0, "core").when(k % 3 == 1, "methods").alias("band"))
+    return serve.landing_counters(x, at("2024-01-30"))
+
+
+@query("""WITH r AS (SELECT n_name AS source, CASE WHEN n_nationkey % 7 = 0 THEN 'failed' WHEN n_nationkey % 3 = 0 THEN 'degraded' WHEN n_nationkey % 5 = 0 THEN 'unavailable' ELSE 'ok' END AS status, n_nationkey AS k FROM nation)
+SELECT count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'degraded') AS degraded, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'unavailable') AS unavailable, CAST(sum(k) AS BIGINT) AS items, CAST(sum(k % 2) AS BIGINT) AS failed_requests FROM r""")
+def source_health(spark, d):
+    k = F.col("n_nationkey")
+    x = t(spark, d, "nation").select(F.col("n_name").alias("source"), F.when(k % 7 == 0, "down").alias("error"), F.slice(F.array(F.lit("w")), 1, F.when(k % 3 == 0, 1).otherwise(0)).alias("warnings"), F.when(k % 5 > 0, "network").alias("fetch_source"), k.cast("long").alias("item_count"), (k % 2).cast("long").alias("failed_requests"))
+    return serve.health_totals(x)
+
+
+@query("""WITH l AS (SELECT o_orderkey AS id, o_orderdate AS d FROM orders), f AS (SELECT * FROM l ORDER BY d DESC, id LIMIT 30),
+m AS (SELECT * FROM l WHERE id % 97 = 0 OR id % 89 = 0) SELECT id FROM (SELECT * FROM f UNION SELECT * FROM m) ORDER BY d DESC, id LIMIT 50""")
+def rss_union_topn(spark, d):
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
+    return serve.rss(o, o.where("id % 97 = 0"), o.where("id % 89 = 0")).select("id")
+
+
+@query("""WITH m AS (SELECT doc_id, quality FROM labels) SELECT doc_id, CASE WHEN m.quality IS NOT NULL THEN m.quality ELSE 7 END AS cited_by, coalesce(m.quality = 1, false) OR d.doc_id % 2 = 0 AS is_open_access, length(CASE WHEN m.doc_id IS NOT NULL AND length(text) < 300 THEN text || repeat('x', 10) ELSE text END) AS abstract_length
+FROM documents d LEFT JOIN m USING (doc_id)""")
+def enrich_left_join(spark, d):
+    k = F.col("doc_id")
+    x = t(spark, d, "documents").select(k.cast("string").alias("doi"), "doc_id", F.lit(7).alias("cited_by"), (k % 2 == 0).alias("is_open_access"), F.col("text").alias("abstract"))
+    m = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    m = m.select(k.cast("string").alias("doi"), F.col("quality").cast("int").alias("cited_by"), (F.col("quality") == 1).alias("is_open_access"), F.when(F.length("text") < 300, F.concat("text", F.repeat(F.lit("x"), 10))).otherwise(F.lit("short")).alias("abstract"))
+    return feeds.enrich(x, m).select("doc_id", "cited_by", "is_open_access", F.length("abstract").cast("long").alias("abstract_length"))
+
+
+# --- State -----------------------------------------------------------------------------------------------------------
 
 
 @query("""SELECT user_id, event_type, list_reduce(list_prepend(0, list(CASE WHEN event_id % 3 = 0 THEN -9 ELSE 7 END ORDER BY ts, event_id)), lambda a, b: greatest(-20, least(20, a + b))) AS bias FROM events GROUP BY 1, 2""")
@@ -309,6 +806,13 @@ def signal_bias_rerank(spark, d):
     return state.bias_fold(e, "user_id", "event_type", "delta", ["ts", "event_id"])
 
 
+@query("""WITH e AS (SELECT *, unnest([event_type, 'all']) AS signal FROM events WHERE event_id % 3 < 2) SELECT user_id, signal, list_reduce(list_prepend(0, list(CASE WHEN event_id % 3 = 0 THEN 2 ELSE -2 END ORDER BY ts, event_id)), lambda a, b: greatest(-20, least(20, a + b))) AS bias FROM e GROUP BY 1, 2""")
+def feedback_bias(spark, d):
+    k = F.col("event_id") % 3
+    e = t(spark, d, "events").withColumns({"signals": F.array("event_type", F.lit("all")), "kind": F.when(k == 0, "more").when(k == 1, "less").otherwise("none")})
+    return state.bias_fold(state.feedback_deltas(e, "signals", "kind"), "user_id", "signal", "delta", ["ts", "event_id"])
+
+
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")
 def lww_state(spark, d):
     return state.last_writer(t(spark, d, "events"), "user_id", "ts", "event_id", "event_type")
@@ -316,71 +820,201 @@ def lww_state(spark, d):
 
 @query("SELECT event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events")
 def touch_visit(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t(spark, d, "events").select("event_id", F.lag("ts").over(w).alias("previous"))
+    return state.previous_visit(t(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "previous")
+
+
+_MARK = """lambda s, k: (CASE WHEN k = 0 THEN 1 - s % 2 WHEN (k = 2 AND (s // 4) % 2 = 0) OR k = 5 THEN 0 ELSE s % 2 END) + 2 * (CASE WHEN k = 1 THEN 1 - (s // 2) % 2 WHEN (k = 2 AND (s // 4) % 2 = 0) OR k = 5 THEN 0 ELSE (s // 2) % 2 END)
++ 4 * (CASE WHEN k = 2 THEN 1 - (s // 4) % 2 WHEN k = 5 THEN 1 WHEN k = 0 OR (k = 1 AND (s // 2) % 2 = 0) THEN 0 ELSE (s // 4) % 2 END) + 8 * (CASE WHEN k = 3 THEN 1 - (s // 8) % 2 ELSE (s // 8) % 2 END) + 16 * (CASE WHEN k = 4 THEN 1 WHEN k = 5 THEN 2 ELSE s // 16 END)"""
 
 
-@query()
+@query(f"""WITH f AS (SELECT user_id, event_type, list_reduce(list_prepend(CAST(0 AS BIGINT), list(CAST(event_id % 6 AS BIGINT) ORDER BY ts, event_id)), {_MARK}) AS s FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, s % 2 = 1 AS saved, (s // 2) % 2 = 1 AS attending, (s // 4) % 2 = 1 AS dismissed, (s // 8) % 2 = 1 AS tracked, CASE s // 16 WHEN 1 THEN 'more' WHEN 2 THEN 'less' END AS feedback FROM f""")
+def state_marks(spark, d):
+    kinds = F.array(*[F.lit(x) for x in ("save", "attend", "dismiss", "track", "more", "less")])
+    e = t(spark, d, "events").withColumn("kind", F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")))
+    return state.marks(e, "user_id", "event_type", "kind", ["ts", "event_id"])
+
+
+@query("""WITH f AS (SELECT user_id, event_type AS item, list_reduce(list_prepend(CAST(0 AS BIGINT), list(CAST(event_id % 2 AS BIGINT) ORDER BY ts, event_id)), lambda s, k: CASE WHEN k = 0 THEN CASE WHEN s = 1 THEN 0 ELSE 1 END ELSE CASE WHEN s = 2 THEN 0 ELSE 2 END END) AS s FROM events GROUP BY 1, 2)
+SELECT user_id, item, s = 1 AS saved, s = 2 AS dismissed FROM f""")
 def state_toggles(spark, d):
     e = t(spark, d, "events").select("user_id", F.col("event_type").alias("item"), "ts", "event_id", F.when(F.col("event_id") % 2 == 0, "save").otherwise("dismiss").alias("kind"))
     return state.toggles(e, "user_id", "item", "kind", ["ts", "event_id"])
 
 
-FOODS, FREES, SERVED = ["the", "la"], ["was", "que"], ["with", "une"]
-_at = lambda xs: "list_filter([" + ",".join(f"strpos(h, ' {x} ')" for x in xs) + "], lambda p: p > 0)"
+@query("SELECT user_id, event_type, lower('Name ' || (event_id % 20)) AS name FROM events GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1")
+def state_watched(spark, d):
+    e = t(spark, d, "events").withColumn("name", F.concat(F.lit("  Name "), (F.col("event_id") % 20).cast("string"), F.lit(" ")))
+    return state.watched(e, "user_id", "event_type", "name")
 
 
-@query(f"""WITH x AS (SELECT doc_id, {HAY} AS h FROM documents), y AS (SELECT doc_id, {_at(FOODS)} AS f, {_at(FREES)} AS r, {_at(SERVED)} AS s FROM x)
-SELECT doc_id, CASE WHEN len(f) = 0 THEN 'none' WHEN len(r) > 0 AND len(list_filter(f, lambda p: abs(p - r[1]) <= 60)) > 0 THEN 'confirmed' WHEN len(s) > 0 AND len(list_filter(f, lambda p: abs(p - s[1]) <= 60)) > 0 THEN 'provided' ELSE 'mentioned' END AS tier FROM y""")
-def freebies_tiers(spark, d):
-    return t(spark, d, "documents").select("doc_id", classify.food_tier(T.padded(F.col("text")), None, FOODS, FREES, SERVED).alias("tier"))
+@query("""WITH e AS (SELECT event_id, user_id, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS clock, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+SELECT event_id, max(clock - n) OVER (PARTITION BY user_id ORDER BY event_id) + n AS stamp FROM e""")
+def state_stamps(spark, d):
+    e = t(spark, d, "events").withColumn("clock", F.unix_seconds(F.date_trunc("hour", "ts")))
+    return state.mint_stamps(e, "user_id", "clock", "event_id").select("event_id", "stamp")
 
 
-@query()
-def categories(spark, d):
-    hay = F.col("hay")
-    return t(spark, d, "documents").select("doc_id", "source", T.padded(F.col("text")).alias("hay")).select("doc_id", classify.category(hay, F.col("source"), classify.companies(hay)).alias("category"))
+@query("""WITH l AS (SELECT user_id, max(event_id) AS stamp FROM events WHERE event_id % 2 = 0 GROUP BY 1), r AS (SELECT user_id, max(event_id) AS stamp FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+SELECT coalesce(l.user_id, r.user_id) AS user_id, CASE WHEN r.stamp IS NULL OR l.stamp > r.stamp THEN l.stamp ELSE r.stamp END AS stamp, CASE WHEN r.stamp IS NULL OR l.stamp > r.stamp THEN 'local' ELSE 'remote' END AS side FROM l FULL JOIN r ON l.user_id = r.user_id""")
+def state_remote(spark, d):
+    side = lambda n, name: t(spark, d, "events").where(f"event_id % {n} = 0").groupBy("user_id").agg(F.max("event_id").alias("stamp")).withColumn("side", F.lit(name))
+    return state.apply_remote(side(2, "local"), side(3, "remote"), "user_id", "stamp")
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda w: w <> ''), ' ') AS text FROM documents")
-def inverted_index_rebuild(spark, d):
-    from ..sources.feeds import rebuild_abstract
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE [event_type, 'x'] END AS saved, CASE WHEN event_id % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['ab'] END AS authors, CASE WHEN event_id % 5 > 0 THEN greatest(-20.0, least(20.0, CAST(event_id % 100 - 50 AS DOUBLE))) END AS bias,
+event_id % 5 <> 0 AND event_id % 7 <> 0 AS valid, event_id % 5 <> 0 AS content, CASE WHEN event_id % 5 > 0 THEN 'less' END AS feedback FROM events""")
+def state_parsed(spark, d):
+    k = F.col("event_id")
+    good = F.to_json(F.struct(F.when(k % 7 == 0, 2).otherwise(1).alias("schema_version"), F.array("event_type", F.lit("x")).alias("saved"), F.array(F.lit("AB")).alias("authors"), F.create_map(F.lit("s"), (k % 100 - 50)).alias("bias"), F.create_map(F.lit("i"), F.lit("less"), F.lit("j"), F.lit("odd")).alias("feedback"), k.alias("updated_at_ms")))
+    text = F.when(k % 5 == 0, "{not json").otherwise(good)
+    s = state.parse_state(text)
+    return t(spark, d, "events").select("event_id", text.alias("j")).select("event_id", state.parse_state(F.col("j")).alias("s"), state.valid_record(F.col("j")).alias("valid")).select("event_id", "s.saved", "s.authors", F.try_element_at("s.bias", F.lit("s")).alias("bias"), "valid", state.has_content(F.col("s")).alias("content"), F.array_join(F.map_values("s.feedback"), ",").alias("f")).withColumn("feedback", F.nullif("f", F.lit(""))).drop("f")
 
-    w = t(spark, d, "documents").select("doc_id", F.posexplode(F.array_remove(F.split("text", "[ \t\n\r]+"), "")).alias("p", "w"))
-    i = w.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
-    return i.select("doc_id", rebuild_abstract(F.col("index"), 1 << 30).alias("text"))
 
+@query("""SELECT event_id, CASE WHEN event_id % 130 <= 120 AND event_id % 4 < 3 THEN CAST(event_id % 130 AS INTEGER) END AS age, CASE WHEN event_id % 4 < 3 THEN CASE event_id % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'other' END END AS sex, CASE WHEN event_id % 4 < 3 THEN event_id % 2 = 0 END AS mri_safe,
+CASE event_id % 5 WHEN 0 THEN 'rate' WHEN 1 THEN 'time' ELSE 'rate' END AS sort, CASE event_id % 5 WHEN 2 THEN 'online' ELSE 'any' END AS mode FROM events""")
+def profile_parsed(spark, d):
+    k = F.col("event_id")
+    p = F.struct((k % 130).alias("age"), F.when(k % 3 == 0, "female").when(k % 3 == 1, "other").otherwise("odd").alias("sex"), (k % 2 == 0).alias("mri_safe"))
+    text = F.when(k % 4 == 0, F.to_json(p)).when(k % 4 == 1, F.to_json(F.struct(F.lit(2).alias("v"), p.alias("profile")))).when(k % 4 == 2, F.to_json(F.struct(p.alias("profile")))).otherwise("[1, 2")
+    filters = F.to_json(F.struct(F.when(k % 5 == 1, "time").when(k % 5 == 3, "odd").alias("sort"), F.when(k % 5 == 2, "online").otherwise("odd").alias("mode")))
+    x = t(spark, d, "events").select("event_id", state.parse_profile(text).alias("p"), state.parse_filters(filters).alias("f"))
+    return x.select("event_id", "p.age", "p.sex", "p.mri_safe", "f.sort", "f.mode")
 
-@query("SELECT doc_id, CASE WHEN quality = 1 THEN n_chars ELSE 0 END AS chars, coalesce(toxic = 1, false) AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
-def enrich_left_join(spark, d):
-    x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
-    return x.select("doc_id", F.when(F.col("quality") == 1, F.col("n_chars")).otherwise(0).alias("chars"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic"))
 
+# --- Paid studies -----------------------------------------------------------------------------------------------------
+
+#: Sentences about pay with {n} for a number, and what they say: guaranteed_min, guaranteed_max, raffle_max, hourly_max, per_visit, visit_count, confidence, as SQL of n.
+PAY = [
+    ("${n}", "n", "n", "NULL", "NULL", "NULL", "NULL", "'high'"), ("${n} - ${n}0 gift card", "n", "n * 10", "NULL", "NULL", "NULL", "NULL", "'medium'"), ("${n}/hr", "NULL", "NULL", "NULL", "n", "NULL", "NULL", "'high'"),
+    ("up to ${n} in cash", "NULL", "n", "NULL", "NULL", "NULL", "NULL", "'high'"), ("${n} per visit", "n", "NULL", "NULL", "NULL", "n", "NULL", "'medium'"), ("None", "0", "0", "0", "NULL", "NULL", "NULL", "'high'"),
+    ("A raffle for a ${n} gift card", "0", "0", "n", "NULL", "NULL", "NULL", "'high'"), ("First phase: ${n}. Second phase: $5.", "n + 5", "n + 5", "NULL", "NULL", "NULL", "NULL", "'medium'"),
+    ("${n} or $500 by check", "least(n, 500)", "greatest(n, 500)", "NULL", "NULL", "NULL", "NULL", "'medium'"), ("A total of ${n}00 over two visits", "n * 100", "n * 100", "NULL", "NULL", "NULL", "2", "'high'"),
+    ("${n} for each session for 3 sessions, plus a prize of $100", "n", "n", "100", "NULL", "n", "3", "'high'"), ("", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "'low'"),
+    ("You have the opportunity to earn ${n} by your task performance", "NULL", "NULL", "NULL", "NULL", "NULL", "NULL", "'low'"), ("${n}9 (${n} for the first visit, $1 for the second)", "n * 10 + 9", "n * 10 + 9", "NULL", "NULL", "NULL", "NULL", "'high'"),
+]
+#: The same for time: total_hours_min, total_hours_max, session_count, span_weeks, confidence.
+TIME = [
+    ("{n} minutes", "n / 60", "n / 60", "NULL", "NULL", "'high'"), ("45-60 minutes", "0.75", "1.0", "NULL", "NULL", "'high'"), ("Approximately {n} weeks", "NULL", "NULL", "NULL", "n", "'medium'"),
+    ("Two visits, each about {n} hours, completed within two weeks.", "2.0 * n", "2.0 * n", "2", "2", "'medium'"), ("1 screening visit lasting up to 2 hours followed by {n} study days lasting up to 7 hours", "2.0 + 7 * n", "2.0 + 7 * n", "n + 1", "NULL", "'medium'"),
+    ("{n} hours total over 4 sessions", "n", "n", "4", "NULL", "'high'"), ("3.5 hours (in two visits; Visit 1: 2 hrs, Visit 2: 1.5 hrs)", "3.5", "3.5", "2", "NULL", "'high'"), ("two separate {n}-hour sessions", "2.0 * n", "2.0 * n", "2", "NULL", "'medium'"),
+    ("several minutes each day for nine days, and a visit of {n} hours", "NULL", "NULL", "NULL", "1.29", "'low'"), ("Sessions last {n} hours", "n", "n", "NULL", "NULL", "'low'"), ("", "NULL", "NULL", "NULL", "NULL", "'low'"), ("an hour and a half", "1.5", "1.5", "NULL", "NULL", "'high'"),
+]
 
-@query("""WITH l AS (SELECT o_orderkey AS id, o_orderdate AS d FROM orders), f AS (SELECT * FROM l ORDER BY d DESC, id LIMIT 30),
-m AS (SELECT * FROM l WHERE id % 97 = 0 OR id % 89 = 0) SELECT id FROM (SELECT * FROM f UNION SELECT * FROM m) ORDER BY d DESC, id LIMIT 50""")
-def rss_union_topn(spark, d):
-    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
-    return serve.rss(o, o.where("id % 97 = 0"), o.where("id % 89 = 0")).select("id")
 
+def _sentence(table):
+    texts = F.array(*[F.lit(x[0]) for x in table])
+    return F.replace(F.element_at(texts, (F.col("p_partkey") % len(table) + 1).cast("int")), F.lit("{n}"), F.col("n").cast("string"))
 
-@query()
+
+def _q_told(table, names, kinds):
+    cases = [f"CAST(CASE p_partkey % {len(table)} " + " ".join(f"WHEN {i} THEN {x[j + 1]}" for i, x in enumerate(table)) + f" END AS {k}) AS {n}" for j, (n, k) in enumerate(zip(names, kinds))]
+    return f"SELECT p_partkey, {', '.join(cases)} FROM (SELECT p_partkey, p_size + 1 AS n FROM part)"
+
+
+_PAY_NAMES = ["guaranteed_min", "guaranteed_max", "raffle_max", "hourly_max", "per_visit", "visit_count", "confidence"]
+
+
+@query(_q_told(PAY, _PAY_NAMES, ["DOUBLE"] * 5 + ["INTEGER", "VARCHAR"]))
 def parse_money(spark, d):
-    x = t(spark, d, "part").select("p_partkey", F.concat(F.lit("$"), F.col("p_size").cast("string"), F.lit(" per visit for 3 visits, plus a raffle for $100.")).alias("s"))
-    return x.select("p_partkey", studies.parse_compensation("s").alias("c")).select("p_partkey", "c.guaranteed_min", "c.guaranteed_max", "c.raffle_max")
+    x = t(spark, d, "part").select("p_partkey", (F.col("p_size") + 1).alias("n"))
+    return x.select("p_partkey", P.parse_compensation(_sentence(PAY)).alias("c")).select("p_partkey", *[f"c.{n}" for n in _PAY_NAMES])
+
 
+_TIME_NAMES = ["total_hours_min", "total_hours_max", "session_count", "span_weeks", "confidence"]
 
-@query()
+
+@query("SELECT p_partkey, round(total_hours_min, 4) AS total_hours_min, round(total_hours_max, 4) AS total_hours_max, session_count, span_weeks, confidence FROM (" + _q_told(TIME, _TIME_NAMES, ["DOUBLE", "DOUBLE", "INTEGER", "DOUBLE", "VARCHAR"]) + ")")
 def parse_duration(spark, d):
-    x = t(spark, d, "part").select("p_partkey", F.concat(F.lit("Two visits, each about "), F.col("p_size").cast("string"), F.lit(" hours, within two weeks.")).alias("s"))
-    return x.select("p_partkey", studies.parse_duration("s").alias("t")).select("p_partkey", "t.total_hours_max", "t.session_count", "t.span_weeks")
+    x = t(spark, d, "part").select("p_partkey", (F.col("p_size") + 1).alias("n"))
+    return x.select("p_partkey", timing.parse_duration(_sentence(TIME)).alias("c")).select("p_partkey", *[f"c.{n}" for n in _TIME_NAMES])
 
 
-@query("SELECT doc_id, CAST(least(45, 10 + floor(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) / 40 + 0.5)) AS INTEGER) AS minutes FROM documents WHERE len(trim(text)) > 0")
-def reading_minutes(spark, d):
-    return t(spark, d, "documents").where("length(trim(text)) > 0").select("doc_id", score.reading_minutes(F.col("text")).alias("minutes"))
+#: Criteria in words, what they make required, and the flags that go with them.
+CRITERIA = [
+    ("Right-handed adults.", ["right_handed"]), ("You will have an MRI scan.", ["mri_safe"]), ("Please come fasted.", ["fasting"]), ("Fasting is not required.", []), ("Exclusion: heart disease or pregnancy.", ["no_cardiovascular", "no_pregnancy"]),
+    ("We study seizures.", []), ("You must not have epilepsy.", ["no_seizure"]), ("Exclusion criteria include left-handedness.", ["right_handed"]), ("Parent and child take part together.", ["parent_or_child"]), ("No history of stroke or concussion.", ["no_neurological"]),
+    ("Women only.", ["female"]), ("Men and women are welcome; no male participants under 20.", []), ("Open to everyone.", []),
+]
 
 
-@query("SELECT CAST(timezone('America/Chicago', timezone('UTC', CAST(ts AS TIMESTAMP))) AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
-def agenda_groups(spark, d):
-    return t(spark, d, "events").groupBy(D.civil_date(F.col("ts")).alias("day")).agg(F.count("*").alias("n"))
+def _q_need(name):
+    rows = [i for i, (_, x) in enumerate(CRITERIA) if name in x]
+    return f"p_partkey % {len(CRITERIA)} IN ({', '.join(map(str, rows))})" if rows else "false"
+
+
+_NEEDS = ["right_handed", "mri_safe", "fasting", "no_cardiovascular", "no_pregnancy", "no_seizure", "no_neurological", "parent_or_child"]
+
+
+@query(f"SELECT p_partkey, 18 AS min_age, CASE WHEN p_size + 1 >= 18 THEN p_size + 1 END AS max_age, {', '.join(f'{_q_need(n)} AS {n}' for n in _NEEDS)}, CASE WHEN {_q_need('female')} THEN 'female' END AS sex FROM part")
+def eligibility(spark, d):
+    k = F.col("p_partkey")
+    body = F.element_at(F.array(*[F.lit(x[0]) for x in CRITERIA]), (k % len(CRITERIA) + 1).cast("int"))
+    high = F.when(F.col("p_size") + 1 >= 18, (F.col("p_size") + 1).cast("string")).otherwise("99")
+    x = t(spark, d, "part").select("p_partkey", studies.parse_eligibility(F.lit("A study"), F.lit(""), body, F.lit("18 years"), high).alias("e"))
+    return x.select("p_partkey", *[f"e.{n}" for n in ("min_age", "max_age", *_NEEDS, "sex")])
+
+
+@query(f"""WITH x AS (SELECT p_partkey, {', '.join(f'{_q_need(n)} AS {n}' for n in [*_NEEDS, 'female'])}, p_partkey % {len(CRITERIA)} AS i, CASE WHEN p_size + 1 >= 18 THEN p_size + 1 END AS most, CASE WHEN p_partkey % 4 > 0 THEN 10 + p_partkey % 50 END AS age, p_partkey % 3 AS a FROM part)
+SELECT p_partkey, CASE WHEN age < 18 OR age > most OR (a = 0 AND (right_handed OR mri_safe OR fasting)) OR (a = 1 AND (no_cardiovascular OR no_pregnancy OR no_seizure)) OR (female AND a = 0) THEN 'ineligible'
+WHEN age IS NULL OR (a = 2 AND (right_handed OR mri_safe OR fasting OR no_cardiovascular OR no_pregnancy OR no_seizure OR female)) OR parent_or_child OR i = 5 THEN 'unknown' ELSE 'eligible' END AS status FROM x""")
+def eligibility_verdict(spark, d):
+    k = F.col("p_partkey")
+    body = F.element_at(F.array(*[F.lit(x[0]) for x in CRITERIA]), (k % len(CRITERIA) + 1).cast("int"))
+    high = F.when(F.col("p_size") + 1 >= 18, (F.col("p_size") + 1).cast("string")).otherwise("99")
+    yes = F.when(k % 3 < 2, k % 3 == 1)
+    p = F.struct(F.when(k % 4 > 0, (10 + k % 50).cast("int")).alias("age"), *[yes.alias(n) for n in ("right_handed", "mri_safe", "fasting", "cardiovascular", "pregnant", "seizure", "student")], F.when(k % 3 == 0, "male").when(k % 3 == 1, "female").alias("sex"))
+    x = t(spark, d, "part").select("p_partkey", studies.parse_eligibility(F.lit("A study"), F.lit(""), body, F.lit("18 years"), high).alias("e"), p.alias("p"))
+    return x.select("p_partkey", studies.check_eligibility(F.col("e"), F.col("p"))["status"].alias("status"))
+
+
+_C2 = lambda x: f"floor(({x}) * 100 + 0.5) / 100"
+RATES = f"""WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 17 = 0 THEN l_quantity END AS hourly, l_orderkey % 19 = 0 AS raffle, CASE WHEN l_orderkey % 5 = 0 THEN l_extendedprice END AS per, CASE WHEN l_orderkey % 23 > 0 THEN l_extendedprice + CASE WHEN l_orderkey % 5 = 0 THEN 20 ELSE 0 END END AS gmin,
+CASE WHEN l_orderkey % 5 > 0 AND l_orderkey % 23 > 0 THEN l_extendedprice END AS gmax, CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber + 1 END AS a, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber + 2 END AS b, CASE WHEN l_orderkey % 29 > 0 THEN l_quantity END AS hrs, l_orderkey % 7 = 0 AND l_linenumber % 2 = 1 AS per_s FROM lineitem),
+s AS (SELECT *, coalesce(gmax, gmin) AS pay, floor(hrs * 60 + 0.5) / 60 AS h, per IS NOT NULL AND gmax IS NULL AND gmin >= per AND gmin < 2 * per AS bv FROM r),
+u AS (SELECT *, coalesce(bv, false) AS bv2, CASE WHEN per_s AND NOT coalesce(bv, false) THEN greatest(a, b) WHEN coalesce(bv, false) THEN least(coalesce(a, b), coalesce(b, a)) END AS n FROM s),
+v AS (SELECT *, {_C2("per * n + greatest(0.0, " + _C2("pay - per") + ")")} AS scaled FROM u)"""
+
+
+@query(RATES + f""" SELECT l_orderkey, l_linenumber, CASE WHEN hourly IS NOT NULL THEN {_C2('hourly')} WHEN raffle OR pay IS NULL OR h IS NULL THEN NULL WHEN bv2 <> per_s AND n IS NULL THEN NULL WHEN bv2 AND per_s AND n IS NULL THEN {_C2('per / h')} WHEN bv2 AND per_s THEN {_C2('scaled / (h * n)')}
+WHEN bv2 THEN {_C2('scaled / h')} WHEN per_s THEN {_C2('pay / (h * n)')} ELSE {_C2('pay / h')} END AS rate, CASE WHEN hourly IS NOT NULL THEN 'stated-hourly' WHEN raffle OR pay IS NULL OR h IS NULL THEN 'unknown' WHEN bv2 <> per_s AND n IS NULL THEN 'unreconciled' WHEN bv2 AND per_s THEN 'single-visit'
+WHEN bv2 THEN 'per-visit-pay-scaled' WHEN per_s THEN 'per-session-hours-scaled' ELSE 'whole-study' END AS basis FROM v""")
+def rate_reconcile(spark, d):
+    k, line, c = F.col("l_orderkey"), F.col("l_linenumber"), F.col
+    price, n = c("l_extendedprice").cast("double"), F.lit(None).cast("double")
+    x = t(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", n.alias("hourly_min"), F.when(k % 17 == 0, c("l_quantity").cast("double")).alias("hourly_max"), (k % 19 == 0).alias("raffle_only"), F.when(k % 5 == 0, price).alias("per_visit"),
+        F.when(k % 23 > 0, price + F.when(k % 5 == 0, 20.0).otherwise(0.0)).alias("guaranteed_min"), F.when((k % 5 > 0) & (k % 23 > 0), price).alias("guaranteed_max"), F.when(line % 3 > 0, (line + 1).cast("int")).alias("visit_count"),
+        F.when(line % 2 == 0, (line + 2).cast("int")).alias("session_count"), n.alias("hours_min"), F.when(k % 29 > 0, c("l_quantity").cast("double")).alias("hours_max"), ((k % 7 == 0) & (line % 2 == 1)).alias("hours_per_session"),
+    )
+    return studies.reconcile_rate(x).select("l_orderkey", "l_linenumber", "rate", "basis")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 9 = 0 THEN 'unknown' WHEN l_extendedprice / l_quantity / 30 < 10 THEN 'low' WHEN l_extendedprice / l_quantity / 30 < 20 THEN 'ok' WHEN l_extendedprice / l_quantity / 30 < 40 THEN 'good' ELSE 'great' END AS bucket FROM lineitem")
+def rate_buckets(spark, d):
+    rate = F.when(F.col("l_orderkey") % 9 > 0, F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double") / 30)
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", studies.rate_bucket(rate).alias("bucket"))
+
+
+_TAG_TEXTS = [("We meet on Zoom.", ["online"]), ("Come to our lab for an fMRI.", ["in-person", "mri"]), ("An EEG with a VR headset.", ["eeg", "vr-ar"]), ("A focus group and a survey.", ["focus-group", "survey"]), ("Interviewed by phone about medication.", ["interview", "clinical"]), ("A usability test of a wearable, on-campus.", ["in-person", "hci"]), ("Nothing here.", [])]
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN {q_list(x) if x else 'CAST([] AS VARCHAR[])'}" for i, (_, x) in enumerate(_TAG_TEXTS)) + " END AS tags, list_filter(['one', CASE WHEN p_partkey % 2 = 0 THEN 'two' END], lambda v: v IS NOT NULL) AS terms FROM part")
+def study_tags(spark, d):
+    k = F.col("p_partkey")
+    text = F.element_at(F.array(*[F.lit(x[0]) for x in _TAG_TEXTS]), (k % 7 + 1).cast("int"))
+    names = studies.term_names(F.array(F.lit(1), F.when(k % 2 == 0, 2).otherwise(3)), F.create_map(F.lit(1), F.lit("one"), F.lit(2), F.lit("two")))
+    return t(spark, d, "part").select("p_partkey", studies.tags(text).alias("tags"), names.alias("terms"))
+
+
+@query("""SELECT p_partkey, 'Interest in taking part - ' || p_name || CASE WHEN p_partkey % 3 = 0 THEN ' (IRB' || p_partkey || ')' ELSE '' END AS subject, CASE WHEN p_partkey % 4 = 0 THEN 'Dear study team,' ELSE 'Dear Dr ' || p_brand || ',' END AS greeting, p_partkey % 5 = 0 AS discloses FROM part""")
+def inquiry_letters(spark, d):
+    k = F.col("p_partkey")
+    e = studies.parse_eligibility(F.lit("A study"), F.lit(""), F.lit("Right-handed adults."), F.lit("18"), F.lit("99"))
+    p = F.struct(F.lit(30).alias("age"), (k % 5 > 0).alias("right_handed"), *[F.lit(None).cast("boolean").alias(n) for n in ("mri_safe", "fasting", "cardiovascular", "pregnant", "seizure", "student")], F.lit(None).cast("string").alias("sex"))
+    x = t(spark, d, "part").withColumns({"e": e, "p": p})
+    c = F.col
+    study = dict(title=c("p_name"), irb_number=F.when(k % 3 == 0, F.concat(F.lit("IRB"), k.cast("string"))), url=F.lit("https://example.org/s"), contact_name=F.when(k % 4 == 0, F.lit("a@b.org")).otherwise(F.concat(F.lit("Dr "), "p_brand")), contact_email=F.lit(None).cast("string"), expires=at("2024-01-01"), is_expired=F.lit(False), staleness=F.lit("fresh"), eligibility=c("e"))
+    m = x.select("p_partkey", message.inquiry(study, c("p"), "a reader of your listings").alias("m"))
+    return m.select("p_partkey", "m.subject", F.element_at(F.split("m.body", "\n"), 1).alias("greeting"), (F.size("m.disclosures") > 0).alias("discloses"))

@@ -9,7 +9,7 @@ FOOD = [
 ]
 FREE = ["free", "no cost", "at no cost", "complimentary", "on us", "free of charge", "no charge"]
 PROVIDED = ["provided", "served", "will be served", "included", "available", "furnished", "catered"]
-SWAG = ["swag", "free t shirt", "free tshirt", "free shirt", "giveaways", "giveaway", "free stickers", "stickers", "free samples", "samples", "goodie bag", "goody bag", "merch", "free merch", "prizes"]
+SWAG = ["swag", "free t-shirt", "free tshirt", "free shirt", "giveaways", "giveaway", "free stickers", "stickers", "free samples", "samples", "goodie bag", "goody bag", "merch", "free merch", "prizes"]
 CHANCE = ["raffle", "drawing", "enter to win", "chance to win", "sweepstakes", "lottery", "door prize"]
 
 # Words that route an event to a category, by category in order of precedence.
@@ -45,8 +45,24 @@ COMPANIES = [
     "jane street", "citadel", "two sigma", "jp morgan", "jpmorgan", "goldman sachs", "morgan stanley", "capital one", "american express", "charles schwab", "fidelity",
     "deloitte", "pwc", "ey", "kpmg", "mckinsey", "bain", "accenture", "bcg", "exxonmobil", "exxon", "chevron", "shell", "bp", "conocophillips", "phillips 66",
     "halliburton", "schlumberger", "slb", "baker hughes", "valero", "marathon", "lockheed martin", "northrop grumman", "raytheon", "boeing", "general dynamics",
+    "l3harris", "honeywell", "ge", "siemens", "abb", "emerson", "caterpillar", "john deere", "bechtel", "fluor", "kiewit", "jacobs", "aecom", "hdr", "burns mcdonnell",
+    "illumina", "thermo fisher", "pacific biosciences", "oxford nanopore", "10x genomics", "pfizer", "merck", "moderna", "genentech", "amgen", "regeneron", "novartis",
+    "astrazeneca", "johnson johnson", "abbott", "medtronic", "bd", "baxter", "sandia", "los alamos", "lawrence livermore", "oak ridge", "argonne", "nasa", "jpl",
+    "nsa", "mitre", "aerospace corporation", "idaho national laboratory", "walmart", "target", "heb", "h e b", "pepsico", "frito lay", "general mills",
+    "procter gamble", "unilever", "usaa", "state farm", "geico", "aig",
 ]
-# Owners that settle a category.
+# Words of intramural listings: the name itself, activities, and what makes a listing a concrete event.
+INTRAMURAL = ["intramural", "intramurals", "intramural sports"]
+ACTIVITIES = [
+    "spikeball", "roundnet", "badminton", "flag football", "pickleball", "ultimate frisbee", "sand volleyball", "dodgeball", "battleship",
+    "basketball", "soccer", "softball", "volleyball", "cornhole", "kickball",
+]
+CONCRETE = [
+    "tournament", "registration", "register", "league", "free agent", "captains meeting", "captain meeting", "orientation", "playoffs",
+    "championship", "competition", "challenge", "officials training",
+]
+# Owners that settle a category, in order; the athletics department and the recreation department by name.
+ATHLETICS, RECREATION = "aggie athletics", "rec sports"
 OWNERS = {
     "aggie athletics": "sports", "rec sports": "sports", "career center": "companies", "msc ": "clubs", "student activities": "clubs", "residence life": "clubs",
     "corps of cadets": "clubs", "kamu": "community", "office of undergraduate research": "research", "graduate and professional school": "academic",

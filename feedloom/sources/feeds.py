@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import civil_instant, to_instant
-from ..functions.text import html_to_text, normalize_doi, strip_emails, version_of
+from ..functions.dates import civil_instant, from_parts, millis, month_of, to_instant
+from ..functions.text import collapse, html_to_text, normalize_arxiv, normalize_doi, normalize_openalex, strip_emails, version_of
 
 PREPRINT = "collection array<struct<title:string,authors:string,doi:string,date:string,version:string,type:string,category:string,abstract:string,published:string,server:string>>"
 CALENDAR = "id bigint, gid bigint, group_title string, title string, url string, date_utc string, date_ts bigint, date2_iso string, is_canceled string, is_online string, has_registration string, description string, cost string, location string, location_latitude string, location_longitude string, event_types array<string>, tags array<string>, last_modified bigint"
@@ -45,7 +45,7 @@ def works(spark: SparkSession, path: str) -> DataFrame:
     r = r.where(F.col("r.type").isNull() | F.col("r.type").isin(INCLUDED_TYPES))
     when = F.coalesce(F.to_date("r.publication_date"), F.make_date("r.publication_year", F.lit(1), F.lit(1)))
     return r.select(
-        F.col("r.id").alias("id"), normalize_doi(F.col("r.doi")).alias("doi"), F.col("r.title").alias("title"), when.alias("published_date"), F.when(F.col("r.type") == "preprint", "preprint").otherwise("journal").alias("kind"),
+        F.col("r.id").alias("id"), normalize_doi(F.col("r.doi")).alias("doi"), F.col("r.title").alias("title"), when.alias("published_date"), F.when(F.col("r.type").isin("preprint", "review", "dataset"), F.col("r.type")).otherwise("journal-article").alias("kind"), normalize_openalex(F.col("r.id")).alias("openalex_id"),
         F.coalesce("r.cited_by_count", F.lit(0)).alias("cited_by"), F.slice("r.referenced_works", 1, 200).alias("references"), rebuild_abstract(F.col("r.abstract_inverted_index")).alias("abstract"),
     )
 
@@ -56,7 +56,7 @@ ATOM = "id string, title string, updated string, published string, summary strin
 def atom(spark: SparkSession, path: str) -> DataFrame:
     r = spark.read.format("xml").option("rowTag", "entry").schema(ATOM).load(path)
     link = lambda test: F.try_element_at(F.filter("link", test), F.lit(1))["_href"]
-    arxiv = F.regexp_extract("id", r"abs/(.+?)(?:v\d+)?$", 1)
+    arxiv = normalize_arxiv(F.col("id"))
     return r.select(
         arxiv.alias("arxiv_id"), version_of(F.col("id")).alias("preprint_version"), F.regexp_replace(F.trim("title"), r"\s+", " ").alias("title"), F.regexp_replace(F.trim("summary"), r"\s+", " ").alias("abstract"),
         F.try_to_timestamp("published").alias("published_at"), F.transform("author", lambda a: a["name"]).alias("authors"), F.transform("category", lambda c: c["_term"]).alias("topics"),
@@ -64,28 +64,136 @@ def atom(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-ARTICLE = "MedlineCitation struct<PMID:string,Article:struct<ArticleTitle:string,Abstract:struct<AbstractText:array<struct<_Label:string,_VALUE:string>>>>>"
-
-
-def pubmed(spark: SparkSession, path: str) -> DataFrame:
-    r = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE).load(path).select("MedlineCitation.*")
-    section = lambda s: F.concat_ws(": ", s["_Label"], s["_VALUE"])
-    return r.select(F.col("PMID").alias("pmid"), F.col("Article.ArticleTitle").alias("title"), F.array_join(F.transform("Article.Abstract.AbstractText", section), " ").alias("abstract"))
-
-
-def crossref(spark: SparkSession, path: str) -> DataFrame:
-    schema = "message struct<items:array<struct<DOI:string,type:string,title:array<string>,abstract:string,`is-referenced-by-count`:int,license:array<struct<URL:string>>>>>"
-    r = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("message.items").alias("r"))
+_TEXTS = "array<struct<_Label:string,_VALUE:string>>"
+ARTICLE = (
+    "MedlineCitation struct<PMID:string,Article:struct<ArticleTitle:string,Journal:struct<Title:string,ISOAbbreviation:string,JournalIssue:struct<PubDate:struct<Year:string,Month:string,Day:string,MedlineDate:string>>>,"
+    f"Abstract:struct<AbstractText:{_TEXTS}>,AuthorList:struct<Author:array<struct<LastName:string,ForeName:string,Initials:string,CollectiveName:string,Identifier:array<struct<_Source:string,_VALUE:string>>>>>,"
+    "PublicationTypeList:struct<PublicationType:array<string>>>,KeywordList:struct<Keyword:array<string>>,MeshHeadingList:struct<MeshHeading:array<struct<DescriptorName:string>>>>,"
+    "PubmedData struct<ArticleIdList:struct<ArticleId:array<struct<_IdType:string,_VALUE:string>>>>"
+)
+
+
+def medline_date(d: Column) -> Column:
+    """Year, Month (name or number) and Day, or the year a MedlineDate begins with."""
+    month = F.coalesce(month_of(d["Month"]), d["Month"].try_cast("int"))
+    day = F.when(month.isNotNull(), d["Day"].try_cast("int"))
+    year = F.coalesce(d["Year"].try_cast("int"), F.regexp_extract(d["MedlineDate"], r"^(\d{4})", 1).try_cast("int"))
+    return from_parts(F.array(year, F.when(d["Year"].isNotNull(), month), F.when(d["Year"].isNotNull(), day)))
+
+
+def _strings(c: Column) -> Column:
+    return F.coalesce(c, F.array().cast("array<string>"))
+
+
+def pubmed(spark: SparkSession, path: str, channel: str = "", ids: DataFrame | None = None) -> DataFrame:
+    """Article records with PMID and title.  ``ids``: a search's answer (pmid); only its articles are read."""
+    r = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE).load(path).select("MedlineCitation.*", F.col("PubmedData.ArticleIdList.ArticleId").alias("ids"))
+    section = lambda s: F.concat_ws(": ", F.nullif(s["_Label"], F.lit("")), collapse(s["_VALUE"]))
+    spoken = F.filter(F.col("Article.Abstract.AbstractText"), lambda x: F.coalesce(F.trim(x["_VALUE"]), F.lit("")) != "")
+    named = lambda x: F.when(x["LastName"].isNotNull(), F.concat_ws(" ", F.coalesce(x["ForeName"], x["Initials"]), x["LastName"])).otherwise(x["CollectiveName"])
+    orcid = lambda x: F.try_element_at(F.filter(x["Identifier"], lambda i: i["_Source"] == "ORCID"), F.lit(1))["_VALUE"]
+    people = F.transform(F.col("Article.AuthorList.Author"), lambda x: F.struct(named(x).alias("name"), orcid(x).alias("orcid"), F.lit(None).cast("string").alias("affiliation")))
+    of = lambda kind: F.try_element_at(F.filter("ids", lambda i: i["_IdType"] == kind), F.lit(1))["_VALUE"]
+    types = F.transform(_strings(F.col("Article.PublicationTypeList.PublicationType")), lambda t: F.lower(t))
+    kind = F.when(F.arrays_overlap(types, F.array(F.lit("review"), F.lit("systematic review"))), "review").when(F.array_contains(types, "preprint"), "preprint").when(F.array_contains(types, "dataset"), "dataset")
+    mesh = F.transform(F.coalesce("MeshHeadingList.MeshHeading", F.array().cast("array<struct<DescriptorName:string>>")), lambda m: m["DescriptorName"])
+    out = r.select(
+        F.col("PMID").alias("pmid"), normalize_doi(of("doi")).alias("doi"), F.lower(of("pmc")).alias("pmcid"), collapse(F.col("Article.ArticleTitle")).alias("title"),
+        F.array_join(F.transform(spoken, section), " ").alias("abstract"), medline_date(F.col("Article.Journal.JournalIssue.PubDate")).alias("published_date"),
+        F.coalesce("Article.Journal.Title", "Article.Journal.ISOAbbreviation").alias("journal"), F.filter(people, lambda x: F.coalesce(x["name"], F.lit("")) != "").alias("authors"), F.coalesce(kind, F.lit("journal-article")).alias("kind"),
+        F.slice(F.concat(F.slice(_strings(F.col("KeywordList.Keyword")), 1, 8), F.slice(mesh, 1, 10)), 1, 12).alias("tags"), F.slice(mesh, 1, 8).alias("topics"), F.lit(channel).alias("channel"),
+    ).where("coalesce(pmid, '') <> '' and coalesce(title, '') <> ''")
+    return out.join(ids, "pmid", "left_semi") if ids is not None else out
+
+
+LITERATURE = (
+    "nextCursorMark string, resultList struct<result:array<struct<id:string,source:string,pmid:string,pmcid:string,doi:string,title:string,authorString:string,authorList:struct<author:array<struct<fullName:string,"
+    "firstName:string,lastName:string>>>,journalInfo:struct<journal:struct<title:string>>,pubYear:string,firstPublicationDate:string,electronicPublicationDate:string,abstractText:string,isOpenAccess:string,"
+    "citedByCount:int,pubTypeList:struct<pubType:array<string>>,keywordList:struct<keyword:array<string>>,meshHeadingList:struct<meshHeading:array<struct<descriptorName:string>>>,"
+    "fullTextUrlList:struct<fullTextUrl:array<struct<url:string,availabilityCode:string,documentStyle:string>>>>>>"
+)
+
+
+def literature(spark: SparkSession, path: str, channel: str, site: str, since: Column | None = None, most: int = 150) -> DataFrame:
+    """Pages of a literature search, one row for each record that has a title and an address; at most ``most`` of one search, newest first.
+
+    ``site``: the address that records of the search are shown under; ``since``: the day from which records are wanted.
+    """
+    from pyspark.sql import Window
+
+    r = spark.read.schema(LITERATURE).option("multiLine", True).json(path).select(F.explode("resultList.result").alias("r")).select("r.*")
+    doi = normalize_doi(F.col("doi"))
+    listed = F.transform("authorList.author", lambda a: F.coalesce(a["fullName"], F.concat_ws(" ", a["firstName"], a["lastName"])))
+    told = F.transform(F.split(F.coalesce("authorString", F.lit("")), ","), lambda a: F.trim(F.regexp_replace(a, r"\.$", "")))
+    names = F.filter(F.when(F.size("authorList.author") > 0, listed).otherwise(told), lambda a: F.coalesce(a, F.lit("")) != "")
+    urls = F.filter("fullTextUrlList.fullTextUrl", lambda u: u["availabilityCode"] == "OA")
+    first = lambda xs: F.try_element_at(xs, F.lit(1))["url"]
+    full = F.coalesce(first(F.filter(urls, lambda u: u["documentStyle"] == "pdf")), first(urls))
+    page = F.when(F.coalesce("id", F.lit("")) != "", F.concat(F.lit(site.rstrip("/") + "/"), F.url_encode(F.coalesce("source", F.lit("MED"))), F.lit("/"), F.url_encode("id"))).otherwise(F.concat(F.lit("https://doi.org/"), doi))
+    mesh = F.transform(F.coalesce("meshHeadingList.meshHeading", F.array().cast("array<struct<descriptorName:string>>")), lambda m: m["descriptorName"])
+    types = F.transform(_strings(F.col("pubTypeList.pubType")), lambda t: F.lower(t))
+    preprint = F.col("source") == "PPR"
+    when = F.coalesce(*[to_instant(F.col(c)) for c in ("firstPublicationDate", "electronicPublicationDate", "pubYear")])
+    out = r.select(
+        F.col("id").alias("external_id"), doi.alias("doi"), F.nullif("pmid", F.lit("")).alias("pmid"), F.lower(F.nullif("pmcid", F.lit(""))).alias("pmcid"), html_to_text(F.col("title")).alias("title"),
+        html_to_text(F.col("abstractText")).alias("abstract"), when.alias("published_date"), F.col("journalInfo.journal.title").alias("journal"),
+        F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(None).cast("string").alias("orcid"), F.lit(None).cast("string").alias("affiliation"))).alias("authors"),
+        F.when(preprint, "preprint").when(F.array_contains(types, "review"), "review").otherwise("journal-article").alias("kind"), F.slice(F.concat(_strings(F.col("keywordList.keyword")), mesh), 1, 12).alias("tags"),
+        F.slice(mesh, 1, 8).alias("topics"), F.col("citedByCount").alias("cited_by"), F.coalesce(F.col("isOpenAccess") == "Y", F.lit(False)).alias("is_open_access"), full.alias("open_access_url"), page.alias("url"),
+        F.when(preprint, 1).alias("preprint_version"), F.lit(channel).alias("channel"),
+    ).where("title <> '' and url is not null")
+    if since is not None:
+        out = out.where(F.col("published_date") >= since)
+    newest = Window.partitionBy("channel").orderBy(F.desc_nulls_last("published_date"), "external_id")
+    return out.withColumn("__place", F.row_number().over(newest)).where(F.col("__place") <= most).drop("__place")
+
+
+def identity(df: DataFrame) -> DataFrame:
+    """``df`` with identity: the namespaced keys of the ids it has."""
+    kinds = {"doi": "doi", "pmid": "pmid", "pmcid": "pmcid", "arxiv_id": "arxiv", "openalex_id": "openalex"}
+    keys = [F.concat(F.lit(f"{name}:"), F.col(c)) for c, name in kinds.items() if c in df.columns]
+    return df.withColumn("identity", F.array_compact(F.array(*keys)))
+
+
+def plausible(day: Column, now: Column, ahead: int = 400) -> Column:
+    """Dates more than ``ahead`` days after now are slips."""
+    return F.when(millis(day) <= millis(now) + ahead * 86_400_000, day)
+
+
+CROSSREF = (
+    "message struct<items:array<struct<DOI:string,type:string,title:array<string>,`container-title`:array<string>,abstract:string,`is-referenced-by-count`:int,license:array<struct<URL:string>>,"
+    "link:array<struct<URL:string,`content-type`:string>>,issued:struct<`date-parts`:array<array<int>>>,published:struct<`date-parts`:array<array<int>>>>>>"
+)
+
+
+def crossref(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
+    """Metadata by DOI.  Open access counts only with an open licence; a link to the full text only then."""
+    r = spark.read.schema(CROSSREF).option("multiLine", True).json(path).select(F.explode("message.items").alias("r"))
     is_open = F.coalesce(F.exists("r.license", lambda x: x["URL"].rlike("(?i)creativecommons|/open")), F.lit(False))
-    return r.select(normalize_doi(F.col("r.DOI")).alias("doi"), F.get("r.title", F.lit(0)).alias("title"), html_to_text(F.col("r.abstract")).alias("abstract"), F.col("r.is-referenced-by-count").alias("cited_by"), is_open.alias("is_open_access"))
+    day = F.coalesce(*[from_parts(F.get(F.col(f"r.{c}.date-parts"), F.lit(0))) for c in ("issued", "published")])
+    pdf = F.try_element_at(F.filter("r.link", lambda x: F.coalesce(x["content-type"] == "application/pdf", F.lit(False))), F.lit(1))["URL"]
+    return r.select(
+        normalize_doi(F.col("r.DOI")).alias("doi"), F.get("r.title", F.lit(0)).alias("title"), html_to_text(F.col("r.abstract")).alias("abstract"), F.col("r.is-referenced-by-count").alias("cited_by"), is_open.alias("is_open_access"),
+        F.get(F.col("r.container-title"), F.lit(0)).alias("journal"), (plausible(day, now) if now is not None else day).alias("published_date"), F.when(is_open, pdf).alias("open_access_url"),
+    ).where("doi is not null")
 
 
 def enrich(items: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Left join by DOI: a longer abstract, a larger citation count and open access win."""
-    m = metadata.select("doi", F.col("abstract").alias("m_abstract"), F.col("cited_by").alias("m_cited"), F.col("is_open_access").alias("m_open")).dropDuplicates(["doi"])
-    j = items.join(m, "doi", "left")
-    longer = F.coalesce(F.length("m_abstract"), F.lit(0)) > F.coalesce(F.length("abstract"), F.lit(0))
-    return j.withColumns({"abstract": F.when(longer, F.col("m_abstract")).otherwise(F.col("abstract")), "cited_by": F.greatest("cited_by", "m_cited"), "is_open_access": F.coalesce("is_open_access", F.lit(False)) | F.coalesce("m_open", F.lit(False))}).drop("m_abstract", "m_cited", "m_open")
+    """Left join by DOI: the metadata's journal and citation count win, its date, link and open access fill gaps, the longer abstract stays.  Fields that either side lacks are left alone."""
+    fields = [c for c in ("journal", "cited_by", "published_date", "open_access_url", "is_open_access", "abstract") if c in metadata.columns and c in items.columns]
+    m = metadata.select("doi", *[F.col(c).alias(f"__{c}") for c in fields]).dropDuplicates(["doi"])
+    j, known = items.join(m, "doi", "left"), {}
+    for c in fields:
+        own, new = F.col(c), F.col(f"__{c}")
+        if c in ("journal", "cited_by"):
+            known[c] = F.coalesce(new, own)
+        elif c == "is_open_access":
+            known[c] = F.coalesce(own, F.lit(False)) | F.coalesce(new, F.lit(False))
+        elif c == "abstract":
+            known[c] = F.when(F.coalesce(F.length(new), F.lit(0)) > F.coalesce(F.length(own), F.lit(0)), new).otherwise(own)
+        else:
+            known[c] = F.coalesce(own, new)
+    return j.withColumns(known).drop(*[f"__{c}" for c in fields]) if known else j
 
 
 def calendar(spark: SparkSession, path: str, channel: str) -> DataFrame:
@@ -101,6 +209,37 @@ def calendar(spark: SparkSession, path: str, channel: str) -> DataFrame:
     ).dropDuplicates(["identity"])
 
 
+# Bare names of places, as titles of listings that only tell opening hours.
+PLACES = [
+    "50 meter", "50 meter pool", "indoor climbing tower", "lap pool", "outdoor pool", "peap", "polo road", "rc", "southside rec center", "student rec center", "student recreation center",
+]
+
+
+def useful_listing(title: Column, description: Column, owner: Column, location: Column, department: str = "rec sports") -> Column:
+    """False for a department's routine opening hours; an explicit closure of the main centre stays."""
+    words = lambda *xs: F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", *xs)), "[^a-z0-9]+", " "))
+    t, all_ = words(title), words(title, description, location)
+    hours = t.rlike(r"\b(hours?|operating hours?|adjusted facility hours?)\b") | t.rlike(r"\b(open|closed|closure)$") | t.isin(PLACES)
+    hours = hours | (t.rlike(r"\bfacilit(y|ies) (update|notice)\b") & all_.rlike(r"\b(hours?|open|closed|closure)\b"))
+    closes = all_.rlike(r"\bstudent rec(reation)? center\b") & all_.rlike(r"\b(closed|closure)\b")
+    ours = F.contains(F.lower(F.coalesce(owner, F.lit(""))), F.lit(department))
+    return ~ours | ~hours | closes
+
+
+def calendars(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(events of all channels, one row for each by identity; a report for each channel: rows, and warnings where a feed is full or empty).  paths: channel to file, the main one first."""
+    feeds = [calendar(spark, p, c) for c, p in paths.items()]
+    every = feeds[0]
+    for f in feeds[1:]:
+        every = every.unionByName(f)
+    order = F.create_map(*[F.lit(x) for i, c in enumerate(paths) for x in (c, i)])
+    first = every.groupBy("identity").agg(F.min_by(F.struct(*[c for c in every.columns if c != "identity"]), order[F.col("channel")]).alias("x")).select("identity", "x.*")
+    names = spark.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in paths])).alias("place", "channel"))
+    counts = names.join(every.groupBy("channel").agg(F.count("*").alias("rows")), "channel", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    warn = F.when(F.col("rows") >= 1000, "hit the feed's cap of 1000 rows").when((F.col("rows") == 0) & (F.col("place") > 0), "no events")
+    return first, counts.select("channel", "rows", F.array_compact(F.array(warn)).alias("warnings"))
+
+
 CARDS = "external_id string, title string, organizer string, date_label string, location string"
 _CARD = re.compile(r'<a\b[^>]*href="(/org/[^"/]+/events/[^"]+)"[^>]*>(.*?)</a>(.*?)(?=<a\b[^>]*href="/org/[^"/]+/events/|\Z)', re.S)
 _PARA = re.compile(r'<p\b[^>]*text-sm2[^>]*>(.*?)</p>', re.S)
@@ -122,16 +261,133 @@ def event_cards(pages: DataFrame) -> DataFrame:
     return pages.select("html").mapInPandas(run, CARDS).dropDuplicates(["external_id"])
 
 
-def card_instant(label: Column) -> Column:
-    """'Sun, Sep 6, 2026 1:00 pm' in local time as an instant."""
-    m = F.regexp_extract(label, r"([A-Z][a-z]{2} \d{1,2}, \d{4}) (\d{1,2}:\d{2} ?[ap]m)", 0)
-    return civil_instant(F.try_to_timestamp(F.upper(m), F.lit("MMM d, yyyy h:mm a")))
+_DAY = r"(?:[A-Za-z]{3},\s*)?([A-Za-z]{3})\s+(\d{1,2})(?:,\s*(\d{4}))?(?:\s+(\d{1,2}(?::\d{2})?\s*[apAP][mM]))?"
+
+
+def _clock(x: Column) -> Column:
+    """Minutes after midnight of "1:00 pm" or "1pm"; null for none."""
+    hour, minute = F.regexp_extract(x, r"^(\d{1,2})(?::(\d{2}))?\s*[apAP][mM]$", 1).try_cast("int"), F.regexp_extract(x, r"^(\d{1,2})(?::(\d{2}))?\s*[apAP][mM]$", 2)
+    late = F.when(F.lower(x).rlike(r"pm$"), 12).otherwise(0)
+    low = F.coalesce(F.nullif(minute, F.lit("")).try_cast("int"), F.lit(0))
+    return F.when(hour.between(1, 12) & (low <= 59), (hour % 12 + late) * 60 + low)
+
+
+def card_span(label: Column, now: Column) -> Column:
+    """struct(starts_at, ends_at, is_all_day) of "Sun, Sep 6, 2026 1:00 pm", "Sep 6 - Sep 8, 2026" or "Sep 6, 2026 1:00 pm - 3:00 pm": local days and times; a missing year is the end's or the current one."""
+    this_year = F.year(F.from_utc_timestamp(now, "America/Chicago"))
+    text = collapse(label)
+    left, right = F.get(F.split(text, r"\s+-\s+"), F.lit(0)), F.get(F.split(text, r"\s+-\s+"), F.lit(1))
+    part = lambda x, i: F.nullif(F.regexp_extract(x, f"^{_DAY}$", i), F.lit(""))
+    year_of = lambda x, other: F.coalesce(part(x, 3).try_cast("int"), other)
+
+    def at(x: Column, year: Column, minutes: Column) -> Column:
+        day = F.try_make_timestamp(year, month_of(part(x, 1)), part(x, 2).try_cast("int"), F.lit(0), F.lit(0), F.lit(0))
+        return F.when(year.between(2000, 2100) & x.rlike(f"^{_DAY}$"), civil_instant(F.timestamp_seconds(F.unix_seconds(day) + minutes * 60)))
+
+    def minutes(x: Column) -> Column:
+        return F.when(part(x, 4).isNull(), 0).otherwise(_clock(part(x, 4)))
+
+    dated = F.coalesce(right.rlike(f"^{_DAY}$"), F.lit(False))
+    year = year_of(left, F.when(dated, year_of(right, this_year)).otherwise(this_year))
+    ends = F.when(dated, at(right, year_of(right, this_year), minutes(right))).otherwise(at(left, year, _clock(right)))
+    return F.struct(at(left, year, minutes(left)).alias("starts_at"), ends.alias("ends_at"), part(left, 4).isNull().alias("is_all_day"))
+
+
+def card_instant(label: Column, now: Column | None = None) -> Column:
+    """When an event of a card begins."""
+    return card_span(label, now if now is not None else F.current_timestamp())["starts_at"]
+
+
+def event_listing(pages: DataFrame, now: Column, days: int = 45) -> DataFrame:
+    """Events of listing pages (page, html) with title, organiser and date, within the horizon.  A first page without any card fails the job: its markup has changed."""
+    cards = event_cards(pages).withColumn("span", card_span(F.col("date_label"), now))
+    first = event_cards(pages.where("page = 1")).limit(1).count()
+    if not first:
+        raise ValueError("the first listing page holds no event card")
+    known = cards.where("coalesce(title, '') <> '' and coalesce(organizer, '') <> '' and span.starts_at is not null")
+    end = F.coalesce("span.ends_at", "span.starts_at")
+    near = known.where((millis("span.starts_at") <= millis(now) + days * 86_400_000) & (millis(end) >= millis(now) - 86_400_000))
+    return near.select("external_id", "title", "organizer", "location", "span.*", F.array(F.concat(F.lit("event:listing-"), "external_id")).alias("identity"), F.array(F.lit("Student organization"), F.col("organizer")).alias("tags"))
+
+
+LEAGUES = "id string, name string, schedules array<struct<divisions:array<string>,registration:string,join:string,season:string,payment:string>>"
+
+
+def _local(text: Column, year: int, end_of_day: bool = False) -> Column:
+    """"Aug 30", "Aug 30 5:00PM" or "Aug 30 midnight" in local time."""
+    month, day, clock = (F.regexp_extract(F.trim(text), r"^([A-Z][a-z]{2})\s+(\d{1,2})(?:\s+(.+))?$", i) for i in (1, 2, 3))
+    minutes = F.when(clock == "", (24 * 60 - 1) if end_of_day else 0).when(F.lower(clock) == "midnight", 0).otherwise(_clock(clock))
+    at = F.try_make_timestamp(F.lit(year), month_of(month), day.try_cast("int"), F.lit(0), F.lit(0), F.lit(0))
+    return civil_instant(F.timestamp_seconds(F.unix_seconds(at) + minutes * 60 + (59 if end_of_day else 0)))
+
+
+def leagues(sports: DataFrame, now: Column, year: int, source: str, membership: str = "Membership") -> DataFrame:
+    """Events from a published league schedule (``LEAGUES``): one for each sport, from the first season's start to the last one's end, its deadline the next end of registration or else the last.
+
+    ``membership``: the payment that is a membership for each player.
+    """
+    half = lambda x, i: F.get(F.split(x, " - "), F.lit(i))
+    starts, ends = F.transform("schedules", lambda s: _local(half(s["season"], 0), year)), F.transform("schedules", lambda s: _local(half(s["season"], 1), year, True))
+    closing = F.array_sort(F.transform("schedules", lambda s: _local(half(s["registration"], 1), year)))
+    cost_of = lambda p: F.when(p == membership, "Membership required per player").when(p == "$50.00 Team", "$50 per team").otherwise(p)
+    paid = F.array_distinct(F.filter(F.transform("schedules", lambda s: s["payment"]), lambda p: p.isNotNull()))
+    divisions = F.flatten(F.transform("schedules", lambda s: s["divisions"]))
+    said = lambda s: F.concat(F.lit("Divisions: "), F.array_join(s["divisions"], ", "), F.lit(". Registration: "), s["registration"], F.lit(". Join teams: "), s["join"], F.lit(". Season: "), s["season"], F.lit("."), F.coalesce(F.concat(F.lit(" "), cost_of(s["payment"]), F.lit(".")), F.lit("")))
+    return sports.select(
+        F.array(F.concat(F.lit(f"event:{source}-"), "id")).alias("identity"), F.col("name").alias("title"), F.array_join(F.transform("schedules", said), " ").alias("summary"), F.array_min(starts).alias("starts_at"), F.array_max(ends).alias("ends_at"),
+        F.coalesce(F.try_element_at(F.filter(closing, lambda d: d >= now), F.lit(1)), F.array_max(closing)).alias("deadline_at"),
+        F.when(F.size(paid) == 1, cost_of(F.get(paid, F.lit(0)))).when(F.size(paid) > 1, "Varies by division").alias("cost"), F.concat(F.array(F.lit("IM"), F.lit("Intramural")), divisions).alias("tags"),
+        F.size(divisions).alias("n_divisions"), F.lit("sports").alias("category"), F.lit(source).alias("source"),
+    )
+
+
+def taxonomies(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(taxonomy, id, name, slug) from term lists that are arrays or objects keyed by id; malformed terms are left out."""
+    out = None
+    for name, path in paths.items():
+        raw = spark.read.option("wholetext", True).text(path)
+        term = "struct<id:bigint,name:string,slug:string>"
+        listed, keyed = F.from_json("value", f"array<{term}>"), F.map_values(F.from_json("value", f"map<string,{term}>"))
+        rows = raw.select(F.explode(F.when(F.ltrim("value").startswith("["), listed).otherwise(keyed)).alias("t")).where("t.id is not null and t.name is not null")
+        rows = rows.select(F.lit(name).alias("taxonomy"), "t.id", html_to_text(F.col("t.name")).alias("name"), "t.slug")
+        out = rows if out is None else out.unionByName(rows)
+    return out.dropDuplicates(["taxonomy", "id"])
+
+
+def term_map(terms: DataFrame) -> DataFrame:
+    """One row with a map of ids to names; a dimension of hundreds of rows."""
+    return terms.agg(F.map_from_entries(F.collect_list(F.struct("id", "name"))).alias("terms"))
+
+
+_R = "struct<rendered:string>"
+STUDIES = (
+    f"id bigint, date_gmt string, modified_gmt string, slug string, link string, status string, title {_R}, content {_R}, excerpt {_R}, aux_study_category array<bigint>, aux_study_location array<bigint>, "
+    "aux_study_session_type array<bigint>, aux_study_topic array<bigint>, meta struct<compensation:string,duration:string,contact_name:string,contact_email:string,pi_name:string,irb_number:string,"
+    "irb_approval_date:string,expiration_date:string,lifecycle:string,minimum_age:string,maximum_age:string>"
+)
 
 
 def studies(spark: SparkSession, path: str) -> DataFrame:
-    schema = "id bigint, modified_gmt string, link string, status string, title struct<rendered:string>, content struct<rendered:string>, meta struct<compensation:string,duration:string,irb_number:string,irb_approval_date:string,expiration_date:string,minimum_age:string,maximum_age:string>"
-    r = spark.read.schema(schema).option("multiLine", True).json(path)
-    return r.select("id", to_instant(F.col("modified_gmt")).alias("modified"), "link", html_to_text(F.col("title.rendered")).alias("title"), F.col("content.rendered").alias("body"), "meta.compensation", "meta.duration", first_of(F.col("meta.irb_number")).alias("irb"), to_instant(F.col("meta.irb_approval_date")).alias("approved"), to_instant(F.col("meta.expiration_date")).alias("expires")).dropDuplicates(["id"])
+    """Raw study listings, one row for each id; rows without an id or meta are malformed and left out."""
+    r = spark.read.schema(STUDIES).option("multiLine", True).json(path).where("id is not null and meta is not null")
+    terms = F.flatten(F.array_compact(F.array("aux_study_session_type", "aux_study_location", "aux_study_category", "aux_study_topic")))
+    return r.select(
+        F.col("id").cast("string").alias("id"), "slug", F.col("link").alias("url"), F.col("title.rendered").alias("title"), F.col("excerpt.rendered").alias("excerpt"), F.col("content.rendered").alias("body"), "meta.compensation", "meta.duration",
+        first_of(F.col("meta.irb_number")).alias("irb_number"), first_of(F.col("meta.pi_name")).alias("pi_name"), first_of(F.col("meta.contact_name")).alias("contact_name"), first_of(F.col("meta.contact_email")).alias("contact_email"),
+        F.col("meta.irb_approval_date").alias("approved"), F.col("meta.expiration_date").alias("expires"), F.regexp_extract("meta.lifecycle", r"-?\d+", 0).try_cast("int").alias("lifecycle_months"),
+        F.col("meta.minimum_age").alias("min_age"), F.col("meta.maximum_age").alias("max_age"), to_instant(F.col("date_gmt")).alias("posted"),
+        F.coalesce(to_instant(F.col("modified_gmt")), to_instant(F.col("date_gmt"))).alias("modified"), terms.alias("term_ids"),
+    ).dropDuplicates(["id"])
+
+
+def check_pages(rows: DataFrame, stated: int) -> list[str]:
+    """Warnings where the rows read are not as many as the source's header states."""
+    n = rows.count()
+    return [] if n == stated else [f"the header states {stated} rows, {n} were read"]
+
+
+def unexpected_lifecycles(rows: DataFrame, known: tuple[int, ...] = (3, 6, 12)) -> DataFrame:
+    return rows.where(~F.col("lifecycle_months").isin(*known)).select("lifecycle_months").distinct().orderBy("lifecycle_months")
 
 
 def latest_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
