@@ -7,7 +7,8 @@ its row of the matrix, rows are exchanged, and each shard is permuted again.  Ev
 equally likely, and the shards' sizes are exact, at most one row apart.
 
 Defined results: nulls, equal rows and repeated ids are rows like any other (places never depend on content, so no key
-can be hot); an empty table gives an empty table; columns that clash with helpers keep their names and values.
+can be hot); texts of any length are rows like any other; an empty table gives an empty table; columns that clash with helpers keep
+their names and values, and an input column named ``shard`` or ``slot`` comes out under its name with underscores before it.
 Only DataFrame functions touch rows.  The driver sees blocks x shards counts.
 """
 
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .shared import free_name, literal_table, materialize, session, set_aside, table
 
-SHARDS, BLOCKS, PARTS, SEED = 24, 1024, 256, 20_240_917
+SHARDS, BLOCKS, PARTS, WINDOW, SEED = 24, (1024, 16_384), 256, 1 << 19, 20_240_917
+SMALL = 200_000  # rows of three numbers that are broadcast
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
@@ -57,13 +59,19 @@ def communication_matrix(sizes: list[int], capacities: list[int], seed: int) ->
     return out
 
 
-def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, blocks: int = BLOCKS, parts: int = PARTS) -> DataFrame:
-    """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (place in the shard, from 0, without gaps)."""
+def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, blocks: int | None = None, parts: int | None = None) -> DataFrame:
+    """``df`` with ``shard`` (0 to shards - 1) and ``slot`` (place in the shard, from 0, without gaps).
+
+    ``blocks`` and ``parts`` follow the number of rows: WINDOW rows or so are sorted at once, in BLOCKS[0] to BLOCKS[1] blocks and PARTS parts of a shard or more.
+    """
     spark = session(df.sparkSession)
     df = set_aside(df, "shard", "slot")
     pos, block, rank, part, base, b_, cuts_, s_, p_ = (free_name(df, x) for x in ("pos", "block", "rank", "part", "base", "b", "cuts", "s", "p"))
-    placed = df.withColumn(pos, F.monotonically_increasing_id()).withColumn(block, F.pmod(F.spark_partition_id(), F.lit(blocks)))
-    placed = materialize(placed)  # places are drawn once: a recomputed task finds the same ones
+    placed = materialize(df.withColumn(pos, F.monotonically_increasing_id()))  # places are drawn once: a recomputed task finds the same ones
+    whole = placed.count()
+    blocks = blocks or min(BLOCKS[1], max(BLOCKS[0], whole // WINDOW))
+    parts = parts or max(PARTS, whole // shards // WINDOW)
+    placed = placed.withColumn(block, F.pmod(F.shiftrightunsigned(pos, 33), F.lit(blocks)).cast("int"))  # the input partition, folded
     counts = sorted((r[0], r[1]) for r in placed.groupBy(block).agg(F.count("*")).collect())  # at most ``blocks`` rows
     total = sum(n for _, n in counts)
     capacities = [total // shards + (s < total % shards) for s in range(shards)]
@@ -83,7 +91,7 @@ def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, blocks: int = B
     inside = Window.partitionBy("shard", part).orderBy(F.xxhash64(F.col(pos), F.lit(seed + 2)), pos)
     return (
         dealt.withColumn("slot", F.row_number().over(inside) - 1)
-        .join(F.broadcast(before), (F.col("shard") == F.col(s_)) & (F.col(part) == F.col(p_)))  # shards x parts rows at most
+        .join(before if shards * parts > SMALL else F.broadcast(before), (F.col("shard") == F.col(s_)) & (F.col(part) == F.col(p_)))  # SMALL rows at most, or a shuffle
         .withColumn("slot", (F.col("slot") + F.col(base)).cast("long"))
         .drop(s_, p_, base, part, pos)
     )
