@@ -196,6 +196,28 @@ def personal_tabs(df: DataFrame, saved: DataFrame, attending: DataFrame, tracked
     return out
 
 
+def matches_profile(category: Column, interests: Column, organizer: Column, search: Column, wanted: dict[str, list[str]]) -> Column:
+    """Whether an event meets a profile: a preferred category, an interest, or a followed organiser that is named.  wanted: categories, interests, organizers (lower case)."""
+    out = category.isin(wanted["categories"]) if wanted["categories"] else F.lit(False)
+    if wanted["interests"]:
+        out = out | F.arrays_overlap(interests, F.array(*[F.lit(x) for x in wanted["interests"]]))
+    for name in wanted["organizers"]:
+        out = out | F.contains(F.lower(organizer), F.lit(name)) | F.contains(search, F.lit(name))
+    return F.coalesce(out, F.lit(False))
+
+
+def in_tab(tab: str, tabs_: Column, profile: Column, saved: Column, attending: Column) -> Column:
+    """Whether a row shows in a tab: all, the user's marks, or its own tabs; For you also takes what meets the profile."""
+    named = F.array_contains(tabs_, tab)
+    return {"all": F.lit(True), "interested": saved, "going": attending, "for-you": named | profile}.get(tab, named)
+
+
+def studies_api(rows: DataFrame, fetched_at: Column, contact: list[str], guard: str) -> tuple[DataFrame, DataFrame]:
+    """(one row of counts: total, live, ranked, fetched_at; the records without contact fields, by id).  An address left in ``guard`` fails the job."""
+    meta = rows.agg(F.count("*").alias("total"), F.count_if(~F.col("is_expired")).alias("live"), F.count_if(F.col("rate").isNotNull()).alias("ranked")).withColumn("fetched_at", fetched_at)
+    return meta, redact(rows, contact, guard).orderBy(F.col("id").try_cast("double").asc_nulls_last(), "id")
+
+
 def profile_list(items: DataFrame, marks: DataFrame) -> DataFrame:
     """A user's marked items in the order they were marked (marks: id, pos)."""
     return items.join(marks.select("id", "pos"), "id").orderBy("pos")

@@ -163,6 +163,21 @@ def valid_write(old_stamp: Column, new_stamp: Column, size: Column, most: int =
     return (new_stamp > F.coalesce(old_stamp, F.lit(0))) & (size <= most)
 
 
+def vault_faults(text: Column, old_stamp: Column, most: int = 1 << 20) -> Column:
+    """Why a record may not be written: malformed, unknown keys, size, list sizes, a stamp that does not move on.  Empty: it may."""
+    known = ["schema_version", "last_visit", *LISTS, *_NAMED, "feedback", "bias", "updated_at_ms", "client_id"]
+    s, keys = F.from_json(text, STATE), F.json_object_keys(text)
+    long_ = [F.coalesce(F.size(s[c]) > 2000, F.lit(False)) for c in [*LISTS, *_NAMED]]
+    many = long_[0]
+    for x in long_[1:]:
+        many = many | x
+    faults = [
+        (keys.isNull() | ~valid_record(text), "malformed"), (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in known]))) > 0, "unknown keys"), (F.octet_length(text) > most, "too large"), (many, "lists too long"),
+        (F.length(s["client_id"]) > 128, "client id too long"), (s["updated_at_ms"] <= F.coalesce(old_stamp, F.lit(-1)), "stamp does not move on"),
+    ]
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(w)) for c, w in faults]))
+
+
 def profile_answers(p: dict[str, Column]) -> Column:
     """How many answers are given."""
     return F.size(F.array_compact(F.array(*[c.cast("string") for c in p.values()])))

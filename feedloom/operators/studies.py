@@ -78,14 +78,67 @@ def by_rate(rate: Column, ord_: Column, descending: bool = True) -> list[Column]
     return [rate.desc_nulls_last() if descending else rate.asc_nulls_last(), ord_.asc()]
 
 
-def pay_label(rate: Column, low: Column, high: Column, raffle_only: Column) -> Column:
-    usd = lambda x: F.concat(F.lit("$"), F.regexp_replace(F.format_number(x, 2), r"\.00$", ""))
+def usd(x: Column) -> Column:
+    """$1,234 or $1,234.50."""
+    return F.concat(F.lit("$"), F.regexp_replace(F.format_number(_cents(x), 2), r"\.00$", ""))
+
+
+def pay_label(rate: Column, low: Column, high: Column, raffle_only: Column, raffle_max: Column) -> Column:
+    """One line of a listing's pay: a rate with the total, unpaid, a draw, a total without a rate, or unclear."""
+    paid = high > 0
+    none = (rate == 0) | ((high == 0) & ~F.coalesce(raffle_only, F.lit(False)) & raffle_max.isNull())
     return (
-        F.when(raffle_only, "Raffle only").when(rate.isNotNull(), F.concat(usd(rate), F.lit("/hr"))).when(low.isNotNull() & (low < high), F.concat(usd(low), F.lit("–"), usd(high)))
-        .when(F.coalesce(high, low) == 0, "Unpaid").when(F.coalesce(high, low).isNotNull(), usd(F.coalesce(high, low))).otherwise("Pay not stated")
+        F.when(rate > 0, F.concat(usd(rate), F.lit("/hr"), F.when(paid, F.concat(F.lit(" - "), usd(high), F.lit(" total"))).otherwise("")))
+        .when(F.coalesce(none, F.lit(False)), "Unpaid").when(F.coalesce(raffle_only, F.lit(False)), "Drawing entry only")
+        .when(paid, F.concat(F.when(low.isNull(), "up to ").otherwise(""), usd(high), F.lit(" total, rate unknown"))).otherwise("Pay unclear")
+    )
+
+
+def hours_label(low: Column, high: Column) -> Column:
+    """1-3 hours, 1.5 hours, 1 hour; null for unknown."""
+    n = lambda x: F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(F.format_string("%.1f", x))
+    one = F.coalesce(high, low)
+    return F.when(low != high, F.concat(n(low), F.lit("-"), n(high), F.lit(" hours"))).when(one.isNotNull(), F.concat(n(one), F.when(one == 1, " hour").otherwise(" hours")))
+
+
+def ages_label(low: Column, high: Column) -> Column:
+    return F.when(low.isNull(), "not stated").when(high.isNull(), F.concat(low.cast("string"), F.lit(" and up"))).otherwise(F.concat(low.cast("string"), F.lit("-"), high.cast("string")))
+
+
+def card(rows: DataFrame) -> DataFrame:
+    """What a listing is filtered by: id, rate, total (only a guaranteed maximum), hours (the larger known), online, in_person, tags, expired, posted, search (without addresses)."""
+    from ..functions.text import EMAIL, collapse
+
+    c = F.col
+    words = F.concat_ws(" ", "title", "summary", "pi_name", "contact_name", "irb_number", F.array_join("tags", " "), F.array_join("eligibility.flags", " "))
+    return rows.select(
+        "id", "rate", c("guaranteed_max").alias("total"), F.coalesce("hours_max", "hours_min").alias("hours"), F.array_contains("tags", "online").alias("online"), F.array_contains("tags", "in-person").alias("in_person"), "tags",
+        c("is_expired").alias("expired"), "posted", collapse(F.lower(F.regexp_replace(words, EMAIL, ""))).alias("search"),
     )
 
 
+def filter_cards(cards: DataFrame, query: str = "", tab: str = "all", tags: list[str] = (), min_rate: float = 0, min_total: float = 0, max_hours: float | None = None, saved: DataFrame | None = None, dismissed: DataFrame | None = None, ineligible: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cards that pass every filter, one row with how many live cards a numeric bound hides only because their figure is unknown)."""
+    from .serve import filter_known, matches_search
+
+    rows = cards.where(matches_search(F.col("search"), query))
+    rows = {"ranked": rows.where("rate is not null"), "online": rows.where("online"), "inperson": rows.where("in_person")}.get(tab, rows)
+    if tab == "saved" and saved is not None:
+        rows = rows.join(saved.select("id"), "id", "left_semi")
+    if tags:
+        rows = rows.where(F.arrays_overlap("tags", F.array(*[F.lit(x) for x in tags])))
+    for gone in (dismissed, ineligible):
+        rows = rows.join(gone.select("id"), "id", "left_anti") if gone is not None else rows
+    bounds = {c: b for c, b, on in (("rate", (min_rate, None), min_rate > 0), ("total", (min_total, None), min_total > 0), ("hours", (None, max_hours), max_hours is not None)) if on}
+    return filter_known(rows, bounds)[0], filter_known(rows.where("not expired"), bounds)[1]
+
+
+def sort_cards(mode: str, ord_: Column) -> list[Column]:
+    """Order of cards by rate, total or newest (largest first) or time (smallest first); unknown last in each."""
+    by = {"rate": F.col("rate").desc_nulls_last(), "total": F.col("total").desc_nulls_last(), "time": F.col("hours").asc_nulls_last(), "new": F.col("posted").desc_nulls_last()}
+    return [by.get(mode, by["rate"]), ord_.asc()]
+
+
 def by_total(low: Column, high: Column, posted: Column, ord_: Column) -> list[Column]:
     """Order of studies without a rate: the larger guaranteed total first, unknown last, then the newest."""
     return [F.coalesce(usable(high), usable(low)).desc_nulls_last(), posted.desc_nulls_last(), ord_.asc()]

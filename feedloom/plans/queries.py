@@ -1018,3 +1018,93 @@ def inquiry_letters(spark, d):
     study = dict(title=c("p_name"), irb_number=F.when(k % 3 == 0, F.concat(F.lit("IRB"), k.cast("string"))), url=F.lit("https://example.org/s"), contact_name=F.when(k % 4 == 0, F.lit("a@b.org")).otherwise(F.concat(F.lit("Dr "), "p_brand")), contact_email=F.lit(None).cast("string"), expires=at("2024-01-01"), is_expired=F.lit(False), staleness=F.lit("fresh"), eligibility=c("e"))
     m = x.select("p_partkey", message.inquiry(study, c("p"), "a reader of your listings").alias("m"))
     return m.select("p_partkey", "m.subject", F.element_at(F.split("m.body", "\n"), 1).alias("greeting"), (F.size("m.disclosures") > 0).alias("discloses"))
+
+
+_USD = lambda x: f"'$' || regexp_replace(printf('%,.2f', {_C2(x)}), '\\.00$', '')"
+
+
+@query(f"""WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice / 7 WHEN p_partkey % 13 = 0 THEN 0 END AS rate, CASE WHEN p_partkey % 2 = 0 THEN 1 END AS low, CASE WHEN p_partkey % 5 > 0 THEN CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_retailprice END END AS high, p_partkey % 11 = 0 AS raffle, CASE WHEN p_partkey % 17 = 0 THEN 5.0 END AS rmax,
+CASE WHEN p_partkey % 4 > 0 THEN 1.0 END AS hl, CASE WHEN p_partkey % 9 > 0 THEN p_size / 2.0 END AS hh FROM part)
+SELECT p_partkey, CASE WHEN rate > 0 THEN {_USD('rate')} || '/hr' || CASE WHEN high > 0 THEN ' - ' || {_USD('high')} || ' total' ELSE '' END WHEN coalesce(rate = 0, false) OR coalesce(high = 0 AND NOT raffle AND rmax IS NULL, false) THEN 'Unpaid' WHEN raffle THEN 'Drawing entry only'
+WHEN high > 0 THEN CASE WHEN low IS NULL THEN 'up to ' ELSE '' END || {_USD('high')} || ' total, rate unknown' ELSE 'Pay unclear' END AS pay,
+CASE WHEN hl <> hh THEN '1-' || CASE WHEN hh = floor(hh) THEN CAST(CAST(hh AS BIGINT) AS VARCHAR) ELSE printf('%.1f', hh) END || ' hours' WHEN coalesce(hh, hl) IS NOT NULL THEN CASE WHEN coalesce(hh, hl) = floor(coalesce(hh, hl)) THEN CAST(CAST(coalesce(hh, hl) AS BIGINT) AS VARCHAR) ELSE printf('%.1f', coalesce(hh, hl)) END || CASE WHEN coalesce(hh, hl) = 1 THEN ' hour' ELSE ' hours' END END AS hours,
+CASE WHEN p_partkey % 6 = 0 THEN 'not stated' WHEN p_size > 20 THEN '18-' || p_size ELSE '18 and up' END AS ages FROM x JOIN part USING (p_partkey)""")
+def study_labels(spark, d):
+    k, c, n = F.col("p_partkey"), F.col, F.lit(None).cast("double")
+    rate = F.when(k % 3 == 0, c("p_retailprice") / 7).when(k % 13 == 0, 0.0)
+    high = F.when(k % 5 > 0, F.when(k % 7 == 0, 0.0).otherwise(c("p_retailprice")))
+    x = t(spark, d, "part").select("*", rate.alias("rate"), F.when(k % 2 == 0, 1.0).alias("low"), high.alias("high"), (k % 11 == 0).alias("raffle"), F.when(k % 17 == 0, 5.0).otherwise(n).alias("rmax"))
+    hours = studies.hours_label(F.when(k % 4 > 0, 1.0), F.when(k % 9 > 0, c("p_size") / 2.0))
+    return x.select("p_partkey", studies.pay_label(c("rate"), c("low"), c("high"), c("raffle"), c("rmax")).alias("pay"), hours.alias("hours"), studies.ages_label(F.when(k % 6 > 0, 18), F.when(c("p_size") > 20, c("p_size"))).alias("ages"))
+
+
+def _cards(spark, d):
+    k, c = F.col("p_partkey"), F.col
+    kinds = F.when(k % 3 == 0, F.array(F.lit("online"))).when(k % 3 == 1, F.array(F.lit("in-person"), F.lit("mri"))).otherwise(F.array().cast("array<string>"))
+    x = t(spark, d, "part").select(
+        k.cast("string").alias("id"), c("p_name").alias("title"), F.concat(F.lit("Write to a@b.org about "), "p_type").alias("summary"), c("p_brand").alias("pi_name"), F.lit(None).cast("string").alias("contact_name"), F.lit(None).cast("string").alias("irb_number"),
+        kinds.alias("tags"), F.struct(F.array(F.lit("must be right-handed")).alias("flags")).alias("eligibility"), F.when(k % 4 > 0, c("p_retailprice") / 50).alias("rate"), F.when(k % 5 > 0, c("p_retailprice")).alias("guaranteed_max"),
+        F.lit(None).cast("double").alias("hours_max"), F.when(k % 6 > 0, c("p_size").cast("double")).alias("hours_min"), (k % 10 == 0).alias("is_expired"), c("p_size").alias("posted"),
+    )
+    return studies.card(x)
+
+
+_CARDS = "WITH x AS (SELECT p_partkey AS k, lower(p_name || ' write to about ' || p_type || ' ' || p_brand || CASE p_partkey % 3 WHEN 0 THEN ' online' WHEN 1 THEN ' in-person mri' ELSE ' ' END || ' must be right-handed') AS search, CASE WHEN p_partkey % 4 > 0 THEN p_retailprice / 50 END AS rate, CASE WHEN p_partkey % 5 > 0 THEN p_retailprice END AS total, CASE WHEN p_partkey % 6 > 0 THEN CAST(p_size AS DOUBLE) END AS hours, p_size FROM part)"
+
+
+@query(_CARDS + f" SELECT CAST(k AS VARCHAR) AS id, rate, total, hours, k % 3 = 0 AS online, k % 3 = 1 AS in_person, {q_flat('search')} AS search FROM x")
+def study_cards(spark, d):
+    return _cards(spark, d).select("id", "rate", "total", "hours", "online", "in_person", "search")
+
+
+@query(_CARDS + """ SELECT CAST(k AS VARCHAR) AS id, row_number() OVER (ORDER BY hours NULLS LAST, k) AS place FROM x WHERE contains(search, 'right') AND k % 3 = 1 AND k % 8 > 0 AND rate >= 19 AND hours <= 30""")
+def study_filters(spark, d):
+    c = _cards(spark, d)
+    kept, _ = studies.filter_cards(c, "RIGHT must", "inperson", ["mri", "eeg"], min_rate=19, max_hours=30, dismissed=c.where("cast(id as long) % 8 = 0"))
+    return serve.ranked(kept, studies.sort_cards("time", F.col("id").cast("long")), "place").select("id", "place")
+
+
+@query(_CARDS + """ SELECT count(*) AS hidden_unknown FROM x WHERE k % 3 = 1 AND k % 10 > 0 AND (rate IS NULL OR hours IS NULL) AND coalesce(rate >= 20, true) AND coalesce(hours <= 30, true)""")
+def study_filters_unknown(spark, d):
+    return studies.filter_cards(_cards(spark, d), "", "inperson", [], min_rate=20, max_hours=30)[1]
+
+
+@query(EVENTS + f""" SELECT doc_id, category IN ('sports') OR {q_any('hay', [p for r in interests.CAMPUS if r['id'] == 'cs' for p in r['patterns']])} OR contains(lower(organizer), 'msc') OR contains(hay, 'msc') OR doc_id % 6 = 0 AS shown FROM e""")
+def profile_matches(spark, d):
+    c = F.col
+    x = _events(spark, d).withColumn("interests", F.transform(score.matches(c("hay"), interests.CAMPUS), lambda m: m["label"]))
+    mine = serve.matches_profile(c("category"), c("interests"), c("organizer"), c("hay"), {"categories": ["sports"], "interests": ["computer science"], "organizers": ["msc"]})
+    tabs = F.when(c("doc_id") % 6 == 0, F.array(F.lit("for-you"))).otherwise(F.array().cast("array<string>"))
+    return x.select("doc_id", serve.in_tab("for-you", tabs, mine, F.lit(False), F.lit(False)).alias("shown"))
+
+
+@query(PAPERS + " SELECT id, label, hits FROM (" + " UNION ALL ".join(f"SELECT '{r['id']}' AS id, '{r['label']}' AS label, count(*) FILTER (WHERE h[{i + 1}]) AS hits FROM z" for i, r in enumerate(_RR)) + ")")
+def topic_hits(spark, d):
+    return serve.topic_counts(_scored(spark, d), interests.RESEARCH)
+
+
+@query("""SELECT event_id, 'https://example.org?action=TEMPLATE&text=' || event_type || '&dates=' || strftime(ts, '%Y%m%dT%H%M%SZ') || '/' || strftime(ts + INTERVAL 1 HOUR, '%Y%m%dT%H%M%SZ') AS link FROM events""")
+def calendar_links(spark, d):
+    return t(spark, d, "events").select("event_id", serve.calendar_link(F.col("event_type"), F.col("ts"), F.lit(None).cast("timestamp"), "https://example.org").alias("link"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN ['malformed'] WHEN event_id % 5 = 1 THEN ['unknown keys'] WHEN event_id % 5 = 2 THEN ['stamp does not move on'] ELSE CAST([] AS VARCHAR[]) END AS faults FROM events""")
+def vault_checks(spark, d):
+    k = F.col("event_id") % 5
+    good = F.struct(F.lit(1).alias("schema_version"), F.array("event_type").alias("saved"), F.lit(5).alias("updated_at_ms"))
+    text = F.when(k == 0, "{broken").when(k == 1, F.to_json(F.struct(good["schema_version"].alias("schema_version"), F.lit(5).alias("updated_at_ms"), F.lit(1).alias("other")))).otherwise(F.to_json(good))
+    return t(spark, d, "events").select("event_id", state.vault_faults(text, F.when(k == 2, 5).otherwise(4)).alias("faults"))
+
+
+@query("""SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS pos FROM documents WHERE doc_id % 9 = 0""")
+def saved_list(spark, d):
+    x = t(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    marks = serve.ranked(x.where("id % 9 = 0").select("id"), [F.desc("id")], "pos")
+    return serve.profile_list(x, marks).select(F.col("id").alias("doc_id"), "pos")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE p_partkey % 10 > 0) AS live, count(*) FILTER (WHERE p_partkey % 4 > 0) AS ranked FROM part")
+def studies_counts(spark, d):
+    k = F.col("p_partkey")
+    x = t(spark, d, "part").select(k.alias("id"), (k % 10 == 0).alias("is_expired"), F.when(k % 4 > 0, F.col("p_retailprice")).alias("rate"), F.lit("me@x.org").alias("contact_email"), F.col("p_name").alias("text"))
+    return serve.studies_api(x, at("2024-02-01"), ["contact_email"], "text")[0].drop("fetched_at")

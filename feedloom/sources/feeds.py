@@ -13,7 +13,7 @@ from ..functions.dates import civil_instant, from_parts, millis, month_of, to_in
 from ..functions.text import collapse, html_to_text, normalize_arxiv, normalize_doi, normalize_openalex, strip_emails, version_of
 
 PREPRINT = "collection array<struct<title:string,authors:string,doi:string,date:string,version:string,type:string,category:string,abstract:string,published:string,server:string>>"
-CALENDAR = "id bigint, gid bigint, group_title string, title string, url string, date_utc string, date_ts bigint, date2_iso string, is_canceled string, is_online string, has_registration string, description string, cost string, location string, location_latitude string, location_longitude string, event_types array<string>, tags array<string>, last_modified bigint"
+CALENDAR = "id bigint, gid bigint, group_title string, title string, url string, date_utc string, date_ts bigint, date2_iso string, is_canceled string, is_all_day string, is_online string, online_url string, has_registration string, date_iso string, event_types_audience array<string>, location_title string, description string, cost string, location string, location_latitude string, location_longitude string, event_types array<string>, tags array<string>, last_modified bigint"
 WORKS = "results array<struct<id:string,doi:string,title:string,publication_date:string,publication_year:int,type:string,cited_by_count:int,is_paratext:boolean,referenced_works:array<string>,abstract_inverted_index:map<string,array<int>>>>"
 INCLUDED_TYPES = ["article", "preprint", "review", "book-chapter", "dissertation", "dataset"]
 
@@ -22,16 +22,23 @@ def first_of(*xs: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in xs])
 
 
-def preprints(spark: SparkSession, path: str) -> DataFrame:
-    """bioRxiv-like interval feeds: a row for each record with a valid DOI; 'NA' is no publication."""
-    r = spark.read.schema(PREPRINT).option("multiLine", True).json(path).select(F.explode("collection").alias("r"))
+def preprints(spark: SparkSession, path: str, most: int = 600) -> DataFrame:
+    """bioRxiv-like interval feeds: a row for each record with a valid DOI; 'NA' is no publication.  A page whose status is not ok fails the job; at most ``most`` records of a server, newest first."""
+    from pyspark.sql import Window
+
+    pages = spark.read.schema("messages array<struct<status:string>>, " + PREPRINT).option("multiLine", True).json(path)
+    bad = F.lower(F.get("messages", F.lit(0))["status"])
+    wrong = F.when(bad.isNotNull() & ~bad.isin("ok") & (F.coalesce(F.size("collection"), F.lit(0)) == 0) & ~F.contains(bad, F.lit("no posts")), F.raise_error(F.concat(F.lit("the feed answered: "), bad)))
+    r = pages.where(wrong.isNull()).select(F.explode("collection").alias("r"))
     doi = normalize_doi(F.col("r.doi"))
     published = normalize_doi(F.nullif(F.col("r.published"), F.lit("NA")))
     authors = F.filter(F.transform(F.split("r.authors", ";"), lambda a: F.trim(a)), lambda a: a != "")
-    return r.select(
+    out = r.select(
         F.concat(F.lit("doi:"), doi).alias("identity"), doi.alias("doi"), F.trim("r.title").alias("title"), authors.alias("authors"), F.to_date("r.date").alias("published_date"), F.col("r.version").try_cast("int").alias("preprint_version"),
         F.col("r.category").alias("category"), F.trim("r.abstract").alias("abstract"), published.alias("published_doi"), published.isNotNull().alias("is_superseded"), F.lower("r.server").alias("source"),
     ).where("doi is not null")
+    newest = Window.partitionBy("source").orderBy(F.desc_nulls_last("published_date"), "doi", F.desc("preprint_version"))
+    return out.withColumn("__place", F.row_number().over(newest)).where(F.col("__place") <= most).drop("__place")
 
 
 def rebuild_abstract(index: Column, most: int = 4000) -> Column:
@@ -40,14 +47,15 @@ def rebuild_abstract(index: Column, most: int = 4000) -> Column:
     return F.array_join(F.transform(F.array_sort(F.filter(pairs, lambda x: x["p"] <= most)), lambda x: x["w"]), " ")
 
 
-def works(spark: SparkSession, path: str) -> DataFrame:
+def works(spark: SparkSession, path: str, since: Column | None = None, most: int = 150) -> DataFrame:
+    """Literature works of the included types, not front matter; from ``since`` on, at most ``most`` of one file, newest first."""
     r = spark.read.schema(WORKS).option("multiLine", True).json(path).select(F.explode("results").alias("r")).where("not coalesce(r.is_paratext, false)")
     r = r.where(F.col("r.type").isNull() | F.col("r.type").isin(INCLUDED_TYPES))
     when = F.coalesce(F.to_date("r.publication_date"), F.make_date("r.publication_year", F.lit(1), F.lit(1)))
     return r.select(
         F.col("r.id").alias("id"), normalize_doi(F.col("r.doi")).alias("doi"), F.col("r.title").alias("title"), when.alias("published_date"), F.when(F.col("r.type").isin("preprint", "review", "dataset"), F.col("r.type")).otherwise("journal-article").alias("kind"), normalize_openalex(F.col("r.id")).alias("openalex_id"),
         F.coalesce("r.cited_by_count", F.lit(0)).alias("cited_by"), F.slice("r.referenced_works", 1, 200).alias("references"), rebuild_abstract(F.col("r.abstract_inverted_index")).alias("abstract"),
-    )
+    ).where(F.lit(True) if since is None else F.col("published_date") >= since).orderBy(F.desc_nulls_last("published_date"), "id").limit(most)
 
 
 ATOM = "id string, title string, updated string, published string, summary string, author array<struct<name:string>>, category array<struct<_term:string>>, link array<struct<_href:string,_rel:string,_title:string>>"
@@ -204,8 +212,9 @@ def calendar(spark: SparkSession, path: str, channel: str) -> DataFrame:
     where = F.when(lat.isNotNull() & lon.isNotNull() & ~((lat == 0) & (lon == 0)), F.struct(lat.alias("lat"), lon.alias("lon")))
     return r.select(
         F.concat(F.lit("event:calendar-"), "id").alias("identity"), F.lit(channel).alias("channel"), F.trim("title").alias("title"), strip_emails(html_to_text(F.col("description"))).alias("summary"), F.col("group_title").alias("organizer"),
-        F.timestamp_seconds("date_ts").alias("starts_at"), to_instant(F.col("date2_iso")).alias("ends_at"), on("is_canceled").alias("is_cancelled"), on("is_online").alias("is_online"), on("has_registration").alias("has_registration"),
-        first_of(F.col("location")).alias("location"), where.alias("coordinates"), F.coalesce("event_types", F.array().cast("array<string>")).alias("event_types"), F.timestamp_seconds("last_modified").alias("last_modified"),
+        F.coalesce(to_instant(F.col("date_iso")), to_instant(F.col("date_utc")), F.timestamp_seconds("date_ts")).alias("starts_at"), to_instant(F.col("date2_iso")).alias("ends_at"), on("is_all_day").alias("is_all_day"), on("is_canceled").alias("is_cancelled"), on("is_online").alias("is_online"), on("has_registration").alias("has_registration"),
+        first_of(F.col("location_title"), F.col("location")).alias("location"), first_of(F.col("cost")).alias("cost"), F.when(on("is_online"), F.col("online_url")).alias("online_url"), F.col("url").alias("url"),
+        F.slice(F.concat(_strings(F.col("tags")), _strings(F.col("event_types"))), 1, 10).alias("tags"), _strings(F.col("event_types_audience")).alias("audience"), where.alias("coordinates"), F.coalesce("event_types", F.array().cast("array<string>")).alias("event_types"), F.timestamp_seconds("last_modified").alias("last_modified"),
     ).dropDuplicates(["identity"])
 
 

@@ -80,6 +80,25 @@ def test_calendars_and_listings(spark, tmp_path):
         feeds.event_listing(spark.createDataFrame([(1, "<p>nothing</p>")], "page int, html string"), ts("2026-09-01"))
 
 
+def test_preprint_pages(spark, tmp_path):
+    one = lambda i: {"title": f"T{i}", "doi": f"10.1101/{i}", "date": f"2026-01-0{i}", "version": "1", "published": "NA", "server": "bioRxiv", "authors": "A"}
+    good = put(tmp_path / "g.json", {"messages": [{"status": "ok"}], "collection": [one(1), one(2), one(3), {"title": "x", "doi": "NA"}]})
+    assert [r.doi for r in feeds.preprints(spark, good, most=2).orderBy("doi").collect()] == ["10.1101/2", "10.1101/3"]
+    none = put(tmp_path / "n.json", {"messages": [{"status": "no posts found"}], "collection": []})
+    assert feeds.preprints(spark, none).count() == 0
+    bad = put(tmp_path / "b.json", {"messages": [{"status": "error 500"}], "collection": []})
+    with pytest.raises(Exception, match="the feed answered"):
+        feeds.preprints(spark, bad).collect()
+
+
+def test_works(spark, tmp_path):
+    w = lambda i, **k: {"id": f"https://x.org/W{i}000", "title": f"t{i}", "publication_date": f"2026-01-0{i}", "type": "article", "abstract_inverted_index": {"b": [1], "a": [0]}, **k}
+    p = put(tmp_path / "w.json", {"results": [w(1), w(2, type="preprint"), w(3, type="paratext"), w(4, is_paratext=True), w(5, type=None)]})
+    got = {r.title: (r.kind, r.openalex_id, r.abstract) for r in feeds.works(spark, p).collect()}
+    assert got == {"t1": ("journal-article", "W1000", "a b"), "t2": ("preprint", "W2000", "a b"), "t5": ("journal-article", "W5000", "a b")}
+    assert feeds.works(spark, p, most=1).first().title == "t5" and feeds.works(spark, p, since=F.lit("2026-01-02").cast("date")).count() == 2
+
+
 def test_leagues(spark):
     s = [("Aug 30 - Oct 11", "Aug 1 12:00AM - Aug 20 5:00PM", ["A", "B"], "$50.00 Team"), ("Oct 12 - Nov 1", "Sep 1 12:00AM - Oct 1 midnight", ["C"], "Membership")]
     row = [("7", "Soccer", [{"divisions": d, "registration": r, "join": "j", "season": x, "payment": p} for x, r, d, p in s])]
