@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,6 +31,12 @@ def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the shuffle files of plans that nothing refers to any more deleted now, not at the JVM's next collection.  For between the steps of a long job, whose results are tables by then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables this process has written; for when every result built on them is saved.  Returns how many."""
     jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
