@@ -1108,3 +1108,46 @@ def studies_counts(spark, d):
     k = F.col("p_partkey")
     x = t(spark, d, "part").select(k.alias("id"), (k % 10 == 0).alias("is_expired"), F.when(k % 4 > 0, F.col("p_retailprice")).alias("rate"), F.lit("me@x.org").alias("contact_email"), F.col("p_name").alias("text"))
     return serve.studies_api(x, at("2024-02-01"), ["contact_email"], "text")[0].drop("fetched_at")
+
+
+# --- Streams: the same tables read as streams, all that is there, and the last state of each result --------------------
+
+
+def _stream(spark, d):
+    schema = t(spark, d, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))  # a pattern, so that one file will do as well as a folder
+
+
+def _arrived(spark, result: DataFrame, mode: str) -> DataFrame:
+    import uuid
+
+    from ..storage import shared_dir
+    from ..streaming import feeds as streams
+
+    path = f"{shared_dir(spark)}/feedloom-{uuid.uuid4().hex}"
+    streams.snapshot_batches(result, lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out"), f"{path}/checkpoint", mode).awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark, d):
+    from ..streaming import feeds as streams
+
+    counted = streams.windowed_counts(_stream(spark, d), "ts", ["event_type"])
+    return _arrived(spark, counted.select(F.col("window.start").alias("hour"), "event_type", "n"), "complete")
+
+
+@query("""WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM e)
+SELECT user_id, min(ts) AS began, arg_max(event_type, ts) AS event_type, count(*) AS writes FROM s GROUP BY user_id, burst""")
+def stream_debounced(spark, d):
+    from ..streaming import feeds as streams
+
+    bursts = streams.debounced(_stream(spark, d), "ts", "user_id", "event_type", "1 hour", "1 hour")
+    return _arrived(spark, bursts.select("user_id", F.col("session_window.start").alias("began"), "event_type", "writes"), "complete")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")
+def stream_last_writer(spark, d):
+    from ..streaming import feeds as streams
+
+    return _arrived(spark, streams.last_writer(_stream(spark, d), "user_id", "ts", "event_id", "event_type"), "complete")

@@ -21,6 +21,35 @@ def last_writer(events: DataFrame, key: str, stamp: str, client: str, value: str
     return events.groupBy(key).agg(F.max_by(value, F.struct(stamp, client)).alias(value), F.max(stamp).alias(stamp))
 
 
-def snapshot_batches(stream: DataFrame, publish, checkpoint: str) -> StreamingQuery:
-    """Run ``publish(batch, batch_id)`` for each micro-batch; the id makes retries idempotent."""
-    return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def snapshot_batches(stream: DataFrame, publish, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Run ``publish(batch, batch_id)`` for each micro-batch of what has arrived; the id makes retries idempotent."""
+    return stream.writeStream.outputMode(mode).foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert(batch: DataFrame, path: str, key: str, stamp: str, client: str) -> None:
+    """A micro-batch's records into the table at ``path``: of each key the one with the latest stamp, then the largest client id, stays.  Running it again changes nothing.
+
+    The table is written beside the old one and named by a pointer file's latest version, so that a reader never sees half of it.
+    """
+    spark = batch.sparkSession
+    old = latest(spark, path)
+    rows = batch if old is None else old.unionByName(batch)
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(stamp, client)).alias("r")).select("r.*")
+    version = len(_versions(spark, path))
+    best.write.parquet(f"{path}/v={version:08d}")
+
+
+def _versions(spark, path: str) -> list[str]:
+    """Complete versions at ``path``, oldest first: a write that is not finished has no _SUCCESS file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    found = [str(x.getPath()) for x in fs.listStatus(where) if x.isDirectory()]
+    return sorted(x for x in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{x}/_SUCCESS")))
+
+
+def latest(spark, path: str) -> DataFrame | None:
+    """The newest complete version of an upserted table, or None."""
+    found = _versions(spark, path)
+    return spark.read.parquet(found[-1]) if found else None
