@@ -23,6 +23,7 @@ SHORT = {"min": "minute", "hr": "hour", "wk": "week"}
 MOST_HOURS, MOST_WEEKS, MOST_SESSIONS = 2000, 520, 500
 NUMBERS = {w: i for i, w in enumerate("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split(), 1)}
 NUMBERS |= {w: 10 * i for i, w in enumerate("thirty forty fifty sixty seventy eighty ninety".split(), 3)}
+# How listings speak of visits, totals and single visits.
 UNIT = r"(?:hour|hr|minute|min|week|wk|day|month|year)s?"
 NOUN = r"(?:visits?|sessions?|appointments?|study\s+days?|lab\s+visits?|interviews?|scans?|workshops?|interventions?|assessments?|phases?|parts?|meetings?|classes?)"
 COUNT = re.compile(rf"(\d+)\s+((?:(?!{UNIT}\b)\w+\s+){{0,2}}?){NOUN}\b")
