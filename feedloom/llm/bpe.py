@@ -6,7 +6,7 @@ a candidate t of length L is the last token of the prefix of length i exactly wh
 length i - L may stand before t, which is a test on the merges alone.  Following the back-pointers from the end gives the ids.
 Pieces are those of the byte-level pre-tokenizer; special tokens are cut out first, as the tokenizer does.
 
-Defined results: null is the empty text, which has no ids; rows are independent, so repeated rows, ties and extra
+Defined results: null is the empty text, which has no ids; texts of any length are encoded whole; rows are independent, so repeated rows, ties and extra
 columns change nothing.  Memory is bounded by the longest text and CACHE pieces a worker.
 """
 

@@ -20,7 +20,7 @@ Skew: a key is one entry a block, however often it occurs.  Memory: a block and
 longest text.  Packets number blocks times ranges, at most one a distinct bigram of a block.
 
 Defined results: null and blank texts are their end token; rows without doc_id are scored but not learnt from and count as not held out; rows that
-repeat an id are scored each on its own; without training rows P1 is 1 for the one unknown class; extra columns are ignored.
+repeat an id are scored each on its own; a text longer than a block is a block of its own and scored whole; without training rows P1 is 1 for the one unknown class; extra columns are ignored.
 """
 
 from __future__ import annotations
