@@ -1,23 +1,27 @@
-"""Katz backoff language model over word bigrams.
+"""Katz backoff language model over word trigrams, evaluated from the trigram down.
 
-Bigram counts are discounted by Good-Turing up to LAST, the freed mass of each context backs off to the word
-distribution, with weights that normalise exactly over the vocabulary and one class of unknown words:
+Counts are discounted by Good-Turing up to LAST, the freed mass of each context backs off to the next lower order, with weights that
+normalise exactly over the vocabulary and one class of unknown words:
 
-    P(w | u) = d(c) c(u, w) / c(u)              if c(u, w) > 0
-             = a(u) P1(w)                       otherwise, a(u) = (1 - sum of the above) / (1 - sum of P1 over seen w)
-    P1(w)    = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    P(w | t, u) = d(c) c(t, u, w) / c(t, u)     if c(t, u, w) > CUT
+                = a(t, u) P(w | u)              otherwise, a(t, u) = (1 - sum of the above) / (1 - sum of P(w | u) over the same w)
+    P(w | u)    = d(c) c(u, w) / c(u)           if c(u, w) > 0
+                = a(u) P1(w)                    otherwise, a(u) likewise
+    P1(w)       = (c(w) + 0.5) / (N + 0.5 (V + 1))
 
-A context that training never saw backs off with weight 1.  A context without freed mass (all counts above LAST) gives up one
-count in c(u) + 1.  Words and bigrams are 64-bit hashes.  All statistics cover all training rows.
+Trigrams that training has CUT times or less back off, as is usual at the highest order; their mass is freed with the rest.  A text's first word has the start
+as its context alone, its second the start and the first.  A context that training never saw, or that keeps no trigram, backs off with weight 1.  A context without
+freed mass (all counts above LAST) gives up one count in c + 1.  Words, bigrams and trigrams are 64-bit hashes.  All statistics cover all training rows.
 
 Documents are packed into blocks of BLOCK bytes.  A block asks for each of its distinct words and bigrams once, as sorted and
 compressed keys with its own counts, dealt by range of hash; a range sums what all blocks send and answers each of them
-with the totals in the order of its keys.  So the counts are a table partitioned by range and block.  For each bigram
-one block is named owner: it adds the bigram to its context's sums, which a second, smaller exchange of contexts turns into
-backoff weights.  A token's score is its bigram's, or else its context's weight and its word's.
+with the totals in the order of its keys.  So the counts are a table partitioned by range and block.  For each n-gram
+one block is named owner: it adds the n-gram to its context's sums, which a smaller exchange of contexts turns into
+backoff weights.  Then the same is done for trigrams, level by level: a block asks only for those both of whose bigrams training has more than CUT times, as no other
+can be kept; the totals, with the lower order's probabilities, give the sums of contexts, and these the weights.
 
 Skew: a key is one entry a block, however often it occurs.  Memory: a block and a range of about BUCKET bytes of text, or the
-longest text.  Packets number blocks times ranges, at most one a distinct bigram of a block.
+longest text.  Packets number blocks times ranges, at most one a distinct n-gram of a block.
 
 Defined results: null and blank texts are their end token; rows without doc_id are scored but not learnt from and count as not held out; rows that
 repeat an id are scored each on its own; a text longer than a block is a block of its own and scored whole; without training rows P1 is 1 for the one unknown class; extra columns are ignored.
@@ -33,12 +37,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_of_id, materialize, session, table
+from .shared import crc_of_id, materialize, session, table, tidy
 from .words import LOWER, U, hashed, mix, texts_of
 
-LAST = 5
+LAST, CUT = 5, 1
 START, END = 1, 2  # context of a text's first word, and the token after its last
-BLOCK, BUCKET = 8 << 20, 8 << 20
+BLOCK, BUCKET = 6 << 20, 8 << 20
 TOLD = [f"s{r}" for r in range(1, LAST + 2)]
 
 
@@ -131,6 +135,29 @@ class Tokens:
         self.bigram_counts = np.bincount(self.bigram, weights=learnt, minlength=len(self.bigrams)).astype(np.int64)
 
 
+    def bigram_state(self, answers: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals of bigrams, whether this block owns them, and totals of words."""
+        told = sorted(answers, key=lambda x: x[0] if x[0] >= 0 else -1 - x[0])
+        v = np.concatenate([unpacked(x, np.int64) for deal, x in told if deal >= 0])
+        return v >> 1, (v & 1) > 0, np.concatenate([unpacked(x, np.int64) for deal, x in told if deal < 0]) >> 1
+
+    def thirds(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens whose trigram may be kept, distinct trigram hashes, each such token's place among them); ``c``: totals of bigrams."""
+        first = np.zeros(len(self.word), bool)
+        first[self.starts] = True
+        at = np.flatnonzero(~first)
+        at = at[(c[self.bigram[at - 1]] > CUT) & (c[self.bigram[at]] > CUT)]
+        keys, place = np.unique(mix(self.bigrams[self.bigram[at - 1]] * U(0xC2B2AE3D27D4EB4F) + self.words[self.word[at]]), return_inverse=True)
+        return at, keys, place.astype(np.int32)
+
+
+def turing(count_of: dict[int, int]) -> list[float]:
+    """Good-Turing discounts for counts 1 to LAST where counts up to CUT are not kept: r* / r with r* = (r + 1) n(r + 1) / n(r); (r - 1/2) / r where that is no discount."""
+    n = lambda r: count_of.get(r, 0)
+    ratio = [(r + 1) * n(r + 1) / n(r) / r if n(r) and r > CUT else -1.0 for r in range(1, LAST + 1)]
+    return [d if 0 < d < 1 else (r - 0.5) / r for r, d in enumerate(ratio, 1)]
+
+
 def discounts(count_of: dict[int, int]) -> list[float]:
     """Katz's discounts for counts 1 to LAST from the numbers of bigrams seen once, twice, ...; (r - 1/2) / r where those give none."""
     n = lambda r: count_of.get(r, 0)
@@ -194,6 +221,7 @@ def train(g: DataFrame) -> Katz:
 
     asked = g.select("block", "flags", "lengths", "z").mapInArrow(ask, "block long, deal int, keys binary, counts binary")
     counts = materialize(asked.groupBy("deal").applyInArrow(_tally, f"block long, deal int, v binary, {', '.join(f'{x} long' for x in TOLD)}"))
+    tidy(g.sparkSession)
     sums = {r["words"]: r for r in counts.where("block is null").groupBy((F.col("deal") < 0).alias("words")).agg(*(F.sum(x).alias(x) for x in TOLD)).collect()}
     n, v = (sums[True][x] for x in TOLD[:2]) if sums else (0, 0)
     held = discounts({r + 1: sums[False][x] for r, x in enumerate(TOLD)} if sums else {})
@@ -205,10 +233,10 @@ def _weigh(group: pa.Table) -> pa.Table:
     rows = sorted(group.to_pylist(), key=lambda r: r["block"])
     order, starts, which, ends = _merged([unpacked_keys(r["keys"]) for r in rows])
     column = lambda c, kind: np.concatenate([unpacked(r[c], kind) for r in rows])[order]
-    seen, p1, cu = np.add.reduceat(column("seen", float), starts), np.add.reduceat(column("p1", float), starts), column("cu", np.int64)[starts]
+    seen, p1, cu = np.add.reduceat(column("seen", float), starts), np.add.reduceat(column("p", float), starts), column("cu", np.int64)[starts]
     none = 1 - seen < 1e-9
-    la = np.log10(np.where(none, 1 / (cu + 1), 1 - seen) / (1 - p1))
-    ls = np.where(none, np.log10(cu / (cu + 1)), 0.0)
+    la = np.log10(np.where(none, 1 / (np.maximum(cu, 0) + 1), 1 - seen) / np.maximum(1 - p1, 1e-300))
+    ls = np.where(none, np.log10(np.maximum(cu, 1) / (cu + 1)), 0.0)
     back = np.empty(len(order), np.int64)
     back[order] = which
     out = []
@@ -220,44 +248,118 @@ def _weigh(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, k) for x, k in zip(one, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "deal", "la", "ls"])
 
 
+def _seconds(t: Tokens, c: np.ndarray, cw: np.ndarray, total: float, held: np.ndarray) -> dict[str, np.ndarray]:
+    """What a block knows of the bigram level before the weights of its contexts: by bigram its share and log-probability; by token whether it waits for its context."""
+    at = np.empty(len(t.bigrams), np.int64)
+    at[t.bigram] = np.arange(len(t.bigram))
+    u, w = t.context[at], t.word[at]
+    p1, seen = (cw + 0.5) / total, c > 0
+    share = np.where(c > LAST, c, held[np.minimum(c, LAST)] * c) / np.maximum(cw[u], 1)
+    freed = np.zeros(len(t.words), bool)
+    freed[u[seen & (c <= LAST)]] = True
+    # tokens that wait for their context: unseen bigrams, and seen ones where no count here frees mass
+    wait = (~seen[t.bigram] | ~freed[t.context]) & (cw[t.context] > 0)
+    wanted = np.zeros(len(t.words), bool)
+    wanted[t.context[wait]] = True
+    l1 = np.log10(p1)
+    return dict(u=u, w=w, p1=p1, l1=l1, seen=seen, share=share, sure=np.where(seen, np.log10(np.where(seen, share, 1.0)), l1[w]), wait=wait, wanted=wanted)
+
+
+CONTEXT = {"block": pa.int64(), "level": pa.int32(), "deal": pa.int32(), **{x: pa.binary() for x in ("keys", "seen", "p", "cu", "wanted", "counts")}}
+TEXTS = ("flags", "n_tokens", "n_known", "base", "sure", "open", "code")
+
+
+def _contexts(block: int, level: int, keys: np.ndarray, sums: list[np.ndarray], cu: np.ndarray, wanted: np.ndarray, ranges: int) -> list[dict]:
+    """A block's share in the sums of contexts, and which of their weights it wants, by range."""
+    send = np.flatnonzero(wanted | (sums[2] > 0))
+    out = []
+    for r, s in dealt(keys[send], ranges):
+        x = send[s]
+        out.append(dict(block=block, level=level, deal=r, keys=packed_keys(keys[x]), seen=packed(sums[0][x]), p=packed(sums[1][x]), cu=packed(cu[x]), wanted=packed(wanted[x].astype(np.uint8))))
+    return out
+
+
 def score(g: DataFrame, m: Katz) -> DataFrame:
+    spark = g.sparkSession
     kind = g.schema["doc_ids"].dataType.elementType.simpleString()
     total, held, ranges, n = m.n + 0.5 * (m.v + 1), np.array([0.0, *m.held]), m.ranges, m.n
-    shape = {"block": pa.int64(), "deal": pa.int32(), **{x: pa.binary() for x in ("keys", "seen", "p1", "cu", "wanted", "flags", "n_tokens", "n_known", "base", "sure", "open", "code")}}
+    ddl = lambda shape: ", ".join(f"{k} {'long' if t == pa.int64() else 'int' if t == pa.int32() else 'binary'}" for k, t in shape.items())
+    sums_of = lambda where, xs, size: [np.bincount(where, weights=x, minlength=size) for x in xs]
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        """What a block's documents score without the weights of their contexts, and its share in the sums of contexts."""
+        """A block's share in the sums of one-word contexts, and the trigrams it asks for."""
         row = left.to_pylist()[0]
         t = Tokens(row["flags"], row["lengths"], row["z"])
-        told = sorted(zip(right.column("deal").to_pylist(), right.column("v").to_pylist()), key=lambda x: x[0] if x[0] >= 0 else -1 - x[0])
-        v = np.concatenate([unpacked(x, np.int64) for deal, x in told if deal >= 0])
-        c, own = v >> 1, (v & 1) > 0
-        cw = np.concatenate([unpacked(x, np.int64) for deal, x in told if deal < 0]) >> 1
-        at = np.empty(len(t.bigrams), np.int64)
-        at[t.bigram] = np.arange(len(t.bigram))
-        u, w = t.context[at], t.word[at]
-        p1, seen = (cw + 0.5) / total, c > 0
-        l1 = np.log10(p1)
-        share = np.where(c > LAST, c, held[np.minimum(c, LAST)] * c) / np.maximum(cw[u], 1)
-        sure = np.where(seen, np.log10(np.where(seen, share, 1.0)), l1[w])
-        freed = np.zeros(len(t.words), bool)
-        freed[u[seen & (c <= LAST)]] = True
-        # tokens that wait for their context: unseen bigrams, and seen ones where no count here frees mass
-        wait = (~seen[t.bigram] | ~freed[t.context]) & (cw[t.context] > 0)
-        wanted = np.zeros(len(t.words), bool)
-        wanted[t.context[wait]] = True
-        place = np.cumsum(wanted) - 1
-        code = 2 * place[t.context[wait]] + seen[t.bigram[wait]]
-        sums = [np.bincount(u[own], weights=x[own], minlength=len(t.words)) for x in (share, p1[w], np.ones(len(w)))]
-        send = np.flatnonzero(wanted | (sums[2] > 0))
-        by_doc = lambda x, k: packed(np.add.reduceat(x, t.starts).astype(k))
-        out = [dict(block=row["block"], flags=row["flags"], n_tokens=packed(t.n.astype(np.int64)), n_known=by_doc((cw[t.word] > 0).astype(np.int64), np.int64), base=by_doc(l1[t.word], float), sure=by_doc(sure[t.bigram], float), open=by_doc(wait.astype(np.int64), np.int64), code=packed(code))]
-        keys = t.words[send]
-        for r, s in dealt(keys, ranges):
-            x = send[s]
-            out.append(dict(block=row["block"], deal=r, keys=packed_keys(keys[s]), seen=packed(sums[0][x]), p1=packed(sums[1][x]), cu=packed(cw[x]), wanted=packed(wanted[x].astype(np.uint8))))
+        c, own, cw = t.bigram_state(list(zip(right.column("deal").to_pylist(), right.column("v").to_pylist())))
+        x = _seconds(t, c, cw, total, held)
+        out = _contexts(row["block"], 2, t.words, sums_of(x["u"][own], (x["share"][own], x["p1"][x["w"]][own], np.ones(int(own.sum()))), len(t.words)), cw, x["wanted"], ranges)
+        at, keys, place = t.thirds(c)
+        learnt = np.repeat(t.flags == 2, t.n)[at]
+        counts = np.bincount(place, weights=learnt, minlength=len(keys)).astype(np.int64)
+        out += [dict(block=row["block"], level=3, deal=r, keys=packed_keys(keys[s]), counts=packed(counts[s])) for r, s in dealt(keys, ranges)]
+        return pa.table({k: pa.array([r.get(k) for r in out], x) for k, x in CONTEXT.items()})
+
+    judged = materialize(g.select("block", "flags", "lengths", "z").groupBy("block").cogroup(m.counts.groupBy("block")).applyInArrow(judge, ddl(CONTEXT)))
+    tidy(spark)
+    weigh = lambda rows: rows.select("block", "deal", "keys", "seen", "p", "cu", "wanted").groupBy("deal").applyInArrow(_weigh, "block long, deal int, la binary, ls binary")
+    weights = materialize(weigh(judged.where("level = 2")))
+    thirds = judged.where("level = 3").select("block", "deal", "keys", "counts").groupBy("deal").applyInArrow(_tally, f"block long, deal int, v binary, {', '.join(f'{x} long' for x in TOLD)}")
+    thirds = materialize(thirds)
+    tidy(spark)
+    found = thirds.where("block is null").agg(*(F.sum(x).alias(x) for x in TOLD)).collect()[0]
+    held3 = np.array([0.0, *turing({r + 1: found[x] or 0 for r, x in enumerate(TOLD)})])
+    empty = lambda *names: [F.lit(None).cast("binary").alias(x) for x in names]
+    answers = m.counts.select("block", F.lit(1).alias("level"), "deal", "v", *empty("la", "ls")).unionByName(weights.select("block", F.lit(2).alias("level"), "deal", *empty("v"), "la", "ls"))
+    answers = answers.unionByName(thirds.where("block is not null").select("block", F.lit(3).alias("level"), "deal", "v", *empty("la", "ls")))
+    shape = {**CONTEXT, **{x: pa.binary() for x in TEXTS}}
+
+    def weave(left: pa.Table, right: pa.Table) -> pa.Table:
+        """What a block's documents score without the weights of their two-word contexts, and its share in these contexts' sums."""
+        row = left.to_pylist()[0]
+        t = Tokens(row["flags"], row["lengths"], row["z"])
+        told = right.to_pylist()
+        c, own, cw = t.bigram_state([(r["deal"], r["v"]) for r in told if r["level"] == 1])
+        x = _seconds(t, c, cw, total, held)
+        late = sorted((r for r in told if r["level"] == 2), key=lambda r: r["deal"])
+        la, ls = (np.zeros(len(t.words)) for _ in range(2))
+        for to, name in ((la, "la"), (ls, "ls")):
+            to[x["wanted"]] = np.concatenate([np.empty(0), *(unpacked(r[name], float) for r in late)])
+        second = x["sure"][t.bigram] + np.where(x["wait"], np.where(x["seen"][t.bigram], ls[t.context], la[t.context]), 0.0)
+        at, keys, place = t.thirds(c)
+        v = np.concatenate([np.empty(0, np.int64), *(unpacked(r["v"], np.int64) for r in sorted((r for r in told if r["level"] == 3), key=lambda r: r["deal"]))])
+        c3, mine = v >> 1, (v & 1) > 0
+        some = np.empty(len(keys), np.int64)  # a token of each trigram
+        some[place] = np.arange(len(at))
+        some = at[some]
+        over, cu = t.bigram[some - 1], np.maximum(c[t.bigram[some - 1]], 1)
+        kept = c3 > CUT
+        share = np.where(c3 > LAST, c3, held3[np.minimum(c3, LAST)] * c3) / cu
+        freed = np.zeros(len(t.bigrams), bool)
+        freed[over[(c3 > 0) & (c3 <= LAST)]] = True
+        context = np.full(len(t.word), -1)
+        context[1:] = t.bigram[:-1]
+        context[t.starts] = -1
+        third = np.full(len(t.word), -1)
+        third[at] = place
+        is_kept = third >= 0
+        is_kept[is_kept] = kept[third[is_kept]]
+        back = (context >= 0) & ~is_kept
+        back[back] = c[context[back]] > CUT
+        wait = back.copy()
+        wait[is_kept] = ~freed[context[is_kept]]
+        sure = second
+        sure[is_kept] = np.log10(share[third[is_kept]])
+        wanted = np.zeros(len(t.bigrams), bool)
+        wanted[context[wait]] = True
+        number = np.cumsum(wanted) - 1
+        code = 2 * number[context[wait]] + is_kept[wait]
+        add = mine & kept
+        lower = x["sure"][t.bigram[some[add]]] + np.where(x["wait"][some[add]], ls[t.context[some[add]]], 0.0)  # a kept trigram's bigram was seen
+        out = _contexts(row["block"], 3, t.bigrams, sums_of(over[add], (share[add], 10.0**lower, np.ones(int(add.sum()))), len(t.bigrams)), c, wanted, ranges)
+        by_doc = lambda y, k: packed(np.add.reduceat(y, t.starts).astype(k))
+        out.append(dict(block=row["block"], flags=row["flags"], n_tokens=packed(t.n.astype(np.int64)), n_known=by_doc((cw[t.word] > 0).astype(np.int64), np.int64), base=by_doc(x["l1"][t.word], float), sure=by_doc(sure, float), open=by_doc(wait.astype(np.int64), np.int64), code=packed(code)))
         cols = {k: pa.array([r.get(k) for r in out], x) for k, x in shape.items()}
-        ids = pa.array([row["doc_ids"], *[None] * (len(out) - 1)], left.column("doc_ids").type)
+        ids = pa.array([*[None] * (len(out) - 1), row["doc_ids"]], left.column("doc_ids").type)
         return pa.table({**cols, "doc_ids": ids})
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -275,11 +377,12 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
         }
         return pa.table(out)
 
-    binaries = ", ".join(f"{x} binary" for x in list(shape)[2:])
-    judged = materialize(g.groupBy("block").cogroup(m.counts.groupBy("block")).applyInArrow(judge, f"block long, deal int, {binaries}, doc_ids array<{kind}>"))
-    weights = judged.where("deal is not null").select("block", "deal", "keys", "seen", "p1", "cu", "wanted").groupBy("deal").applyInArrow(_weigh, "block long, deal int, la binary, ls binary")
-    texts = judged.where("deal is null").select("block", "doc_ids", "flags", "n_tokens", "n_known", "base", "sure", "open", "code")
-    return texts.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    woven = materialize(g.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(weave, f"{ddl(shape)}, doc_ids array<{kind}>"))
+    tidy(spark)
+    weights3 = materialize(weigh(woven.where("level = 3")))
+    tidy(spark)
+    texts = woven.where("level is null").select("block", "doc_ids", *TEXTS)
+    return texts.groupBy("block").cogroup(weights3.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_lm(spark, sf_dir: str) -> DataFrame:

@@ -149,11 +149,32 @@ def test_katz(spark, docs, empty):
         a = (1 - sum(p.values())) / (1 - sum(map(p1, seen)))
         model[u] = (p, a)
         assert abs(sum(p.values()) + a * (1 - sum(map(p1, seen))) - 1) < 1e-9  # normalised over the vocabulary and the unknown class
+    three = Counter((x, y, z) for t in train + extra for x, y, z in zip([b"<s>", *t], t, t[1:]))
+    g3 = lm.turing(Counter(k for k in three.values() if k <= lm.LAST + 1))
+    p2 = lambda u, w: model[u][0][w] if u in model and w in model[u][0] else (model[u][1] if u in model else 1) * p1(w)
+    upper = {}
+    for x, y in {k[:2] for k in three}:
+        seen = {w: k for (a, b, w), k in three.items() if (a, b) == (x, y) and k > lm.CUT}
+        if not seen:
+            continue
+        cu = two[x, y]
+        p = {w: (g3[k - 1] if k <= lm.LAST else 1.0) * k / cu for w, k in seen.items()}
+        if 1 - sum(p.values()) < 1e-9:
+            p = {w: q * cu / (cu + 1) for w, q in p.items()}
+        a = (1 - sum(p.values())) / (1 - sum(p2(y, w) for w in p))
+        upper[x, y] = (p, a)
+        every = [*c, None]
+        low = {w: (p2(y, w) if w is not None else (model[y][1] if y in model else 1) * 0.5 / (n + 0.5 * (v + 1))) for w in every}
+        assert abs(sum(p.get(w, a * low[w]) for w in every) - 1) < 1e-9  # exactly normalised at this order too
+    assert any(p for p, _ in upper.values())
     for r in got:
         if r.doc_id is None:
             continue
         t = [*words(TEXTS[r.doc_id], True), b"</s>"]
-        s = sum(math.log10(model[u][0][w] if u in model and w in model[u][0] else (model[u][1] if u in model else 1) * p1(w)) for u, w in zip([b"<s>", *t], t))
+        s = math.log10(p2(b"<s>", t[0]))
+        for x, y, w in zip([b"<s>", *t], t, t[1:]):
+            p, a = upper.get((x, y), ({}, 1.0))
+            s += math.log10(p[w] if w in p else a * p2(y, w))
         assert r.score == pytest.approx(s) and r.base_score == pytest.approx(sum(math.log10(p1(w)) for w in t))
         assert (r.n_tokens, r.n_known, r.held_out) == (len(t), sum(w in c for w in t), zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
     assert len(got) == len(TEXTS) + 2
