@@ -29,6 +29,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# The character names that study listings use.
+STUDY_ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
+    "hellip": "…", "bull": "•", "middot": "·", "deg": "°", "cent": "¢", "pound": "£", "euro": "€", "trade": "™", "copy": "©", "reg": "®", "frac12": "½", "frac14": "¼", "frac34": "¾",
+    "times": "×", "minus": "−", "plusmn": "±", "eacute": "é", "szlig": "ß",
+}
+STUDY_BLOCKS = r"(?iU)<\s*/?\s*(?:br|p|div|li|ul|ol|tr|td|th|h[1-6]|section|article|blockquote|hr)(?![A-Za-z0-9_])[^>]*>"
+
+
 def js_round(x: Column) -> Column:
     """Halves go up, also below zero."""
     return F.floor(x + 0.5)
@@ -96,6 +105,23 @@ def html_to_text(markup: Column) -> Column:
     return collapse(decode_entities(strip_tags(F.coalesce(markup, F.lit("")))))
 
 
+def study_text(markup: Column) -> Column:
+    """A study listing's markup as plain text: comments and scripts gone, its own table of character names, zero-width spaces taken for spaces."""
+    t = F.regexp_replace(F.coalesce(markup, F.lit("")), r"(?isU)<\s*(script|style)(?![A-Za-z0-9_])[^>]*>.*?<\s*/\s*\1\s*>", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), STUDY_BLOCKS, " ")
+    t = decode_entities(F.regexp_replace(t, r"<[^>]*>", ""), STUDY_ENTITIES)
+    return F.trim(F.regexp_replace(t, r"(?U)[\s\x{200B}]+", " "))
+
+
+def truncate(text: Column, most: int) -> Column:
+    """At most ``most`` signs with the ellipsis, cut after a word if that keeps over 60 % of them, without punctuation at the end."""
+    t, room = F.trim(text), most - 1
+    head = F.substring(t, 1, room)
+    word = F.regexp_extract(head, r"(?s)^(.*) [^ ]*$", 1)
+    body = F.regexp_replace(F.when(F.length(word) > room * 0.6, word).otherwise(head), r"(?U)[\s.,;:!?-]+$", "")
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(body, F.lit("…")))
+
+
 def strip_emails(text: Column, marker: str = "[email removed]") -> Column:
     return collapse(F.regexp_replace(text, EMAIL, marker.replace("$", r"\$")))
 

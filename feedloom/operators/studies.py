@@ -228,24 +228,17 @@ def normalize(raw: DataFrame, now: Column, terms: Column | None = None) -> DataF
     """Study rows from raw listings (id, title, excerpt, body, compensation, duration, expires, approved, posted, modified, irb_number, min_age, max_age, term_ids array<long>) with text, summary,
     pay, time, eligibility, rate and its basis, bucket, tags and staleness.  ``terms``: a map of taxonomy ids to names."""
     from ..functions.dates import staleness, study_instant
-    from ..functions.text import html_to_text
+    from ..functions.text import study_text, truncate
 
     c = F.col
-    rows = raw.withColumns({"plain_title": html_to_text(c("title")), "plain_excerpt": html_to_text(c("excerpt")), "text": html_to_text(c("body"))})
+    rows = raw.withColumns({"plain_title": study_text(c("title")), "plain_excerpt": study_text(c("excerpt")), "text": study_text(c("body"))})
     rows = rows.withColumns({"__read": read_pay_and_time("compensation", "duration", "body"), "eligibility": parse_eligibility("title", "excerpt", "body", c("min_age").cast("string"), c("max_age").cast("string"))})
     rows = rows.withColumns({"pay": c("__read.pay"), "time": c("__read.time")}).drop("__read")
     flat = rows.withColumns({
-        "summary": short(F.when(F.length("plain_excerpt") >= 40, c("plain_excerpt")).otherwise(F.coalesce(F.nullif(c("text"), F.lit("")), c("plain_excerpt"))), 260),
+        "summary": truncate(F.when(F.length("plain_excerpt") >= 40, c("plain_excerpt")).otherwise(F.coalesce(F.nullif(c("text"), F.lit("")), c("plain_excerpt"))), 260),
         **{k: c(f"pay.{k}") for k in ("guaranteed_min", "guaranteed_max", "hourly_min", "hourly_max", "raffle_only", "per_visit", "visit_count")},
         "hours_min": c("time.total_hours_min"), "hours_max": c("time.total_hours_max"), "session_count": c("time.session_count"), "hours_per_session": hours_per_session(c("duration"), c("time.session_count")),
     })
     named = term_names(c("term_ids"), terms) if terms is not None else None
     age = staleness(study_instant(c("expires")), study_instant(c("approved")), now)
     return reconcile_rate(flat).withColumns({"bucket": rate_bucket(c("rate")), "tags": tags(F.concat_ws(" ", "plain_title", "plain_excerpt", "text"), named), "staleness": age, "is_expired": age == "expired"})
-
-
-def short(text: Column, most: int) -> Column:
-    """At most ``most`` signs, cut after a word where the last one begins in the last third, with an ellipsis."""
-    from ..functions.text import clamp
-
-    return clamp(text, most)

@@ -118,6 +118,18 @@ def html_to_text(spark, d):
     return t(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
+_STUDY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<\\s*script\\b[^>]*>.*?<\\s*/\\s*script\\s*>|<\\s*style\\b[^>]*>.*?<\\s*/\\s*style\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)<\\s*/?\\s*(br|p|div|li|ul|ol|tr|td|th|h[1-6]|section|article|blockquote|hr)\\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')"
+for _k, _v in [(k, v) for k, v in T.STUDY_ENTITIES.items() if k != "amp"]:
+    _STUDY = f"regexp_replace({_STUDY}, '(?i)&{_k};', '{_v.replace(chr(39), chr(39) * 2)}', 'g')"
+
+
+@query(f"""WITH x AS (SELECT page_id, {q_flat(f"replace({_STUDY}, '&amp;', '&')")} AS c FROM pages), y AS (SELECT *, substr(c, 1, 259) AS h FROM x), z AS (SELECT *, regexp_extract(h, '(?s)^(.*) [^ ]*$', 1) AS w FROM y)
+SELECT page_id, c AS text, CASE WHEN length(c) <= 260 THEN c ELSE regexp_replace(CASE WHEN length(w) > 155.4 THEN w ELSE h END, '[\\s.,;:!?-]+$', '') || '…' END AS summary FROM z""")
+def study_texts(spark, d):
+    x = t(spark, d, "pages").select("page_id", T.study_text(F.col("html")).alias("text"))
+    return x.select("page_id", "text", T.truncate(F.col("text"), 260).alias("summary"))
+
+
 @query("""SELECT page_id, list_transform(regexp_extract_all(html, '(?is)<li(?:\\s[^>]*)?(?:/>|>(.*?)</li\\s*>)', 1), lambda x: coalesce(x, '')) AS items,
 trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title\\s*>', 1), '<[^>]*>', '', 'g'), '&amp;', '&', 'g')) AS title,
 list_transform(list_filter(list_transform(regexp_extract_all(html, '(?is)<a(\\s[^>]*?)/?>', 1), lambda h: regexp_extract(h, '(?is)\\shref\\s*=\\s*("[^"]*"|''[^'']*'')', 1)), lambda v: v <> ''), lambda v: replace(substr(v, 2, length(v) - 2), '&amp;', '&')) AS links FROM pages""")

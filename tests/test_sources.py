@@ -184,4 +184,13 @@ def test_marks_and_profiles(spark):
     assert p.p.age is None and p.p.sex is None and p.q.age is None
     one = spark.createDataFrame([("a", 0), ("b", 1)], "vertical string, scanned int").withColumn("week_of", F.lit("2026-01-05").cast("date"))
     assert [r.vertical for r in snapshots.digest_history(one).collect()] == ["b"]
-    assert studies.short(F.lit("x"), 5) is not None
+
+
+def test_study_text(spark):
+    from feedloom.functions import text as T
+    from feedloom.operators import pay
+
+    cases = {"<p>a&frac12;<br>b</p><!-- x --><script>y</script>": "a½ b", "c&alpha;&#39;\u200bd<hr>e": "c&alpha;' d e", None: "", "x&#0;&szlig;": "x&#0;ß"}
+    got = spark.createDataFrame([(k, v) for k, v in cases.items()], "x string, want string").select("x", "want", T.study_text(F.col("x")).alias("got")).collect()
+    assert all(r.got == r.want == pay.plain_text(r.x) for r in got)
+    assert [r[0] for r in spark.createDataFrame([("alpha beta gamma",), ("short",), ("abcdefghijklmnop",)], "x string").select(T.truncate(F.col("x"), 12)).collect()] == ["alpha beta…", "short", "abcdefghijk…"]
