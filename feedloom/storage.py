@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,19 +29,36 @@ def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     path = f"{shared_dir(spark)}/feedloom-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def tidy(spark: SparkSession) -> None:
     """Have the shuffle files of plans that nothing refers to any more deleted now, not at the JVM's next collection.  For between the steps of a long job, whose results are tables by then."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of reaches the JVM a moment later
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and that no plan still to run reads."""
+    for t in tables:
+        path = getattr(t, "_written_at", None)
+        if path in _written:
+            _written.remove(path)
+            _delete(t.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> int:
     """Delete the tables this process has written; for when every result built on them is saved.  Returns how many."""
-    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    n = 0
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += path.getFileSystem(conf).delete(path, True)
+        n += _delete(spark, _written.pop())
     return n
