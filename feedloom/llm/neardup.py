@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, own, session, table
+from .shared import materialize, own, session, table, tidy
 from .words import LOWER, PLAIN, U, hashed, mix, rolled, texts_of
 
 WORDS, SIMILARITY = 5, 0.8
@@ -289,6 +289,7 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = 80, fold: np.nda
     shared = materialize(band.join(sizes, "key"))
     fame = shared.groupBy("rep").agg(F.sum("size").alias("fame"))
     shared = materialize(shared.join(fame, "rep").select("key", "rep", "fame"))
+    tidy(docs.sparkSession)
     order = F.struct("fame", (-F.col("rep")).alias("back"), "rep")
     hub = shared.groupBy("key").agg(F.max(order).getField("rep").alias("hub"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
@@ -297,6 +298,8 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = 80, fold: np.nda
     tried = materialize(shared.join(hub, "key").where("rep <> hub").select(*pair("rep", "hub")).distinct())
     links = _confirm(tried, classes, texts, words, percent, fold)
     comp = materialize(components(links))
+    tidy(docs.sparkSession)
+
     def open_buckets(comp: DataFrame) -> DataFrame:
         """Buckets of more than two members whose members are in different components."""
         at = shared.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -314,11 +317,13 @@ def cluster(docs: DataFrame, words: int = WORDS, percent: int = 80, fold: np.nda
         tried = tried.unionByName(new)
         links = links.unionByName(_confirm(new, classes, texts, words, percent, fold))
         comp = materialize(components(links))
+        tidy(docs.sparkSession)
     open_ = open_buckets(comp)
     crowds = open_.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > CROWD).select("key")
     last = _uncrowded(open_.join(crowds, "key", "left_anti"), classes, texts, words, percent, fold)
     last = last.unionByName(_crowded(open_.join(crowds, "key", "left_semi"), texts, words, percent, fold))
     comp = materialize(components(links.unionByName(materialize(last))))
+    tidy(docs.sparkSession)
     named = classes.select("set_key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("found"))
     keyed = all_rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
     out = keyed.join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))

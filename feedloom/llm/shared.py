@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, release, shared_dir  # noqa: F401
+from ..storage import discard, materialize, release, shared_dir, tidy  # noqa: F401
 
 #: Rows in an Arrow batch that goes to Python: texts can be long, so batches are short.
 ARROW_ROWS = 256
