@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_of_id, materialize, session, table, tidy
+from .shared import crc_of_id, discard, materialize, session, table, tidy
 from .words import LOWER, U, hashed, mix, texts_of
 
 LAST, CUT = 5, 1
@@ -225,7 +225,7 @@ def train(g: DataFrame) -> Katz:
     sums = {r["words"]: r for r in counts.where("block is null").groupBy((F.col("deal") < 0).alias("words")).agg(*(F.sum(x).alias(x) for x in TOLD)).collect()}
     n, v = (sums[True][x] for x in TOLD[:2]) if sums else (0, 0)
     held = discounts({r + 1: sums[False][x] for r, x in enumerate(TOLD)} if sums else {})
-    return Katz(counts.where("block is not null").select("block", "deal", "v"), held, n, v, ranges)
+    return Katz(counts, held, n, v, ranges)
 
 
 def _weigh(group: pa.Table) -> pa.Table:
@@ -299,18 +299,23 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
         out += [dict(block=row["block"], level=3, deal=r, keys=packed_keys(keys[s]), counts=packed(counts[s])) for r, s in dealt(keys, ranges)]
         return pa.table({k: pa.array([r.get(k) for r in out], x) for k, x in CONTEXT.items()})
 
-    judged = materialize(g.select("block", "flags", "lengths", "z").groupBy("block").cogroup(m.counts.groupBy("block")).applyInArrow(judge, ddl(CONTEXT)))
-    tidy(spark)
-    weigh = lambda rows: rows.select("block", "deal", "keys", "seen", "p", "cu", "wanted").groupBy("deal").applyInArrow(_weigh, "block long, deal int, la binary, ls binary")
-    weights = materialize(weigh(judged.where("level = 2")))
-    thirds = judged.where("level = 3").select("block", "deal", "keys", "counts").groupBy("deal").applyInArrow(_tally, f"block long, deal int, v binary, {', '.join(f'{x} long' for x in TOLD)}")
-    thirds = materialize(thirds)
+    judged = g.select("block", "flags", "lengths", "z").groupBy("block").cogroup(m.counts.where("block is not null").select("block", "deal", "v").groupBy("block")).applyInArrow(judge, ddl(CONTEXT))
+    told = {"block": pa.int64(), "level": pa.int32(), "deal": pa.int32(), "v": pa.binary(), "la": pa.binary(), "ls": pa.binary(), **{x: pa.int64() for x in TOLD}}
+
+    def answer(group: pa.Table) -> pa.Table:
+        """One range's answers: weights of one-word contexts, or totals of trigrams."""
+        level = group.column("level")[0].as_py()
+        out = _weigh(group) if level == 2 else _tally(group)
+        n_rows = out.num_rows
+        full = {k: out.column(k) if k in out.column_names else pa.array([level] * n_rows if k == "level" else [None] * n_rows, x) for k, x in told.items()}
+        return pa.table(full)
+
+    second = materialize(judged.groupBy("level", "deal").applyInArrow(answer, ddl(told)))
     tidy(spark)
-    found = thirds.where("block is null").agg(*(F.sum(x).alias(x) for x in TOLD)).collect()[0]
+    found = second.where("block is null").agg(*(F.sum(x).alias(x) for x in TOLD)).collect()[0]
     held3 = np.array([0.0, *turing({r + 1: found[x] or 0 for r, x in enumerate(TOLD)})])
-    empty = lambda *names: [F.lit(None).cast("binary").alias(x) for x in names]
-    answers = m.counts.select("block", F.lit(1).alias("level"), "deal", "v", *empty("la", "ls")).unionByName(weights.select("block", F.lit(2).alias("level"), "deal", *empty("v"), "la", "ls"))
-    answers = answers.unionByName(thirds.where("block is not null").select("block", F.lit(3).alias("level"), "deal", "v", *empty("la", "ls")))
+    first = m.counts.where("block is not null").select("block", F.lit(1).alias("level"), "deal", "v", *[F.lit(None).cast("binary").alias(x) for x in ("la", "ls")])
+    answers = first.unionByName(second.where("block is not null").select(first.columns))
     shape = {**CONTEXT, **{x: pa.binary() for x in TEXTS}}
 
     def weave(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -378,8 +383,10 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
         return pa.table(out)
 
     woven = materialize(g.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(weave, f"{ddl(shape)}, doc_ids array<{kind}>"))
+    discard(second)
     tidy(spark)
-    weights3 = materialize(weigh(woven.where("level = 3")))
+    third = woven.where("level = 3").select("block", "deal", "keys", "seen", "p", "cu", "wanted").groupBy("deal")
+    weights3 = materialize(third.applyInArrow(_weigh, "block long, deal int, la binary, ls binary"))
     tidy(spark)
     texts = woven.where("level is null").select("block", "doc_ids", *TEXTS)
     return texts.groupBy("block").cogroup(weights3.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -388,4 +395,7 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
 def op3_lm(spark, sf_dir: str) -> DataFrame:
     session(spark)
     g = grams(table(spark, sf_dir, "documents"))
-    return score(g, train(g))
+    m = train(g)
+    out = score(g, m)
+    discard(g, m.counts)  # the scores' plan reads neither
+    return out
