@@ -360,7 +360,7 @@ def research_tabs(spark, d):
 
 
 @query(PAPERS + f""", r AS (SELECT doc_id, {Q_SUM} AS relevance, rs FROM s)
-SELECT doc_id, greatest(0, least(100, relevance + list_sum(list_transform(list_distinct(list_transform(list_filter(rs, lambda r: r.p > 0), lambda r: r.s)), lambda s: CASE s WHEN 'topic' THEN 12 WHEN 'method' THEN -9 ELSE 0 END)))) AS adjusted FROM r WHERE len(list_filter(rs, lambda r: r.p > 0)) > 0""")
+SELECT doc_id, CAST(greatest(0, least(100, relevance + list_sum(list_transform(list_distinct(list_transform(list_filter(rs, lambda r: r.p > 0), lambda r: r.s)), lambda s: CASE s WHEN 'topic' THEN 12 WHEN 'method' THEN -9 ELSE 0 END)))) AS BIGINT) AS adjusted FROM r WHERE len(list_filter(rs, lambda r: r.p > 0)) > 0""")
 def personal_rank(spark, d):
     x = _scored(spark, d).withColumn("signals", F.split(serve.signals_of(F.col("reasons")), ",")).where("signals[0] <> ''")
     bias = F.create_map(F.lit("topic"), F.lit(12), F.lit("method"), F.lit(-9))
@@ -494,7 +494,7 @@ def participant_studies(spark, d):
     return x.where(~seeks).select("doc_id")
 
 
-@query("SELECT l_partkey, CAST(least(6, 3 * (count(DISTINCT l_suppkey) - 1)) AS INTEGER) AS points, least(0.99, 0.9 + 0.04 * (count(DISTINCT l_suppkey) - 1)) AS confidence FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
+@query("SELECT l_partkey, CAST(least(6, 3 * (count(DISTINCT l_suppkey) - 1)) AS INTEGER) AS points, least(CAST(0.99 AS DOUBLE), CAST(0.9 AS DOUBLE) + CAST(0.04 AS DOUBLE) * (count(DISTINCT l_suppkey) - 1)) AS confidence FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
 def corroboration(spark, d):
     x = t(spark, d, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n"))
     return x.select("l_partkey", score.corroboration_points(F.col("n")).cast("int").alias("points"), collapse.merged_confidence(F.lit(0.9), F.col("n")).alias("confidence")).where("points is not null")
