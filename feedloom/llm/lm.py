@@ -228,24 +228,34 @@ def train(g: DataFrame) -> Katz:
     return Katz(counts, held, n, v, ranges)
 
 
-def _weigh(group: pa.Table) -> pa.Table:
-    """Backoff weights of one range's contexts, for the blocks that want them: logarithms of the weight and of the scale of seen bigrams."""
-    rows = sorted(group.to_pylist(), key=lambda r: r["block"])
-    order, starts, which, ends = _merged([unpacked_keys(r["keys"]) for r in rows])
-    column = lambda c, kind: np.concatenate([unpacked(r[c], kind) for r in rows])[order]
-    seen, p1, cu = np.add.reduceat(column("seen", float), starts), np.add.reduceat(column("p", float), starts), column("cu", np.int64)[starts]
-    none = 1 - seen < 1e-9
-    la = np.log10(np.where(none, 1 / (np.maximum(cu, 0) + 1), 1 - seen) / np.maximum(1 - p1, 1e-300))
-    ls = np.where(none, np.log10(np.maximum(cu, 1) / (cu + 1)), 0.0)
-    back = np.empty(len(order), np.int64)
-    back[order] = which
-    out = []
-    for r, at in zip(rows, np.split(back, ends[:-1])):
-        at = at[unpacked(r["wanted"], np.uint8) > 0]
-        if len(at):
-            out.append((r["block"], r["deal"], packed(la[at]), packed(ls[at])))
-    one = list(zip(*out)) if out else [()] * 4
-    return pa.table([pa.array(x, k) for x, k in zip(one, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "deal", "la", "ls"])
+def weigher(held: np.ndarray, unit: float, whole: type):
+    """The function that turns one range's shares in the sums of contexts into backoff weights, for the blocks that want them: logarithms of the weight and of the scale of seen n-grams.
+
+    Blocks send how many n-grams of each count up to LAST they own in a context, the sum of the larger counts, and the lower order's probabilities in ``unit``s.
+    """
+
+    def weigh(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["block"])
+        order, starts, which, ends = _merged([unpacked_keys(r["keys"]) for r in rows])
+        column = lambda c, kind: np.concatenate([unpacked(r[c], kind) for r in rows])[order]
+        few = np.concatenate([unpacked(r["few"], np.int32).reshape(LAST, -1) for r in rows], 1)[:, order]
+        mass = held[1:] * np.arange(1, LAST + 1) @ np.add.reduceat(few, starts, axis=1) + np.add.reduceat(column("many", np.int64), starts)
+        cu, p = np.maximum(column("cu", np.int64)[starts], 1), np.add.reduceat(column("p", whole), starts) * unit
+        seen = mass / cu
+        none = 1 - seen < 1e-9
+        la = np.log10(np.where(none, 1 / (cu + 1), 1 - seen) / np.maximum(1 - p, 1e-300))
+        ls = np.where(none, np.log10(cu / (cu + 1)), 0.0)
+        back = np.empty(len(order), np.int64)
+        back[order] = which
+        out = []
+        for r, at in zip(rows, np.split(back, ends[:-1])):
+            at = at[unpacked(r["wanted"], np.uint8) > 0]
+            if len(at):
+                out.append((r["block"], r["deal"], packed(la[at]), packed(ls[at])))
+        one = list(zip(*out)) if out else [()] * 4
+        return pa.table([pa.array(x, k) for x, k in zip(one, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "deal", "la", "ls"])
+
+    return weigh
 
 
 def _seconds(t: Tokens, c: np.ndarray, cw: np.ndarray, total: float, held: np.ndarray) -> dict[str, np.ndarray]:
@@ -265,17 +275,23 @@ def _seconds(t: Tokens, c: np.ndarray, cw: np.ndarray, total: float, held: np.nd
     return dict(u=u, w=w, p1=p1, l1=l1, seen=seen, share=share, sure=np.where(seen, np.log10(np.where(seen, share, 1.0)), l1[w]), wait=wait, wanted=wanted)
 
 
-CONTEXT = {"block": pa.int64(), "level": pa.int32(), "deal": pa.int32(), **{x: pa.binary() for x in ("keys", "seen", "p", "cu", "wanted", "counts")}}
+CONTEXT = {"block": pa.int64(), "level": pa.int32(), "deal": pa.int32(), **{x: pa.binary() for x in ("keys", "few", "many", "p", "cu", "wanted", "counts")}}
 TEXTS = ("flags", "n_tokens", "n_known", "base", "sure", "open", "code")
 
 
-def _contexts(block: int, level: int, keys: np.ndarray, sums: list[np.ndarray], cu: np.ndarray, wanted: np.ndarray, ranges: int) -> list[dict]:
-    """A block's share in the sums of contexts, and which of their weights it wants, by range."""
-    send = np.flatnonzero(wanted | (sums[2] > 0))
+def _contexts(block: int, level: int, keys: np.ndarray, where: np.ndarray, c: np.ndarray, p: np.ndarray, cu: np.ndarray, wanted: np.ndarray, ranges: int) -> list[dict]:
+    """A block's share in the sums of contexts, from the n-grams it owns (their context, count and lower-order probability), and which of the contexts' weights it wants, by range."""
+    size = len(keys)
+    few = np.stack([np.bincount(where[c == r], minlength=size) for r in range(1, LAST + 1)]).astype(np.int32)
+    many = np.bincount(where, weights=np.where(c > LAST, c, 0), minlength=size).astype(np.int64)
+    mass = np.bincount(where, weights=p, minlength=size).astype(p.dtype)
+    owned = np.zeros(size, bool)
+    owned[where] = True
+    send = np.flatnonzero(wanted | owned)
     out = []
     for r, s in dealt(keys[send], ranges):
         x = send[s]
-        out.append(dict(block=block, level=level, deal=r, keys=packed_keys(keys[x]), seen=packed(sums[0][x]), p=packed(sums[1][x]), cu=packed(cu[x]), wanted=packed(wanted[x].astype(np.uint8))))
+        out.append(dict(block=block, level=level, deal=r, keys=packed_keys(keys[x]), few=packed(few[:, x].ravel()), many=packed(many[x]), p=packed(mass[x]), cu=packed(cu[x]), wanted=packed(wanted[x].astype(np.uint8))))
     return out
 
 
@@ -284,7 +300,6 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
     kind = g.schema["doc_ids"].dataType.elementType.simpleString()
     total, held, ranges, n = m.n + 0.5 * (m.v + 1), np.array([0.0, *m.held]), m.ranges, m.n
     ddl = lambda shape: ", ".join(f"{k} {'long' if t == pa.int64() else 'int' if t == pa.int32() else 'binary'}" for k, t in shape.items())
-    sums_of = lambda where, xs, size: [np.bincount(where, weights=x, minlength=size) for x in xs]
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         """A block's share in the sums of one-word contexts, and the trigrams it asks for."""
@@ -292,7 +307,7 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
         t = Tokens(row["flags"], row["lengths"], row["z"])
         c, own, cw = t.bigram_state(list(zip(right.column("deal").to_pylist(), right.column("v").to_pylist())))
         x = _seconds(t, c, cw, total, held)
-        out = _contexts(row["block"], 2, t.words, sums_of(x["u"][own], (x["share"][own], x["p1"][x["w"]][own], np.ones(int(own.sum()))), len(t.words)), cw, x["wanted"], ranges)
+        out = _contexts(row["block"], 2, t.words, x["u"][own], c[own], 2 * cw[x["w"][own]] + 1, cw, x["wanted"], ranges)  # P1 is (2 c + 1) / (2 total)
         at, keys, place = t.thirds(c)
         learnt = np.repeat(t.flags == 2, t.n)[at]
         counts = np.bincount(place, weights=learnt, minlength=len(keys)).astype(np.int64)
@@ -302,10 +317,12 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
     judged = g.select("block", "flags", "lengths", "z").groupBy("block").cogroup(m.counts.where("block is not null").select("block", "deal", "v").groupBy("block")).applyInArrow(judge, ddl(CONTEXT))
     told = {"block": pa.int64(), "level": pa.int32(), "deal": pa.int32(), "v": pa.binary(), "la": pa.binary(), "ls": pa.binary(), **{x: pa.int64() for x in TOLD}}
 
+    weigh2 = weigher(held, 0.5 / total, np.int64)
+
     def answer(group: pa.Table) -> pa.Table:
         """One range's answers: weights of one-word contexts, or totals of trigrams."""
         level = group.column("level")[0].as_py()
-        out = _weigh(group) if level == 2 else _tally(group)
+        out = weigh2(group) if level == 2 else _tally(group)
         n_rows = out.num_rows
         full = {k: out.column(k) if k in out.column_names else pa.array([level] * n_rows if k == "level" else [None] * n_rows, x) for k, x in told.items()}
         return pa.table(full)
@@ -360,7 +377,7 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
         code = 2 * number[context[wait]] + is_kept[wait]
         add = mine & kept
         lower = x["sure"][t.bigram[some[add]]] + np.where(x["wait"][some[add]], ls[t.context[some[add]]], 0.0)  # a kept trigram's bigram was seen
-        out = _contexts(row["block"], 3, t.bigrams, sums_of(over[add], (share[add], 10.0**lower, np.ones(int(add.sum()))), len(t.bigrams)), c, wanted, ranges)
+        out = _contexts(row["block"], 3, t.bigrams, over[add], c3[add], 10.0**lower, c, wanted, ranges)
         by_doc = lambda y, k: packed(np.add.reduceat(y, t.starts).astype(k))
         out.append(dict(block=row["block"], flags=row["flags"], n_tokens=packed(t.n.astype(np.int64)), n_known=by_doc((cw[t.word] > 0).astype(np.int64), np.int64), base=by_doc(x["l1"][t.word], float), sure=by_doc(sure, float), open=by_doc(wait.astype(np.int64), np.int64), code=packed(code)))
         cols = {k: pa.array([r.get(k) for r in out], x) for k, x in shape.items()}
@@ -385,8 +402,8 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
     woven = materialize(g.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(weave, f"{ddl(shape)}, doc_ids array<{kind}>"))
     discard(second)
     tidy(spark)
-    third = woven.where("level = 3").select("block", "deal", "keys", "seen", "p", "cu", "wanted").groupBy("deal")
-    weights3 = materialize(third.applyInArrow(_weigh, "block long, deal int, la binary, ls binary"))
+    third = woven.where("level = 3").select("block", "deal", "keys", "few", "many", "p", "cu", "wanted").groupBy("deal")
+    weights3 = materialize(third.applyInArrow(weigher(held3, 1.0, float), "block long, deal int, la binary, ls binary"))
     tidy(spark)
     texts = woven.where("level is null").select("block", "doc_ids", *TEXTS)
     return texts.groupBy("block").cogroup(weights3.groupBy("block")).applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
