@@ -42,7 +42,7 @@ from .words import LOWER, U, hashed, mix, texts_of
 
 LAST, CUT = 5, 1
 START, END = 1, 2  # context of a text's first word, and the token after its last
-BLOCK, BUCKET = 6 << 20, 8 << 20
+BLOCK, BUCKET = 5 << 20, 8 << 20
 TOLD = [f"s{r}" for r in range(1, LAST + 2)]
 
 
@@ -346,9 +346,12 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
         la, ls = (np.zeros(len(t.words)) for _ in range(2))
         for to, name in ((la, "la"), (ls, "ls")):
             to[x["wanted"]] = np.concatenate([np.empty(0), *(unpacked(r[name], float) for r in late)])
-        second = x["sure"][t.bigram] + np.where(x["wait"], np.where(x["seen"][t.bigram], ls[t.context], la[t.context]), 0.0)
-        at, keys, place = t.thirds(c)
         v = np.concatenate([np.empty(0, np.int64), *(unpacked(r["v"], np.int64) for r in sorted((r for r in told if r["level"] == 3), key=lambda r: r["deal"]))])
+        second = x["sure"][t.bigram]
+        late = np.flatnonzero(x["wait"])
+        second[late] += np.where(x["seen"][t.bigram[late]], ls[t.context[late]], la[t.context[late]])
+        del late, told
+        at, keys, place = t.thirds(c)
         c3, mine = v >> 1, (v & 1) > 0
         some = np.empty(len(keys), np.int64)  # a token of each trigram
         some[place] = np.arange(len(at))
@@ -358,10 +361,10 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
         share = np.where(c3 > LAST, c3, held3[np.minimum(c3, LAST)] * c3) / cu
         freed = np.zeros(len(t.bigrams), bool)
         freed[over[(c3 > 0) & (c3 <= LAST)]] = True
-        context = np.full(len(t.word), -1)
+        context = np.full(len(t.word), -1, np.int32)
         context[1:] = t.bigram[:-1]
         context[t.starts] = -1
-        third = np.full(len(t.word), -1)
+        third = np.full(len(t.word), -1, np.int32)
         third[at] = place
         is_kept = third >= 0
         is_kept[is_kept] = kept[third[is_kept]]
@@ -373,8 +376,9 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
         sure[is_kept] = np.log10(share[third[is_kept]])
         wanted = np.zeros(len(t.bigrams), bool)
         wanted[context[wait]] = True
-        number = np.cumsum(wanted) - 1
-        code = 2 * number[context[wait]] + is_kept[wait]
+        number = np.cumsum(wanted, dtype=np.int32) - 1
+        code = 2 * number[context[wait]].astype(np.int64) + is_kept[wait]
+        del number, third, back
         add = mine & kept
         lower = x["sure"][t.bigram[some[add]]] + np.where(x["wait"][some[add]], ls[t.context[some[add]]], 0.0)  # a kept trigram's bigram was seen
         out = _contexts(row["block"], 3, t.bigrams, over[add], c3[add], 10.0**lower, c, wanted, ranges)
