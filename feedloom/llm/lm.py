@@ -238,8 +238,11 @@ def weigher(held: np.ndarray, unit: float, whole: type):
         rows = sorted(group.to_pylist(), key=lambda r: r["block"])
         order, starts, which, ends = _merged([unpacked_keys(r["keys"]) for r in rows])
         column = lambda c, kind: np.concatenate([unpacked(r[c], kind) for r in rows])[order]
-        few = np.concatenate([unpacked(r["few"], np.int32).reshape(LAST, -1) for r in rows], 1)[:, order]
-        mass = held[1:] * np.arange(1, LAST + 1) @ np.add.reduceat(few, starts, axis=1) + np.add.reduceat(column("many", np.int64), starts)
+        mass = np.add.reduceat(column("many", np.int64), starts).astype(float)
+        few = [unpacked(r["few"], np.int32).reshape(LAST, -1) for r in rows]
+        for k in range(LAST):
+            mass += held[k + 1] * (k + 1) * np.add.reduceat(np.concatenate([f[k] for f in few])[order], starts, dtype=np.int64)
+        del few
         cu, p = np.maximum(column("cu", np.int64)[starts], 1), np.add.reduceat(column("p", whole), starts) * unit
         seen = mass / cu
         none = 1 - seen < 1e-9
@@ -282,7 +285,7 @@ TEXTS = ("flags", "n_tokens", "n_known", "base", "sure", "open", "code")
 def _contexts(block: int, level: int, keys: np.ndarray, where: np.ndarray, c: np.ndarray, p: np.ndarray, cu: np.ndarray, wanted: np.ndarray, ranges: int) -> list[dict]:
     """A block's share in the sums of contexts, from the n-grams it owns (their context, count and lower-order probability), and which of the contexts' weights it wants, by range."""
     size = len(keys)
-    few = np.stack([np.bincount(where[c == r], minlength=size) for r in range(1, LAST + 1)]).astype(np.int32)
+    few = [np.bincount(where[c == r], minlength=size).astype(np.int32) for r in range(1, LAST + 1)]
     many = np.bincount(where, weights=np.where(c > LAST, c, 0), minlength=size).astype(np.int64)
     mass = np.bincount(where, weights=p, minlength=size).astype(p.dtype)
     owned = np.zeros(size, bool)
@@ -291,7 +294,7 @@ def _contexts(block: int, level: int, keys: np.ndarray, where: np.ndarray, c: np
     out = []
     for r, s in dealt(keys[send], ranges):
         x = send[s]
-        out.append(dict(block=block, level=level, deal=r, keys=packed_keys(keys[x]), few=packed(few[:, x].ravel()), many=packed(many[x]), p=packed(mass[x]), cu=packed(cu[x]), wanted=packed(wanted[x].astype(np.uint8))))
+        out.append(dict(block=block, level=level, deal=r, keys=packed_keys(keys[x]), few=packed(np.concatenate([f[x] for f in few])), many=packed(many[x]), p=packed(mass[x]), cu=packed(cu[x]), wanted=packed(wanted[x].astype(np.uint8))))
     return out
 
 
