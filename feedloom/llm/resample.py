@@ -113,27 +113,36 @@ def collapse(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("n")).withColumn("key", key_of(F.col("text")))
 
 
-def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """bucket, n: features of all rows of ``texts`` (text, n), each text counted n times."""
+def bucket_counts(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Features of all rows of ``texts`` (text, n) by bucket, each text counted n times.
+
+    A task sends its sums as a square, a row for each ``side`` buckets in a row, so that the shuffle holds as many rows a task as the square root of ``buckets``, and the driver gets one square.
+    """
+    side = math.isqrt(buckets - 1) + 1
+    names = [f"c{j}" for j in range(side)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
+        total = np.zeros(side * side, np.int64)
         for b in batches:
             copies = b.column(1).to_numpy().astype(np.float64)
             for ids, text, _ in features(texts_of(b.column(0)), buckets):
-                total += np.bincount(ids, copies[text], buckets).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+                total += np.bincount(ids, copies[text], len(total)).astype(np.int64)
+        square = total.reshape(side, side)
+        at = np.flatnonzero(square.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(np.ascontiguousarray(square[at, j])) for j in range(side)]], ["line", *names])
 
-    return texts.select("text", "n").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    lines = texts.select("text", "n").mapInArrow(run, "line long, " + ", ".join(f"{n} long" for n in names))
+    out = np.zeros((side, side), np.int64)
+    for r in lines.groupBy("line").agg(*[F.sum(n).alias(n) for n in names]).collect():
+        out[r.line] = r[1:]
+    return out.reshape(-1)[:buckets]
 
 
-def gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> list[int]:
+def gains(source: np.ndarray, target: np.ndarray) -> list[int]:
     """A whole number of thousandths for each bucket: floor(1000 ln of the smoothed target share over the smoothed source share)."""
-    s, t = ({r.bucket: r.n for r in counts.collect()} for counts in (source, target))  # at most as many rows as buckets
-    all_s, all_t = sum(s.values()), sum(t.values())
-    ratio = lambda b: float((t.get(b, 0) + 1) * (all_s + buckets)) / float((s.get(b, 0) + 1) * (all_t + buckets))
-    return [math.floor(1000 * math.log(ratio(b))) for b in range(buckets)]
+    n, all_s, all_t = len(source), int(source.sum()), int(target.sum())
+    ratio = lambda s, t: float((t + 1) * (all_s + n)) / float((s + 1) * (all_t + n))
+    return [math.floor(1000 * math.log(ratio(s, t))) for s, t in zip(source.tolist(), target.tolist())]
 
 
 def weights(texts: DataFrame, gain: list[int]) -> DataFrame:
@@ -164,7 +173,7 @@ def weigh(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, carry: lis
     """doc_id (and ``carry``) with n_words, n_features, weight for every row of ``docs``."""
     session(docs.sparkSession)
     texts = materialize(collapse(docs), "zstd")
-    gain = gains(bucket_counts(texts, buckets), bucket_counts(collapse(target), buckets), buckets)
+    gain = gains(bucket_counts(texts, buckets), bucket_counts(collapse(target), buckets))
     known = materialize(weights(texts, gain))
     slim = docs.select(*(carry or ["doc_id"]), key_of(F.col("text")).alias("key"))
     total = known.agg(F.sum("n")).collect()[0][0] or 0
