@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, session, table
 
-LIMIT, BUCKET, CHUNK = 2048, 16_384, 4096
+LIMIT, BUCKET, CHUNK = 1024, 1024, 4096
 FAMILY, HEADS = 5, 9
 NOTHING = hashlib.sha256(b"").hexdigest()
 NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
@@ -217,11 +217,12 @@ def prefix_trie(ids: DataFrame, turns: DataFrame, limit: int = LIMIT, bucket: in
 
 
 def _root(found: DataFrame, nodes: DataFrame, least: int, n: int) -> DataFrame:
-    none = found.where("len = 0").agg(F.coalesce(F.max("ends"), F.lit(NOTHING)).alias("ends_sha256"))
-    under = nodes.where("depth = 1").agg(F.count("*").alias("n_children"), F.greatest(F.coalesce(F.sum("n_leaves"), F.lit(0)), F.lit(1)).cast("long").alias("n_leaves"), F.coalesce(F.sum("saved_tokens"), F.lit(0)).cast("long").alias("saved_tokens"))
+    no = F.lit(None).cast("long")
+    under = nodes.where("depth = 1").select("n_leaves", "saved_tokens", F.lit(None).cast("string").alias("ends"))
+    parts = under.unionByName(found.where("len = 0").select(no.alias("n_leaves"), no.alias("saved_tokens"), "ends"))
+    whole = parts.agg(F.count("n_leaves").alias("n_children"), F.greatest(F.coalesce(F.sum("n_leaves"), F.lit(0)), F.lit(1)).alias("n_leaves"), F.coalesce(F.sum("saved_tokens"), F.lit(0)).alias("saved_tokens"), F.coalesce(F.max("ends"), F.lit(NOTHING)).alias("ends_sha256"))
     as_long: dict[str, Column] = {"conv_id": F.lit(least), "depth": F.lit(0), "parent_conv_id": F.lit(None), "n_convs": F.lit(n)}
-    both = under.withColumn("k", F.lit(1)).join(none.withColumn("k", F.lit(1)), "k")  # one row each
-    return both.select(*[c.cast("long").alias(k) for k, c in as_long.items()], "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+    return whole.select(*[c.cast("long").alias(k) for k, c in as_long.items()], *[F.col(c).cast("long") for c in ("n_children", "n_leaves", "saved_tokens")], "ends_sha256")
 
 
 def op12_trie(spark, sf_dir: str) -> DataFrame:
