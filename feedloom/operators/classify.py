@@ -13,7 +13,7 @@ PROXIMITY = 60
 
 def companies(hay: Column, names: list[str] | None = None, most: int = 5) -> Column:
     """Names in a padded text, without those inside another hit."""
-    found = let(hay, lambda h: F.filter(F.array(*[F.lit(n) for n in names or L.COMPANIES]), lambda n: F.contains(h, F.concat(F.lit(" "), n, F.lit(" ")))))
+    found = let(hay, lambda h: F.filter(_likely(h, names or L.COMPANIES), lambda n: F.contains(h, F.concat(F.lit(" "), n, F.lit(" ")))))
     return let(found, lambda hits: F.slice(F.filter(hits, lambda n: ~F.exists(hits, lambda m: (m != n) & F.contains(m, n))), 1, most))
 
 
@@ -53,17 +53,28 @@ def seeks_participants(title: Column, summary: Column, tags: Column, pay: Column
     return F.coalesce(source == registry, F.lit(False)) | F.coalesce(word(_SEEKS) & word(_STUDY), F.lit(False))
 
 
+def _likely(hay: Column, terms: list[str]) -> Column:
+    """Those of ``terms``, in their order, whose first word is one of the padded text's: one pass over the words for all terms, so that few are left to look for."""
+    firsts = F.array(*[F.lit(w) for w in dict.fromkeys(x.split(" ")[0] for x in terms)])
+    each = F.array(*[F.struct(F.lit(x.split(" ")[0]).alias("first"), F.lit(x).alias("term")) for x in terms])
+    return let(F.array_intersect(firsts, F.split(hay, " ")), lambda seen: F.when(F.size(seen) > 0, F.transform(F.filter(each, lambda x: F.array_contains(seen, x["first"])), lambda x: x["term"])).otherwise(F.array().cast("array<string>")))
+
+
 def _found(hay: Column, terms: list[str]) -> Column:
     """(at, term) of the first place of each term that occurs, in order of place."""
-    arr = F.array(*[F.lit(x) for x in terms])
-    at = F.transform(arr, lambda x: F.struct(F.position(F.concat(F.lit(" "), x, F.lit(" ")), hay).alias("at"), x.alias("term")))
+    at = F.transform(_likely(hay, terms), lambda x: F.struct(F.position(F.concat(F.lit(" "), x, F.lit(" ")), hay).alias("at"), x.alias("term")))
     return F.array_sort(F.filter(at, lambda x: x["at"] > 0))
 
 
+def food_rank(tier: Column) -> Column:
+    """How good the evidence is, for choosing among several."""
+    return F.when(tier == "confirmed", 3).when(tier == "provided", 2).when(tier == "mentioned", 1).otherwise(0)
+
+
 def freebies(hay: Column, cost: Column | None = None) -> Column:
     """struct(tier, items, evidence, swag, chance) of a padded text.  Evidence is the text around the words that decided."""
     names = lambda h, xs: F.transform(_found(h, xs), lambda x: x["term"])
-    first = lambda h, xs: F.try_element_at(F.filter(F.transform(F.array(*[F.lit(x) for x in xs]), lambda x: F.position(F.concat(F.lit(" "), x, F.lit(" ")), h)), lambda p: p > 0), F.lit(1))
+    first = lambda h, xs: F.try_element_at(F.filter(F.transform(_likely(h, xs), lambda x: F.position(F.concat(F.lit(" "), x, F.lit(" ")), h)), lambda p: p > 0), F.lit(1))
 
     def judged(h: Column, v: Column) -> Column:
         foods, free, served = v["foods"], v["free"], v["served"]
@@ -85,30 +96,6 @@ def is_free(found: Column) -> Column:
     return found["tier"].isin("confirmed", "provided") | (F.size(found["swag"]) > 0)
 
 
-def food_tier(hay: Column, cost: Column | None = None, food: list[str] | None = None, free: list[str] | None = None, provided: list[str] | None = None) -> Column:
-    """none, mentioned, provided or confirmed, by how near a word for free or served stands to food.
-
-    Of each food the first place counts; of the free and served words, the first of the list that occurs.
-    """
-    arr = lambda xs: F.array(*[F.lit(x) for x in xs])
-    at = lambda x: F.position(F.concat(F.lit(" "), x, F.lit(" ")), hay)
-    foods = F.filter(F.transform(arr(food or L.FOOD), at), lambda p: p > 0)
-    first = lambda xs: F.try_element_at(F.filter(F.transform(arr(xs), at), lambda p: p > 0), F.lit(1))
-    near = lambda p: F.coalesce(F.exists(foods, lambda f: F.abs(f - p) <= PROXIMITY), F.lit(False))
-    out = F.when(F.size(foods) == 0, "none").when(near(first(free or L.FREE)), "confirmed").when(near(first(provided or L.PROVIDED)), "provided")
-    if cost is not None:
-        out = out.when(F.coalesce(F.lower(cost).contains("free"), F.lit(False)), "provided")
-    return out.otherwise("mentioned")
-
-
-def swag(hay: Column) -> Column:
-    return has_any(hay, L.SWAG)
-
-
-def chance(hay: Column) -> Column:
-    return has_any(hay, L.CHANCE)
-
-
 def evidence(text: Column, at: Column, before: int = 40, after: int = 70) -> Column:
     """The text from ``before`` signs ahead of a place (from 1) to ``after`` signs behind it."""
     begin = F.greatest(F.lit(1), at - before)

@@ -25,42 +25,61 @@ def trust(source: Column) -> Column:
 def normalize(raw: DataFrame, vertical: str, now: Column) -> DataFrame:
     """Items from raw rows (source, identity, title, summary or abstract, ...) that have a title and an identity; addresses of people leave the text.
 
-    Adds id, ord (stable for one input), vertical, summary, content_hash, first_seen, sources, title_words, confidence.
+    Adds id, member (tells rows apart; wholly equal rows count once), ord, vertical, summary, content_hash, first_seen, sources, source_refs (where rows bring an external_id), title_words, confidence.
+    ``ord``: a connector's own input order if rows bring one, otherwise the order of ``member``.
     """
     body = F.col("abstract") if "abstract" in raw.columns else F.col("summary")
     rows = raw.where("coalesce(title, '') <> '' and size(identity) > 0")
     key = F.array_min("identity")
+    plain = [c for c, t in rows.dtypes if not t.startswith("map")]
+    member = F.concat_ws("|", "source", key, F.sha2(F.to_json(F.struct(*plain)), 256))
+    rows = rows.withColumn("member", member).dropDuplicates(["member"])
     watched = [c for c in ("title", "starts_at", "ends_at", "location", "is_cancelled", "has_registration", "preprint_version", "published_doi") if c in raw.columns]
+    if "external_id" in raw.columns:
+        rows = rows.withColumn("source_refs", F.array(F.struct("source", "external_id")))
     return rows.withColumns({
-        "id": F.concat(F.lit(vertical + "-"), F.substring(F.sha2(key, 256), 1, 12)), "ord": F.xxhash64("source", key, "title"), "vertical": F.lit(vertical), "title": strip_emails(F.col("title")),
+        "id": F.concat(F.lit(vertical + "-"), F.substring(F.sha2(key, 256), 1, 12)), "ord": F.col("ord").cast("long") if "ord" in raw.columns else F.lit(0).cast("long"), "vertical": F.lit(vertical), "title": strip_emails(F.col("title")),
         "summary": clamp(strip_emails(F.coalesce(body, F.lit(""))), 400), "first_seen": now, "sources": F.array("source"), "title_words": canonical_title(F.col("title")), "confidence": trust(F.col("source")),
     }).withColumn("content_hash", F.sha2(F.to_json(F.struct(*[F.col(c) for c in watched], "summary")), 256))
 
 
-def _resolve(items: DataFrame, rank: Column, longest: list[str], most: list[str], any_: list[str], union: list[str], first: list[str]) -> DataFrame:
-    """One row for each cluster of the same thing."""
-    one = items.groupBy("id").agg(F.min_by(F.struct(*[c for c in items.columns if c not in ("id", "sources", "identity")]), "ord").alias("x"), F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources"), F.array_distinct(F.flatten(F.collect_list("identity"))).alias("identity"))
-    one = one.select("id", "x.*", "sources", "identity").withColumn("__rank", rank)
-    clusters = collapse.dedupe(one)
-    has = lambda xs: [c for c in xs if c in clusters.columns]
-    merged = collapse.merge_clusters(clusters, [F.desc("__rank"), F.asc("ord")], has(first), has(longest), ["first_seen"], has(most), has(any_), union)
-    out = merged.drop("cluster", "members")
+#: How the fields of members that turn out to be one thing are merged; a field that rows don't bring is left out.
+SHARED = {"sources": "union", "source_refs": "union", "identity": "sorted_union", "tags": "folded_union", "summary": "longest", "first_seen": "least", "last_seen": "most", "last_modified": "most", "occurred_at": "first", "ends_at": "first"}
+PAPERS = {
+    "doi": "first", "pmid": "first", "pmcid": "first", "arxiv_id": "first", "openalex_id": "first", "journal": "first", "authors": "longest", "abstract": "longest", "published_date": "first", "cited_by": "peak", "is_open_access": "any",
+    "open_access_url": "first", "topics": "longest", "preprint_version": "positive", "published_doi": "first", "published_in": "first", "is_superseded": "any", "references": "longest",
+}
+EVENTS = {
+    "starts_at": "first", "location": "first", "coordinates": "first", "organizer": "first", "online_url": "first", "is_cancelled": "any", "is_online": "any", "has_registration": "any", "audience": "longest", "event_types": "union",
+    "companies": "union", "food": lambda f: classify.food_rank(f["tier"]), "cost": "first", "compensation": "first", "compensation_usd": "first", "deadline_at": "first",
+}
+
+
+def resolve(items: DataFrame, rank: Column, policies: dict) -> DataFrame:
+    """One row for each cluster of the same thing, merged from all members; fields without a policy are the winner's.
+
+    Members go by ``rank``, the highest first, then by input order.  Rows of one id are tied like any others that share an identity key, so each keeps its part in the merge.
+    """
+    rows = items.withColumn("__rank", rank).withColumnsRenamed({"id": "item_id", "member": "id"})
+    clusters = collapse.dedupe(rows)
+    own = ["cluster", "id", "members", "__rank"]
+    every = {c: policies.get(c, "winner") for c in clusters.columns if c not in own}
+    merged = collapse.merge_members(clusters, F.struct((-F.col("__rank")).alias("r"), F.col("ord").alias("n"), F.col("id").alias("m")), every)
+    out = merged.drop(*own).withColumnRenamed("item_id", "id")
     return out.withColumn("source_confidence", collapse.merged_confidence(F.array_max(F.transform("sources", trust)), F.size("sources")))
 
 
 def research(raw: DataFrame, metadata: DataFrame | None, now: Column, **context) -> DataFrame:
-    """Papers that match the profile and clear its floor, with metadata by DOI.  ``context``: as in ``score.score_research``."""
+    """Papers that match the profile and clear its floor, with metadata by DOI, the most relevant first.  ``context``: as in ``score.score_research``."""
     from ..sources.feeds import enrich
 
     items = normalize(raw, "research", now).withColumn("occurred_at", F.col("published_date"))
     rank = collapse.canonical_rank(F.col("confidence"), F.coalesce("abstract", F.lit("")), F.size(F.coalesce("authors", F.array().cast(items.schema["authors"].dataType))), F.lit(None), F.lit(None))
-    fields = ["title", "vertical", "summary", "content_hash", "ord", "doi", "pmid", "pmcid", "arxiv_id", "openalex_id", "journal", "authors", "published_date", "occurred_at", "open_access_url", "references", "published_doi", "published_in", "kind", "url", "topics"]
-    items = items.withColumn("organizer", F.lit(None).cast("string"))
-    one = _resolve(items, rank, ["abstract"], ["cited_by", "preprint_version"], ["is_open_access", "is_superseded"], ["tags", "sources", "identity"], fields)
+    one = resolve(items.withColumn("organizer", F.lit(None).cast("string")), rank, SHARED | PAPERS)
     linked = collapse.link_preprints(one)
     scored = score.score_research(linked, now, **context)
     kept = scored.where(score.passes_floor(F.col("relevance"), F.col("band"), F.col("reasons")))
-    return enrich(kept, metadata) if metadata is not None else kept
+    return (enrich(kept, metadata) if metadata is not None else kept).orderBy(*score.by_relevance(F.col("vertical"), F.col("relevance"), F.col("occurred_at"), F.col("id")))
 
 
 def facets(events: DataFrame, hay: str) -> DataFrame:
@@ -75,7 +94,7 @@ def facets(events: DataFrame, hay: str) -> DataFrame:
 
 
 def campus(raw: DataFrame, now: Column, registry: str, directory: str, complete: str, festival: dict | None = None, **context) -> DataFrame:
-    """Events still ahead that clear the floor, or are cancelled, or come from a schedule that is shown whole.
+    """Events still ahead that clear the floor, or are cancelled, or come from a schedule that is shown whole, the most relevant first.
 
     ``registry``: the source of study listings, which are another vertical's; ``directory``: the clubs' own source; ``complete``: the source shown whole; ``festival``: arguments of
     ``collapse.collapse_co_marketed``.  raw: source, identity, title, summary, organizer, starts_at, ends_at, deadline_at, location, cost, tags, event_types, is_cancelled, is_online, has_registration.
@@ -87,8 +106,7 @@ def campus(raw: DataFrame, now: Column, registry: str, directory: str, complete:
     named = facets(mine.withColumn("__hay", hay), "__hay").drop("__hay")
     items = normalize(named, "campus", now).withColumn("occurred_at", F.col("starts_at"))
     rank = collapse.canonical_rank(F.col("confidence"), F.lit(""), F.lit(0), F.col("location"), F.col("starts_at"))
-    fields = ["title", "vertical", "content_hash", "ord", "title_words", "starts_at", "ends_at", "occurred_at", "deadline_at", "location", "organizer", "cost", "category", "food"]
-    one = _resolve(items, rank, ["summary"], [], ["is_cancelled", "is_online", "has_registration"], ["tags", "sources", "identity", "event_types", "companies"], fields)
+    one = resolve(items, rank, SHARED | EVENTS)
     if festival:
         one = collapse.collapse_co_marketed(one, **festival).drop("members")
     keys = ["title_words", "organizer", "location"]
@@ -99,7 +117,8 @@ def campus(raw: DataFrame, now: Column, registry: str, directory: str, complete:
     folded = folded.withColumn("ends_at", F.when(F.col("series_count") > 1, F.col("__ends")).otherwise(F.col("ends_at"))).drop("__ends")
     rest = one.where("starts_at is null or size(title_words) = 0").withColumn("series_count", F.lit(1).cast("long"))
     scored = score.score_campus(folded.unionByName(rest), now, **context)
-    return scored.where(still_ahead(F.col("starts_at"), F.col("ends_at"), now) & above_floor(F.col("relevance"), F.col("is_cancelled"), F.col("sources"), complete))
+    kept = scored.where(still_ahead(F.col("starts_at"), F.col("ends_at"), now) & above_floor(F.col("relevance"), F.col("is_cancelled"), F.col("sources"), complete))
+    return kept.orderBy(*score.by_relevance(F.col("vertical"), F.col("relevance"), F.coalesce("starts_at", "occurred_at"), F.col("id")))
 
 
 def still_ahead(starts: Column, ends: Column, now: Column, hours: int = KEEP_FINISHED_HOURS) -> Column:
@@ -116,3 +135,11 @@ def above_floor(relevance: Column, cancelled: Column, sources: Column, complete:
 def study_list(raw: DataFrame, now: Column, terms: Column | None = None) -> DataFrame:
     """Study listings, normalised, with duplicates named: ``duplicate_of`` is null for those to show."""
     return studies.dedupe_studies(studies.normalize(raw, now, terms).withColumn("title", F.col("plain_title")))
+
+
+def study_run(raw: DataFrame, now: Column, terms: Column | None = None, **readers) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(listings as ``study_list`` gives them, quarantine, warnings: one line for each reason with its number of listings)."""
+    rows, bad = studies.normalize_all(raw, now, terms, **readers)
+    lines = bad.groupBy("error").agg(F.count("*").alias("n")).select(F.concat(F.col("n").cast("string"), F.lit(" listing(s) could not be read: "), "error").alias("warning"))
+    lines = lines.unionByName(rows.where("degraded is not null").groupBy("degraded").agg(F.count("*").alias("n")).select(F.concat(F.col("n").cast("string"), F.lit(" listing(s) kept with criteria by age alone: "), "degraded").alias("warning")))
+    return studies.dedupe_studies(rows.withColumn("title", F.col("plain_title"))), bad, lines

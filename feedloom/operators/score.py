@@ -133,8 +133,8 @@ def _with_score(df: DataFrame, hay: Column, rules: list[dict], more, banded: boo
         found = tidied(F.concat(_profile_reasons(m), more(m)))
         return F.struct(found.alias("reasons"), *([band(m).alias("band")] if banded else []))
 
-    rows = df.withColumn("__scored", let(matches(hay, rules), body))
-    rows = rows.withColumns({"reasons": F.col("__scored.reasons"), **({"band": F.col("__scored.band")} if banded else {})}).drop("__scored")
+    # a generator: filters on the score stay above it, so texts are matched once however often the score is read
+    rows = df.select("*", F.inline(F.array(let(matches(hay, rules), body))))
     return rows.withColumn("relevance", finalize(F.col("reasons")))
 
 
@@ -222,7 +222,9 @@ def by_relevance(vertical: Column, relevance: Column, when: Column, id_: Column)
 
 
 def for_you(df: DataFrame, least: int = FOR_YOU, top: int = 15) -> DataFrame:
-    return df.where(F.col("relevance") >= least).orderBy(F.desc("relevance"), "id").limit(top)
+    """The ``top`` rows that reach ``least``, in the order of ``by_relevance``.  df: id, vertical, relevance, occurred_at and, for events, starts_at."""
+    when = F.coalesce("starts_at", "occurred_at") if "starts_at" in df.columns else F.col("occurred_at")
+    return df.where(F.col("relevance") >= least).orderBy(*by_relevance(F.col("vertical"), F.col("relevance"), when, F.col("id"))).limit(top)
 
 
 def headline(why: Column, summary: Column) -> Column:

@@ -8,11 +8,26 @@ from pyspark.sql import functions as F
 from ..functions.dates import week_of
 
 
+def last_of(rows: DataFrame, key: str = "id") -> DataFrame:
+    """One row for each id: of a repeated one the last by ``ord``, or by content where rows have no order; so a table with repeats counts each thing once."""
+    x = F.struct(*rows.columns)
+    plain = F.to_json(x)
+    place = F.struct("ord", plain) if "ord" in rows.columns else plain
+    return rows.groupBy(F.col(key).alias("__id")).agg(F.max_by(x, place).alias("x")).select("x.*")
+
+
+def by_id(key: str = "id") -> list[Column]:
+    """Order of ids: whole numbers by value, before all others by code point."""
+    number = F.when(F.col(key).cast("string").rlike(r"^\d+$"), F.col(key).cast("decimal(38,0)"))
+    return [number.asc_nulls_last(), F.col(key).cast("string")]
+
+
 def diff(before: DataFrame, after: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
-    """One row for each id of either side: kind (added, removed, changed, unchanged) and the fields that changed.  Blank equals null."""
+    """One row for each id of either side: kind (added, removed, changed, unchanged) and the fields that changed.  Blank equals null; of an id that a side repeats, the last row counts (``last_of``)."""
     blank = lambda c: F.nullif(F.trim(c.cast("string")), F.lit(""))
-    b = before.select(F.col(key), F.lit(True).alias("was"), *[F.col(f).alias(f"b_{f}") for f in fields])
-    a = after.select(F.col(key), F.lit(True).alias("now"), *[F.col(f).alias(f"a_{f}") for f in fields])
+    one = lambda rows: last_of(rows.select(*dict.fromkeys([key, *fields, *(["ord"] if "ord" in rows.columns else [])])), key)
+    b = one(before).select(F.col(key), F.lit(True).alias("was"), *[F.col(f).alias(f"b_{f}") for f in fields])
+    a = one(after).select(F.col(key), F.lit(True).alias("now"), *[F.col(f).alias(f"a_{f}") for f in fields])
     changed = F.array_compact(F.array(*[F.when(~blank(F.col(f"b_{f}")).eqNullSafe(blank(F.col(f"a_{f}"))), F.lit(f)) for f in fields]))
     joined = b.join(a, key, "full_outer").withColumn("fields", F.when(F.col("was") & F.col("now"), changed).otherwise(F.array().cast("array<string>")))
     kind = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.size("fields") > 0, "changed").otherwise("unchanged")
@@ -91,13 +106,56 @@ def retain(previous: DataFrame, current: DataFrame, impaired: DataFrame, key: st
 
 def weekly_digest(items: DataFrame, week: Column, top: int = 6) -> DataFrame:
     """Items first seen in a week, not cancelled, the most relevant few by week and vertical."""
-    w = Window.partitionBy("week_of", "vertical").orderBy(F.desc("relevance"), "id")
+    from .score import by_relevance
+
+    when = F.coalesce("starts_at", "occurred_at") if "starts_at" in items.columns else F.col("occurred_at") if "occurred_at" in items.columns else F.lit(None).cast("timestamp")
+    w = Window.partitionBy("week_of", "vertical").orderBy(*by_relevance(F.col("vertical"), F.col("relevance"), when, F.col("id")))
     rows = items.where(~F.coalesce(F.col("is_cancelled"), F.lit(False))).withColumn("week_of", week_of(week))
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
 
 
+ENTRY = ["place", "id", "headline", "minutes"]
+
+
+def build_digests(items: DataFrame, week: Column, changes: DataFrame, top: int = 6) -> DataFrame:
+    """One row for each week and vertical: scanned, candidates, entries array<struct<place, id, headline, minutes>>, minutes, changes array<struct<item_id, kind>>.
+
+    items: id, vertical, relevance, is_cancelled, reasons, summary, text (what there is to read), is_candidate (whether it cleared the floor); changes: week_of, vertical, item_id, kind.  Scanned and
+    candidates count all items of the week; entries are the few that ``weekly_digest`` chooses among the candidates, with minutes to read for research and none for events.
+    """
+    from . import score
+
+    rows = items.withColumn("week_of", week_of(week))
+    counts = rows.groupBy("week_of", "vertical").agg(F.count("*").alias("scanned"), F.count_if("is_candidate").alias("candidates"))
+    best = weekly_digest(items.where("is_candidate"), week, top)
+    minutes = F.when(F.col("vertical") == "research", score.reading_minutes(F.col("text"))).otherwise(0)
+    told = best.select("week_of", "vertical", F.struct(F.col("place").cast("int").alias("place"), F.col("id").cast("string").alias("id"), score.headline(F.col("reasons"), F.col("summary")).alias("headline"), minutes.alias("minutes")).alias("e"))
+    entries = told.groupBy("week_of", "vertical").agg(F.array_sort(F.collect_list("e")).alias("entries"))
+    happened = changes.groupBy("week_of", "vertical").agg(F.array_sort(F.collect_list(F.struct("item_id", "kind"))).alias("changes"))
+    out = counts.join(entries, ["week_of", "vertical"], "left").join(happened, ["week_of", "vertical"], "left")
+    none = lambda c, t: F.coalesce(c, F.array().cast(t))
+    out = out.withColumns({"entries": none("entries", "array<struct<place:int,id:string,headline:string,minutes:int>>"), "changes": none("changes", "array<struct<item_id:string,kind:string>>")})
+    return out.withColumn("minutes", _minutes(F.col("entries")))
+
+
+def _minutes(entries: Column) -> Column:
+    return F.aggregate(entries, F.lit(0), lambda s, e: s + F.coalesce(e["minutes"], F.lit(0)))
+
+
+def without_items(digests: DataFrame, gone: DataFrame) -> DataFrame:
+    """``digests`` with the entries and changes of ``gone`` (id) taken out: the others keep their order and headlines, and the minutes are what is left."""
+    lost = gone.select(F.col("id").cast("string").alias("id"), F.lit(True).alias("lost")).distinct()
+    keys = ["week_of", "vertical"]
+    named = digests.select(*keys, F.explode(F.array_distinct(F.concat(F.transform("entries", lambda e: e["id"]), F.transform("changes", lambda c: c["item_id"])))).alias("id"))
+    hit = named.join(lost, "id").groupBy(*keys).agg(F.collect_list("id").alias("__lost"))  # at most a digest's own entries and changes
+    rows = digests.join(hit, keys, "left").withColumn("__lost", F.coalesce("__lost", F.array().cast("array<string>")))
+    stays = lambda i: ~F.array_contains(F.col("__lost"), i)
+    rows = rows.withColumns({"entries": F.filter("entries", lambda e: stays(e["id"])), "changes": F.filter("changes", lambda c: stays(c["item_id"]))})
+    return rows.withColumn("minutes", _minutes(F.col("entries"))).drop("__lost")
+
+
 def merge_digests(old: DataFrame, new: DataFrame, keep: int = 104) -> DataFrame:
-    """Upsert by (vertical, week_of): the new one wins; the latest ``keep`` of each vertical stay."""
+    """Upsert by (vertical, week_of): the new one wins; the latest ``keep`` stay, of all verticals together."""
     both = old.withColumn("version", F.lit(0)).unionByName(new.withColumn("version", F.lit(1)))
     last = both.withColumn("rn", F.row_number().over(Window.partitionBy("vertical", "week_of").orderBy(F.desc("version")))).where("rn = 1").drop("rn", "version")
-    return last.withColumn("rn", F.row_number().over(Window.partitionBy("vertical").orderBy(F.desc("week_of")))).where(F.col("rn") <= keep).drop("rn")
+    return last.orderBy(F.desc("week_of"), "vertical").limit(keep)

@@ -9,11 +9,50 @@ LIMIT, STEP = 20, 2
 LISTS = ["saved", "attending", "dismissed", "tracked"]
 
 
+#: Events of one key that are folded in one row.  A key with more is folded in pieces, which are then put together.
+CHUNK = 4096
+
+
+def _pieces(events: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
+    """keys, __piece (in order), __first (whether it is the key's first) and __events (at most CHUNK structs with ``v``, in order).
+
+    Rows are dealt by range of key and order, so that a key of any size spreads over many tasks, and cut every CHUNK rows.
+    """
+    from ..storage import materialize
+
+    by = [*keys, *order]
+    rows = events.select(*by, value.alias("__v")).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    cut = materialize(rows.select(*keys, "__v", "__at")).withColumn("__piece", F.floor(F.col("__at") / CHUNK))
+    pieces = cut.groupBy(*keys, "__piece").agg(F.array_sort(F.collect_list(F.struct(F.col("__at").alias("at"), F.col("__v").alias("v")))).alias("__events"))
+    return pieces.withColumn("__first", F.col("__piece") == F.min("__piece").over(Window.partitionBy(*keys)))
+
+
+def _in_order(pieces: DataFrame, keys: list[str], what: Column) -> DataFrame:
+    return pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__piece", what.alias("x")))).alias("__all"))
+
+
 def bias_fold(events: DataFrame, user: str, signal: str, delta: str, order: list[str]) -> DataFrame:
-    """Per user and signal the sum of feedback, held within LIMIT after every step (so order counts)."""
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(delta).cast("int").alias("__d"))))
-    step = lambda s, e: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), s + e["__d"]))
-    return events.groupBy(user, signal).agg(F.aggregate(ordered, F.lit(0), step).alias("bias"))
+    """Per user and signal the sum of feedback, held within LIMIT after every step (so order counts).
+
+    A step held within bounds is x -> min(hi, max(lo, x + a)), and one such step after another is a step of the same form: so a piece of the events is three numbers, whatever came before it.
+    """
+    held = lambda x, lo, hi: F.greatest(lo, F.least(hi, x))
+    low, high = F.lit(-LIMIT), F.lit(LIMIT)
+    step = lambda s, e: F.struct((s["a"] + e["v"]).alias("a"), held(s["lo"] + e["v"], low, high).alias("lo"), held(s["hi"] + e["v"], low, high).alias("hi"))
+    # the first step's own bounds hold whatever it is given, so it begins from them
+    start = F.struct(F.lit(0).alias("a"), low.alias("lo"), high.alias("hi"))
+    pieces = _pieces(events, [user, signal], order, F.col(delta).cast("int"))
+    whole = _in_order(pieces, [user, signal], F.aggregate("__events", start, step))
+    return whole.select(user, signal, F.aggregate("__all", F.lit(0), lambda x, p: held(x + p["x"]["a"], p["x"]["lo"], p["x"]["hi"])).alias("bias"))
+
+
+def _fold(events: DataFrame, keys: list[str], order: list[str], kind: str, states: int, step) -> DataFrame:
+    """keys and ``s``, the number of the state that ``step(state, kind)`` leads to from state 0.  A later piece is folded from each of the ``states`` states, as it isn't known which one it starts from."""
+    pieces = _pieces(events, keys, order, F.col(kind))
+    run = lambda s0: F.aggregate("__events", s0.cast("int"), lambda s, e: step(s, e["v"]).cast("int"))
+    led = F.when(F.col("__first"), F.array(run(F.lit(0)))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(states - 1)), run))
+    whole = _in_order(pieces, keys, led)
+    return whole.select(*keys, F.aggregate("__all", F.lit(0), lambda s, p: F.get(p["x"], s)).alias("s"))
 
 
 def marks(events: DataFrame, user: str, item: str, kind: str, order: list[str]) -> DataFrame:
@@ -22,34 +61,31 @@ def marks(events: DataFrame, user: str, item: str, kind: str, order: list[str])
     Kinds: save, attend, dismiss and track toggle their mark; saving always takes a dismissal back, attending does when it is set, dismissing takes saved
     and attending away when it is set.  more and less are feedback; less also dismisses.
     """
-    start = F.struct(*[F.lit(False).alias(m) for m in LISTS], F.lit(None).cast("string").alias("feedback"))
+    bit = lambda s, n: F.getbit(s, F.lit(n)) == 1
 
-    def step(s, e):
-        k = e["__k"]
+    def step(s, k):
         is_ = lambda x: F.coalesce(k == x, F.lit(False))
+        was_saved, was_going, was_gone, was_tracked = (bit(s, n) for n in range(4))
         less = is_("less")
-        gone = (is_("dismiss") & ~s["dismissed"]) | less
-        going = is_("attend") & ~s["attending"]
-        saved = F.when(is_("save"), ~s["saved"]).when(gone, F.lit(False)).otherwise(s["saved"])
-        attending = F.when(is_("attend"), ~s["attending"]).when(gone, F.lit(False)).otherwise(s["attending"])
-        dismissed = F.when(is_("dismiss"), ~s["dismissed"]).when(less, F.lit(True)).when(is_("save") | going, F.lit(False)).otherwise(s["dismissed"])
-        tracked = F.when(is_("track"), ~s["tracked"]).otherwise(s["tracked"])
-        return F.struct(saved.alias("saved"), attending.alias("attending"), dismissed.alias("dismissed"), tracked.alias("tracked"), F.when(less | is_("more"), k).otherwise(s["feedback"]).alias("feedback"))
+        gone = (is_("dismiss") & ~was_gone) | less
+        going = is_("attend") & ~was_going
+        saved = F.when(is_("save"), ~was_saved).when(gone, F.lit(False)).otherwise(was_saved)
+        attending = F.when(is_("attend"), ~was_going).when(gone, F.lit(False)).otherwise(was_going)
+        dismissed = F.when(is_("dismiss"), ~was_gone).when(less, F.lit(True)).when(is_("save") | going, F.lit(False)).otherwise(was_gone)
+        tracked = F.when(is_("track"), ~was_tracked).otherwise(was_tracked)
+        told = F.when(is_("more"), 1).when(less, 2).otherwise(F.shiftright(s, 4))
+        return sum((F.when(c, 1 << n).otherwise(0) for n, c in enumerate((saved, attending, dismissed, tracked))), told * 16)
 
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(kind).alias("__k"))))
-    return events.groupBy(user, item).agg(F.aggregate(ordered, start, step).alias("s")).select(user, item, "s.*")
+    found = _fold(events, [user, item], order, kind, 48, step)
+    told = F.shiftright("s", 4)
+    return found.select(user, item, *[bit(F.col("s"), n).alias(m) for n, m in enumerate(LISTS)], F.when(told == 1, "more").when(told == 2, "less").alias("feedback"))
 
 
 def toggles(events: DataFrame, user: str, item: str, kind: str, order: list[str]) -> DataFrame:
     """saved and dismissed alone, as studies have them: each toggles and takes the other away."""
-    start = F.struct(F.lit(False).alias("saved"), F.lit(False).alias("dismissed"))
-
-    def step(s, e):
-        save, drop = e["__k"] == "save", e["__k"] == "dismiss"
-        return F.struct(F.when(save, ~s["saved"]).when(drop, F.lit(False)).otherwise(s["saved"]).alias("saved"), F.when(drop, ~s["dismissed"]).when(save, F.lit(False)).otherwise(s["dismissed"]).alias("dismissed"))
-
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(kind).alias("__k"))))
-    return events.groupBy(user, item).agg(F.aggregate(ordered, start, step).alias("s")).select(user, item, "s.saved", "s.dismissed")
+    step = lambda s, k: F.when(k == "save", F.when(s == 1, 0).otherwise(1)).when(k == "dismiss", F.when(s == 2, 0).otherwise(2)).otherwise(s)
+    found = _fold(events, [user, item], order, kind, 3, step)
+    return found.select(user, item, (F.col("s") == 1).alias("saved"), (F.col("s") == 2).alias("dismissed"))
 
 
 def feedback_deltas(events: DataFrame, signals: str, kind: str) -> DataFrame:

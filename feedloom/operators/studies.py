@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import pay, timing
+from . import eligible, pay, timing
 from .eligible import check_eligibility, eligibility, parse_eligibility  # noqa: F401
 from .pay import compensation, parse_compensation  # noqa: F401
 from .timing import duration, duration_with_pay, parse_duration  # noqa: F401
@@ -50,22 +50,25 @@ def reconcile_rate(df: DataFrame) -> DataFrame:
     differ, the one that pays less an hour is taken.  No rate is ever invented: null stays null."""
     c, none = F.col, F.lit(None).cast("double")
     positive = lambda x: F.when(usable(x) > 0, x)
-    hourly = F.coalesce(positive(c("hourly_max")), positive(c("hourly_min")))
-    pay_, hours = F.coalesce(usable(c("guaranteed_max")), usable(c("guaranteed_min"))), exact_hours(F.coalesce(positive(c("hours_max")), positive(c("hours_min"))))
-    a, b = (F.when(c(x).between(1, 60), c(x)) for x in ("visit_count", "session_count"))
-    by_visit = F.coalesce((usable(c("per_visit")) > 0) & usable(c("guaranteed_max")).isNull() & (c("guaranteed_min") >= c("per_visit")) & (c("guaranteed_min") < 2 * c("per_visit")), F.lit(False))
-    by_session = F.coalesce(c("hours_per_session"), F.lit(False))
-    n = F.when(by_session & ~by_visit, F.greatest(a, b)).when(by_visit, F.least(a, b))
-    scaled = _cents(c("per_visit") * n + F.greatest(F.lit(0.0), _cents(pay_ - c("per_visit"))))
-    ready = hourly.isNull() & ~F.coalesce(c("raffle_only"), F.lit(False)) & pay_.isNotNull()
-    timed = ready & hours.isNotNull()
+    # bound as columns by a generator, since a plain projection would be repeated in every branch that reads it
+    bound = lambda rows, **named: rows.select("*", F.inline(F.array(F.struct(*[x.alias(f"__{k}") for k, x in named.items()]))))
+    rows = bound(
+        df, hourly=F.coalesce(positive(c("hourly_max")), positive(c("hourly_min"))), pay=F.coalesce(usable(c("guaranteed_max")), usable(c("guaranteed_min"))),
+        hours=exact_hours(F.coalesce(positive(c("hours_max")), positive(c("hours_min")))), a=F.when(c("visit_count").between(1, 60), c("visit_count")), b=F.when(c("session_count").between(1, 60), c("session_count")),
+        by_visit=F.coalesce((usable(c("per_visit")) > 0) & usable(c("guaranteed_max")).isNull() & (c("guaranteed_min") >= c("per_visit")) & (c("guaranteed_min") < 2 * c("per_visit")), F.lit(False)), by_session=F.coalesce(c("hours_per_session"), F.lit(False)),
+    )
+    hourly, pay_, hours, a, b, by_visit, by_session = (c(f"__{k}") for k in ("hourly", "pay", "hours", "a", "b", "by_visit", "by_session"))
+    rows = bound(rows, n=F.when(by_session & ~by_visit, F.greatest(a, b)).when(by_visit, F.least(a, b)), extra=F.greatest(F.lit(0.0), _cents(pay_ - c("per_visit"))), ready=hourly.isNull() & ~F.coalesce(c("raffle_only"), F.lit(False)) & pay_.isNotNull())
+    n, ready = c("__n"), c("__ready")
+    scaled, timed = _cents(c("per_visit") * n + c("__extra")), ready & hours.isNotNull()
     both, one = by_visit & by_session, by_visit != by_session
     raw = F.when(hourly.isNotNull(), hourly).when(~timed, none).when(one & n.isNull(), none).when(both & n.isNull(), c("per_visit") / hours).when(both, scaled / (hours * n))
     raw = raw.when(by_visit, scaled / hours).when(by_session, pay_ / (hours * n)).otherwise(pay_ / hours)
     basis = F.when(hourly.isNotNull(), "stated-hourly").when(~timed, "unknown").when(one & n.isNull(), "unreconciled").when(both, "single-visit")
     basis = basis.when(by_visit, "per-visit-pay-scaled").when(by_session, "per-session-hours-scaled").otherwise("whole-study")
     total = F.when(~ready | (timed & by_visit & n.isNull()), none).when(timed & by_visit, scaled).otherwise(pay_)
-    return df.withColumns({"rate": _cents(raw), "basis": basis, "visits": F.when(timed, n).cast("int"), "total": total, "disputed": F.coalesce(timed & n.isNotNull() & (a != b), F.lit(False))})
+    rows = rows.withColumns({"rate": _cents(raw), "basis": basis, "visits": F.when(timed, n).cast("int"), "total": total, "disputed": F.coalesce(timed & n.isNotNull() & (a != b), F.lit(False))})
+    return rows.drop(*[x for x in rows.columns if x.startswith("__") and x not in df.columns])
 
 
 def rate_bucket(rate: Column) -> Column:
@@ -174,19 +177,74 @@ def term_names(ids: Column, terms: Column) -> Column:
     return F.array_compact(F.transform(ids, lambda i: F.try_element_at(terms, i)))
 
 
-READ = T.StructType([T.StructField("pay", pay.SCHEMA), T.StructField("time", timing.SCHEMA)])
+def read_listing(field: str | None, time: str | None, body: str | None) -> tuple[dict, dict]:
+    """Pay and time of one listing: a silent pay field falls back to the body, and the two confirm each other's number of visits."""
+    alone = duration(time)
+    found = pay.with_fallbacks(compensation(field), time, any(alone[k] is not None for k in timing.FIELDS if k != "confidence"), body)
+    return found, duration_with_pay(time, found)
+
+
+READ = T.StructType([T.StructField("pay", pay.SCHEMA), T.StructField("time", timing.SCHEMA), T.StructField("error", T.StringType())])
+CRITERIA = T.StructType([T.StructField("criteria", eligible.SCHEMA), T.StructField("error", T.StringType())])
+
+
+def _said(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"[:500]
+
+
+def reader(read=read_listing):
+    """A column function of (compensation, duration, body) that gives pay and time, or else ``error``: a listing that ``read`` stumbles over spoils no other."""
+
+    @F.pandas_udf(READ)
+    def run(field: pd.Series, time: pd.Series, body: pd.Series) -> pd.DataFrame:
+        rows, errors = [], []
+        for r in zip(field, time, body):
+            try:
+                rows.append(read(*r))
+                errors.append(None)
+            except Exception as e:  # whatever it is, it belongs to this row
+                rows.append(({}, {}))
+                errors.append(_said(e))
+        plain = lambda df: df.astype(object).where(lambda x: x.notna(), None).to_dict("records")
+        return pd.DataFrame({"pay": plain(pay.frame([p for p, _ in rows])), "time": plain(timing.frame([t for _, t in rows])), "error": pd.Series(errors, dtype=object)})
+
+    return run
+
+
+def criteria_reader(read=eligibility):
+    """A column function of (title, excerpt, body, minimum and maximum age) that gives a listing's criteria, or else ``error``."""
+
+    @F.pandas_udf(CRITERIA)
+    def run(title: pd.Series, excerpt: pd.Series, body: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
+        rows, errors = [], []
+        for r in zip(title, excerpt, body, low, high):
+            try:
+                rows.append(read(*r))
+                errors.append(None)
+            except Exception as e:
+                rows.append(None)
+                errors.append(_said(e))
+        return pd.DataFrame({"criteria": rows, "error": pd.Series(errors, dtype=object)})
+
+    return run
+
 
+# Fixed value: the maximum age from which on a field means that there is none.
+NO_MAX_AGE = 100
 
-@F.pandas_udf(READ)
-def read_pay_and_time(field: pd.Series, time: pd.Series, body: pd.Series) -> pd.DataFrame:
-    """Pay and time of a listing: a silent pay field falls back to the body, and the two confirm each other's number of visits."""
-    pays, times = [], []
-    for f, t, b in zip(field, time, body):
-        alone = duration(t)
-        found = pay.with_fallbacks(compensation(f), t, any(alone[k] is not None for k in timing.FIELDS if k != "confidence"), b)
-        pays.append(found)
-        times.append(duration_with_pay(t, found))
-    return pd.DataFrame({"pay": pay.frame(pays).astype(object).where(lambda x: x.notna(), None).to_dict("records"), "time": timing.frame(times).astype(object).where(lambda x: x.notna(), None).to_dict("records")})
+
+def criteria_by_age(low: Column, high: Column) -> Column:
+    """Criteria where a text can't be read: the age fields alone."""
+    whole = lambda x: F.nullif(F.regexp_extract(F.coalesce(x.cast("string"), F.lit("")), r"-?\d+", 0), F.lit("")).try_cast("int")
+    values = {"min_age": F.coalesce(whole(low), F.lit(0)), "max_age": F.when(whole(high) < NO_MAX_AGE, whole(high)), "flags": F.array().cast("array<string>")}
+    parts = [values.get(f.name, F.lit(False) if isinstance(f.dataType, T.BooleanType) else F.lit(None)).cast(f.dataType).alias(f.name) for f in eligible.SCHEMA]
+    return F.struct(*parts)
+
+
+def age_by_edit(modified: Column, posted: Column, now: Column) -> Column:
+    """Staleness by the last edit alone, where the approval date says nothing: fresh within 90 days, aging within 270."""
+    days = (F.unix_seconds(now) - F.unix_seconds(F.coalesce(modified, posted))) / 86_400
+    return F.when(days <= 90, "fresh").when(days <= 270, "aging").otherwise("stale")
 
 
 def irb_key(number: Column) -> Column:
@@ -224,21 +282,39 @@ def dedupe_studies(rows: DataFrame) -> DataFrame:
     return joined.select(*names).unionByName(alone.select(*names))
 
 
-def normalize(raw: DataFrame, now: Column, terms: Column | None = None) -> DataFrame:
-    """Study rows from raw listings (id, title, excerpt, body, compensation, duration, expires, approved, posted, modified, irb_number, min_age, max_age, term_ids array<long>) with text, summary,
-    pay, time, eligibility, rate and its basis, bucket, tags and staleness.  ``terms``: a map of taxonomy ids to names."""
+def _normalized(raw: DataFrame, now: Column, terms: Column | None, read, criteria) -> DataFrame:
     from ..functions.dates import staleness, study_instant
     from ..functions.text import study_text, truncate
 
     c = F.col
     rows = raw.withColumns({"plain_title": study_text(c("title")), "plain_excerpt": study_text(c("excerpt")), "text": study_text(c("body"))})
-    rows = rows.withColumns({"__read": read_pay_and_time("compensation", "duration", "body"), "eligibility": parse_eligibility("title", "excerpt", "body", c("min_age").cast("string"), c("max_age").cast("string"))})
-    rows = rows.withColumns({"pay": c("__read.pay"), "time": c("__read.time")}).drop("__read")
+    low, high = c("min_age").cast("string"), c("max_age").cast("string")
+    rows = rows.withColumns({"__read": reader(read)("compensation", "duration", "body"), "__criteria": criteria_reader(criteria)("title", "excerpt", "body", low, high)})
+    rows = rows.withColumns({"pay": c("__read.pay"), "time": c("__read.time"), "error": c("__read.error"), "eligibility": F.when(c("__criteria.error").isNull(), c("__criteria.criteria")).otherwise(criteria_by_age(low, high)), "degraded": c("__criteria.error")}).drop("__read", "__criteria")
     flat = rows.withColumns({
         "summary": truncate(F.when(F.length("plain_excerpt") >= 40, c("plain_excerpt")).otherwise(F.coalesce(F.nullif(c("text"), F.lit("")), c("plain_excerpt"))), 260),
         **{k: c(f"pay.{k}") for k in ("guaranteed_min", "guaranteed_max", "hourly_min", "hourly_max", "raffle_only", "per_visit", "visit_count")},
         "hours_min": c("time.total_hours_min"), "hours_max": c("time.total_hours_max"), "session_count": c("time.session_count"), "hours_per_session": hours_per_session(c("duration"), c("time.session_count")),
     })
     named = term_names(c("term_ids"), terms) if terms is not None else None
-    age = staleness(study_instant(c("expires")), study_instant(c("approved")), now)
+    age = F.coalesce(staleness(study_instant(c("expires")), study_instant(c("approved")), now), age_by_edit(c("modified"), c("posted"), now))
     return reconcile_rate(flat).withColumns({"bucket": rate_bucket(c("rate")), "tags": tags(F.concat_ws(" ", "plain_title", "plain_excerpt", "text"), named), "staleness": age, "is_expired": age == "expired"})
+
+
+def normalize_all(raw: DataFrame, now: Column, terms: Column | None = None, read=read_listing, criteria=eligibility) -> tuple[DataFrame, DataFrame]:
+    """(study rows, quarantine): rows as ``normalize`` gives them, and (id, error, raw: the listing as JSON) for those that couldn't be read.  Every row of ``raw`` is in one of them.
+
+    One listing that can't be read never fails the others.  Where only its criteria can't be, it stays, with those of its age fields, and ``degraded`` says why.  Written down, so that
+    texts are read once for both.
+    """
+    from ..storage import materialize
+
+    done = materialize(_normalized(raw.withColumn("__raw", F.to_json(F.struct(*raw.columns))), now, terms, read, criteria))
+    bad = done.where("error is not null").select(F.col("id"), "error", F.col("__raw").alias("raw"))
+    return done.where("error is null").drop("error", "__raw"), bad
+
+
+def normalize(raw: DataFrame, now: Column, terms: Column | None = None) -> DataFrame:
+    """Study rows from raw listings (id, title, excerpt, body, compensation, duration, expires, approved, posted, modified, irb_number, min_age, max_age, term_ids array<long>) with text, summary,
+    pay, time, eligibility, rate and its basis, bucket, tags and staleness.  ``terms``: a map of taxonomy ids to names.  Listings that can't be read are left out: ``normalize_all`` names them."""
+    return _normalized(raw, now, terms, read_listing, eligibility).where("error is null").drop("error")

@@ -15,6 +15,7 @@ from ..operators import pay as P
 from ..rules import interests
 from ..rules import lexicons as L
 from ..sources import feeds
+from ..storage import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +32,8 @@ def query(sql: str | None = None):
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows  # of these, whole texts are read
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,9 +190,9 @@ def inverted_index_rebuild(spark, d):
     return i.select("doc_id", feeds.rebuild_abstract(F.col("index"), 1 << 30).alias("text"))
 
 
-@query("SELECT doc_id, CAST(least(45, 10 + floor(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) / 40 + 0.5)) AS INTEGER) AS minutes FROM documents WHERE len(trim(text)) > 0")
+@query("SELECT doc_id, CAST(CASE WHEN coalesce(n, 0) = 0 THEN 8 ELSE least(45, 10 + floor(n / 40 + 0.5)) END AS INTEGER) AS minutes FROM (SELECT doc_id, CASE WHEN doc_id % 11 > 0 THEN len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) END AS n FROM documents)")
 def reading_minutes(spark, d):
-    return t(spark, d, "documents").where("length(trim(text)) > 0").select("doc_id", score.reading_minutes(F.col("text")).alias("minutes"))
+    return t(spark, d, "documents").withColumn("text", F.when(F.col("doc_id") % 11 > 0, F.col("text"))).select("doc_id", score.reading_minutes(F.col("text")).alias("minutes"))
 
 
 # --- Dates --------------------------------------------------------------------------------------------------------
@@ -306,7 +308,7 @@ CASE WHEN doc_id % 4 > 0 THEN make_timestamp((1577836800 + (doc_id % 1500) * 864
 y AS (SELECT *, [{", ".join(_HIT)}] AS h, -{q_days("seen", _NOW)} AS n FROM x),
 z AS (SELECT *, CASE WHEN ({_any_of("organism")} AND {_weight("core")} >= 24) OR {_weight("core")} >= 45 THEN 'core' WHEN {_weight("methods")} >= 18 THEN 'methods' ELSE 'adjacent' END AS band,
 (CASE WHEN doc_id % 50 IN (1, 2, 3) THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 20 IN (1, 2, 3) AND doc_id % 20 <> doc_id % 50 THEN 1 ELSE 0 END) AS cites FROM y),
-s AS (SELECT doc_id, band, {q_tidy([q_reason(r["signal"], chr(39) + r["label"] + chr(39), f"CASE WHEN h[{i + 1}] THEN {r['weight']} END") for i, r in enumerate(_RR)] + [
+s AS (SELECT doc_id, seen, band, {q_tidy([q_reason(r["signal"], chr(39) + r["label"] + chr(39), f"CASE WHEN h[{i + 1}] THEN {r['weight']} END") for i, r in enumerate(_RR)] + [
     q_reason("combination", "'selection methods applied to Mtb'", f"CASE WHEN {_any_of('organism')} AND {_any_of('method')} THEN 12 END"),
     q_reason("combination", "'TB + host metabolic angle'", f"CASE WHEN {_any_of('organism')} AND {_any_of('host')} THEN 10 END"),
     q_reason("recency", "CASE WHEN n < 0 THEN 'just posted' WHEN n <= 3 THEN 'very recent' WHEN n <= 14 THEN 'recent' WHEN n <= 45 THEN 'this month' WHEN n <= 180 THEN 'this year' ELSE 'older work' END", _PTS),
@@ -334,9 +336,17 @@ def research_floor(spark, d):
     return x.where(score.passes_floor(F.col("relevance"), F.col("band"), F.col("reasons"))).select("doc_id")
 
 
-@query(PAPERS + f", r AS (SELECT doc_id, {Q_SUM} AS relevance FROM s) SELECT doc_id AS id, relevance FROM r WHERE relevance >= 55 ORDER BY relevance DESC, id LIMIT 15")
+@query(PAPERS + f", r AS (SELECT doc_id, seen, {Q_SUM} AS relevance FROM s) SELECT doc_id AS id, relevance FROM r WHERE relevance >= 55 ORDER BY relevance DESC, seen DESC, id LIMIT 15")
 def for_you_topk(spark, d):
-    return score.for_you(_scored(spark, d).withColumnRenamed("doc_id", "id")).select("id", "relevance")
+    x = _scored(spark, d).withColumns({"vertical": F.lit("research"), "occurred_at": F.coalesce("published_date", "occurred_at")})
+    return score.for_you(x.withColumnRenamed("doc_id", "id")).select("id", "relevance")
+
+
+@query(PAPERS + f", r AS (SELECT doc_id, seen, {Q_SUM} AS relevance FROM s) SELECT doc_id AS id, row_number() OVER (ORDER BY relevance DESC, CASE WHEN doc_id % 2 = 0 THEN epoch_ms(seen) ELSE -epoch_ms(seen) END, doc_id) AS place FROM r")
+def relevance_order(spark, d):
+    """Every document's place in one list of both verticals: among equal scores events soonest first, papers newest first."""
+    x = _scored(spark, d).select(F.col("doc_id").alias("id"), "relevance", F.coalesce("published_date", "occurred_at").alias("at"), F.when(F.col("doc_id") % 2 == 0, "campus").otherwise("research").alias("vertical"))
+    return serve.ranked(x, score.by_relevance(F.col("vertical"), F.col("relevance"), F.col("at"), F.col("id")), "place").select("id", "place")
 
 
 @query(PAPERS + " SELECT band, count(*) AS n FROM s GROUP BY 1")
@@ -367,17 +377,20 @@ def personal_rank(spark, d):
     return x.select("doc_id", score.adjusted(F.col("relevance"), F.col("signals"), bias).cast("long").alias("adjusted"))
 
 
-@query(f"""WITH h AS (SELECT doc_id, {q_padded('text')} AS hay FROM documents) SELECT * FROM (""" + " UNION ALL ".join(f"SELECT doc_id, '{r['label']}' AS label, {r['weight']} AS points FROM h WHERE {q_any('hay', r['patterns'])}" for r in interests.CAMPUS) + ")")
+@query(f"""WITH h AS (SELECT doc_id, {q_padded(f"concat_ws(' ', text, {_q_pick(interests.CAMPUS, 3)}, '/', {_q_pick(interests.CAMPUS, 11)})")} AS hay FROM documents) SELECT * FROM (""" + " UNION ALL ".join(f"SELECT doc_id, '{r['label']}' AS label, {r['weight']} AS points FROM h WHERE {q_any('hay', r['patterns'])}" for r in interests.CAMPUS) + ")")
 def lexicon_match(spark, d):
-    x = t(spark, d, "documents").select("doc_id", T.padded(F.col("text")).alias("hay")).select("doc_id", F.explode(score.matches(F.col("hay"), interests.CAMPUS)).alias("m"))
+    x = t(spark, d, "documents").select("doc_id", T.padded(F.col("text"), _pick(interests.CAMPUS, 3), F.lit("/"), _pick(interests.CAMPUS, 11)).alias("hay")).select("doc_id", F.explode(score.matches(F.col("hay"), interests.CAMPUS)).alias("m"))
     return x.select("doc_id", "m.label", F.col("m.weight").alias("points"))
 
 
-@query(f"""WITH h AS (SELECT doc_id, {q_padded('text')} AS hay FROM documents) SELECT doc_id, id, max(weight) AS weight FROM (""" + " UNION ALL ".join(f"SELECT doc_id, '{r['id']}' AS id, {r['weight']} AS weight FROM h WHERE {q_any('hay', r['patterns'])}" for r in interests.CAMPUS) + ") GROUP BY 1, 2")
+@query(f"""WITH h AS (SELECT doc_id, {q_padded('text')} AS hay FROM documents), b AS (SELECT item_id AS id, string_split(trim({q_padded('text')}), ' ') AS w FROM benchmark),
+x AS (SELECT id, array_to_string(list_slice(w, 1, k), ' ') AS phrase, k AS weight FROM b, (SELECT unnest([2, 3, 4]) AS k)) SELECT doc_id, id, max(weight) AS weight FROM h JOIN x ON contains(hay, ' ' || phrase || ' ') GROUP BY 1, 2""")
 def lexicon_ngram_join(spark, d):
-    lex = spark.createDataFrame([(p, r["id"], r["weight"]) for r in interests.CAMPUS for p in r["patterns"]], "phrase string, id string, weight int")
-    docs = t(spark, d, "documents").select("doc_id", F.split(F.trim(T.padded(F.col("text"))), " ").alias("w"))
-    return score.match_phrases(docs, "doc_id", "w", lex, 4)
+    """The first words of each benchmark item as phrases, looked for in all documents."""
+    w = F.split(F.trim(T.padded(F.col("text"))), " ")
+    items = t(spark, d, "benchmark").select(F.col("item_id").alias("id"), w.alias("w"))
+    lex = items.select("id", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("weight"), "w").select("id", F.array_join(F.slice("w", 1, F.col("weight")), " ").alias("phrase"), "weight")
+    return score.match_phrases(t(spark, d, "documents").select("doc_id", w.alias("w")), "doc_id", "w", lex, 4)
 
 
 _CR = interests.CAMPUS
@@ -468,13 +481,10 @@ def tab_membership(spark, d):
     return _ranked(spark, d).select("doc_id", tabs.alias("tabs"))
 
 
-@query(_CAMPUS + f""", r AS (SELECT doc_id, starts_at, {Q_SUM} AS relevance FROM s) SELECT doc_id, row_number() OVER (ORDER BY starts_at NULLS LAST, relevance DESC, doc_id) AS place FROM r ORDER BY place LIMIT 100""")
+@query(_CAMPUS + f""", r AS (SELECT doc_id, starts_at, {Q_SUM} AS relevance FROM s) SELECT doc_id, row_number() OVER (ORDER BY starts_at NULLS LAST, relevance DESC, doc_id) AS place FROM r""")
 def campus_agenda(spark, d):
-    from pyspark.sql import Window
-
     order = serve.by_campus_date(F.col("starts_at"), F.lit(None).cast("timestamp"), F.col("relevance"), F.col("doc_id"))
-    first = _ranked(spark, d).select("doc_id", "starts_at", "relevance").orderBy(*order).limit(100)
-    return first.select("doc_id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    return serve.ranked(_ranked(spark, d).select("doc_id", "starts_at", "relevance"), order, "place").select("doc_id", "place")
 
 
 @query(_CAMPUS + f""", r AS (SELECT doc_id, {Q_SUM} AS relevance, title, category FROM s) SELECT 'campus' AS section, category AS name, count(*) AS n FROM r GROUP BY category
@@ -502,7 +512,7 @@ def corroboration(spark, d):
 
 # --- One thing from many rows ---------------------------------------------------------------------------------------
 
-_X = f"""WITH RECURSIVE x AS (SELECT doc_id, {q_words('text')} AS w FROM documents), y AS (SELECT doc_id, w[1] || ' ' || w[2] AS block, list_sort(list_distinct(w)) AS ws, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gs FROM x WHERE len(w) >= 3),
+_X = f"""WITH RECURSIVE x AS (SELECT doc_id, {q_words('text')} AS w FROM documents), y AS (SELECT doc_id, concat_ws(' ', w[1], w[2]) AS block, list_sort(list_distinct(w)) AS ws, list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gs FROM x WHERE len(w) >= 1),
 z AS (SELECT *, min(doc_id) OVER (PARTITION BY block, ws, gs) AS rep FROM y),
 sim AS (SELECT a.doc_id AS a, b.doc_id AS b, 0.6 * len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) + CASE WHEN len(a.gs) + len(b.gs) = 0 THEN 0 ELSE 0.4 * len(list_intersect(a.gs, b.gs)) / len(list_distinct(list_concat(a.gs, b.gs))) END AS s, a.rep AS ra, b.rep AS rb FROM z a JOIN z b ON a.block = b.block AND a.doc_id < b.doc_id)"""
 
@@ -510,11 +520,11 @@ sim AS (SELECT a.doc_id AS a, b.doc_id AS b, 0.6 * len(list_intersect(a.ws, b.ws
 def _worded(spark, d):
     """All words of each text as two sets, of words and of pairs of neighbours."""
     w = F.col("w")
-    x = t(spark, d, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("w")).where("size(w) >= 3")
+    x = t(spark, d, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("w")).where("size(w) >= 1")
     return x.select("id", F.concat_ws(" ", F.slice(w, 1, 2)).alias("block"), F.array_distinct(w).alias("w"), F.array_distinct(T.bigrams(w)).alias("g"))
 
 
-@query(_X + """ SELECT a, b, round(s, 6) AS similarity FROM sim WHERE s >= 0.82 AND a = ra AND b = rb AND ra <> rb UNION ALL SELECT rep, doc_id, 1.0 FROM z WHERE rep <> doc_id""")
+@query(_X + """ SELECT a, b, round(s, 6) AS similarity FROM sim WHERE s >= 0.82 AND a = ra AND b = rb AND ra <> rb UNION ALL SELECT rep, doc_id, 1.0 FROM z WHERE rep <> doc_id AND len(gs) > 0""")
 def title_similarity_pairs(spark, d):
     """Pairs of the smallest rows of classes of equal words, and for each other row its class."""
     rows, links = collapse.similar_classes(_worded(spark, d), 0.82)
@@ -535,7 +545,7 @@ def _items(spark, d):
     )
 
 
-CLUSTERS = f"""{_X.replace("WHERE len(w) >= 3", "WHERE len(w) >= 1").replace("w[1] || ' ' || w[2]", "concat_ws(' ', w[1], w[2])")},
+CLUSTERS = f"""{_X},
 i AS (SELECT doc_id, lang = 'en' AS campus, md5(text) AS k1, CASE WHEN doc_id % 7 = 0 THEN doc_id % 40 END AS doi, CASE WHEN doc_id % 5 > 0 THEN doc_id % 4 END AS h, doc_id % 2 AS o FROM documents),
 e AS (SELECT a, b FROM sim JOIN i p ON p.doc_id = a JOIN i q ON q.doc_id = b WHERE p.campus = q.campus AND s >= 0.82 AND NOT coalesce(p.doi IS NOT NULL AND q.doi IS NOT NULL AND p.doi <> q.doi, false)
 AND CASE WHEN p.campus THEN CASE WHEN p.h IS NULL AND q.h IS NULL THEN p.o = q.o AND s >= 0.94 ELSE coalesce(abs(p.h - q.h) <= 2, false) END ELSE s >= 0.94 OR coalesce(abs(p.h - q.h) <= 9600, false) END
@@ -554,7 +564,41 @@ coalesce(bool_or(toxic = 1), false) AS toxic, list_sort(list_distinct(list(lang)
 def merge_cluster_fields(spark, d):
     more = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("id"), "n_chars", "source", "quality", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic"), F.array("lang").alias("langs"))
     x = collapse.dedupe(_items(spark, d)).select("id", "cluster").join(more, "id")
-    return collapse.merge_clusters(x, [F.desc("n_chars"), F.asc("id")], first=["quality"], longest=[], least=["source"], most=["n_chars"], any_=["toxic"], union=["langs"]).select("cluster", "id", "members", "n_chars", "source", "quality", "toxic", "langs")
+    return collapse.merge_members(x, F.struct((-F.col("n_chars")).alias("n"), "id"), {"n_chars": "most", "source": "least", "quality": "first", "toxic": "any", "langs": "sorted_union"}).select("cluster", "id", "members", "n_chars", "source", "quality", "toxic", "langs")
+
+
+_TIER = ["confirmed", "provided", "mentioned", "none"]
+
+
+@query("""WITH x AS (SELECT o_custkey AS cluster, o_orderkey AS id, -CAST(o_totalprice * 100 AS BIGINT) // 2000000 AS r, o_orderkey AS k, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus || (o_orderkey % 7) END AS journal,
+CASE WHEN o_orderkey % 4 > 0 THEN repeat('x', CAST(o_orderkey % 13 AS INTEGER)) || o_orderkey % 10 END AS abstract, CASE WHEN o_orderkey % 5 > 0 THEN list_transform(range(o_orderkey % 4), lambda i: 'A' || (o_orderkey % 6) || i) END AS authors, o_orderdate AS seen,
+CASE WHEN o_orderkey % 2 > 0 THEN CAST(o_orderkey % 9 - 8 AS INTEGER) END AS cited, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 4 AS INTEGER) END AS version, o_orderkey % 11 = 0 AS cancelled, [o_orderpriority, lower(o_orderpriority), 'T' || (o_orderkey % 5), 't' || (o_orderkey % 5)] AS tags,
+['e' || (o_orderkey % 3), 'e' || (o_orderkey % 2)] AS types, ['k' || (o_orderkey % 4), 'k' || (o_orderkey % 6)] AS ids, (['none', 'mentioned', 'provided', 'confirmed'])[CAST(o_orderkey % 4 + 1 AS INTEGER)] AS tier FROM orders),
+p AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY r, k) AS n FROM x),
+u AS (SELECT cluster, list(v ORDER BY n, i) AS vs, list(DISTINCT v) AS d FROM (SELECT cluster, n, i, tags[i] AS v FROM p, (SELECT unnest([1, 2, 3, 4]) AS i)) GROUP BY 1),
+w AS (SELECT cluster, list(v ORDER BY n, i) AS vs FROM (SELECT cluster, n, i, types[i] AS v FROM p, (SELECT unnest([1, 2]) AS i)) GROUP BY 1),
+g AS (SELECT cluster, arg_min(id, n) AS id, count(*) AS members, arg_min(journal, n) FILTER (WHERE journal IS NOT NULL) AS journal, arg_min(abstract, (-length(abstract), n)) FILTER (WHERE abstract IS NOT NULL) AS abstract, arg_min(authors, (-len(authors), n)) FILTER (WHERE authors IS NOT NULL) AS authors,
+min(seen) AS first_seen, max(seen) AS last_seen, CASE WHEN max(cited) > 0 THEN max(cited) ELSE arg_min(cited, n) FILTER (WHERE cited IS NOT NULL) END AS cited, CASE WHEN max(version) > 0 THEN max(version) END AS version, bool_or(cancelled) AS cancelled,
+arg_min(tier, (CASE tier WHEN 'confirmed' THEN 0 WHEN 'provided' THEN 1 WHEN 'mentioned' THEN 2 ELSE 3 END, n)) AS tier, list_sort(list_distinct(flatten(list(ids)))) AS all_ids, list(ids ORDER BY n)[1] AS own_ids, list(tags ORDER BY n)[1] AS own_tags, list(types ORDER BY n)[1] AS own_types, arg_min({'v': journal}, n).v AS own FROM p GROUP BY 1)
+SELECT cluster, id, members, journal, abstract, authors, CAST(first_seen AS TIMESTAMP) AS first_seen, CAST(last_seen AS TIMESTAMP) AS last_seen, cited, version, cancelled, tier, own, CASE WHEN members > 1 THEN all_ids ELSE own_ids END AS ids,
+CASE WHEN members > 1 THEN list_filter(u.vs, lambda v, i: list_position(list_transform(u.vs, lambda z: lower(z)), lower(v)) = i) ELSE own_tags END AS tags, CASE WHEN members > 1 THEN list_filter(w.vs, lambda v, i: list_position(w.vs, v) = i) ELSE own_types END AS types
+FROM g JOIN u USING (cluster) JOIN w USING (cluster)""")
+def merge_policies(spark, d):
+    """All orders of a customer as members of one thing, ranked by price in steps, every merge policy on one field at least."""
+    k, n = F.col("o_orderkey"), lambda m: (F.col("o_orderkey") % m).cast("string")
+    arr = lambda *xs: F.array(*xs)
+    x = t(spark, d, "orders").select(
+        F.col("o_custkey").alias("cluster"), k.alias("id"), F.expr("-cast(o_totalprice * 100 as bigint) div 2000000").alias("r"), F.when(k % 3 > 0, F.concat("o_orderstatus", n(7))).alias("journal"), F.when(k % 3 > 0, F.concat("o_orderstatus", n(7))).alias("own"),
+        F.when(k % 4 > 0, F.concat(F.expr("repeat('x', cast(o_orderkey % 13 as int))"), n(10))).alias("abstract"), F.when(k % 5 > 0, F.expr("transform(filter(sequence(0, 3), i -> i < o_orderkey % 4), i -> concat('A', o_orderkey % 6, i))")).alias("authors"),
+        F.col("o_orderdate").alias("first_seen"), F.col("o_orderdate").alias("last_seen"), F.when(k % 2 > 0, (k % 9 - 8).cast("int")).alias("cited"), F.when(k % 3 == 0, (k % 4).cast("int")).alias("version"), (k % 11 == 0).alias("cancelled"),
+        arr("o_orderpriority", F.lower("o_orderpriority"), F.concat(F.lit("T"), n(5)), F.concat(F.lit("t"), n(5))).alias("tags"), arr(F.concat(F.lit("e"), n(3)), F.concat(F.lit("e"), n(2))).alias("types"), arr(F.concat(F.lit("k"), n(4)), F.concat(F.lit("k"), n(6))).alias("ids"),
+        F.element_at(arr(*[F.lit(x) for x in reversed(_TIER)]), (k % 4 + 1).cast("int")).alias("tier"),
+    )
+    policies = {
+        "journal": "first", "own": "winner", "abstract": "longest", "authors": "longest", "first_seen": "least", "last_seen": "most", "cited": "peak", "version": "positive", "cancelled": "any", "tags": "folded_union", "types": "union", "ids": "sorted_union",
+        "tier": classify.food_rank,
+    }
+    return collapse.merge_members(x, F.struct("r", "id"), policies)
 
 
 @query("""WITH g AS (SELECT o_custkey, o_orderpriority, min(o_orderdate) AS a, max(o_orderdate) AS b, count(*) AS n, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS k FROM orders GROUP BY 1, 2)
@@ -678,7 +722,7 @@ def weekly_digest(spark, d):
 
 
 @query("""WITH w AS (SELECT event_type AS vertical, CAST(date_trunc('week', ts) AS DATE) AS week_of, event_id % 2 AS version, count(*) AS n FROM events GROUP BY 1, 2, 3),
-l AS (SELECT vertical, week_of, arg_max(n, version) AS n FROM w GROUP BY 1, 2) SELECT vertical, week_of, n FROM (SELECT *, row_number() OVER (PARTITION BY vertical ORDER BY week_of DESC) AS r FROM l) WHERE r <= 104""")
+l AS (SELECT vertical, week_of, arg_max(n, version) AS n FROM w GROUP BY 1, 2) SELECT vertical, week_of, n FROM l ORDER BY week_of DESC, vertical LIMIT 104""")
 def merge_digests_lww(spark, d):
     w = t(spark, d, "events").groupBy(F.col("event_type").alias("vertical"), D.week_of(F.col("ts")).alias("week_of"), (F.col("event_id") % 2).alias("v")).agg(F.count("*").alias("n"))
     return snapshots.merge_digests(w.where("v = 0").drop("v"), w.where("v = 1").drop("v"))
@@ -691,6 +735,52 @@ def digest_history(spark, d):
     return kept.join(serve.latest_digest(kept).withColumn("latest", F.lit(True)), ["vertical", "week_of"], "left").withColumn("latest", F.coalesce("latest", F.lit(False)))
 
 
+_DIGESTS = """WITH e AS (SELECT event_id, CAST(date_trunc('week', ts) AS DATE) AS week_of, CASE WHEN event_id % 2 = 0 THEN 'research' ELSE 'campus' END AS vertical, CAST(value AS INTEGER) AS rel, ts, value > 5 AS may, event_id % 17 = 0 AS off,
+CASE WHEN event_id % 3 > 0 THEN 'signal ' || (event_id % 5) || CASE WHEN event_id % 3 = 2 THEN ' · other' ELSE '' END ELSE event_type END AS headline, CASE WHEN event_id % 2 > 0 THEN 0 WHEN event_id % 7 = 0 OR event_id % 90 = 0 THEN 8 ELSE 10 + CAST(floor((event_id % 90) / 40.0 + 0.5) AS INTEGER) END AS minutes FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY week_of, vertical ORDER BY rel DESC, CASE WHEN vertical = 'campus' THEN epoch_ms(ts) ELSE -epoch_ms(ts) END, event_id) AS place FROM e WHERE may AND NOT off),
+c AS (SELECT week_of, vertical, count(*) AS scanned, count(*) FILTER (WHERE may) AS candidates, count(*) FILTER (WHERE event_id % 23 = 0 AND GONE) AS n_changes FROM e GROUP BY 1, 2),
+d AS (SELECT week_of, vertical, string_agg(event_id || ':' || headline, '; ' ORDER BY place) AS entries, sum(minutes) AS minutes FROM r WHERE place <= 6 AND GONE GROUP BY 1, 2)
+SELECT week_of, vertical, scanned, candidates, n_changes, coalesce(entries, '') AS entries, CAST(coalesce(minutes, 0) AS INTEGER) AS minutes FROM c LEFT JOIN d USING (week_of, vertical)"""
+
+
+def _digests(spark, d):
+    """Events as items of two verticals, with reasons and as many words to read as their number says."""
+    k = F.col("event_id")
+    label = F.concat(F.lit("signal "), (k % 5).cast("string"))
+    fired = F.when(k % 3 == 2, F.array(score.reason("topic", label, 3), score.reason("topic", "lost", -2), score.reason("topic", "other", 1))).when(k % 3 == 1, F.array(score.reason("topic", label, 3))).otherwise(F.array(score.reason("topic", label, -3)))
+    items = t(spark, d, "events").select(
+        k.alias("id"), F.when(k % 2 == 0, "research").otherwise("campus").alias("vertical"), F.round("value").cast("int").alias("relevance"), (F.col("value") > 5).alias("is_candidate"), (k % 17 == 0).alias("is_cancelled"), fired.alias("reasons"), F.col("event_type").alias("summary"),
+        F.when(k % 7 > 0, F.expr("repeat('word ', cast(event_id % 90 as int))")).alias("text"), F.col("ts").alias("occurred_at"), "ts",
+    )
+    changes = items.where("id % 23 = 0").select(D.week_of(F.col("ts")).alias("week_of"), "vertical", F.col("id").cast("string").alias("item_id"), F.lit("time").alias("kind"))
+    return snapshots.build_digests(items, F.col("ts"), changes)
+
+
+def _digest_rows(digests):
+    listed = F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["id"], e["headline"])), "; ")
+    return digests.select("week_of", "vertical", "scanned", "candidates", F.size("changes").cast("long").alias("n_changes"), listed.alias("entries"), "minutes")
+
+
+@query(_DIGESTS.replace("GONE", "true"))
+def digest_built(spark, d):
+    return _digest_rows(_digests(spark, d))
+
+
+@query(_DIGESTS.replace("GONE", "event_id % 4 > 0"))
+def digest_excluded(spark, d):
+    """Digests after the items of every fourth event have gone."""
+    gone = t(spark, d, "events").where("event_id % 4 = 0").select(F.col("event_id").alias("id"))
+    return _digest_rows(snapshots.without_items(_digests(spark, d), gone))
+
+
+@query("""WITH b AS (SELECT user_id AS id, arg_max(event_type, event_id) AS kind, CAST(max(event_id) AS VARCHAR) AS seen FROM events WHERE event_id % 3 > 0 GROUP BY 1), a AS (SELECT user_id AS id, arg_max(event_type, event_id) AS kind FROM events WHERE event_id % 2 = 0 GROUP BY 1)
+SELECT coalesce(b.id, a.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN a.id IS NULL THEN 'removed' WHEN a.kind <> b.kind THEN 'changed' ELSE 'unchanged' END AS kind FROM b FULL JOIN a ON a.id = b.id""")
+def diff_of_repeats(spark, d):
+    """Two snapshots that hold a row for each event of a user: the last one of each side counts."""
+    e = t(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("what"), F.col("event_id").alias("ord"))
+    return snapshots.diff(e.where("ord % 3 > 0"), e.where("ord % 2 = 0"), ["what"]).select("id", "kind")
+
+
 @query("""WITH g AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week_of, event_type AS vertical, list(event_id) AS ids FROM events GROUP BY 1, 2), x AS (SELECT week_of, vertical, unnest(ids) AS id FROM g) SELECT week_of, vertical, count(*) AS entries, count(*) FILTER (WHERE id % 4 = 0) AS missing FROM x GROUP BY 1, 2""")
 def digest_entries(spark, d):
     e = t(spark, d, "events").withColumn("week_of", D.week_of(F.col("ts")))
@@ -727,10 +817,10 @@ def filter_unknown_hidden(spark, d):
     return serve.filter_known(x, {"rate": (1000, None), "p_size": (None, 30)})[1]
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0 AND p_retailprice >= 1000 AND p_size <= 30")
+@query("SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0 AND p_retailprice >= 950 AND p_size <= 30")
 def filter_known_rows(spark, d):
     x = t(spark, d, "part").select("p_partkey", "p_size", F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("rate"))
-    return serve.filter_known(x, {"rate": (1000, None), "p_size": (None, 30)})[0].select("p_partkey")
+    return serve.filter_known(x, {"rate": (950, None), "p_size": (None, 30)})[0].select("p_partkey")
 
 
 _SEARCH = "lower(concat_ws(' ', lang, source, text))"
@@ -847,6 +937,25 @@ def state_marks(spark, d):
     return state.marks(e, "user_id", "event_type", "kind", ["ts", "event_id"])
 
 
+@query(ORACLES["state_marks"])
+def stream_marks(spark, d):
+    """The same marks, folded by a stream with keyed state; each key's last output counts."""
+    import uuid
+
+    from ..storage import shared_dir
+    from ..streaming import feeds as streams
+    from ..streaming import keyed
+
+    kinds = F.array(*[F.lit(x) for x in ("save", "attend", "dismiss", "track", "more", "less")])
+    e = _stream(spark, d).withColumn("kind", F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")))
+    path = f"{shared_dir(spark)}/feedloom-{uuid.uuid4().hex}"
+    running = keyed.marks(e, "user_id", "event_type", "kind", "ts", "event_id")
+    streams.snapshot_batches(running, lambda batch, i: batch.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{path}/out/batch={i}"), f"{path}/checkpoint", "update").awaitTermination()
+    rows = spark.read.parquet(f"{path}/out")
+    names = [c for c in rows.columns if c not in ("user_id", "event_type", "batch")]
+    return rows.groupBy("user_id", "event_type").agg(F.max_by(F.struct(*names), "batch").alias("s")).select("user_id", "event_type", "s.*")
+
+
 @query("""WITH f AS (SELECT user_id, event_type AS item, list_reduce(list_prepend(CAST(0 AS BIGINT), list(CAST(event_id % 2 AS BIGINT) ORDER BY ts, event_id)), lambda s, k: CASE WHEN k = 0 THEN CASE WHEN s = 1 THEN 0 ELSE 1 END ELSE CASE WHEN s = 2 THEN 0 ELSE 2 END END) AS s FROM events GROUP BY 1, 2)
 SELECT user_id, item, s = 1 AS saved, s = 2 AS dismissed FROM f""")
 def state_toggles(spark, d):
@@ -867,11 +976,11 @@ def state_stamps(spark, d):
     return state.mint_stamps(e, "user_id", "clock", "event_id").select("event_id", "stamp")
 
 
-@query("""WITH l AS (SELECT user_id, max(event_id) AS stamp FROM events WHERE event_id % 2 = 0 GROUP BY 1), r AS (SELECT user_id, max(event_id) AS stamp FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+@query("""WITH l AS (SELECT user_id, max(event_id) AS stamp FROM events WHERE event_id % 2 = 0 GROUP BY 1), r AS (SELECT user_id, max(event_id) AS stamp FROM events WHERE event_id % 2 = 1 OR event_id % 3 = 0 GROUP BY 1)
 SELECT coalesce(l.user_id, r.user_id) AS user_id, CASE WHEN r.stamp IS NULL OR l.stamp > r.stamp THEN l.stamp ELSE r.stamp END AS stamp, CASE WHEN r.stamp IS NULL OR l.stamp > r.stamp THEN 'local' ELSE 'remote' END AS side FROM l FULL JOIN r ON l.user_id = r.user_id""")
 def state_remote(spark, d):
-    side = lambda n, name: t(spark, d, "events").where(f"event_id % {n} = 0").groupBy("user_id").agg(F.max("event_id").alias("stamp")).withColumn("side", F.lit(name))
-    return state.apply_remote(side(2, "local"), side(3, "remote"), "user_id", "stamp")
+    side = lambda which, name: t(spark, d, "events").where(which).groupBy("user_id").agg(F.max("event_id").alias("stamp")).withColumn("side", F.lit(name))
+    return state.apply_remote(side("event_id % 2 = 0", "local"), side("event_id % 2 = 1 or event_id % 3 = 0", "remote"), "user_id", "stamp")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE [event_type, 'x'] END AS saved, CASE WHEN event_id % 5 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['ab'] END AS authors, CASE WHEN event_id % 5 > 0 THEN greatest(-20.0, least(20.0, CAST(event_id % 100 - 50 AS DOUBLE))) END AS bias,

@@ -11,25 +11,51 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import civil_instant, from_parts, millis, month_of, to_instant
 from ..functions.text import collapse, html_to_text, normalize_arxiv, normalize_doi, normalize_openalex, strip_emails, version_of
+from .pages import Kind, good, landed, records
 
 PREPRINT = "collection array<struct<title:string,authors:string,doi:string,date:string,version:string,type:string,category:string,abstract:string,published:string,server:string>>"
 CALENDAR = "id bigint, gid bigint, group_title string, title string, url string, date_utc string, date_ts bigint, date2_iso string, is_canceled string, is_all_day string, is_online string, online_url string, has_registration string, date_iso string, event_types_audience array<string>, location_title string, description string, cost string, location string, location_latitude string, location_longitude string, event_types array<string>, tags array<string>, last_modified bigint"
-WORKS = "results array<struct<id:string,doi:string,title:string,publication_date:string,publication_year:int,type:string,cited_by_count:int,is_paratext:boolean,referenced_works:array<string>,abstract_inverted_index:map<string,array<int>>>>"
-INCLUDED_TYPES = ["article", "preprint", "review", "book-chapter", "dissertation", "dataset"]
+WORKS = (
+    "results array<struct<id:string,doi:string,ids:struct<doi:string,pmid:string,pmcid:string>,title:string,display_name:string,publication_date:string,publication_year:int,type:string,cited_by_count:int,is_paratext:boolean,"
+    "referenced_works:array<string>,abstract_inverted_index:map<string,array<int>>,authorships:array<struct<author:struct<display_name:string,orcid:string>,institutions:array<struct<display_name:string>>,"
+    "raw_affiliation_strings:array<string>>>,topics:array<struct<display_name:string>>,primary_location:struct<landing_page_url:string,source:struct<display_name:string>>,open_access:struct<is_oa:boolean,oa_url:string>,"
+    "best_oa_location:struct<pdf_url:string>>>"
+)
+# The types of works that are literature.
+INCLUDED_TYPES = ["article", "preprint", "review", "book-chapter", "book", "dissertation"]
+
+
+def newest(rows: DataFrame, most: int, when: Column, id_: str, by: str | None = None) -> DataFrame:
+    """At most ``most`` rows, or of each value of ``by``, the newest first: a source's own cap on what it delivers."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
+    return rows.withColumn("__place", F.row_number().over(w.orderBy(when.desc_nulls_last(), F.col(id_)))).where(F.col("__place") <= most).drop("__place")
+
+
+def one_of(rows: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """One row of each key: the first by ``order`` or, where the rows have no such column, by content."""
+    x = F.struct(*rows.columns)
+    place = F.struct(order, F.to_json(x)) if order and order in rows.columns else F.to_json(x)
+    return rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)]).agg(F.min_by(x, place).alias("x")).select("x.*")
 
 
 def first_of(*xs: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in xs])
 
 
-def preprints(spark: SparkSession, path: str, most: int = 600) -> DataFrame:
-    """bioRxiv-like interval feeds: a row for each record with a valid DOI; 'NA' is no publication.  A page whose status is not ok fails the job; at most ``most`` records of a server, newest first."""
-    from pyspark.sql import Window
+def _answered(field) -> Column:
+    """What a server said instead of records."""
+    said = F.lower(F.get(field("messages"), F.lit(0))["status"])
+    return F.when(said.isNotNull() & ~said.isin("ok") & (F.coalesce(F.size(field("collection")), F.lit(0)) <= 0) & ~F.contains(said, F.lit("no posts")), F.concat(F.lit("the feed answered: "), said))
+
+
+PREPRINT_PAGES = Kind("json", "messages array<struct<status:string>>, " + PREPRINT, "collection", _answered)
 
-    pages = spark.read.schema("messages array<struct<status:string>>, " + PREPRINT).option("multiLine", True).json(path)
-    bad = F.lower(F.get("messages", F.lit(0))["status"])
-    wrong = F.when(bad.isNotNull() & ~bad.isin("ok") & (F.coalesce(F.size("collection"), F.lit(0)) == 0) & ~F.contains(bad, F.lit("no posts")), F.raise_error(F.concat(F.lit("the feed answered: "), bad)))
-    r = pages.where(wrong.isNull()).select(F.explode("collection").alias("r"))
+
+def preprints(spark: SparkSession, path: str, most: int = 600) -> DataFrame:
+    """bioRxiv-like interval feeds: a row for each record with a valid DOI; 'NA' is no publication.  A page whose status is not ok gives none (``PREPRINT_PAGES``); at most ``most`` records of a server, newest first."""
+    r = good(landed(spark, path), PREPRINT_PAGES).select(F.explode("collection").alias("r"))
     doi = normalize_doi(F.col("r.doi"))
     published = normalize_doi(F.nullif(F.col("r.published"), F.lit("NA")))
     authors = F.filter(F.transform(F.split("r.authors", ";"), lambda a: F.trim(a)), lambda a: a != "")
@@ -37,8 +63,7 @@ def preprints(spark: SparkSession, path: str, most: int = 600) -> DataFrame:
         F.concat(F.lit("doi:"), doi).alias("identity"), doi.alias("doi"), F.trim("r.title").alias("title"), authors.alias("authors"), F.to_date("r.date").alias("published_date"), F.col("r.version").try_cast("int").alias("preprint_version"),
         F.col("r.category").alias("category"), F.trim("r.abstract").alias("abstract"), published.alias("published_doi"), published.isNotNull().alias("is_superseded"), F.lower("r.server").alias("source"),
     ).where("doi is not null")
-    newest = Window.partitionBy("source").orderBy(F.desc_nulls_last("published_date"), "doi", F.desc("preprint_version"))
-    return out.withColumn("__place", F.row_number().over(newest)).where(F.col("__place") <= most).drop("__place")
+    return newest(out.withColumn("__tie", F.concat_ws("|", "doi", F.lpad((999 - F.coalesce("preprint_version", F.lit(0))).cast("string"), 4, "0"))), most, F.col("published_date"), "__tie", "source").drop("__tie")
 
 
 def rebuild_abstract(index: Column, most: int = 4000) -> Column:
@@ -47,22 +72,40 @@ def rebuild_abstract(index: Column, most: int = 4000) -> Column:
     return F.array_join(F.transform(F.array_sort(F.filter(pairs, lambda x: x["p"] <= most)), lambda x: x["w"]), " ")
 
 
-def works(spark: SparkSession, path: str, since: Column | None = None, most: int = 150) -> DataFrame:
-    """Literature works of the included types, not front matter; from ``since`` on, at most ``most`` of one file, newest first."""
-    r = spark.read.schema(WORKS).option("multiLine", True).json(path).select(F.explode("results").alias("r")).where("not coalesce(r.is_paratext, false)")
+WORKS_PAGES = Kind("json", WORKS, "results")
+
+
+def works(spark: SparkSession, path: str, since: Column | None = None, most: int = 150, channel: str = "") -> DataFrame:
+    """Literature works of the included types, with title and id, not front matter; from ``since`` on, at most ``most`` of one search, newest first.  ``channel``: the search."""
+    r = good(landed(spark, path), WORKS_PAGES).select(F.explode("results").alias("r")).where("not coalesce(r.is_paratext, false)")
     r = r.where(F.col("r.type").isNull() | F.col("r.type").isin(INCLUDED_TYPES))
     when = F.coalesce(F.to_date("r.publication_date"), F.make_date("r.publication_year", F.lit(1), F.lit(1)))
-    return r.select(
-        F.col("r.id").alias("id"), normalize_doi(F.col("r.doi")).alias("doi"), F.col("r.title").alias("title"), when.alias("published_date"), F.when(F.col("r.type").isin("preprint", "review", "dataset"), F.col("r.type")).otherwise("journal-article").alias("kind"), normalize_openalex(F.col("r.id")).alias("openalex_id"),
-        F.coalesce("r.cited_by_count", F.lit(0)).alias("cited_by"), F.slice("r.referenced_works", 1, 200).alias("references"), rebuild_abstract(F.col("r.abstract_inverted_index")).alias("abstract"),
-    ).where(F.lit(True) if since is None else F.col("published_date") >= since).orderBy(F.desc_nulls_last("published_date"), "id").limit(most)
+    kind = F.when(F.col("r.type").isin("preprint", "review", "dataset"), F.col("r.type")).when(F.col("r.type") == "article", "journal-article").otherwise("other")
+    first = lambda xs: F.get(xs, F.lit(0))
+    people = F.transform("r.authorships", lambda a: F.struct(a["author"]["display_name"].alias("name"), a["author"]["orcid"].alias("orcid"), F.coalesce(first(a["institutions"])["display_name"], first(a["raw_affiliation_strings"])).alias("affiliation")))
+    named = F.filter(F.coalesce(people, F.array().cast("array<struct<name:string,orcid:string,affiliation:string>>")), lambda a: F.coalesce(a["name"], F.lit("")) != "")
+    topics = F.slice(F.array_compact(F.transform(F.coalesce("r.topics", F.array().cast("array<struct<display_name:string>>")), lambda t: t["display_name"])), 1, 8)
+    doi, work = normalize_doi(F.coalesce("r.doi", "r.ids.doi")), normalize_openalex(F.col("r.id"))
+    pmid = F.nullif(F.regexp_extract(F.coalesce("r.ids.pmid", F.lit("")), r"(\d+)\s*$", 1), F.lit(""))
+    cited = F.array_compact(F.transform(F.coalesce("r.referenced_works", F.array().cast("array<string>")), normalize_openalex))
+    out = r.select(
+        F.col("r.id").alias("id"), doi.alias("doi"), html_to_text(F.coalesce("r.title", "r.display_name")).alias("title"), when.alias("published_date"), kind.alias("kind"), work.alias("openalex_id"), F.col("r.cited_by_count").alias("cited_by"),
+        F.slice(cited, 1, 200).alias("references"), rebuild_abstract(F.col("r.abstract_inverted_index")).alias("abstract"), pmid.alias("pmid"), F.col("r.ids.pmcid").alias("pmcid"), named.alias("authors"), topics.alias("topics"), topics.alias("tags"),
+        F.col("r.primary_location.source.display_name").alias("journal"), F.coalesce("r.open_access.is_oa", F.lit(False)).alias("is_open_access"), F.coalesce("r.best_oa_location.pdf_url", "r.open_access.oa_url").alias("open_access_url"),
+        F.coalesce("r.primary_location.landing_page_url", F.when(doi.isNotNull(), F.concat(F.lit("https://doi.org/"), doi)), F.col("r.id")).alias("url"), F.lit(channel).alias("channel"), F.lit("openalex").alias("source"),
+        F.array_compact(F.array(F.concat(F.lit("openalex:"), F.lower(work)), F.concat(F.lit("doi:"), doi), F.concat(F.lit("pmid:"), pmid))).alias("identity"),
+    ).where("title <> '' and openalex_id is not null")
+    return newest(out if since is None else out.where(F.col("published_date") >= since), most, F.col("published_date"), "id")
 
 
 ATOM = "id string, title string, updated string, published string, summary string, author array<struct<name:string>>, category array<struct<_term:string>>, link array<struct<_href:string,_rel:string,_title:string>>"
 
 
+ATOM_PAGES = Kind("xml", ATOM, "entry")
+
+
 def atom(spark: SparkSession, path: str) -> DataFrame:
-    r = spark.read.format("xml").option("rowTag", "entry").schema(ATOM).load(path)
+    r = records(landed(spark, path), ATOM_PAGES)
     link = lambda test: F.try_element_at(F.filter("link", test), F.lit(1))["_href"]
     arxiv = normalize_arxiv(F.col("id"))
     return r.select(
@@ -81,6 +124,9 @@ ARTICLE = (
 )
 
 
+ARTICLE_PAGES = Kind("xml", ARTICLE, "PubmedArticle")
+
+
 def medline_date(d: Column) -> Column:
     """Year, Month (name or number) and Day, or the year a MedlineDate begins with."""
     month = F.coalesce(month_of(d["Month"]), d["Month"].try_cast("int"))
@@ -95,7 +141,7 @@ def _strings(c: Column) -> Column:
 
 def pubmed(spark: SparkSession, path: str, channel: str = "", ids: DataFrame | None = None) -> DataFrame:
     """Article records with PMID and title.  ``ids``: a search's answer (pmid); only its articles are read."""
-    r = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(ARTICLE).load(path).select("MedlineCitation.*", F.col("PubmedData.ArticleIdList.ArticleId").alias("ids"))
+    r = records(landed(spark, path), ARTICLE_PAGES).select("MedlineCitation.*", F.col("PubmedData.ArticleIdList.ArticleId").alias("ids"))
     section = lambda s: F.concat_ws(": ", F.nullif(s["_Label"], F.lit("")), collapse(s["_VALUE"]))
     spoken = F.filter(F.col("Article.Abstract.AbstractText"), lambda x: F.coalesce(F.trim(x["_VALUE"]), F.lit("")) != "")
     named = lambda x: F.when(x["LastName"].isNotNull(), F.concat_ws(" ", F.coalesce(x["ForeName"], x["Initials"]), x["LastName"])).otherwise(x["CollectiveName"])
@@ -122,6 +168,9 @@ LITERATURE = (
 )
 
 
+LITERATURE_PAGES = Kind("json", LITERATURE, "resultList.result")
+
+
 def literature(spark: SparkSession, path: str, channel: str, site: str, since: Column | None = None, most: int = 150) -> DataFrame:
     """Pages of a literature search, one row for each record that has a title and an address; at most ``most`` of one search, newest first.
 
@@ -129,7 +178,7 @@ def literature(spark: SparkSession, path: str, channel: str, site: str, since: C
     """
     from pyspark.sql import Window
 
-    r = spark.read.schema(LITERATURE).option("multiLine", True).json(path).select(F.explode("resultList.result").alias("r")).select("r.*")
+    r = good(landed(spark, path), LITERATURE_PAGES).select(F.explode("resultList.result").alias("r")).select("r.*")
     doi = normalize_doi(F.col("doi"))
     listed = F.transform("authorList.author", lambda a: F.coalesce(a["fullName"], F.concat_ws(" ", a["firstName"], a["lastName"])))
     told = F.transform(F.split(F.coalesce("authorString", F.lit("")), ","), lambda a: F.trim(F.regexp_replace(a, r"\.$", "")))
@@ -174,9 +223,12 @@ CROSSREF = (
 )
 
 
+CROSSREF_PAGES = Kind("json", CROSSREF, "message.items")
+
+
 def crossref(spark: SparkSession, path: str, now: Column | None = None) -> DataFrame:
     """Metadata by DOI.  Open access counts only with an open licence; a link to the full text only then."""
-    r = spark.read.schema(CROSSREF).option("multiLine", True).json(path).select(F.explode("message.items").alias("r"))
+    r = good(landed(spark, path), CROSSREF_PAGES).select(F.explode("message.items").alias("r"))
     is_open = F.coalesce(F.exists("r.license", lambda x: x["URL"].rlike("(?i)creativecommons|/open")), F.lit(False))
     day = F.coalesce(*[from_parts(F.get(F.col(f"r.{c}.date-parts"), F.lit(0))) for c in ("issued", "published")])
     pdf = F.try_element_at(F.filter("r.link", lambda x: F.coalesce(x["content-type"] == "application/pdf", F.lit(False))), F.lit(1))["URL"]
@@ -189,7 +241,7 @@ def crossref(spark: SparkSession, path: str, now: Column | None = None) -> DataF
 def enrich(items: DataFrame, metadata: DataFrame) -> DataFrame:
     """Left join by DOI: the metadata's journal and citation count win, its date, link and open access fill gaps, the longer abstract stays.  Fields that either side lacks are left alone."""
     fields = [c for c in ("journal", "cited_by", "published_date", "open_access_url", "is_open_access", "abstract") if c in metadata.columns and c in items.columns]
-    m = metadata.select("doi", *[F.col(c).alias(f"__{c}") for c in fields]).dropDuplicates(["doi"])
+    m = one_of(metadata, ["doi"], "ord").select("doi", *[F.col(c).alias(f"__{c}") for c in fields])
     j, known = items.join(m, "doi", "left"), {}
     for c in fields:
         own, new = F.col(c), F.col(f"__{c}")
@@ -204,18 +256,22 @@ def enrich(items: DataFrame, metadata: DataFrame) -> DataFrame:
     return j.withColumns(known).drop(*[f"__{c}" for c in fields]) if known else j
 
 
+CALENDAR_PAGES = Kind("array", re.sub(r"(\w+) ", r"\1:", CALENDAR))
+
+
 def calendar(spark: SparkSession, path: str, channel: str) -> DataFrame:
     """Calendar feed: fields that hold 1 or null are booleans; (0, 0) is no place; addresses never leave the text."""
-    r = spark.read.schema(CALENDAR).option("multiLine", True).json(path)
+    r = good(landed(spark, path), CALENDAR_PAGES).select(F.inline("records"))
     on = lambda c: F.coalesce(F.col(c).try_cast("int") > 0, F.lit(False))
     lat, lon = F.col("location_latitude").try_cast("double"), F.col("location_longitude").try_cast("double")
     where = F.when(lat.isNotNull() & lon.isNotNull() & ~((lat == 0) & (lon == 0)), F.struct(lat.alias("lat"), lon.alias("lon")))
-    return r.select(
+    out = r.select(
         F.concat(F.lit("event:calendar-"), "id").alias("identity"), F.lit(channel).alias("channel"), F.trim("title").alias("title"), strip_emails(html_to_text(F.col("description"))).alias("summary"), F.col("group_title").alias("organizer"),
         F.coalesce(to_instant(F.col("date_iso")), to_instant(F.col("date_utc")), F.timestamp_seconds("date_ts")).alias("starts_at"), to_instant(F.col("date2_iso")).alias("ends_at"), on("is_all_day").alias("is_all_day"), on("is_canceled").alias("is_cancelled"), on("is_online").alias("is_online"), on("has_registration").alias("has_registration"),
         first_of(F.col("location_title"), F.col("location")).alias("location"), first_of(F.col("cost")).alias("cost"), F.when(on("is_online"), F.col("online_url")).alias("online_url"), F.col("url").alias("url"),
         F.slice(F.concat(_strings(F.col("tags")), _strings(F.col("event_types"))), 1, 10).alias("tags"), _strings(F.col("event_types_audience")).alias("audience"), where.alias("coordinates"), F.coalesce("event_types", F.array().cast("array<string>")).alias("event_types"), F.timestamp_seconds("last_modified").alias("last_modified"),
-    ).dropDuplicates(["identity"])
+    )
+    return one_of(out, ["identity"])
 
 
 # Bare names of places, as titles of listings that only tell opening hours.
@@ -267,7 +323,7 @@ def event_cards(pages: DataFrame) -> DataFrame:
                     rows.append((m[1].rsplit("/", 1)[-1], strip(_PARA.sub("", m[2])), p[0], p[1], p[2]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CARDS.split(", ")])
 
-    return pages.select("html").mapInPandas(run, CARDS).dropDuplicates(["external_id"])
+    return one_of(pages.select("html").mapInPandas(run, CARDS), ["external_id"])
 
 
 _DAY = r"(?:[A-Za-z]{3},\s*)?([A-Za-z]{3})\s+(\d{1,2})(?:,\s*(\d{4}))?(?:\s+(\d{1,2}(?::\d{2})?\s*[apAP][mM]))?"
@@ -307,12 +363,12 @@ def card_instant(label: Column, now: Column | None = None) -> Column:
     return card_span(label, now if now is not None else F.current_timestamp())["starts_at"]
 
 
+LISTING_PAGES = Kind("html", "", r'<a\b[^>]*href="/org/[^"/]+/events/[^"]+"', lambda field: F.when(F.size(field("records")) == 0, "the page holds no event card"))
+
+
 def event_listing(pages: DataFrame, now: Column, days: int = 45) -> DataFrame:
-    """Events of listing pages (page, html) with title, organiser and date, within the horizon.  A first page without any card fails the job: its markup has changed."""
+    """Events of listing pages (page, html) with title, organiser and date, within the horizon.  A first page without any card is a fault (``LISTING_PAGES``): its markup has changed."""
     cards = event_cards(pages).withColumn("span", card_span(F.col("date_label"), now))
-    first = event_cards(pages.where("page = 1")).limit(1).count()
-    if not first:
-        raise ValueError("the first listing page holds no event card")
     known = cards.where("coalesce(title, '') <> '' and coalesce(organizer, '') <> '' and span.starts_at is not null")
     end = F.coalesce("span.ends_at", "span.starts_at")
     near = known.where((millis("span.starts_at") <= millis(now) + days * 86_400_000) & (millis(end) >= millis(now) - 86_400_000))
@@ -354,13 +410,13 @@ def taxonomies(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """(taxonomy, id, name, slug) from term lists that are arrays or objects keyed by id; malformed terms are left out."""
     out = None
     for name, path in paths.items():
-        raw = spark.read.option("wholetext", True).text(path)
+        raw = spark.read.text(path, wholetext=True)
         term = "struct<id:bigint,name:string,slug:string>"
         listed, keyed = F.from_json("value", f"array<{term}>"), F.map_values(F.from_json("value", f"map<string,{term}>"))
         rows = raw.select(F.explode(F.when(F.ltrim("value").startswith("["), listed).otherwise(keyed)).alias("t")).where("t.id is not null and t.name is not null")
         rows = rows.select(F.lit(name).alias("taxonomy"), "t.id", html_to_text(F.col("t.name")).alias("name"), "t.slug")
         out = rows if out is None else out.unionByName(rows)
-    return out.dropDuplicates(["taxonomy", "id"])
+    return one_of(out, ["taxonomy", "id"])
 
 
 def term_map(terms: DataFrame) -> DataFrame:
@@ -376,17 +432,21 @@ STUDIES = (
 )
 
 
+STUDY_PAGES = Kind("array", STUDIES)
+
+
 def studies(spark: SparkSession, path: str) -> DataFrame:
     """Raw study listings, one row for each id; rows without an id or meta are malformed and left out."""
-    r = spark.read.schema(STUDIES).option("multiLine", True).json(path).where("id is not null and meta is not null")
+    r = good(landed(spark, path), STUDY_PAGES).select(F.inline("records")).where("id is not null and meta is not null")
     terms = F.flatten(F.array_compact(F.array("aux_study_session_type", "aux_study_location", "aux_study_category", "aux_study_topic")))
-    return r.select(
+    out = r.select(
         F.col("id").cast("string").alias("id"), "slug", F.col("link").alias("url"), F.col("title.rendered").alias("title"), F.col("excerpt.rendered").alias("excerpt"), F.col("content.rendered").alias("body"), "meta.compensation", "meta.duration",
         first_of(F.col("meta.irb_number")).alias("irb_number"), first_of(F.col("meta.pi_name")).alias("pi_name"), first_of(F.col("meta.contact_name")).alias("contact_name"), first_of(F.col("meta.contact_email")).alias("contact_email"),
         F.col("meta.irb_approval_date").alias("approved"), F.col("meta.expiration_date").alias("expires"), F.regexp_extract("meta.lifecycle", r"-?\d+", 0).try_cast("int").alias("lifecycle_months"),
         F.col("meta.minimum_age").alias("min_age"), F.col("meta.maximum_age").alias("max_age"), to_instant(F.col("date_gmt")).alias("posted"),
         F.coalesce(to_instant(F.col("modified_gmt")), to_instant(F.col("date_gmt"))).alias("modified"), terms.alias("term_ids"),
-    ).dropDuplicates(["id"])
+    )
+    return one_of(out, ["id"])
 
 
 def check_pages(rows: DataFrame, stated: int) -> list[str]:
@@ -397,19 +457,3 @@ def check_pages(rows: DataFrame, stated: int) -> list[str]:
 
 def unexpected_lifecycles(rows: DataFrame, known: tuple[int, ...] = (3, 6, 12)) -> DataFrame:
     return rows.where(~F.col("lifecycle_months").isin(*known)).select("lifecycle_months").distinct().orderBy("lifecycle_months")
-
-
-def latest_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest run's rows by vertical, or no rows on the first run."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-    last = df.groupBy("vertical").agg(F.max("run_ts").alias("run_ts"))
-    return df.join(F.broadcast(last), ["vertical", "run_ts"], "left_semi")  # a row for each vertical
-
-
-def write_snapshot(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("vertical", "run_ts").parquet(path)

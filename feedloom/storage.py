@@ -34,6 +34,12 @@ def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to as many partitions as there are cores, where it comes in fewer: a small table in one file would keep a single core busy.  Larger tables, which come in more, stay as they are and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tidy(spark: SparkSession) -> None:
     """Have the shuffle files of plans that nothing refers to any more deleted now, not at the JVM's next collection.  For between the steps of a long job, whose results are tables by then."""
     for _ in range(2):  # what Python lets go of reaches the JVM a moment later

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .. import store
+from ..operators import snapshots
+from ..sources import pages
+
 
 def windowed_counts(events: DataFrame, ts: str, keys: list[str], window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     return events.withWatermark(ts, late).groupBy(F.window(ts, window), *keys).agg(F.count("*").alias("n"))
@@ -26,30 +30,31 @@ def snapshot_batches(stream: DataFrame, publish, checkpoint: str, mode: str = "a
     return stream.writeStream.outputMode(mode).foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert(batch: DataFrame, path: str, key: str, stamp: str, client: str) -> None:
-    """A micro-batch's records into the table at ``path``: of each key the one with the latest stamp, then the largest client id, stays.  Running it again changes nothing.
+def upsert_stream(records: DataFrame, path: str, key: str, stamp: str, client: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Each micro-batch into the table at ``path`` (``store.upsert``): a batch that comes again after a restart changes nothing."""
+    return snapshot_batches(records, lambda batch, i: store.upsert(batch, path, key, stamp, client, i, buckets), checkpoint)
+
 
-    The table is written beside the old one and named by a pointer file's latest version, so that a reader never sees half of it.
+def run_stream(items: DataFrame, reports_of, path: str, vertical: str, checkpoint: str, key: str = "id") -> StreamingQuery:
+    """Each micro-batch as one run of a vertical: what its sources could not deliver is retained, what changed is written beside it, and all of it is published at once.
+
+    ``reports_of(batch)``: the reports of the run's sources (``pages.REPORT``).  items: as ``snapshots.reconcile`` takes them, with sources array<string>; of a repeated id the last by
+    ``ord`` counts.  The batch's number is published with its snapshot, so that a batch that comes again after a crash, before or after publishing, changes nothing.
     """
-    spark = batch.sparkSession
-    old = latest(spark, path)
-    rows = batch if old is None else old.unionByName(batch)
-    best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(stamp, client)).alias("r")).select("r.*")
-    version = len(_versions(spark, path))
-    best.write.parquet(f"{path}/v={version:08d}")
-
-
-def _versions(spark, path: str) -> list[str]:
-    """Complete versions at ``path``, oldest first: a write that is not finished has no _SUCCESS file."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(where):
-        return []
-    found = [str(x.getPath()) for x in fs.listStatus(where) if x.isDirectory()]
-    return sorted(x for x in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{x}/_SUCCESS")))
-
-
-def latest(spark, path: str) -> DataFrame | None:
-    """The newest complete version of an upserted table, or None."""
-    found = _versions(spark, path)
-    return spark.read.parquet(found[-1]) if found else None
+
+    def publish(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number <= (store.note(spark, path, vertical, "batch") if store.note(spark, path, vertical, "batch") is not None else -1):
+            return
+        now = snapshots.last_of(batch, key)
+        reports = reports_of(batch)
+        before = store.read_snapshot(spark, path, vertical)
+        if before is None:
+            kept, changes = now.withColumn("status", F.lit("new")), None
+        else:
+            kept = snapshots.retain(before, now.withColumn("status", F.lit(None).cast("string")), pages.impaired(reports), key)
+            kept, changes = snapshots.reconcile(before, kept), snapshots.item_changes(before, kept, key)
+        tables = {"items": kept, "reports": reports} | ({"changes": changes} if changes is not None else {})
+        store.write_snapshot(spark, path, vertical, tables, str(number), {"batch": number})
+
+    return snapshot_batches(items, publish, checkpoint)

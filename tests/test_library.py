@@ -200,15 +200,15 @@ def test_streaming(spark, tmp_path):
 
 
 def test_upserts_keep_the_latest_record(spark, tmp_path):
-    from feedloom.streaming import feeds
+    from feedloom import store
 
     path = str(tmp_path / "vault")
     rec = lambda rows: spark.createDataFrame(rows, "k string, at int, c string, v string")
-    assert feeds.latest(spark, path) is None
-    feeds.upsert(rec([("a", 1, "x", "one"), ("b", 5, "x", "b")]), path, "k", "at", "c")
-    feeds.upsert(rec([("a", 2, "x", "two"), ("b", 4, "z", "old"), ("c", 1, "x", "c")]), path, "k", "at", "c")
-    feeds.upsert(rec([("a", 2, "x", "two"), ("b", 4, "z", "old"), ("c", 1, "x", "c")]), path, "k", "at", "c")  # again
-    assert {r.k: r.v for r in feeds.latest(spark, path).collect()} == {"a": "two", "b": "b", "c": "c"}
+    assert store.table(spark, path) is None
+    store.upsert(rec([("a", 1, "x", "one"), ("b", 5, "x", "b")]), path, "k", "at", "c", buckets=4)
+    store.upsert(rec([("a", 2, "x", "two"), ("b", 4, "z", "old"), ("c", 1, "x", "c")]), path, "k", "at", "c", buckets=4)
+    store.upsert(rec([("a", 2, "x", "two"), ("b", 4, "z", "old"), ("c", 1, "x", "c")]), path, "k", "at", "c", buckets=4)  # again
+    assert {r.k: r.v for r in store.table(spark, path).collect()} == {"a": "two", "b": "b", "c": "c"}
 
 
 def test_entry_survives_without_extras():

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import ingest, serve, snapshots, state, studies
-from feedloom.sources import feeds
+from feedloom.sources import feeds, pages
 
 
 def ts(x):
@@ -14,7 +14,7 @@ def ts(x):
 
 
 def put(path, text):
-    path.write_text(text if isinstance(text, str) else json.dumps(text))
+    path.write_text(text if isinstance(text, str) else json.dumps(text, indent=1))  # over many lines, as servers send it
     return str(path)
 
 
@@ -76,8 +76,7 @@ def test_calendars_and_listings(spark, tmp_path):
     assert set(got) == {"1", "2", "3"}
     assert (str(got["1"].starts_at), str(got["1"].ends_at), got["1"].is_all_day) == ("2026-09-06 18:00:00", "2026-09-06 20:00:00", False)
     assert (str(got["2"].starts_at), str(got["2"].ends_at), got["2"].is_all_day) == ("2026-09-06 05:00:00", "2026-09-08 05:00:00", True) and str(got["3"].starts_at) == "2026-09-09 18:00:00"
-    with pytest.raises(ValueError, match="no event card"):
-        feeds.event_listing(spark.createDataFrame([(1, "<p>nothing</p>")], "page int, html string"), ts("2026-09-01"))
+    assert feeds.event_listing(spark.createDataFrame([(1, "<p>nothing</p>")], "page int, html string"), ts("2026-09-01")).count() == 0
 
 
 def test_preprint_pages(spark, tmp_path):
@@ -87,16 +86,23 @@ def test_preprint_pages(spark, tmp_path):
     none = put(tmp_path / "n.json", {"messages": [{"status": "no posts found"}], "collection": []})
     assert feeds.preprints(spark, none).count() == 0
     bad = put(tmp_path / "b.json", {"messages": [{"status": "error 500"}], "collection": []})
-    with pytest.raises(Exception, match="the feed answered"):
-        feeds.preprints(spark, bad).collect()
+    assert feeds.preprints(spark, bad).count() == 0
+    r = pages.report(pages.landed(spark, bad), feeds.PREPRINT_PAGES, "biorxiv").first()
+    assert (r.failed_requests, r.error, r.warnings) == (1, "1 page(s): the feed answered: error 500", ["1 page(s): the feed answered: error 500"])
 
 
 def test_works(spark, tmp_path):
     w = lambda i, **k: {"id": f"https://x.org/W{i}000", "title": f"t{i}", "publication_date": f"2026-01-0{i}", "type": "article", "abstract_inverted_index": {"b": [1], "a": [0]}, **k}
-    p = put(tmp_path / "w.json", {"results": [w(1), w(2, type="preprint"), w(3, type="paratext"), w(4, is_paratext=True), w(5, type=None)]})
+    p = put(tmp_path / "w.json", {"results": [w(1), w(2, type="preprint"), w(3, type="paratext"), w(4, is_paratext=True), w(5, type=None), w(6, type="book"), w(7, type="dataset")]})
     got = {r.title: (r.kind, r.openalex_id, r.abstract) for r in feeds.works(spark, p).collect()}
-    assert got == {"t1": ("journal-article", "W1000", "a b"), "t2": ("preprint", "W2000", "a b"), "t5": ("journal-article", "W5000", "a b")}
-    assert feeds.works(spark, p, most=1).first().title == "t5" and feeds.works(spark, p, since=F.lit("2026-01-02").cast("date")).count() == 2
+    assert got == {"t1": ("journal-article", "W1000", "a b"), "t2": ("preprint", "W2000", "a b"), "t5": ("other", "W5000", "a b"), "t6": ("other", "W6000", "a b")}
+    assert feeds.works(spark, p, most=1).first().title == "t6" and feeds.works(spark, p, since=F.lit("2026-01-02").cast("date")).count() == 3
+    more = w(1, doi="https://doi.org/10.1/A", ids={"pmid": "https://x.org/77", "pmcid": "PMC1"}, cited_by_count=3, referenced_works=["https://openalex.org/W2000", "odd"], topics=[{"display_name": "T"}], primary_location={"landing_page_url": "u", "source": {"display_name": "J"}},
+             open_access={"is_oa": True, "oa_url": "oa"}, best_oa_location={"pdf_url": None}, authorships=[{"author": {"display_name": "Doe", "orcid": "0-1"}, "institutions": [{"display_name": "Lab"}]}, {"author": {"display_name": "Roe"}, "institutions": [], "raw_affiliation_strings": ["Raw"]}, {"author": {}}])
+    r = feeds.works(spark, put(tmp_path / "m.json", {"results": [more]}), channel="q").first()
+    assert (r.journal, r.is_open_access, r.open_access_url, r.pmid, r.url, r.channel, r.topics, r.references) == ("J", True, "oa", "77", "u", "q", ["T"], ["W2000"])
+    assert [tuple(a) for a in r.authors] == [("Doe", "0-1", "Lab"), ("Roe", None, "Raw")] and r.identity[0] == "openalex:w1000" and r.identity[-1] == "pmid:77"
+
 
 
 def test_leagues(spark):
@@ -194,3 +200,79 @@ def test_study_text(spark):
     got = spark.createDataFrame([(k, v) for k, v in cases.items()], "x string, want string").select("x", "want", T.study_text(F.col("x")).alias("got")).collect()
     assert all(r.got == r.want == pay.plain_text(r.x) for r in got)
     assert [r[0] for r in spark.createDataFrame([("alpha beta gamma",), ("short",), ("abcdefghijklmnop",)], "x string").select(T.truncate(F.col("x"), 12)).collect()] == ["alpha beta…", "short", "abcdefghijk…"]
+
+
+def test_broken_pages_are_reported_and_good_ones_read(spark, tmp_path):
+    one = lambda i: {"title": f"T{i}", "doi": f"10.1101/{i}", "date": "2026-01-01", "version": "1", "published": "NA", "server": "bioRxiv", "authors": "A"}
+    where = tmp_path / "bio"
+    where.mkdir()
+    for n, page in enumerate([{"messages": [{"status": "ok"}], "collection": [one(1), one(2)]}, {"messages": [{"status": "ok"}], "collection": [one(3), {**one(4), "title": {"odd": 1}}]}, {"other": 1}]):
+        put(where / f"{n}.json", page)
+    (where / "3.json").write_text('{"messages": [{"status": "ok"}], "collection": [{"title"')
+    (where / "4.json").write_text(" ")
+    assert {r.doi for r in feeds.preprints(spark, str(where)).collect()} >= {"10.1101/1", "10.1101/2", "10.1101/3"}
+    r = pages.report(pages.landed(spark, str(where)), feeds.PREPRINT_PAGES, "biorxiv", asked=6).first()
+    assert (r.pages, r.failed_requests, r.error, r.fetch_source) == (5, 4, None, "live") and r.item_count == 4
+    assert {"1 page(s): the page lacks its records", "1 page(s): the page is not JSON", "1 page(s): the page is empty", "1 page(s) never landed"} <= set(r.warnings)
+    assert {(f.page.rsplit("/")[-1], f.fault) for f in pages.faults(pages.landed(spark, str(where)), feeds.PREPRINT_PAGES, "b").collect()} == {("2.json", "the page lacks its records"), ("3.json", "the page is not JSON"), ("4.json", "the page is empty")}
+    none = pages.report(pages.landed(spark, str(tmp_path / "nowhere")), feeds.WORKS_PAGES, "openalex")
+    both = pages.report(pages.landed(spark, str(where)), feeds.PREPRINT_PAGES, "biorxiv").unionByName(none)
+    assert {r.source: (r.status, r.failed_requests) for r in serve.source_health(both).collect()} == {"openalex": ("failed", 1), "biorxiv": ("degraded", 3)}
+    assert both.select(*[c.split()[0] for c in pages.REPORT.split(", ")]).columns == both.columns
+    # what the outage hid stays, what a healthy source no longer has goes
+    items = lambda *rows: spark.createDataFrame(rows, "id string, sources array<string>, status string")
+    before = items(("gone", ["biorxiv"], "new"), ("left", ["pubmed"], "new"), ("half", ["biorxiv", "pubmed"], "new"))
+    kept = snapshots.retain(before, items(("now", ["pubmed"], "new")), pages.impaired(both))
+    assert {(r.id, r.status) for r in kept.collect()} == {("now", "new"), ("gone", "unchanged")}
+
+
+def test_broken_xml_and_html_pages(spark):
+    rows = [("a", "<Set><PubmedArticle><MedlineCitation><PMID>7</PMID></MedlineCitation></PubmedArticle><PubmedArticle><MedlineCitation><PMID>8"), ("b", "oops"), ("c", "<Set/>"), ("d", "<Set><PubmedArticle><MedlineCitation><PMID>9</PMID></MedlineCitation></PubmedArticle></Set>")]
+    xml = spark.createDataFrame(rows, "page string, body string")
+    assert [r.MedlineCitation.PMID for r in pages.records(xml, feeds.ARTICLE_PAGES).collect()] == ["9"]
+    r = pages.report(xml, feeds.ARTICLE_PAGES, "pubmed").first()
+    assert (r.pages, r.item_count, r.failed_requests, r.warnings) == (4, 1, 2, ["1 page(s): the page is cut short", "1 page(s): the page is not XML"])
+    html = spark.createDataFrame([("1", "<p>nothing</p>")], "page string, body string")
+    assert pages.report(html, feeds.LISTING_PAGES, "listing").first().error == "1 page(s): the page holds no event card"
+
+
+def test_pages_as_a_stream(spark, tmp_path):
+    where = tmp_path / "in"
+    where.mkdir()
+    put(where / "a.json", {"results": [{"id": "W1", "title": "t"}]})
+    (where / "b.json").write_text("not json")
+    q = pages.parsed(pages.landed(spark, str(where), streaming=True), feeds.WORKS_PAGES).select("page", "fault", "n").writeStream.format("memory").queryName("landed_pages").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination()
+    assert {(r.fault, r.n) for r in spark.table("landed_pages").collect()} == {(None, 1), ("the page is not JSON", 0)}
+
+
+def _listing(i, text="", **k):
+    meta = {"irb_number": f"IRB2025-{i}", "minimum_age": "18", "maximum_age": "120", "irb_approval_date": "01/15/2026", "compensation": "$30", "duration": "Two visits, each 1 hour", "lifecycle": "6", **k}
+    return {"id": i, "title": {"rendered": f"Study {i}"}, "excerpt": {"rendered": ""}, "content": {"rendered": f"<p>We meet on Zoom. {text}</p>"}, "modified_gmt": "2026-01-02T00:00:00", "date_gmt": "2025-12-01T00:00:00", "meta": meta}
+
+
+def test_a_poisoned_listing_is_quarantined(spark, tmp_path):
+    raw = feeds.studies(spark, put(tmp_path / "s.json", [_listing(1), _listing(2, "POISON"), _listing(3, "ODD"), _listing(4, irb_approval_date="")]))
+    whole = {r.id: r for r in ingest.study_list(raw, ts("2026-02-01")).collect()}
+
+    def read(field, time, body):
+        if "POISON" in (body or ""):
+            raise ZeroDivisionError("no such pay")
+        return studies.read_listing(field, time, body)
+
+    def criteria(title, excerpt, body, low, high):
+        if "ODD" in (body or ""):
+            raise KeyError("criteria")
+        return studies.eligibility(title, excerpt, body, low, high)
+
+    rows, bad, lines = ingest.study_run(raw, ts("2026-02-01"), read=read, criteria=criteria)
+    got = {r.id: r for r in rows.collect()}
+    assert set(whole) == {"1", "2", "3", "4"} and set(got) == {"1", "3", "4"}
+    q = bad.collect()
+    assert [(r.id, r.error) for r in q] == [("2", "ZeroDivisionError: no such pay")] and json.loads(q[0].raw)["compensation"] == "$30"
+    assert {r.warning for r in lines.collect()} == {"1 listing(s) could not be read: ZeroDivisionError: no such pay", "1 listing(s) kept with criteria by age alone: KeyError: 'criteria'"}
+    same = lambda r: {k: v for k, v in r.asDict().items() if k not in ("degraded", "eligibility")}
+    assert all(same(got[i]) == same(whole[i]) for i in got) and got["1"].eligibility == whole["1"].eligibility
+    assert (got["3"].eligibility.min_age, got["3"].eligibility.max_age, got["3"].eligibility.flags, got["3"].degraded) == (18, None, [], "KeyError: 'criteria'")
+    assert whole["4"].staleness in ("fresh", "stale", "aging") and whole["1"].degraded is None
+    assert all(df.count() == 0 for df in ingest.study_run(raw.where("false"), ts("2026-02-01")))
