@@ -248,10 +248,16 @@ def search(vectors: DataFrame, every: int, k: int = K) -> DataFrame:
     groups = max(1, -(-n_queries // GROUP))
     cell = F.xxhash64("t", "bucket", "block")  # two cells of one number are visited together, no more
     cut = indexed.join(sizes, ["t", "bucket"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    cut = cut.select(cell.alias("cell"), "vec_id", "v").withColumn("part", deal("cell", many)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    cut = cut.select(cell.alias("cell"), "vec_id", "v").withColumn("part", deal("cell", many))
     visits = queries.mapInArrow(visit, "t int, bucket long, query_id long").join(sizes, ["t", "bucket"])
     visits = visits.select("query_id", "t", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("query_id", cell.alias("cell"))
-    asked = visits.groupBy("query_id", deal("cell", many).alias("part")).agg(F.collect_set("cell").alias("cells")).withColumn("group", deal("query_id", groups))
+    visits = visits.withColumn("group", deal("query_id", groups))
+    if groups > 1:
+        visits = materialize(visits)
+        cut = cut.join(visits.select("cell", (F.col("group") + 0).alias("group")).distinct(), "cell")  # a cell goes to the groups that visit it, and to no other
+    else:
+        cut = cut.withColumn("group", F.lit(0))
+    asked = visits.groupBy("query_id", "group", deal("cell", many).alias("part")).agg(F.collect_set("cell").alias("cells"))
     asked = asked.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     merged = materialize(merge(cut, asked))
     full = merged.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1))

@@ -3,13 +3,13 @@
 Counts are discounted by Good-Turing up to LAST, the freed mass of each context backs off to the next lower order, with weights that
 normalise exactly over the vocabulary and one class of unknown words:
 
-    P(w | t, u) = d(c) c(t, u, w) / c(t, u)     if c(t, u, w) > CUT
+    P(w | t, u) = d(c) c(t, u, w) / c(t, u)     if c(t, u, w) > cut
                 = a(t, u) P(w | u)              otherwise, a(t, u) = (1 - sum of the above) / (1 - sum of P(w | u) over the same w)
     P(w | u)    = d(c) c(u, w) / c(u)           if c(u, w) > 0
                 = a(u) P1(w)                    otherwise, a(u) likewise
     P1(w)       = (c(w) + 0.5) / (N + 0.5 (V + 1))
 
-Trigrams that training has CUT times or less back off, as is usual at the highest order; their mass is freed with the rest.  A text's first word has the start
+``cut`` is 0: every trigram of training counts.  With a larger one, trigrams that training has ``cut`` times or less back off, and their mass is freed with the rest.  A text's first word has the start
 as its context alone, its second the start and the first.  A context that training never saw, or that keeps no trigram, backs off with weight 1.  A context without
 freed mass (all counts above LAST) gives up one count in c + 1.  Words, bigrams and trigrams are 64-bit hashes.  All statistics cover all training rows.
 
@@ -17,7 +17,7 @@ Documents are packed into blocks of BLOCK bytes.  A block asks for each of its d
 compressed keys with its own counts, dealt by range of hash; a range sums what all blocks send and answers each of them
 with the totals in the order of its keys.  So the counts are a table partitioned by range and block.  For each n-gram
 one block is named owner: it adds the n-gram to its context's sums, which a smaller exchange of contexts turns into
-backoff weights.  Then the same is done for trigrams, level by level: a block asks only for those both of whose bigrams training has more than CUT times, as no other
+backoff weights.  Then the same is done for trigrams, level by level: a block asks only for those both of whose bigrams training has more than ``cut`` times, as no other
 can be kept; the totals, with the lower order's probabilities, give the sums of contexts, and these the weights.
 
 Skew: a key is one entry a block, however often it occurs.  Memory: a block and a range of about BUCKET bytes of text, or the
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .shared import crc_of_id, discard, materialize, session, table, tidy
 from .words import LOWER, U, hashed, mix, texts_of
 
-LAST, CUT = 5, 1
+LAST = 5
 START, END = 1, 2  # context of a text's first word, and the token after its last
 BLOCK, BUCKET = 5 << 20, 8 << 20
 TOLD = [f"s{r}" for r in range(1, LAST + 2)]
@@ -141,25 +141,25 @@ class Tokens:
         v = np.concatenate([unpacked(x, np.int64) for deal, x in told if deal >= 0])
         return v >> 1, (v & 1) > 0, np.concatenate([unpacked(x, np.int64) for deal, x in told if deal < 0]) >> 1
 
-    def thirds(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def thirds(self, c: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens whose trigram may be kept, distinct trigram hashes, each such token's place among them); ``c``: totals of bigrams."""
         first = np.zeros(len(self.word), bool)
         first[self.starts] = True
         at = np.flatnonzero(~first)
-        at = at[(c[self.bigram[at - 1]] > CUT) & (c[self.bigram[at]] > CUT)]
+        at = at[(c[self.bigram[at - 1]] > cut) & (c[self.bigram[at]] > cut)]
         keys, place = np.unique(mix(self.bigrams[self.bigram[at - 1]] * U(0xC2B2AE3D27D4EB4F) + self.words[self.word[at]]), return_inverse=True)
         return at, keys, place.astype(np.int32)
 
 
-def turing(count_of: dict[int, int]) -> list[float]:
-    """Good-Turing discounts for counts 1 to LAST where counts up to CUT are not kept: r* / r with r* = (r + 1) n(r + 1) / n(r); (r - 1/2) / r where that is no discount."""
+def turing(count_of: dict[int, int], cut: int) -> list[float]:
+    """Good-Turing discounts for counts 1 to LAST where counts up to ``cut`` are not kept: r* / r with r* = (r + 1) n(r + 1) / n(r); (r - 1/2) / r where that is no discount."""
     n = lambda r: count_of.get(r, 0)
-    ratio = [(r + 1) * n(r + 1) / n(r) / r if n(r) and r > CUT else -1.0 for r in range(1, LAST + 1)]
+    ratio = [(r + 1) * n(r + 1) / n(r) / r if n(r) and r > cut else -1.0 for r in range(1, LAST + 1)]
     return [d if 0 < d < 1 else (r - 0.5) / r for r, d in enumerate(ratio, 1)]
 
 
 def discounts(count_of: dict[int, int]) -> list[float]:
-    """Katz's discounts for counts 1 to LAST from the numbers of bigrams seen once, twice, ...; (r - 1/2) / r where those give none."""
+    """Katz's discounts for counts 1 to LAST from the numbers of n-grams seen once, twice, ...; (r - 1/2) / r where those give none."""
     n = lambda r: count_of.get(r, 0)
     out = []
     for r in range(1, LAST + 1):
@@ -298,7 +298,8 @@ def _contexts(block: int, level: int, keys: np.ndarray, where: np.ndarray, c: np
     return out
 
 
-def score(g: DataFrame, m: Katz) -> DataFrame:
+def score(g: DataFrame, m: Katz, cut: int = 0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.  ``cut``: trigrams that training has so often or less back off."""
     spark = g.sparkSession
     kind = g.schema["doc_ids"].dataType.elementType.simpleString()
     total, held, ranges, n = m.n + 0.5 * (m.v + 1), np.array([0.0, *m.held]), m.ranges, m.n
@@ -311,7 +312,7 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
         c, own, cw = t.bigram_state(list(zip(right.column("deal").to_pylist(), right.column("v").to_pylist())))
         x = _seconds(t, c, cw, total, held)
         out = _contexts(row["block"], 2, t.words, x["u"][own], c[own], 2 * cw[x["w"][own]] + 1, cw, x["wanted"], ranges)  # P1 is (2 c + 1) / (2 total)
-        at, keys, place = t.thirds(c)
+        at, keys, place = t.thirds(c, cut)
         learnt = np.repeat(t.flags == 2, t.n)[at]
         counts = np.bincount(place, weights=learnt, minlength=len(keys)).astype(np.int64)
         out += [dict(block=row["block"], level=3, deal=r, keys=packed_keys(keys[s]), counts=packed(counts[s])) for r, s in dealt(keys, ranges)]
@@ -333,7 +334,8 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
     second = materialize(judged.groupBy("level", "deal").applyInArrow(answer, ddl(told)))
     tidy(spark)
     found = second.where("block is null").agg(*(F.sum(x).alias(x) for x in TOLD)).collect()[0]
-    held3 = np.array([0.0, *turing({r + 1: found[x] or 0 for r, x in enumerate(TOLD)})])
+    count_of = {r + 1: found[x] or 0 for r, x in enumerate(TOLD)}
+    held3 = np.array([0.0, *(turing(count_of, cut) if cut else discounts(count_of))])
     first = m.counts.where("block is not null").select("block", F.lit(1).alias("level"), "deal", "v", *[F.lit(None).cast("binary").alias(x) for x in ("la", "ls")])
     answers = first.unionByName(second.where("block is not null").select(first.columns))
     shape = {**CONTEXT, **{x: pa.binary() for x in TEXTS}}
@@ -354,13 +356,13 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
         late = np.flatnonzero(x["wait"])
         second[late] += np.where(x["seen"][t.bigram[late]], ls[t.context[late]], la[t.context[late]])
         del late, told
-        at, keys, place = t.thirds(c)
+        at, keys, place = t.thirds(c, cut)
         c3, mine = v >> 1, (v & 1) > 0
         some = np.empty(len(keys), np.int64)  # a token of each trigram
         some[place] = np.arange(len(at))
         some = at[some]
         over, cu = t.bigram[some - 1], np.maximum(c[t.bigram[some - 1]], 1)
-        kept = c3 > CUT
+        kept = c3 > cut
         share = np.where(c3 > LAST, c3, held3[np.minimum(c3, LAST)] * c3) / cu
         freed = np.zeros(len(t.bigrams), bool)
         freed[over[(c3 > 0) & (c3 <= LAST)]] = True
@@ -372,7 +374,7 @@ def score(g: DataFrame, m: Katz) -> DataFrame:
         is_kept = third >= 0
         is_kept[is_kept] = kept[third[is_kept]]
         back = (context >= 0) & ~is_kept
-        back[back] = c[context[back]] > CUT
+        back[back] = c[context[back]] > cut
         wait = back.copy()
         wait[is_kept] = ~freed[context[is_kept]]
         sure = second

@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .shared import crc_of_id, materialize, session, table
 from .words import BLOCK, LETTER, LOWER, SPACE, U, _cuts, mix, powers, prefix_sums, spans, texts_of
 
-SAMPLE_ROWS, MAX_FEATURES, LEAST_DOCS, SEED, CUT = 8000, 4000, 4, 7, 0.3
+SAMPLE_ROWS, SEED, CUT = 8000, 7, 0.3
+#: A sign counts as toxic from so many labelled documents, so many times the share in clean ones, and so many standard errors on.
+LEAST_DOCS, LEAST_RATIO, LEAST_Z = 4, 6, 4.5
 KINDS = 29
 CLASS = np.zeros(256, np.int32)
 CLASS[97:123] = np.arange(1, 27)
@@ -256,8 +258,8 @@ def char_model(docs: DataFrame) -> CharModel:
     return CharModel(out)
 
 
-def train(docs: DataFrame, labels: DataFrame, chars: CharModel, sample_rows: int = SAMPLE_ROWS) -> Toxic:
-    """Fit on at most ``sample_rows`` labelled ids.  Signs are counted by class in Spark; the driver sees the picked ones (MAX_FEATURES at most) and their places."""
+def train(docs: DataFrame, labels: DataFrame, chars: CharModel, sample_rows: int = SAMPLE_ROWS, least_docs: int = LEAST_DOCS, least_ratio: float = LEAST_RATIO, least_z: float = LEAST_Z) -> Toxic:
+    """Fit on at most ``sample_rows`` labelled ids.  Signs are counted by class in Spark; all that pass the test of ``least_docs``, ``least_ratio`` and ``least_z`` are used, and the driver sees these and their places."""
     session(docs.sparkSession)
     held_out = F.pmod(crc_of_id("doc_id"), F.lit(4)) == 2
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
@@ -278,10 +280,10 @@ def train(docs: DataFrame, labels: DataFrame, chars: CharModel, sample_rows: int
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return fit([np.empty(0, int)] * (n1 + n0), np.repeat([1, 0], [n1, n0]), np.empty(0, U))
-    by = seen.select("y", F.explode("signs").alias("sign")).groupBy("sign").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")).where(F.col("bad") >= LEAST_DOCS)
+    by = seen.select("y", F.explode("signs").alias("sign")).groupBy("sign").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")).where(F.col("bad") >= least_docs)
     share = (F.col("bad") + 0.5) / (n1 + 1) / ((F.col("good") + 0.5) / (n0 + 1))
     z = (F.col("bad") / n1 - F.col("good") / n0) / F.sqrt((F.col("bad") + F.col("good") + 1) / (n1 + n0) * (1 / n1 + 1 / n0))
-    top = by.withColumn("z", z).where((share > 6) & (F.col("z") > 4.5)).orderBy(F.desc("z"), "sign").limit(MAX_FEATURES).select("sign").collect()
+    top = by.withColumn("z", z).where((share > least_ratio) & (F.col("z") > least_z)).select("sign").collect()
     hashes = np.sort(np.array([r["sign"] for r in top], np.int64).view(U))
     picked = docs.sparkSession.sparkContext.broadcast(hashes)
 

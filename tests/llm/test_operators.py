@@ -127,10 +127,11 @@ def test_sketch_estimates_similarity():
         assert neardup.log_ratio(k[:1], k[1:2], n, n, j)[0] > -1e9 and neardup.log_ratio(k[:1], k[1:2], n, n, min(0.95, j + 0.35))[0] > 3
 
 
-def test_katz(spark, docs, empty):
+@pytest.mark.parametrize("cut", [0, 1])
+def test_katz(spark, docs, empty, cut):
     g = lm.grams(docs.select("doc_id", "text"))
     m = lm.train(g)
-    got = lm.score(g, m).collect()
+    got = lm.score(g, m, cut).collect()
     train = [w for i, t in enumerate(TEXTS) if zlib.crc32(str(i).encode()) % 5 != 1 for w in [[*words(t, True), b"</s>"]]]
     extra = [[*words(TEXTS[5], True), b"</s>"]] if zlib.crc32(b"5") % 5 != 1 else []
     c = Counter(w for t in train + extra for w in t)
@@ -150,11 +151,12 @@ def test_katz(spark, docs, empty):
         model[u] = (p, a)
         assert abs(sum(p.values()) + a * (1 - sum(map(p1, seen))) - 1) < 1e-9  # normalised over the vocabulary and the unknown class
     three = Counter((x, y, z) for t in train + extra for x, y, z in zip([b"<s>", *t], t, t[1:]))
-    g3 = lm.turing(Counter(k for k in three.values() if k <= lm.LAST + 1))
+    count_of = Counter(k for k in three.values() if k <= lm.LAST + 1)
+    g3 = lm.turing(count_of, cut) if cut else lm.discounts(count_of)
     p2 = lambda u, w: model[u][0][w] if u in model and w in model[u][0] else (model[u][1] if u in model else 1) * p1(w)
     upper = {}
     for x, y in {k[:2] for k in three}:
-        seen = {w: k for (a, b, w), k in three.items() if (a, b) == (x, y) and k > lm.CUT}
+        seen = {w: k for (a, b, w), k in three.items() if (a, b) == (x, y) and k > cut}
         if not seen:
             continue
         cu = two[x, y]

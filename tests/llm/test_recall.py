@@ -57,3 +57,21 @@ def test_held_out_labels(spark):
     model = quality.train(docs, labels.where(~kept_out))
     got = quality.score(docs, model).join(labels.where(kept_out), "doc_id").collect()
     assert len(got) > 50 and np.mean([r.keep == (r.quality == 1) for r in got]) >= 0.95
+
+
+@pytest.mark.parametrize("n", [1, 700])
+def test_op8_with_many_parts_cells_and_groups(spark, monkeypatch, n):
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((12, 8)) * 3
+    x = np.concatenate([centres[rng.integers(0, 12, n)] + rng.standard_normal((n, 8)) * 0.3, np.repeat(centres[:1], n // 3, axis=0)])  # a third are copies of one vector
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.search(df, 3, 5).collect()}
+    for name, value in (("GROUP", 8), ("PART", 64), ("CELL", 16)):
+        monkeypatch.setattr(ann, name, value)
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.search(df, 3, 5).collect()} == want
+    found = 0
+    for q in range(0, len(x), 3):
+        s = np.einsum("nd,d->n", x, x[q])
+        true = [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:5]
+        found += sum(abs(want[q, k + 1][1] - s[i]) < 1e-12 for k, i in enumerate(true))
+    assert n == 1 or found >= 0.9 * 5 * len(range(0, len(x), 3))
