@@ -38,6 +38,11 @@ STUDY_ENTITIES = {
 STUDY_BLOCKS = r"(?iU)<\s*/?\s*(?:br|p|div|li|ul|ol|tr|td|th|h[1-6]|section|article|blockquote|hr)(?![A-Za-z0-9_])[^>]*>"
 
 
+def by_locale(x: Column) -> Column:
+    """A text that sorts as people expect (the root order of ICU: accents and case come after letters), not by code point."""
+    return F.collate(x.cast("string"), "UNICODE")
+
+
 def js_round(x: Column) -> Column:
     """Halves go up, also below zero."""
     return F.floor(x + 0.5)
@@ -250,10 +255,6 @@ def xml_all(text: Column, tag: str) -> Column:
     return F.transform(found, lambda x: F.coalesce(x, F.lit("")))
 
 
-def xml_one(text: Column, tag: str) -> Column:
-    return F.try_element_at(xml_all(text, tag), F.lit(1))
-
-
 def xml_texts(text: Column, tag: str) -> Column:
     """Plain texts of each ``tag`` element, without empty ones."""
     return F.filter(F.transform(xml_all(text, tag), lambda x: collapse(decode_entities(F.regexp_replace(x, r"<[^>]*>", "")))), lambda x: x != "")

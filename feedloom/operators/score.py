@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_days_until, millis
-from ..functions.text import has_any, js_round, let, searchable
+from ..functions.text import by_locale, has_any, js_round, let, searchable
 from ..rules import interests
 
 FOR_YOU, FLOOR, ADJACENT_FLOOR = 55, 12, 30
@@ -32,7 +32,7 @@ def finalize(points: Column) -> Column:
 def tidy(df: DataFrame, key: str, column: str = "reasons") -> DataFrame:
     """Sum points by signal and label, drop zeros, order by size then label."""
     rows = df.select(key, F.explode(column).alias("r")).groupBy(key, "r.signal", "r.label").agg(F.sum("r.points").cast("int").alias("points")).where("points <> 0")
-    back = F.array_sort(F.collect_list(F.struct((-F.abs("points")).alias("o"), "label", "signal", "points")))
+    back = F.array_sort(F.collect_list(F.struct((-F.abs("points")).alias("o"), by_locale(F.col("label")).alias("k"), "label", "signal", "points")))
     return rows.groupBy(key).agg(F.transform(back, lambda r: F.struct(r["signal"].alias("signal"), r["label"].alias("label"), r["points"].alias("points"))).alias(column))
 
 
@@ -112,7 +112,7 @@ def _profile_reasons(matched: Column) -> Column:
 
 
 def tidied(all_reasons: Column) -> Column:
-    """Points summed by signal and label, without zeros, the largest first, then by label; one pass over sorted reasons, no shuffle."""
+    """Points summed by signal and label, without zeros, the largest first, then by label in the order of the locale; one pass over sorted reasons, no shuffle."""
     none = F.array().cast("array<struct<signal:string,label:string,points:int>>")
     one = lambda r, points: F.struct(r["signal"].alias("signal"), r["label"].alias("label"), points.alias("points"))
 
@@ -122,7 +122,7 @@ def tidied(all_reasons: Column) -> Column:
         return F.when(same, F.array_append(F.slice(acc, 1, F.size(acc) - 1), one(r, last["points"] + r["points"]))).otherwise(F.array_append(acc, one(r, r["points"])))
 
     summed = F.aggregate(F.array_sort(F.transform(all_reasons, lambda r: one(r, r["points"]))), none, step)
-    back = F.array_sort(F.transform(F.filter(summed, lambda r: r["points"] != 0), lambda r: F.struct((-F.abs(r["points"])).alias("o"), r["label"].alias("label"), r["signal"].alias("signal"), r["points"].alias("points"))))
+    back = F.array_sort(F.transform(F.filter(summed, lambda r: r["points"] != 0), lambda r: F.struct((-F.abs(r["points"])).alias("o"), by_locale(r["label"]).alias("k"), r["label"].alias("label"), r["signal"].alias("signal"), r["points"].alias("points"))))
     return F.transform(back, lambda r: one(r, r["points"]))
 
 

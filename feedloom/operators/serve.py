@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import millis
+from ..functions.text import by_locale
 
 
 def search_text(*parts: Column) -> Column:
@@ -141,8 +142,6 @@ def by_campus_date(starts: Column, occurred: Column, relevance: Column, id_: Col
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with each row's place in one order over all rows, from 1: rows are dealt by range and sorted in parallel, and each range begins where the ranges before it end."""
-    from pyspark.sql import Window
-
     from ..storage import materialize
 
     dealt = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
@@ -230,15 +229,32 @@ def topic_counts(items: DataFrame, rules: list[dict]) -> DataFrame:
     return terms.join(hits, "label", "left").select("id", "label", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
-def organizer_suggestions(events: DataFrame, prefix: str = "Organization: ", top: int = 200) -> DataFrame:
-    """Names a profile can follow: organisers and organisations named in tags, most events first, then by name."""
-    named = F.transform(F.filter("tags", lambda t: F.startswith(t, F.lit(prefix))), lambda t: F.substring(t, len(prefix) + 1, F.length(t)))
-    rows = events.select("id", F.explode(F.array_distinct(F.concat(F.array_compact(F.array(F.nullif(F.trim("organizer"), F.lit("")))), F.coalesce(named, F.array().cast("array<string>"))))).alias("name"))
-    return rows.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(top)
+def organizer_suggestions(events: DataFrame, pinned: list[str] = (), prefix: str = "organization: ", top: int = 60) -> DataFrame:
+    """Names a profile can follow: place, name, n (events that name it): the pinned ones first, then organisers, channels (array<string>, where rows have them) and organisations named in tags, most events first, then by name in the order of the locale."""
+    none = F.array().cast("array<string>")
+    named = F.transform(F.filter(F.coalesce("tags", none), lambda t: F.startswith(F.lower(t), F.lit(prefix))), lambda t: F.substring(t, len(prefix) + 1, F.length(t)))
+    channels = F.coalesce("channels", none) if "channels" in events.columns else none
+    own = F.array_compact(F.array(F.nullif(F.trim("organizer"), F.lit(""))))
+    counts = events.select(F.explode(F.array_distinct(F.concat(own, channels, named))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    best = counts.where(~F.col("name").isin(list(pinned)) if pinned else F.lit(True)).orderBy(F.desc("n"), by_locale(F.col("name"))).limit(top)
+    head = F.array(*[F.struct(F.lit(i).alias("o"), F.lit(p).alias("name")) for i, p in enumerate(dict.fromkeys(pinned))]) if pinned else F.array().cast("array<struct<o:int,name:string>>")
+    first = events.sparkSession.range(1).select(F.inline(head)).join(counts, "name", "left").select("o", "name", F.coalesce("n", F.lit(0)).alias("n"))
+    place = F.row_number().over(Window.orderBy("o", F.desc("n"), by_locale(F.col("name"))))  # of the pinned and ``top`` more
+    return first.unionByName(best.withColumn("o", F.lit(len(pinned)))).withColumn("place", place).where(F.col("place") <= top).select("place", "name", "n")
+
+
+def agenda(events: DataFrame, now: Column) -> DataFrame:
+    """id, day, label, place: events by civil day, in the order of ``by_campus_date`` within each, the undated in a last group of their own.  events: id, starts_at, relevance."""
+    from ..functions.dates import agenda_label, day_key
+
+    order = by_campus_date(F.col("starts_at"), F.lit(None).cast("timestamp"), F.col("relevance"), F.col("id"))
+    rows = ranked(events.select("id", "starts_at", "relevance", day_key(F.col("starts_at")).alias("day")), order, "__rank")
+    first = rows.groupBy("day").agg(F.min("__rank").alias("__first"))  # days follow one another, so each begins where its first event stands
+    return rows.join(F.broadcast(first), "day").select("id", "day", agenda_label(F.col("starts_at"), now).alias("label"), (F.col("__rank") - F.col("__first") + 1).alias("place"))
 
 
 def landing_counters(items: DataFrame, now: Column) -> DataFrame:
-    """One row of the numbers a landing page shows: items and items new this week by vertical, papers by band, events today."""
+    """One row of the numbers a landing page shows: items and items new this week by vertical, papers by band, events today and events with free food for certain (``food``, where rows have it)."""
     from ..functions.dates import calendar_days_until
 
     mine = lambda v: F.col("vertical") == v
@@ -246,13 +262,17 @@ def landing_counters(items: DataFrame, now: Column) -> DataFrame:
     return items.agg(
         F.count_if(mine("research")).alias("research"), F.count_if(mine("campus")).alias("campus"), F.count_if(mine("research") & fresh).alias("research_new"), F.count_if(mine("campus") & fresh).alias("campus_new"),
         F.count_if(F.col("band") == "core").alias("core"), F.count_if(F.col("band") == "methods").alias("methods"), F.count_if(mine("campus") & (calendar_days_until(F.col("starts_at"), now) == 0)).alias("today"),
+        F.count_if(mine("campus") & (F.col("food.tier") == "confirmed") if "food" in items.columns else F.lit(False)).alias("free_food"),
     )
 
 
+def change_counts(changes: DataFrame) -> DataFrame:
+    """Changes by kind, most first."""
+    return changes.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind")
+
+
 def run_summary(items: DataFrame) -> DataFrame:
     """Counts by vertical and band or category, and the five most relevant of each vertical, as lines of one report: section, name, n or relevance."""
-    from pyspark.sql import Window
-
     kind = F.coalesce("band", "category")
     counts = items.groupBy(F.col("vertical").alias("section"), kind.alias("name")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("vertical").orderBy(F.desc("relevance"), "id")

@@ -100,9 +100,31 @@ def watched(events: DataFrame, user: str, listing: str, name: str) -> DataFrame:
     return n.where("n % 2 = 1").drop("n")
 
 
+def _client(records: DataFrame, client: str) -> Column:
+    """What client ids are ordered by."""
+    from ..functions.text import by_locale
+
+    return by_locale(F.col(client)).alias("__client") if records.schema[client].dataType.typeName() == "string" else F.col(client)
+
+
 def last_writer(records: DataFrame, key: str, stamp: str, client: str, value: str) -> DataFrame:
     """The record with the latest stamp, then the largest client id."""
-    return records.groupBy(key).agg(F.max_by(value, F.struct(stamp, client)).alias(value), F.max(stamp).alias(stamp))
+    return records.groupBy(key).agg(F.max_by(value, F.struct(stamp, _client(records, client))).alias(value), F.max(stamp).alias(stamp))
+
+
+def reconcile_records(records: DataFrame, key: str, stamp: str, client: str, visit: str) -> DataFrame:
+    """One record of each key from all sides: the last writer's, with the latest ``visit`` of any side, since a visit is never undone."""
+    names = [c for c in records.columns if c not in (key, visit)]
+    best = records.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(stamp, _client(records, client))).alias("r"), F.max(visit).alias(visit))
+    return best.select(key, "r.*", visit)
+
+
+def clear_all(records: DataFrame, keys: DataFrame, key: str, stamp: str, clock: Column, state: str = "state") -> DataFrame:
+    """``records`` with those of ``keys`` emptied: what is left is an empty state with a newer stamp, which wins over copies on other clients, as a deleted row would not."""
+    gone = F.coalesce(F.col("__gone"), F.lit(False))
+    rows = records.join(keys.select(key, F.lit(True).alias("__gone")).distinct(), key, "left")
+    empty = parse_state(F.lit("{}")) if records.schema[state].dataType.typeName() == "struct" else F.lit("{}")
+    return rows.withColumns({state: F.when(gone, empty).otherwise(F.col(state)), stamp: F.when(gone, F.greatest(clock, F.col(stamp) + 1)).otherwise(F.col(stamp))}).drop("__gone").select(*records.columns)
 
 
 def apply_remote(local: DataFrame, remote: DataFrame, key: str, stamp: str) -> DataFrame:

@@ -95,7 +95,7 @@ def q_tidy(reasons: list[str]) -> str:
     return f"list_filter([{', '.join(reasons)}], lambda r: r.p IS NOT NULL AND r.p <> 0)"
 
 
-Q_TOLD = "array_to_string(list_transform(list_sort(list_transform(rs, lambda r: {'o': -abs(r.p), 'l': r.l, 's': r.s, 'p': r.p})), lambda r: r.s || '/' || r.l || '/' || r.p), '; ')"
+Q_TOLD = "array_to_string(list_transform(list_sort(list_transform(rs, lambda r: {'o': -abs(r.p), 'k': lower(r.l), 'l': r.l, 's': r.s, 'p': r.p})), lambda r: r.s || '/' || r.l || '/' || r.p), '; ')"
 Q_SUM = "CAST(greatest(0, least(100, coalesce(list_sum(list_transform(rs, lambda r: r.p)), 0))) AS INTEGER)"
 
 
@@ -357,7 +357,7 @@ def band_facets(spark, d):
 
 
 @query(PAPERS + f""" SELECT doc_id, array_to_string(list_distinct_ordered, ',') AS signals FROM (SELECT doc_id, list_filter(x, lambda v, i: list_position(x, v) = i) AS list_distinct_ordered
-FROM (SELECT doc_id, list_transform(list_filter(list_sort(list_transform(rs, lambda r: {{'o': -abs(r.p), 'l': r.l, 's': r.s, 'p': r.p}})), lambda r: r.p > 0), lambda r: r.s) AS x FROM s))""")
+FROM (SELECT doc_id, list_transform(list_filter(list_sort(list_transform(rs, lambda r: {{'o': -abs(r.p), 'k': lower(r.l), 'l': r.l, 's': r.s, 'p': r.p}})), lambda r: r.p > 0), lambda r: r.s) AS x FROM s))""")
 def signals_of(spark, d):
     return _scored(spark, d).select("doc_id", serve.signals_of(F.col("reasons")).alias("signals"))
 
@@ -860,17 +860,33 @@ def recently_added(spark, d):
     return serve.recently_added(t(spark, d, "events").withColumnRenamed("ts", "first_seen"), at("2024-01-31")).select("event_id")
 
 
-@query("""WITH x AS (SELECT trim(source) AS n FROM documents UNION ALL SELECT lang FROM documents WHERE lang <> source) SELECT n AS name, count(*) AS n FROM x GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200""")
+@query("""WITH x AS (SELECT trim(source) AS n FROM documents UNION ALL SELECT lang FROM documents WHERE lang <> source), c AS (SELECT n AS name, count(*) AS n FROM x GROUP BY 1), p AS (SELECT * FROM (VALUES (0, 'src3'), (1, 'A club'), (2, 'fr')) v(o, name)),
+r AS (SELECT o, name, coalesce(n, 0) AS n FROM p LEFT JOIN c USING (name) UNION ALL SELECT 3, name, n FROM c WHERE name NOT IN (SELECT name FROM p)) SELECT * FROM (SELECT CAST(row_number() OVER (ORDER BY o, n DESC, name) AS INTEGER) AS place, name, n FROM r) WHERE place <= 60""")
 def organizer_suggestions(spark, d):
     x = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("organizer"), F.array(F.concat(F.lit("Organization: "), "lang"), F.lit("other")).alias("tags"))
-    return serve.organizer_suggestions(x)
+    return serve.organizer_suggestions(x, ["src3", "A club", "fr"])
+
+
+@query(f"""WITH x AS (SELECT event_id AS id, CASE WHEN event_id % 10 > 0 THEN ts END AS starts_at, CAST(floor(value) AS INTEGER) AS rel FROM events), y AS (SELECT *, coalesce(strftime({q_local('starts_at')}, '%Y-%m-%d'), 'undated') AS day, {q_days('starts_at', "TIMESTAMP '2024-01-15 00:00:00'")} AS n FROM x)
+SELECT id, day, CASE WHEN n IS NULL THEN 'Open listing' WHEN n < 0 THEN 'Earlier today' WHEN n = 0 THEN 'Today' WHEN n = 1 THEN 'Tomorrow' WHEN n <= 7 THEN 'This week' WHEN n <= 14 THEN 'Next week' ELSE 'Coming up' END AS label,
+row_number() OVER (PARTITION BY day ORDER BY starts_at, rel DESC, id) AS place FROM y""")
+def agenda_lists(spark, d):
+    x = t(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 10 > 0, F.col("ts")).alias("starts_at"), F.floor("value").cast("int").alias("relevance"))
+    return serve.agenda(x, at("2024-01-15"))
+
+
+@query("""WITH r AS (SELECT user_id, event_type, event_id % 7 AS stamp, 'c' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS client, ts FROM events) SELECT user_id, arg_max(event_type, (stamp, client)) AS state, max(stamp) AS stamp, arg_max(client, (stamp, client)) AS client, max(ts) AS last_visit FROM r GROUP BY 1""")
+def vault_reconciled(spark, d):
+    """Every event as a client's copy of its user's record."""
+    r = t(spark, d, "events").select("user_id", F.col("event_type").alias("state"), (F.col("event_id") % 7).alias("stamp"), F.concat(F.lit("c"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("client"), F.col("ts").alias("last_visit"))
+    return state.reconcile_records(r, "user_id", "stamp", "client", "last_visit")
 
 
 @query(f"""SELECT count(*) FILTER (WHERE event_type < 'p') AS research, count(*) FILTER (WHERE event_type >= 'p') AS campus, count(*) FILTER (WHERE event_type < 'p' AND ts >= TIMESTAMP '2024-01-23') AS research_new, count(*) FILTER (WHERE event_type >= 'p' AND ts >= TIMESTAMP '2024-01-23') AS campus_new,
-count(*) FILTER (WHERE event_id % 3 = 0) AS core, count(*) FILTER (WHERE event_id % 3 = 1) AS methods, count(*) FILTER (WHERE event_type >= 'p' AND {q_days('ts', "TIMESTAMP '2024-01-30 00:00:00'")} = 0) AS today FROM events""")
+count(*) FILTER (WHERE event_id % 3 = 0) AS core, count(*) FILTER (WHERE event_id % 3 = 1) AS methods, count(*) FILTER (WHERE event_type >= 'p' AND {q_days('ts', "TIMESTAMP '2024-01-30 00:00:00'")} = 0) AS today, count(*) FILTER (WHERE event_type >= 'p' AND event_id % 4 = 0) AS free_food FROM events""")
 def landing_counters(spark, d):
     k = F.col("event_id")
-    x = t(spark, d, "events").select(F.when(F.col("event_type") < "p", "research").otherwise("campus").alias("vertical"), F.col("ts").alias("first_seen"), F.col("ts").alias("starts_at"), F.when(k % 3 == 0, "core").when(k % 3 == 1, "methods").alias("band"))
+    x = t(spark, d, "events").select(F.when(F.col("event_type") < "p", "research").otherwise("campus").alias("vertical"), F.col("ts").alias("first_seen"), F.col("ts").alias("starts_at"), F.when(k % 3 == 0, "core").when(k % 3 == 1, "methods").alias("band"), F.struct(F.when(k % 4 == 0, "confirmed").otherwise("none").alias("tier")).alias("food"))
     return serve.landing_counters(x, at("2024-01-30"))
 
 

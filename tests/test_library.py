@@ -277,3 +277,60 @@ def test_digests_of_two_years_stay(spark, tmp_path):
     got = sorted(r.week_of for r in q.QUERIES["merge_digests_lww"](spark, str(tmp_path)).collect())
     weeks = sorted({r.w for r in e.selectExpr("cast(date_trunc('week', ts) as date) AS w").collect()})
     assert len(weeks) == 110 and got == weeks[-104:]
+
+
+def test_locale_order(spark):
+    from feedloom.functions.text import by_locale
+    from feedloom.operators import score
+
+    names = ["Zebra", "éclair", "apple", "Éclair", "Apple", "zebra", "eclair", "ähnlich", "b-c", "b c", "Öl"]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(by_locale(F.col("n"))).collect()]
+    assert got == ["ähnlich", "apple", "Apple", "b c", "b-c", "eclair", "éclair", "Éclair", "Öl", "zebra", "Zebra"]
+    labels = [("topic", "Zebra", 5), ("topic", "éclair", 5), ("topic", "apple", -5), ("topic", "Apple", 5), ("topic", "eclair", 9)]
+    df = spark.createDataFrame([(labels,)], "r array<struct<signal:string,label:string,points:int>>")
+    assert [r.label for r in df.select(score.tidied(F.col("r")).alias("t")).first().t] == ["eclair", "apple", "Apple", "éclair", "Zebra"]
+    rec = spark.createDataFrame([("k", 1, "B-client", "late"), ("k", 1, "a-client", "early"), ("k", 0, "z", "old")], "k string, at int, c string, v string")
+    assert state.last_writer(rec, "k", "at", "c", "v").first().v == "late"
+
+
+def test_suggestions_and_agenda(spark):
+    rows = [(1, "Zed", ["Organization: Éa", "x"], ["Chan"]), (2, "zed", ["organization: Ea"], None), (3, None, None, ["Chan"]), (4, "Pin", [], [])]
+    df = spark.createDataFrame(rows, "id int, organizer string, tags array<string>, channels array<string>")
+    assert [tuple(r) for r in serve.organizer_suggestions(df, ["Pin", "New"], top=6).orderBy("place").collect()] == [(1, "Pin", 1), (2, "New", 0), (3, "Chan", 2), (4, "Ea", 1), (5, "Éa", 1), (6, "zed", 1)]
+    days = [(1, "2026-09-01 20:00:00", 5), (2, "2026-09-02 03:00:00", 9), (3, "2026-09-02 15:00:00", 1), (4, None, 3), (5, "2026-09-02 03:00:00", 9)]
+    x = spark.createDataFrame(days, "id int, s string, relevance int").withColumn("starts_at", F.col("s").cast("timestamp"))
+    got = {r.id: (r.day, r.label, r.place) for r in serve.agenda(x, F.lit("2026-09-01 12:00:00").cast("timestamp")).collect()}
+    assert got == {1: ("2026-09-01", "Today", 1), 2: ("2026-09-01", "Today", 2), 5: ("2026-09-01", "Today", 3), 3: ("2026-09-02", "Tomorrow", 1), 4: ("undated", "Open listing", 1)}
+    kinds = serve.change_counts(spark.createDataFrame([("time",), ("title",), ("time",)], "kind string"))
+    assert [tuple(r) for r in kinds.collect()] == [("time", 2), ("title", 1)]
+    assert serve.of_category(spark.createDataFrame([("a", "x"), ("b", "y")], "id string, category string"), "y").first().id == "b"
+
+
+def test_records_of_several_clients(spark):
+    rec = spark.createDataFrame([("k", 2, "a", '{"schema_version":1,"saved":["x"]}', "2026-01-01"), ("k", 1, "b", "{}", "2026-03-01"), ("j", 1, "a", "{}", None)], "k string, at long, c string, state string, visit string")
+    got = {r.k: (r["at"], r.state, r.visit) for r in state.reconcile_records(rec, "k", "at", "c", "visit").collect()}
+    assert got == {"k": (2, '{"schema_version":1,"saved":["x"]}', "2026-03-01"), "j": (1, "{}", None)}
+    one = rec.where("c = 'a'")
+    cleared = state.clear_all(one, one.where("k = 'k'").select("k"), "k", "at", F.lit(1))
+    back = {r.k: (r["at"], r.state) for r in state.reconcile_records(cleared.unionByName(rec.where("k = 'k'")), "k", "at", "c", "visit").collect()}
+    assert back == {"k": (3, "{}"), "j": (1, "{}")}  # the tombstone wins over every copy
+    text = state.export(one.where("k = 'k'").withColumn("s", state.parse_state(F.col("state"))), "s").select(state.parse_state(F.col("s")).alias("again"))
+    assert text.first().again.saved == ["x"]
+    v = spark.range(1).select(*[state.valid_write(F.lit(a).cast("long"), F.lit(b), F.lit(s)).alias(f"v{i}") for i, (a, b, s) in enumerate([(None, 1, 5), (5, 5, 5), (5, 6, 5), (5, 6, 1 << 21)])]).first()
+    assert tuple(v) == (True, False, True, False)
+    p = spark.range(1).select(state.profile_answers({"age": F.lit(3), "sex": F.lit(None).cast("string"), "student": F.lit(False)}).alias("n")).first()
+    assert p.n == 2
+
+
+def test_small_text_and_date_functions(spark):
+    from feedloom.functions import dates as D
+    from feedloom.functions import text as T
+    from feedloom.operators import message, score
+
+    w = lambda x: F.array(*[F.lit(y) for y in x.split()])
+    r = one(spark, same=T.title_similarity(w("a b c"), w("a b c")), part=T.title_similarity(w("a b c d"), w("a b x d")), sentences=T.sentences(F.lit("One is here. Two  came!\nthree\n\n Four? $5 now")), days=D.days_between(F.lit("2026-01-01 00:00:00").cast("timestamp"), F.lit("2026-01-02 12:00:00").cast("timestamp")))
+    assert r.same == 1.0 and r.part == pytest.approx(0.6 * 3 / 5 + 0.4 * 1 / 5) and r.sentences == ["One is here.", "Two came!", "three", "Four?", "$5 now"] and r.days == 1
+    why = spark.createDataFrame([([("t", "A", 5), ("t", "B", -2), ("t", "C", 1), ("t", "D", 1), ("t", "E", 1)],), ([("t", "B", -2)],)], "r array<struct<signal:string,label:string,points:int>>")
+    assert [x.h for x in why.select(score.headline(F.col("r"), F.lit("s" * 200)).alias("h")).collect()] == ["A · C · D", "s" * 120]
+    assert [x.m for x in spark.createDataFrame([("",), (None,), ("word " * 400,), ("word " * 9000,)], "t string").select(score.reading_minutes(F.col("t")).alias("m")).collect()] == [8, 8, 20, 45]
+    assert "@" not in one(spark, s=message.scrub(F.lit("mail a@b.org now"))).s
