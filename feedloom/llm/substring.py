@@ -105,6 +105,94 @@ def _row_key(words: bytes) -> int:
     return int.from_bytes(hashlib.sha256(words).digest()[:8], "big", signed=True)
 
 
+def _unpacked(group: pa.Table) -> tuple[list[tuple[int, int, bytes]], list[np.ndarray]]:
+    """(rows that were settled before, [hashes, second hashes, row ids, row keys, places] of the other windows)."""
+    found: list[tuple[int, int, bytes]] = []
+    cols = {n: group.column(n).to_pylist() for n in ("settled", "ids", "keys", "h", "g", "at", "d")}
+    out: list[list[np.ndarray]] = [[np.empty(0, t)] for t in (U, np.uint32, np.int64, np.int64, np.int32)]
+    for i, done in enumerate(cols["settled"]):
+        own, key = np.frombuffer(cols["ids"][i], np.int64), np.frombuffer(cols["keys"][i], np.int64)
+        if done:
+            found.append((int(own[0]), int(key[0]), cols["at"][i]))
+            continue
+        d = np.frombuffer(cols["d"][i], np.uint16)
+        for to, x in zip(out, (np.frombuffer(cols["h"][i], U), np.frombuffer(cols["g"][i], np.uint32), own[d], key[d], np.frombuffer(cols["at"][i], np.int32))):
+            to.append(x)
+    return found, [np.concatenate(x) for x in out]
+
+
+def _least(h: np.ndarray, g: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows in order, and the smallest id of each."""
+    order = np.lexsort((own, g, h))
+    h, g, own = h[order], g[order], own[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    return h[new], g[new], own[new]
+
+
+def _place(h: np.ndarray, g: np.ndarray, of_h: np.ndarray, of_g: np.ndarray) -> np.ndarray:
+    """Where each window (h, g) stands among distinct ones in order, of which it is one."""
+    both, which = np.unique(np.concatenate([of_h, h]), return_inverse=True)
+    key, known = which.astype(U) << U(32), len(of_h)
+    return np.searchsorted(key[:known] | of_g.astype(U), key[known:] | g.astype(U))
+
+
+def _hits(found: list[tuple[int, int, bytes]], own: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.Table:
+    """Packed places by row."""
+    order = np.lexsort((at, key, own))
+    at, own, key = at[order], own[order], key[order]
+    cut = np.concatenate([[0], np.flatnonzero((np.diff(own) != 0) | (np.diff(key) != 0)) + 1, [len(own)]]) if len(own) else [0]
+    found = found + [(int(own[a]), int(key[a]), at[a:e].tobytes()) for a, e in zip(cut[:-1], cut[1:])]
+    one, two, three = zip(*found) if found else ((), (), ())
+    return pa.table([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(three, pa.binary())], names=["doc_id", "w", "at"])
+
+
+def _settled(dealt: DataFrame) -> DataFrame:
+    """doc_id, w, at (packed places): windows that a smaller id has too.
+
+    The windows of one range meet in one task.  A range of more than four times its due, as a passage in many documents makes, is cut into parts first: each part's smallest ids, then the smallest of
+    these, a row a part, and that answer goes back to the parts.  Only distinct windows meet, and a hash deals these evenly.
+    """
+    hits, kind = "doc_id long, w long, at binary", {"h": pa.binary(), "g": pa.binary(), "least": pa.binary()}
+
+    def settle(group: pa.Table) -> pa.Table:
+        found, (h, g, own, key, at) = _unpacked(group)
+        dh, dg, least = _least(h, g, own)
+        hit = own > least[_place(h, g, dh, dg)] if len(h) else np.zeros(0, bool)
+        return _hits(found, own[hit], key[hit], at[hit])
+
+    def answer(r: int, h: np.ndarray, g: np.ndarray, own: np.ndarray) -> pa.Table:
+        return pa.table([pa.array([r], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in _least(h, g, own)]], names=["r", *kind])
+
+    def first(group: pa.Table) -> pa.Table:
+        _, (h, g, own, _, _) = _unpacked(group)
+        return answer(group.column("r")[0].as_py(), h, g, own)
+
+    def joined(rows: pa.Table) -> list[np.ndarray]:
+        return [np.concatenate([np.frombuffer(x, t) for x in rows.column(n).to_pylist()]) for n, t in (("h", U), ("g", np.uint32), ("least", np.int64))]
+
+    def merge(group: pa.Table) -> pa.Table:
+        return answer(group.column("r")[0].as_py(), *joined(group))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        found, (h, g, own, key, at) = _unpacked(left)
+        dh, dg, least = joined(right)
+        hit = own > least[_place(h, g, dh, dg)] if len(h) else np.zeros(0, bool)
+        return _hits(found, own[hit], key[hit], at[hit])
+
+    sizes = dealt.groupBy("r").agg(F.sum(F.octet_length("h") / 8).alias("n"))
+    heavy = materialize(sizes.where(F.col("n") > 4 * RANGE).select("r", F.ceil(F.col("n") / RANGE).cast("int").alias("parts")))
+    known = F.broadcast(heavy)  # a row for each 4 * RANGE windows at most
+    out = dealt.join(known, "r", "left_anti").groupBy("r").applyInArrow(settle, hits)
+    if heavy.isEmpty():
+        return out
+    hot = dealt.join(known, "r").withColumn("part", F.pmod(F.xxhash64("ids", "at"), F.col("parts")).cast("int")).drop("parts")
+    firsts = hot.groupBy("r", "part").applyInArrow(first, "r int, h binary, g binary, least binary")
+    best = firsts.groupBy("r").applyInArrow(merge, "r int, h binary, g binary, least binary")
+    told = best.join(known, "r").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return out.unionByName(hot.groupBy("r", "part").cogroup(told.groupBy("r", "part")).applyInArrow(compare, hits))
+
+
 def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(scan of docs, the rows that lose words: doc_id, w, n_removed, kept (text of the kept words))."""
     session(docs.sparkSession)
@@ -176,37 +264,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
                 kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 6)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["r", "settled", "ids", "keys", "h", "g", "at", "d"])
 
-    def settle(group: pa.Table) -> pa.Table:
-        """Windows of one range that a smaller id has too, as packed places by row."""
-        found: list[tuple[int, int, bytes]] = []
-        cols = {n: group.column(n).to_pylist() for n in group.column_names}
-        hs, gs, ats, ids, keys = [], [], [], [], []
-        for i, done in enumerate(cols["settled"]):
-            own, key = np.frombuffer(cols["ids"][i], np.int64), np.frombuffer(cols["keys"][i], np.int64)
-            if done:
-                found.append((int(own[0]), int(key[0]), cols["at"][i]))
-                continue
-            d = np.frombuffer(cols["d"][i], np.uint16)
-            for to, x in ((hs, np.frombuffer(cols["h"][i], U)), (gs, np.frombuffer(cols["g"][i], np.uint32)), (ats, np.frombuffer(cols["at"][i], np.int32)), (ids, own[d]), (keys, key[d])):
-                to.append(x)
-        if hs:
-            h, g, at, own, key = (np.concatenate(x) for x in (hs, gs, ats, ids, keys))
-            order = np.lexsort((own, g, h))
-            h, g, at, own, key = h[order], g[order], at[order], own[order], key[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-            hit = own > own[new][np.cumsum(new) - 1]
-            at, own, key = at[hit], own[hit], key[hit]
-            order = np.lexsort((at, key, own))
-            at, own, key = at[order], own[order], key[order]
-            cut = np.concatenate([[0], np.flatnonzero((np.diff(own) != 0) | (np.diff(key) != 0)) + 1, [len(own)]]) if len(own) else [0]
-            found += [(int(own[a]), int(key[a]), at[a:e].tobytes()) for a, e in zip(cut[:-1], cut[1:])]
-        one, two, three = zip(*found) if found else ((), (), ())
-        return pa.table([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(three, pa.binary())], names=["doc_id", "w", "at"])
-
     ours = some.select(F.col("doc_id").cast("long").alias("doc_id"), "w", "z", "spans")
-    dealt = ours.mapInArrow(exact, "r int, settled boolean, ids binary, keys binary, h binary, g binary, at binary, d binary")
-    hits = dealt.groupBy("r").applyInArrow(settle, "doc_id long, w long, at binary").groupBy("doc_id", "w").agg(F.collect_list("at").alias("hits"))
+    dealt = materialize(ours.mapInArrow(exact, "r int, settled boolean, ids binary, keys binary, h binary, g binary, at binary, d binary"))
+    hits = _settled(dealt).groupBy("doc_id", "w").agg(F.collect_list("at").alias("hits"))
     cut = ours.select("doc_id", "w", "z").join(hits, ["doc_id", "w"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

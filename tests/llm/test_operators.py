@@ -184,6 +184,23 @@ def test_katz(spark, docs, empty, cut):
     assert lm.score(e, lm.train(e)).count() == 0
 
 
+def test_a_range_of_many_copies_is_settled_in_parts(spark, monkeypatch):
+    shared = [" ".join(f"s{j}w{i}" for i in range(70)) for j in range(3)]
+    rows = [(i, f"own{i} a{i} b{i} " + shared[i % 3 if i % 4 else 0] + f" end{i}" + (f" {shared[1]}" if i % 7 == 0 else "")) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    monkeypatch.setattr(substring, "session", lambda s: s)  # small batches, so that copies meet in a range
+    want = {(r.doc_id, r.n_removed, r.kept) for r in substring.repeats(df)[1].collect()}
+    parts = []
+    for size in (200, 40):
+        monkeypatch.setattr(substring, "RANGE", size)
+        real = substring._settled
+        monkeypatch.setattr(substring, "_settled", lambda d, real=real: parts.append(d.groupBy("r").agg(F.sum(F.octet_length("h") / 8).alias("n")).where(F.col("n") > 4 * substring.RANGE).count()) or real(d))
+        assert {(r.doc_id, r.n_removed, r.kept) for r in substring.repeats(df)[1].collect()} == want
+        monkeypatch.setattr(substring, "_settled", real)
+    assert all(parts) and len(want) > 200
+
+
 def test_substring(docs, empty):
     rows, lost = substring.repeats(docs)
     gone = {r.doc_id: (r.n_removed, r.kept) for r in lost.collect()}
