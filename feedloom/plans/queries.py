@@ -1107,6 +1107,43 @@ def eligibility_verdict(spark, d):
 
 
 _C2 = lambda x: f"floor(({x}) * 100 + 0.5) / 100"
+
+
+def _listings(spark, d):
+    """Documents as study listings: pay in its own field or else in the body, before the document's text; two listings in a row share an approval number."""
+    k = F.col("doc_id")
+    n = (F.col("n_chars") % 90 + 10).cast("string")
+    says = F.when(k % 2 == 0, F.concat(F.lit("<p>Participants will receive $"), n, F.lit(" for taking part. Thank you.</p>"))).otherwise("")
+    return t(spark, d, "documents").select(
+        k.cast("string").alias("id"), F.concat(F.lit("Study of "), F.col("source")).alias("title"), F.lit("").alias("excerpt"), F.concat(says, F.lit("<p>"), "text", F.lit("</p>")).alias("body"), F.when(k % 2 == 1, F.concat(F.lit("$"), n)).otherwise("").alias("compensation"),
+        F.when(k % 3 == 0, "2 hours").when(k % 3 == 1, "90 minutes").otherwise("").alias("duration"), F.lit(None).cast("string").alias("expires"), F.when(k % 5 > 0, "01/15/2024").alias("approved"), at("2024-01-01").alias("posted"),
+        F.timestamp_seconds(1_704_067_200 + (k % 7) * 86_400).alias("modified"), F.when(k % 4 > 0, F.concat(F.lit("irb-"), F.floor(k / 2).cast("string"))).alias("irb_number"), F.lit("18").alias("min_age"), F.when(k % 6 > 0, "65").otherwise("120").alias("max_age"), F.array().cast("array<bigint>").alias("term_ids"),
+    )
+
+
+@query(f"""WITH x AS (SELECT doc_id, n_chars % 90 + 10 AS n, CASE doc_id % 3 WHEN 0 THEN 2.0 WHEN 1 THEN 1.5 END AS h, CASE WHEN doc_id % 4 > 0 THEN doc_id // 2 END AS irb, doc_id % 7 AS age FROM documents),
+y AS (SELECT *, CASE WHEN irb IS NOT NULL THEN first_value(doc_id) OVER (PARTITION BY irb ORDER BY age DESC, doc_id DESC) ELSE doc_id END AS kept FROM x)
+SELECT CAST(doc_id AS VARCHAR) AS id, CAST(n AS DOUBLE) AS pay, {_C2('n / h')} AS rate, CASE WHEN h IS NULL THEN 'unknown' ELSE 'whole-study' END AS basis, CASE WHEN h IS NULL THEN 'unknown' WHEN n / h < 10 THEN 'low' WHEN n / h < 20 THEN 'ok' WHEN n / h < 40 THEN 'good' ELSE 'great' END AS bucket,
+CASE WHEN doc_id % 5 > 0 THEN 'fresh' ELSE 'stale' END AS staleness, 18 AS min_age, CASE WHEN doc_id % 6 > 0 THEN 65 END AS max_age, CASE WHEN kept <> doc_id THEN CAST(kept AS VARCHAR) END AS duplicate_of FROM y""")
+def study_rows(spark, d):
+    """Listings as a run leaves them: pay and time read, the rate, staleness, ages, and which listing stands for a repeated approval."""
+    rows, _, _ = ingest.study_run(_listings(spark, d), at("2024-02-01"))
+    return rows.select("id", F.col("guaranteed_max").alias("pay"), "rate", "basis", "bucket", "staleness", "eligibility.min_age", "eligibility.max_age", "duplicate_of")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS rows, count(DISTINCT doc_id) AS kept, CAST(count(*) FILTER (WHERE doc_id % 10 = 3) AS BIGINT) AS lost FROM documents")
+def study_quarantine(spark, d):
+    """A reader that stumbles over every tenth listing: the others stay, and each lost one is named once."""
+
+    def read(field, time, body):
+        if body.startswith("<p>BAD"):
+            raise ValueError("bad listing")
+        return studies.read_listing(field, time, body)
+
+    raw = _listings(spark, d).withColumn("body", F.when(F.col("id").cast("long") % 10 == 3, F.concat(F.lit("<p>BAD"), "body")).otherwise(F.col("body")))
+    rows, bad, _ = ingest.study_run(raw, at("2024-02-01"), read=read)
+    both = rows.select("id", F.lit(0).alias("bad")).unionByName(bad.where("error = 'ValueError: bad listing' and length(raw) > 2").select("id", F.lit(1).alias("bad")))
+    return both.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("kept"), F.sum("bad").alias("lost"))
 RATES = f"""WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 17 = 0 THEN l_quantity END AS hourly, l_orderkey % 19 = 0 AS raffle, CASE WHEN l_orderkey % 5 = 0 THEN l_extendedprice END AS per, CASE WHEN l_orderkey % 23 > 0 THEN l_extendedprice + CASE WHEN l_orderkey % 5 = 0 THEN 20 ELSE 0 END END AS gmin,
 CASE WHEN l_orderkey % 5 > 0 AND l_orderkey % 23 > 0 THEN l_extendedprice END AS gmax, CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber + 1 END AS a, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber + 2 END AS b, CASE WHEN l_orderkey % 29 > 0 THEN l_quantity END AS hrs, l_orderkey % 7 = 0 AND l_linenumber % 2 = 1 AS per_s FROM lineitem),
 s AS (SELECT *, coalesce(gmax, gmin) AS pay, floor(hrs * 60 + 0.5) / 60 AS h, per IS NOT NULL AND gmax IS NULL AND gmin >= per AND gmin < 2 * per AS bv FROM r),
