@@ -15,7 +15,8 @@ from ..operators import pay as P
 from ..rules import interests
 from ..rules import lexicons as L
 from ..sources import feeds
-from ..storage import spread
+from ..sources import pages
+from ..storage import folder, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -956,15 +957,12 @@ def state_marks(spark, d):
 @query(ORACLES["state_marks"])
 def stream_marks(spark, d):
     """The same marks, folded by a stream with keyed state; each key's last output counts."""
-    import uuid
-
-    from ..storage import shared_dir
     from ..streaming import feeds as streams
     from ..streaming import keyed
 
     kinds = F.array(*[F.lit(x) for x in ("save", "attend", "dismiss", "track", "more", "less")])
     e = _stream(spark, d).withColumn("kind", F.element_at(kinds, (F.col("event_id") % 6 + 1).cast("int")))
-    path = f"{shared_dir(spark)}/feedloom-{uuid.uuid4().hex}"
+    path = folder(spark)
     running = keyed.marks(e, "user_id", "event_type", "kind", "ts", "event_id")
     streams.snapshot_batches(running, lambda batch, i: batch.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{path}/out/batch={i}"), f"{path}/checkpoint", "update").awaitTermination()
     rows = spark.read.parquet(f"{path}/out")
@@ -1284,6 +1282,88 @@ def studies_counts(spark, d):
     return serve.studies_api(x, at("2024-02-01"), ["contact_email"], "text")[0].drop("fetched_at")
 
 
+# --- Connectors: documents landed as pages of 50 records, every seventh page cut in half ------------------------------------
+
+_CUT = "doc_id // 50 % 7 <> 3"
+
+
+def _land(spark, d, record, wrap) -> str:
+    """Files of one page each: ``wrap`` of the page's records."""
+    rows = t(spark, d, "documents").select(F.floor(F.col("doc_id") / 50).alias("page"), "doc_id", record.alias("r"))
+    listed = rows.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "r"))), lambda x: x["r"]).alias("rs"))  # 50 records
+    body = wrap(F.col("rs"))
+    path = folder(spark)
+    listed.select(F.when(F.col("page") % 7 == 3, F.substring(body, F.lit(1), F.floor(F.length(body) / 2).cast("int"))).otherwise(body).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+_DAY = "strftime(DATE '2024-01-01' + CAST(doc_id % 400 AS INTEGER), '%Y-%m-%d')"
+_KINDS = ["article", "preprint", "review", "book", "dissertation", "dataset", "paratext"]
+
+
+def _works_page(spark, d):
+    k, s = F.col("doc_id"), lambda x: F.concat(F.lit(x), F.col("doc_id").cast("string"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (k % 7 + 1).cast("int"))
+    words = F.array_distinct(F.filter(F.split("text", r"[^\p{L}]+"), lambda w: w != ""))
+    index = F.map_from_arrays(words, F.transform(words, lambda w, i: F.array(i)))
+    people = F.transform(F.sequence(F.lit(1), (k % 3 + 1).cast("int")), lambda i: F.struct(F.struct(F.concat(F.lit("P"), i.cast("string")).alias("display_name")).alias("author"), F.array(F.struct(F.col("source").alias("display_name"))).alias("institutions")))
+    record = F.struct(
+        s("https://openalex.org/W1000").alias("id"), F.when(k % 3 > 0, s("https://doi.org/10.1000/A")).alias("doi"), F.col("source").alias("title"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 400).cast("int")), "yyyy-MM-dd").alias("publication_date"), kind.alias("type"),
+        (k % 50).alias("cited_by_count"), (k % 13 == 0).alias("is_paratext"), index.alias("abstract_inverted_index"), people.alias("authorships"),
+        F.struct((k % 2 == 0).alias("is_oa"), s("https://oa/").alias("oa_url")).alias("open_access"), F.struct(F.struct(F.col("lang").alias("display_name")).alias("source")).alias("primary_location"),
+    )
+    return _land(spark, d, F.to_json(record), lambda rs: F.concat(F.lit('{"results": [\n'), F.array_join(rs, ",\n"), F.lit("\n]}")))
+
+
+@query(f"""WITH x AS (SELECT *, list_filter(string_split_regex(text, '[^\p{{L}}]+'), lambda w: w <> '') AS ws FROM documents) SELECT 'W1000' || doc_id AS openalex_id, CASE WHEN doc_id % 3 > 0 THEN '10.1000/a' || doc_id END AS doi, {_DAY} AS day, ({q_list(['journal-article', 'preprint', 'review', 'other', 'other'])})[CAST(doc_id % 7 + 1 AS INTEGER)] AS kind,
+CAST(doc_id % 50 AS INTEGER) AS cited_by, lang AS journal, doc_id % 2 = 0 AS is_open_access, 'https://oa/' || doc_id AS open_access_url, CAST(doc_id % 3 + 1 AS INTEGER) AS n_authors, source AS affiliation, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i), ' ') AS abstract FROM x WHERE {_CUT} AND doc_id % 7 < 5 AND doc_id % 13 > 0""")
+def works_pages(spark, d):
+    r = feeds.works(spark, _works_page(spark, d), most=1 << 30)
+    return r.select("openalex_id", "doi", F.date_format("published_date", "yyyy-MM-dd").alias("day"), "kind", "cited_by", "journal", "is_open_access", "open_access_url", F.size("authors").alias("n_authors"), F.get("authors", F.lit(0))["affiliation"].alias("affiliation"), "abstract")
+
+
+def _preprint_page(spark, d):
+    k = F.col("doc_id")
+    record = F.struct(
+        F.concat(F.lit(" "), "source").alias("title"), F.lit("Doe J; Roe R;").alias("authors"), F.concat(F.lit("10.1101/"), k.cast("string")).alias("doi"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 400).cast("int")), "yyyy-MM-dd").alias("date"), (k % 3 + 1).cast("string").alias("version"),
+        F.col("lang").alias("category"), F.col("text").alias("abstract"), F.when(k % 4 == 0, "NA").otherwise(F.concat(F.lit("10.1000/J"), k.cast("string"))).alias("published"), F.when(k % 2 == 0, "bioRxiv").otherwise("medRxiv").alias("server"),
+    )
+    return _land(spark, d, record, lambda rs: F.to_json(F.struct(F.array(F.struct(F.lit("ok").alias("status"))).alias("messages"), rs.alias("collection"))))
+
+
+@query(f"""SELECT '10.1101/' || doc_id AS doi, source AS title, len(['Doe J', 'Roe R']) AS n_authors, {_DAY} AS day, CAST(doc_id % 3 + 1 AS INTEGER) AS preprint_version, CASE WHEN doc_id % 4 > 0 THEN '10.1000/j' || doc_id END AS published_doi, doc_id % 4 > 0 AS is_superseded,
+CASE WHEN doc_id % 2 = 0 THEN 'biorxiv' ELSE 'medrxiv' END AS source, md5(trim(text)) AS abstract FROM documents WHERE {_CUT}""")
+def preprint_pages(spark, d):
+    r = feeds.preprints(spark, _preprint_page(spark, d), most=1 << 30)
+    return r.select("doi", "title", F.size("authors").cast("long").alias("n_authors"), F.date_format("published_date", "yyyy-MM-dd").alias("day"), "preprint_version", "published_doi", "is_superseded", "source", F.md5("abstract").alias("abstract"))
+
+
+def _article_page(spark, d):
+    k, tag = F.col("doc_id"), lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    when = F.concat(tag("Year", F.lit("2024")), F.when(k % 2 == 0, tag("Month", F.lit("Mar"))).otherwise(""))
+    article = F.concat(tag("ArticleTitle", T.xml_escape(F.concat(F.lit("A & B <"), "source", F.lit(">")))), tag("Journal", F.concat(tag("Title", F.col("lang")), tag("JournalIssue", tag("PubDate", when)))), tag("Abstract", F.concat(F.lit('<AbstractText Label="AIM">'), T.xml_escape(F.col("source")), F.lit("</AbstractText>"), tag("AbstractText", F.lit("second")))))
+    ids = F.concat(F.lit('<ArticleId IdType="doi">10.1000/P'), k.cast("string"), F.lit('</ArticleId><ArticleId IdType="pmc">PMC'), k.cast("string"), F.lit("</ArticleId>"))
+    record = tag("PubmedArticle", F.concat(tag("MedlineCitation", F.concat(tag("PMID", k.cast("string")), tag("Article", article))), tag("PubmedData", tag("ArticleIdList", ids))))
+    return _land(spark, d, record, lambda rs: F.concat(F.lit("<Set>\n"), F.array_join(rs, "\n"), F.lit("\n</Set>")))
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS pmid, '10.1000/p' || doc_id AS doi, 'pmc' || doc_id AS pmcid, 'A & B <' || source || '>' AS title, 'AIM: ' || source || ' second' AS abstract, lang AS journal, CASE WHEN doc_id % 2 = 0 THEN '2024-03-01' ELSE '2024-01-01' END AS day, 'journal-article' AS kind FROM documents WHERE {_CUT}""")
+def article_pages(spark, d):
+    r = feeds.pubmed(spark, _article_page(spark, d))
+    return r.select("pmid", "doi", "pmcid", "title", "abstract", "journal", F.date_format("published_date", "yyyy-MM-dd").alias("day"), "kind")
+
+
+@query(f"""WITH p AS (SELECT doc_id // 50 AS page, count(*) AS n FROM documents GROUP BY 1), s AS (SELECT * FROM (VALUES ('articles', 'cut short'), ('preprints', 'not JSON'), ('works', 'not JSON')) v(source, why))
+SELECT source, 'degraded' AS status, count(*) AS pages, CAST(sum(CASE WHEN page % 7 <> 3 THEN n ELSE 0 END) AS BIGINT) AS item_count, count(*) FILTER (WHERE page % 7 = 3) + 2 AS failed_requests, count(*) FILTER (WHERE page % 7 = 3) || ' page(s): the page is ' || any_value(why) || '; 2 page(s) never landed' AS warnings FROM p, s GROUP BY 1""")
+def page_reports(spark, d):
+    """Reports of the three sources, of which two pages more were asked for than landed."""
+    made = [("works", feeds.WORKS_PAGES, _works_page), ("preprints", feeds.PREPRINT_PAGES, _preprint_page), ("articles", feeds.ARTICLE_PAGES, _article_page)]
+    asked = t(spark, d, "documents").select(F.floor(F.col("doc_id") / 50)).distinct().count() + 2
+    each = [pages.report(pages.landed(spark, land(spark, d)), kind, source, asked) for source, kind, land in made]
+    graded = serve.source_health(each[0].unionByName(each[1]).unionByName(each[2]))
+    return graded.select("source", "status", "pages", "item_count", "failed_requests", F.array_join("warnings", "; ").alias("warnings"))
+
+
 # --- Streams: the same tables read as streams, all that is there, and the last state of each result --------------------
 
 
@@ -1293,12 +1373,9 @@ def _stream(spark, d):
 
 
 def _arrived(spark, result: DataFrame, mode: str) -> DataFrame:
-    import uuid
-
-    from ..storage import shared_dir
     from ..streaming import feeds as streams
 
-    path = f"{shared_dir(spark)}/feedloom-{uuid.uuid4().hex}"
+    path = folder(spark)
     streams.snapshot_batches(result, lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out"), f"{path}/checkpoint", mode).awaitTermination()
     return spark.read.parquet(f"{path}/out")
 

@@ -29,8 +29,10 @@ def newest(rows: DataFrame, most: int, when: Column, id_: str, by: str | None =
     """At most ``most`` rows, or of each value of ``by``, the newest first: a source's own cap on what it delivers."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    return rows.withColumn("__place", F.row_number().over(w.orderBy(when.desc_nulls_last(), F.col(id_)))).where(F.col("__place") <= most).drop("__place")
+    order = [when.desc_nulls_last(), F.col(id_)]
+    if by is None:
+        return rows.orderBy(*order).limit(most)
+    return rows.withColumn("__place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__place") <= most).drop("__place")
 
 
 def one_of(rows: DataFrame, key: list[str], order: str | None = None) -> DataFrame:

@@ -68,7 +68,7 @@ def parsed(pages: DataFrame, kind: Kind) -> DataFrame:
         told = kind.broken(field)
         fault = fault.when(told.isNotNull(), told)
     fault = fault.when(held.isNull() & F.col("__bad").isNotNull(), f"the page is not {kind.form.upper()}").when(held.isNull(), "the page lacks its records")
-    rows = rows.withColumns({"fault": fault, "note": F.when(F.col("__bad").isNotNull(), "some fields could not be read")})
+    rows = rows.withColumn("fault", fault).withColumn("note", F.when(F.col("fault").isNull() & F.col("__bad").isNotNull(), "some fields could not be read"))
     return rows.withColumn("n", F.when(F.col("fault").isNull(), F.size(held)).otherwise(0).cast("long")).drop("__bad")
 
 

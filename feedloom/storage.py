@@ -23,12 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new place in the shared folder, that ``release`` deletes with the tables."""
+    path = f"{shared_dir(spark)}/feedloom-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/feedloom-{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.option("compression", codec).parquet(path)
-    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
