@@ -1353,6 +1353,40 @@ def article_pages(spark, d):
     return r.select("pmid", "doi", "pmcid", "title", "abstract", "journal", F.date_format("published_date", "yyyy-MM-dd").alias("day"), "kind")
 
 
+def _literature_page(spark, d):
+    k = F.col("doc_id")
+    urls = F.array(F.struct(F.lit("html").alias("documentStyle"), F.lit("OA").alias("availabilityCode"), F.lit("h").alias("url")), F.struct(F.lit("pdf").alias("documentStyle"), F.when(k % 2 == 0, "OA").otherwise("S").alias("availabilityCode"), F.concat(F.lit("p"), k.cast("string")).alias("url")))
+    record = F.struct(
+        F.when(k % 4 > 0, k.cast("string")).alias("id"), F.when(k % 3 == 0, "PPR").otherwise("MED").alias("source"), F.concat(F.lit("doi: 10.1000/L"), k.cast("string")).alias("doi"), F.concat(F.lit("<i>"), "source", F.lit("</i>  &amp; more")).alias("title"), F.lit("Doe J, Roe R.").alias("authorString"),
+        F.when(k % 5 > 0, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 400).cast("int")), "yyyy-MM-dd")).alias("firstPublicationDate"), F.lit("2022").alias("pubYear"), F.when(k % 2 == 0, "Y").otherwise("N").alias("isOpenAccess"), (k % 30).cast("int").alias("citedByCount"),
+        F.struct(F.array(F.when(k % 7 == 0, "Review").otherwise("Letter")).alias("pubType")).alias("pubTypeList"), F.struct(urls.alias("fullTextUrl")).alias("fullTextUrlList"), F.struct(F.struct(F.col("lang").alias("title")).alias("journal")).alias("journalInfo"),
+    )
+    return _land(spark, d, F.to_json(record), lambda rs: F.concat(F.lit('{"resultList": {"result": ['), F.array_join(rs, ", "), F.lit("]}}")))
+
+
+@query(f"""SELECT CASE WHEN doc_id % 4 > 0 THEN CAST(doc_id AS VARCHAR) END AS external_id, '10.1000/l' || doc_id AS doi, source || ' & more' AS title, CAST(2 AS INTEGER) AS n_authors, CASE WHEN doc_id % 5 > 0 THEN {_DAY} ELSE '2022-01-01' END AS day, CASE WHEN doc_id % 3 = 0 THEN 'preprint' WHEN doc_id % 7 = 0 THEN 'review' ELSE 'journal-article' END AS kind,
+CAST(doc_id % 30 AS INTEGER) AS cited_by, doc_id % 2 = 0 AS is_open_access, CASE WHEN doc_id % 2 = 0 THEN 'p' || doc_id ELSE 'h' END AS open_access_url, CASE WHEN doc_id % 4 = 0 THEN 'https://doi.org/10.1000/l' || doc_id WHEN doc_id % 3 = 0 THEN 'https://x.org/PPR/' || doc_id ELSE 'https://x.org/MED/' || doc_id END AS url, lang AS journal
+FROM documents WHERE {_CUT}""")
+def literature_pages(spark, d):
+    r = feeds.literature(spark, _literature_page(spark, d), "search", "https://x.org/", most=1 << 30)
+    return r.select("external_id", "doi", "title", F.size("authors").alias("n_authors"), F.date_format("published_date", "yyyy-MM-dd").alias("day"), "kind", "cited_by", "is_open_access", "open_access_url", "url", "journal")
+
+
+def _calendar_page(spark, d):
+    k = F.col("doc_id")
+    record = F.struct(
+        k.alias("id"), F.concat(F.lit(" "), "source").alias("title"), F.col("lang").alias("group_title"), (F.lit(1_704_067_200) + k * 1000).alias("date_ts"), F.when(k % 9 == 0, "1").alias("is_canceled"), F.when(k % 2 == 0, "1").alias("is_online"), F.lit("https://meet").alias("online_url"),
+        F.lit("<p>Write to a.b@c.org &amp; come</p>").alias("description"), F.when(k % 5 > 0, "30.5").otherwise("0").alias("location_latitude"), F.when(k % 5 > 0, "-96.25").otherwise("0").alias("location_longitude"), F.array(F.lit("a"), F.lit("b")).alias("tags"), F.array(F.lit("Lecture")).alias("event_types"),
+    )
+    return _land(spark, d, F.to_json(record), lambda rs: F.concat(F.lit("["), F.array_join(rs, ", "), F.lit("]")))
+
+
+@query(f"""SELECT 'event:calendar-' || doc_id AS identity, source AS title, lang AS organizer, 1704067200 + doc_id * 1000 AS starts, doc_id % 9 = 0 AS is_cancelled, CASE WHEN doc_id % 2 = 0 THEN 'https://meet' END AS online_url, 'Write to [email removed] & come' AS summary, CASE WHEN doc_id % 5 > 0 THEN 30.5 END AS lat, 'a,b,Lecture' AS tags FROM documents WHERE {_CUT}""")
+def calendar_pages(spark, d):
+    r = feeds.calendar(spark, _calendar_page(spark, d), "main")
+    return r.select("identity", "title", "organizer", F.unix_seconds("starts_at").alias("starts"), "is_cancelled", "online_url", "summary", F.col("coordinates.lat").alias("lat"), F.array_join("tags", ",").alias("tags"))
+
+
 @query(f"""WITH p AS (SELECT doc_id // 50 AS page, count(*) AS n FROM documents GROUP BY 1), s AS (SELECT * FROM (VALUES ('articles', 'cut short'), ('preprints', 'not JSON'), ('works', 'not JSON')) v(source, why))
 SELECT source, 'degraded' AS status, count(*) AS pages, CAST(sum(CASE WHEN page % 7 <> 3 THEN n ELSE 0 END) AS BIGINT) AS item_count, count(*) FILTER (WHERE page % 7 = 3) + 2 AS failed_requests, count(*) FILTER (WHERE page % 7 = 3) || ' page(s): the page is ' || any_value(why) || '; 2 page(s) never landed' AS warnings FROM p, s GROUP BY 1""")
 def page_reports(spark, d):
