@@ -317,6 +317,53 @@ def test_ann_leaves_no_query_short(spark, case):
     assert found / total >= (1 if case == "few" else 0.9)
 
 
+def test_toxicity_whole_score_against_plain_python(spark):
+    rng = np.random.default_rng(4)
+    plain = "the river runs calm past old mills and green fields while people walk home in the evening".split()
+    bad = ["moron", "m0r0n", "idiot", "id1ot", "mo.ron", "i d i o t"]
+    rows = []
+    for i in range(400):
+        w = [plain[j] for j in rng.integers(0, len(plain), 12)]
+        if i % 5 == 0:
+            w[3] = bad[i // 5 % len(bad)]
+        rows.append((i, " ".join(w) + (" été" if i % 3 else "")))
+    rows += [(400, None), (401, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    chars = toxicity.char_model(df)
+    model = toxicity.train(df, labels, chars)
+    got = {r.doc_id: r for r in toxicity.score(df, model, chars).collect()}
+
+    kind = lambda b: 27 if b >= 128 else b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 0
+    counts = np.zeros(toxicity.KINDS**3, np.int64)
+    for _, t in rows:
+        c = [kind(b) for b in b"  " + (t or "").encode() + b" "] if t else []
+        for x, y, z in zip(c, c[1:], c[2:]):
+            counts[(x * toxicity.KINDS + y) * toxicity.KINDS + z] += 1
+    assert toxicity.CharModel(counts).logs == chars.logs
+
+    def marks(t):
+        words_ = re.findall(rb"[A-Za-z\x80-\xff]+", toxicity.restore((t or "").encode(), chars))
+        return {w for w in words_} | {(k, w[:k]) for w in words_ for k in toxicity.PREFIXES if len(w) >= k}
+
+    learnt = [(marks(t), int(i % 5 == 0)) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    n1, n0 = sum(y for _, y in learnt), sum(1 - y for _, y in learnt)
+    seen = {y: Counter(m for s, z in learnt if z == y for m in s) for y in (0, 1)}
+    picked = []
+    for m, b in seen[1].items():
+        g = seen[0][m]
+        z = (b / n1 - g / n0) / math.sqrt((b + g + 1) / (n1 + n0) * (1 / n1 + 1 / n0))
+        if b >= toxicity.LEAST_DOCS and (b + 0.5) / (n1 + 1) / ((g + 0.5) / (n0 + 1)) > toxicity.LEAST_RATIO and z > toxicity.LEAST_Z:
+            picked.append(m)
+    assert 0 < len(picked) == len(model.hashes)
+    place = {m: j for j, m in enumerate(picked)}
+    again = toxicity.fit([np.array(sorted(place[m] for m in s if m in place), int) for s, _ in learnt], np.array([y for _, y in learnt]), np.arange(len(picked), dtype=np.uint64))
+    for i, t in rows:
+        want = 1 / (1 + math.exp(-(again.intercept + sum(again.weights[place[m]] for m in marks(t) if m in place))))
+        assert got[i].score == pytest.approx(want, abs=1e-6) and got[i].predicted == int(got[i].score >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+    assert all(got[i].predicted == (i % 5 == 0) for i in range(400))
+
+
 def test_toxicity(spark, docs, empty):
     clean = ["the old man walks by the river and sings to his dog", "we read many books on winter nights", "bread and butter with a little salt"]
     rows = [(i, clean[i % 3] + (" you idiot" if i % 7 == 0 else "") + f" n{i}") for i in range(700)]
