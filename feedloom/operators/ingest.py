@@ -34,13 +34,18 @@ def normalize(raw: DataFrame, vertical: str, now: Column) -> DataFrame:
     plain = [c for c, t in rows.dtypes if not t.startswith("map")]
     member = F.concat_ws("|", "source", key, F.sha2(F.to_json(F.struct(*plain)), 256))
     rows = rows.withColumn("member", member).dropDuplicates(["member"])
-    watched = [c for c in ("title", "starts_at", "ends_at", "location", "is_cancelled", "has_registration", "preprint_version", "published_doi") if c in raw.columns]
     if "external_id" in raw.columns:
         rows = rows.withColumn("source_refs", F.array(F.struct("source", "external_id")))
     return rows.withColumns({
         "id": F.concat(F.lit(vertical + "-"), F.substring(F.sha2(key, 256), 1, 12)), "ord": F.col("ord").cast("long") if "ord" in raw.columns else F.lit(0).cast("long"), "vertical": F.lit(vertical), "title": strip_emails(F.col("title")),
         "summary": clamp(strip_emails(F.coalesce(body, F.lit(""))), 400), "first_seen": now, "sources": F.array("source"), "title_words": canonical_title(F.col("title")), "confidence": trust(F.col("source")),
-    }).withColumn("content_hash", F.sha2(F.to_json(F.struct(*[F.col(c) for c in watched], "summary")), 256))
+    }).withColumn("content_hash", content_hash(raw.columns))
+
+
+def content_hash(columns: list[str]) -> Column:
+    """Of the fields whose change is news, as far as rows have them."""
+    watched = [c for c in ("title", "starts_at", "ends_at", "location", "is_cancelled", "has_registration", "preprint_version", "published_doi") if c in columns]
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in watched], "summary")), 256)
 
 
 #: How the fields of members that turn out to be one thing are merged; a field that rows don't bring is left out.
@@ -108,7 +113,9 @@ def campus(raw: DataFrame, now: Column, registry: str, directory: str, complete:
     rank = collapse.canonical_rank(F.col("confidence"), F.lit(""), F.lit(0), F.col("location"), F.col("starts_at"))
     one = resolve(items, rank, SHARED | EVENTS)
     if festival:
-        one = collapse.collapse_co_marketed(one, **festival).drop("members")
+        one = collapse.collapse_co_marketed(one, **festival, policies=SHARED | EVENTS)
+        many = F.col("members") > 1
+        one = one.withColumns({"category": F.when(many, "clubs").otherwise(F.col("category")), "content_hash": F.when(many, content_hash(raw.columns)).otherwise(F.col("content_hash"))}).drop("members")
     keys = ["title_words", "organizer", "location"]
     dated = one.where("starts_at is not null and size(title_words) > 0")
     series = collapse.collapse_series(dated, keys, "starts_at", "ends_at").select("id", F.col("ends_at").alias("__ends"), "series_count")

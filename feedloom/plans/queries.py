@@ -378,6 +378,16 @@ def personal_rank(spark, d):
     return x.select("doc_id", score.adjusted(F.col("relevance"), F.col("signals"), bias).cast("long").alias("adjusted"))
 
 
+@query(PAPERS + f""", r AS (SELECT doc_id, seen, {Q_SUM} AS relevance, rs FROM s), a AS (SELECT *, greatest(0, least(100, relevance + coalesce(list_sum(list_transform(list_distinct(list_transform(list_filter(rs, lambda r: r.p > 0), lambda r: r.s)), lambda s: CASE s WHEN 'topic' THEN 12 WHEN 'method' THEN -9 ELSE 0 END)), 0))) AS adj FROM r)
+SELECT doc_id AS id, row_number() OVER (ORDER BY adj DESC, relevance DESC, seen DESC, doc_id) AS place FROM a""")
+def personal_order(spark, d):
+    """The whole list as one user sees it: by adjusted score, and where that ties as it was."""
+    x = _scored(spark, d).select(F.col("doc_id").alias("id"), "relevance", F.coalesce("published_date", "occurred_at").alias("at"), F.split(serve.signals_of(F.col("reasons")), ",").alias("signals"))
+    bias = F.create_map(F.lit("topic"), F.lit(12), F.lit("method"), F.lit(-9))
+    rows = x.withColumn("adj", score.adjusted(F.col("relevance"), F.col("signals"), bias)).drop("signals")
+    return serve.ranked(rows, [F.desc("adj"), *score.by_relevance(F.lit("research"), F.col("relevance"), F.col("at"), F.col("id"))], "place").select("id", "place")
+
+
 @query(f"""WITH h AS (SELECT doc_id, {q_padded(f"concat_ws(' ', text, {_q_pick(interests.CAMPUS, 3)}, '/', {_q_pick(interests.CAMPUS, 11)})")} AS hay FROM documents) SELECT * FROM (""" + " UNION ALL ".join(f"SELECT doc_id, '{r['label']}' AS label, {r['weight']} AS points FROM h WHERE {q_any('hay', r['patterns'])}" for r in interests.CAMPUS) + ")")
 def lexicon_match(spark, d):
     x = t(spark, d, "documents").select("doc_id", T.padded(F.col("text"), _pick(interests.CAMPUS, 3), F.lit("/"), _pick(interests.CAMPUS, 11)).alias("hay")).select("doc_id", F.explode(score.matches(F.col("hay"), interests.CAMPUS)).alias("m"))
@@ -1315,7 +1325,7 @@ def _works_page(spark, d):
     return _land(spark, d, F.to_json(record), lambda rs: F.concat(F.lit('{"results": [\n'), F.array_join(rs, ",\n"), F.lit("\n]}")))
 
 
-@query(f"""WITH x AS (SELECT *, list_filter(string_split_regex(text, '[^\p{{L}}]+'), lambda w: w <> '') AS ws FROM documents) SELECT 'W1000' || doc_id AS openalex_id, CASE WHEN doc_id % 3 > 0 THEN '10.1000/a' || doc_id END AS doi, {_DAY} AS day, ({q_list(['journal-article', 'preprint', 'review', 'other', 'other'])})[CAST(doc_id % 7 + 1 AS INTEGER)] AS kind,
+@query(f"""WITH x AS (SELECT *, list_filter(string_split_regex(text, '[^\\p{{L}}]+'), lambda w: w <> '') AS ws FROM documents) SELECT 'W1000' || doc_id AS openalex_id, CASE WHEN doc_id % 3 > 0 THEN '10.1000/a' || doc_id END AS doi, {_DAY} AS day, ({q_list(['journal-article', 'preprint', 'review', 'other', 'other'])})[CAST(doc_id % 7 + 1 AS INTEGER)] AS kind,
 CAST(doc_id % 50 AS INTEGER) AS cited_by, lang AS journal, doc_id % 2 = 0 AS is_open_access, 'https://oa/' || doc_id AS open_access_url, CAST(doc_id % 3 + 1 AS INTEGER) AS n_authors, source AS affiliation, array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i), ' ') AS abstract FROM x WHERE {_CUT} AND doc_id % 7 < 5 AND doc_id % 13 > 0""")
 def works_pages(spark, d):
     r = feeds.works(spark, _works_page(spark, d), most=1 << 30)

@@ -206,6 +206,22 @@ def test_all_members_of_an_event_are_merged(spark):
     assert (tuple(r.coordinates), r.audience, r.online_url, r.compensation, r.has_registration, r.is_cancelled, r.food.tier, sorted(r.event_types)) == ((30.6, -96.3), ["staff", "students"], "https://meet", "$5", True, True, "confirmed", ["calendar", "listing"])
 
 
+def test_copies_of_a_festival_keep_their_fields(spark):
+    none = lambda t: F.lit(None).cast(t)
+    rows = [("event:a-1", "Club Crawl Fall 2026 - Chess", "Chess", "free pizza provided", None), ("event:b-2", "Club Crawl Fall 2026 - Go", "Go", "", "https://meet"), ("event:c-3", "Club Crawl Fall 2026", "Club Crawl", "come", None), ("event:d-4", "Club Crawl Fall 2027 - Go", "Go", "hackathon", None)]
+    raw = spark.createDataFrame(rows, "k string, title string, organizer string, summary string, online_url string").withColumns({
+        "source": F.lit("calendar"), "identity": F.array("k"), "starts_at": F.when(F.col("title").contains("2026"), F.lit("2026-02-02 18:00:00")).otherwise("2026-02-03 18:00:00").cast("timestamp"), "ends_at": none("timestamp"), "deadline_at": none("timestamp"), "location": F.lit("Hall"),
+        "cost": none("string"), "tags": F.array("organizer"), "event_types": F.array().cast("array<string>"), "is_cancelled": F.lit(False), "is_online": F.col("online_url").isNotNull(), "has_registration": F.lit(False),
+    }).drop("k")
+    festival = dict(pattern=r"(?i)^club crawl\s+((?:fall|spring)\s+\d{4})(?:\s*[-:]\s*(.*))?$", name="Club Crawl {}", umbrella="Club Crawl")
+    got = {r.title: r for r in ingest.campus(raw, F.lit("2026-02-01").cast("timestamp"), "registry", "listing", "leagues", festival).collect()}
+    r = got["Club Crawl Fall 2026"]
+    assert (r.online_url, r.is_online, r.food.tier, r.category, r.organizer, r.identity) == ("https://meet", True, "confirmed", "clubs", "Club Crawl", ["event:a-1", "event:b-2", "event:c-3"])
+    assert r.summary == "2 participating organizations: Chess, Go." and {"Organization: Chess", "Organization: Go", "Chess", "Go", "Club Crawl"} == set(r.tags)
+    single = ingest.normalize(raw, "campus", F.lit("2026-02-01").cast("timestamp")).where("title = 'Club Crawl Fall 2026'").first()
+    assert r.content_hash != single.content_hash and "Club Crawl Fall 2027 - Go" in got
+
+
 def test_order_of_a_list_by_relevance_then_time(spark):
     rows = [("a", "campus", 50, 3), ("b", "campus", 50, 1), ("c", "campus", 50, None), ("d", "campus", 60, 9), ("e", "campus", 50, 1), ("f", "research", 50, 1), ("g", "research", 50, 3)]
     from feedloom.operators import score
