@@ -243,6 +243,21 @@ def test_similarity_reads_whole_texts(spark, tmp_path):
     assert clusters == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 8}
 
 
+def test_words_travel_only_within_shared_blocks(spark, tmp_path, monkeypatch):
+    """Of a corpus whose texts all start differently, no table holds a text but the first."""
+    from feedloom.operators import collapse as c
+
+    seen = []
+    monkeypatch.setattr(c, "materialize", lambda df, *a, put=c.materialize: seen.append(put(df, *a)) or seen[-1])
+    monkeypatch.setattr(c, "discard", lambda *a: None)
+    rows = spark.range(40).select("id", F.split(F.concat(F.lit("u"), "id", F.lit(" v "), F.repeat(F.lit("same words here "), 20), F.lit("end")), " ").alias("words")).withColumn("block", F.concat_ws(" ", F.slice("words", 1, 2)))
+    rows = rows.unionByName(spark.createDataFrame([(90 + i, f"one head {x}".split(), "one head") for i, x in enumerate(("a b c d e f g h", "a b c d e f g h i"))], "id long, words array<string>, block string"))
+    _, links = c.similar_classes(rows, 0.82)
+    assert links.where("ca <> cb").count() == 1 and links.count() == 43
+    held = [x for x in seen if any(k in x.columns for k in ("said", "w", "words", "k"))]
+    assert [x.count() for x in held] == [42, 2, 0] and not any(t.typeName() == "array" and n in ("w", "g") for x in seen for n, t in ((f.name, f.dataType) for f in x.schema))
+
+
 def test_ranks_of_all_parts(spark, tmp_path):
     from feedloom.plans import queries as q
 
