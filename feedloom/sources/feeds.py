@@ -77,8 +77,8 @@ def rebuild_abstract(index: Column, most: int = 4000) -> Column:
 WORKS_PAGES = Kind("json", WORKS, "results")
 
 
-def works(spark: SparkSession, path: str, since: Column | None = None, most: int = 150, channel: str = "") -> DataFrame:
-    """Literature works of the included types, with title and id, not front matter; from ``since`` on, at most ``most`` of one search, newest first.  ``channel``: the search."""
+def works(spark: SparkSession, path: str, since: Column | None = None, most: int = 150, channel: str = "", longest: int = 4000) -> DataFrame:
+    """Literature works of the included types, with title and id, not front matter; from ``since`` on, at most ``most`` of one search, newest first.  ``channel``: the search.  ``longest``: the last position of an abstract's word that is taken."""
     r = good(landed(spark, path), WORKS_PAGES).select(F.explode("results").alias("r")).where("not coalesce(r.is_paratext, false)")
     r = r.where(F.col("r.type").isNull() | F.col("r.type").isin(INCLUDED_TYPES))
     when = F.coalesce(F.to_date("r.publication_date"), F.make_date("r.publication_year", F.lit(1), F.lit(1)))
@@ -92,7 +92,7 @@ def works(spark: SparkSession, path: str, since: Column | None = None, most: int
     cited = F.array_compact(F.transform(F.coalesce("r.referenced_works", F.array().cast("array<string>")), normalize_openalex))
     out = r.select(
         F.col("r.id").alias("id"), doi.alias("doi"), html_to_text(F.coalesce("r.title", "r.display_name")).alias("title"), when.alias("published_date"), kind.alias("kind"), work.alias("openalex_id"), F.col("r.cited_by_count").alias("cited_by"),
-        F.slice(cited, 1, 200).alias("references"), rebuild_abstract(F.col("r.abstract_inverted_index")).alias("abstract"), pmid.alias("pmid"), F.col("r.ids.pmcid").alias("pmcid"), named.alias("authors"), topics.alias("topics"), topics.alias("tags"),
+        F.slice(cited, 1, 200).alias("references"), rebuild_abstract(F.col("r.abstract_inverted_index"), longest).alias("abstract"), pmid.alias("pmid"), F.col("r.ids.pmcid").alias("pmcid"), named.alias("authors"), topics.alias("topics"), topics.alias("tags"),
         F.col("r.primary_location.source.display_name").alias("journal"), F.coalesce("r.open_access.is_oa", F.lit(False)).alias("is_open_access"), F.coalesce("r.best_oa_location.pdf_url", "r.open_access.oa_url").alias("open_access_url"),
         F.coalesce("r.primary_location.landing_page_url", F.when(doi.isNotNull(), F.concat(F.lit("https://doi.org/"), doi)), F.col("r.id")).alias("url"), F.lit(channel).alias("channel"), F.lit("openalex").alias("source"),
         F.array_compact(F.array(F.concat(F.lit("openalex:"), F.lower(work)), F.concat(F.lit("doi:"), doi), F.concat(F.lit("pmid:"), pmid))).alias("identity"),

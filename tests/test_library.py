@@ -258,6 +258,15 @@ def test_words_travel_only_within_shared_blocks(spark, tmp_path, monkeypatch):
     assert [x.count() for x in held] == [42, 2, 0] and not any(t.typeName() == "array" and n in ("w", "g") for x in seen for n, t in ((f.name, f.dataType) for f in x.schema))
 
 
+def test_works_keep_long_abstracts(spark, tmp_path):
+    from feedloom.plans import queries as q
+
+    text = " ".join("".join(chr(97 + int(c)) for c in str(i)) for i in range(4500))
+    spark.createDataFrame([(1, text, "de", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = _sql(spark, "works_pages", q.ORACLES["works_pages"], tmp_path)
+    assert got == want and len(got[0][-1].split()) == 4500
+
+
 def test_ranks_of_all_parts(spark, tmp_path):
     from feedloom.plans import queries as q
 
