@@ -267,6 +267,18 @@ def test_works_keep_long_abstracts(spark, tmp_path):
     assert got == want and len(got[0][-1].split()) == 4500
 
 
+def test_markup_parts_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from feedloom.plans import queries as q
+
+    pages = ["<title>a  &quot;b&quot; &amp;amp; <i>c</i>\n</title><a href='x?a&amp;b&lt;'>", "<title></title><title>second</title>", "<p>none</p>", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = duckdb.sql(q.ORACLES["markup_parts"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in q.QUERIES["markup_parts"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and [r[2] for r in sorted(got)] == ['a  "b" &amp; c\n'.replace('"', "&quot;"), "", "", None]
+
+
 def test_ranks_of_all_parts(spark, tmp_path):
     from feedloom.plans import queries as q
 
