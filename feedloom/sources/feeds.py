@@ -25,10 +25,12 @@ WORKS = (
 INCLUDED_TYPES = ["article", "preprint", "review", "book-chapter", "book", "dissertation"]
 
 
-def newest(rows: DataFrame, most: int, when: Column, id_: str, by: str | None = None) -> DataFrame:
-    """At most ``most`` rows, or of each value of ``by``, the newest first: a source's own cap on what it delivers."""
+def newest(rows: DataFrame, most: int | None, when: Column, id_: str, by: str | None = None) -> DataFrame:
+    """At most ``most`` rows, or of each value of ``by``, the newest first: a source's own cap on what it delivers.  None: all rows, in no order, as no task then needs to see them all."""
     from pyspark.sql import Window
 
+    if most is None:
+        return rows
     order = [when.desc_nulls_last(), F.col(id_)]
     if by is None:
         return rows.orderBy(*order).limit(most)
@@ -55,7 +57,7 @@ def _answered(field) -> Column:
 PREPRINT_PAGES = Kind("json", "messages array<struct<status:string>>, " + PREPRINT, "collection", _answered)
 
 
-def preprints(spark: SparkSession, path: str, most: int = 600) -> DataFrame:
+def preprints(spark: SparkSession, path: str, most: int | None = 600) -> DataFrame:
     """bioRxiv-like interval feeds: a row for each record with a valid DOI; 'NA' is no publication.  A page whose status is not ok gives none (``PREPRINT_PAGES``); at most ``most`` records of a server, newest first."""
     r = good(landed(spark, path), PREPRINT_PAGES).select(F.explode("collection").alias("r"))
     doi = normalize_doi(F.col("r.doi"))
@@ -68,6 +70,26 @@ def preprints(spark: SparkSession, path: str, most: int = 600) -> DataFrame:
     return newest(out.withColumn("__tie", F.concat_ws("|", "doi", F.lpad((999 - F.coalesce("preprint_version", F.lit(0))).cast("string"), 4, "0"))), most, F.col("published_date"), "__tie", "source").drop("__tie")
 
 
+def _positions(batches):
+    for pdf in batches:
+        for i in range(0, len(pdf), 256):  # indexes of few texts at a time are held
+            part, found = pdf.iloc[i : i + 256], []
+            for words in part.pop("words"):
+                index = {}
+                for p, w in enumerate(() if words is None else words):
+                    index.setdefault(w, []).append(p)
+                found.append(None if words is None else [{"w": w, "ps": ps} for w, ps in index.items()])
+            yield part.assign(entries=found)
+
+
+def invert(rows: DataFrame, words: str, name: str) -> DataFrame:
+    """``rows`` with, in place of their ``words`` array, a map ``name`` of each word to its positions.  A row's index is made where the row is; no word travels."""
+    rest = [c for c in rows.columns if c != words]
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest)
+    out = rows.select(*rest, F.col(words).alias("words")).mapInPandas(_positions, f"{kept}, entries array<struct<w:string,ps:array<int>>>")
+    return out.select(*rest, F.map_from_entries("entries").alias(name))
+
+
 def rebuild_abstract(index: Column, most: int = 4000) -> Column:
     """Text from word positions."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
@@ -77,7 +99,7 @@ def rebuild_abstract(index: Column, most: int = 4000) -> Column:
 WORKS_PAGES = Kind("json", WORKS, "results")
 
 
-def works(spark: SparkSession, path: str, since: Column | None = None, most: int = 150, channel: str = "", longest: int = 4000) -> DataFrame:
+def works(spark: SparkSession, path: str, since: Column | None = None, most: int | None = 150, channel: str = "", longest: int = 4000) -> DataFrame:
     """Literature works of the included types, with title and id, not front matter; from ``since`` on, at most ``most`` of one search, newest first.  ``channel``: the search.  ``longest``: the last position of an abstract's word that is taken."""
     r = good(landed(spark, path), WORKS_PAGES).select(F.explode("results").alias("r")).where("not coalesce(r.is_paratext, false)")
     r = r.where(F.col("r.type").isNull() | F.col("r.type").isin(INCLUDED_TYPES))

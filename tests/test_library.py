@@ -279,6 +279,15 @@ def test_markup_parts_as_in_sql(spark, tmp_path):
     assert sorted(got) == sorted(want) and [r[2] for r in sorted(got)] == ['a  "b" &amp; c\n'.replace('"', "&quot;"), "", "", None]
 
 
+def test_index_of_every_text(spark, tmp_path):
+    from feedloom.plans import queries as q
+
+    rows = [(1, "a b a\tc  b"), (2, ""), (3, None), (4, " \n ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in q.QUERIES["inverted_index_rebuild"](spark, str(tmp_path)).collect()}
+    assert got == {1: "a b a c b", 2: "", 3: None, 4: ""}
+
+
 def test_ranks_of_all_parts(spark, tmp_path):
     from feedloom.plans import queries as q
 
