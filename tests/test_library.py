@@ -288,6 +288,14 @@ def test_index_of_every_text(spark, tmp_path):
     assert got == {1: "a b a c b", 2: "", 3: None, 4: ""}
 
 
+def test_no_cap_needs_no_order(spark):
+    from feedloom.sources import feeds
+
+    rows = spark.range(5).withColumns({"source": F.lit("s"), "at": F.lit("2024-01-01").cast("date")})
+    assert feeds.newest(rows, None, F.col("at"), "id", "source") is rows
+    assert [r.id for r in feeds.newest(rows, 2, F.col("at"), "id", "source").orderBy("id").collect()] == [0, 1]
+
+
 def test_ranks_of_all_parts(spark, tmp_path):
     from feedloom.plans import queries as q
 
