@@ -296,6 +296,14 @@ def test_no_cap_needs_no_order(spark):
     assert [r.id for r in feeds.newest(rows, 2, F.col("at"), "id", "source").orderBy("id").collect()] == [0, 1]
 
 
+@pytest.mark.parametrize("name", ["band_facets"])
+def test_texts_are_scored_once(spark, name, tmp_path):
+    from feedloom.plans import queries as q
+
+    spark.createDataFrame([(i, "words of a text", "en", "s", 15) for i in range(1, 9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert not any("documents.parquet" in f for f in q.QUERIES[name](spark, str(tmp_path)).inputFiles())
+
+
 def test_ranks_of_all_parts(spark, tmp_path):
     from feedloom.plans import queries as q
 
