@@ -296,7 +296,7 @@ def test_no_cap_needs_no_order(spark):
     assert [r.id for r in feeds.newest(rows, 2, F.col("at"), "id", "source").orderBy("id").collect()] == [0, 1]
 
 
-@pytest.mark.parametrize("name", ["band_facets"])
+@pytest.mark.parametrize("name", ["band_facets", "run_summary"])
 def test_texts_are_scored_once(spark, name, tmp_path):
     from feedloom.plans import queries as q
 
