@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import has_piece, let
 from . import eligible, pay, timing
 from .eligible import check_eligibility, eligibility, parse_eligibility  # noqa: F401
 from .pay import compensation, parse_compensation  # noqa: F401
@@ -163,11 +164,24 @@ TERMS = {
 }
 
 
+#: Pieces one of which stands in whatever a tag's pattern matches, those in lower case in any case: texts without them are not held against it.
+PIECES = {
+    "online": ["online", "remote", "zoom", "based", "virtual", "teleconference", "qualtrics"], "in-person": ["person", "campus", " lab", "visit", "come to"], "mri": ["mri", "magnetic", "neuroimag"],
+    "eeg": ["eeg", "electroenceph"], "vr-ar": ["reality", "mounted", "headset", "VR", "AR", "XR"], "focus-group": ["focus group"], "survey": ["survey", "questionnaire"], "interview": ["interview"],
+    "clinical": ["clinical", "placebo", "controlled", "blind", "drug", "medication", "supplement", "patient", "diagnos"], "hci": ["human", "user", "usability", "hci", "wearable"],
+}
+
+
 def tags(text: Column, terms: Column | None = None) -> Column:
     """Tags of a listing by its text and its taxonomy terms; a study that is online only is never in person."""
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), lambda x: _tags(x["text"], x["low"], terms))
+
+
+def _tags(text: Column, low: Column, terms: Column | None) -> Column:
     named = F.coalesce(terms, F.array().cast("array<string>")) if terms is not None else F.array().cast("array<string>")
     by_term = lambda p: F.exists(named, lambda t: t.rlike(p))
-    holds = {k: text.rlike(p) | (by_term(TERMS[k]) if k in TERMS else F.lit(False)) for k, p in TAGS.items()}
+    near = lambda k: has_piece(low, [x for x in PIECES[k] if x == x.lower()]) | (has_piece(text, caps) if (caps := [x for x in PIECES[k] if x != x.lower()]) else F.lit(False))
+    holds = {k: (near(k) & text.rlike(p)) | (by_term(TERMS[k]) if k in TERMS else F.lit(False)) for k, p in TAGS.items()}
     holds["in-person"] = holds["in-person"] & ~by_term(r"(?i)^online only$")
     return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in holds.items()]))
 
